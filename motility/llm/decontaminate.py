@@ -25,7 +25,6 @@ from motility.llm.common import small_batches, written
 WINDOW, GRAM = 10, 5
 RUN = WINDOW - GRAM + 1
 _NEVER = np.uint64(2**64 - 1)
-_OUT = "doc_id {id}, n_words long, spans array<struct<start:long,length:long>>, items array<string>"
 
 
 def kept_grams(part: words.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -83,62 +82,65 @@ def merged(windows: list[tuple[int, int]]) -> list[dict]:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", broadcast_bytes: int = 16 << 20,
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    name: str = "leak", broadcast_bytes: int = 16 << 20,
 ) -> DataFrame:
     """Marks the words of each document that lie in a window of a benchmark item.
 
-    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. Returns per row of ``docs``: ``(doc_id, n_words, n_hit, n_items,
-    spans, items, items_sha256, contaminated)``, where spans count words and are disjoint, and items are ids as strings, sorted.
+    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. Returns the rows of ``docs`` with a struct ``name``: ``(n_words, n_hit,
+    n_items, spans, items, items_sha256, contaminated)``, where spans count words and are disjoint, and items are ids as strings, sorted.
 
-    Null, empty and wordless texts have no words and no hits. Null and repeated ids are kept, row by row. An item without words has no
+    Null, empty and wordless texts have no words and no hits. Repeated rows and null ids are kept, row by row. An item without words has no
     window; items with equal texts or ids count by id. A null item id never appears in ``items`` but its windows
-    hit. An empty benchmark hits nothing. Other columns are ignored, whatever their names.
+    hit. An empty benchmark hits nothing. Other columns are kept, but for one called ``name``, which is replaced.
     """
     small_batches(docs.sparkSession)
     side = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = side.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length(F.coalesce("item", F.lit("")))), F.lit(0))).first()[0]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = _in_tasks(rows, side) if size <= broadcast_bytes else _by_shuffle(rows, side)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
-    items = F.array_sort("items")
-    return out.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "spans", items.alias("items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    out = (_in_tasks if size <= broadcast_bytes else _by_shuffle)(docs, side, text_col, name)
+    got = F.col(name)
+    hit = F.aggregate(got["spans"], F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    items = F.array_sort(got["items"])
+    return out.withColumn(
+        name,
+        F.struct(
+            got["n_words"].alias("n_words"), hit.alias("n_hit"), F.size(got["items"]).cast("long").alias("n_items"), got["spans"].alias("spans"),
+            items.alias("items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(got["spans"]) > 0).alias("contaminated"),
+        ),
     )
 
 
-def _in_tasks(docs: DataFrame, side: DataFrame) -> DataFrame:
+def _in_tasks(docs: DataFrame, side: DataFrame, text_col: str, name: str) -> DataFrame:
     owners: dict[bytes, set[str]] = defaultdict(set)
-    length, prints = {}, defaultdict(set)
+    prints = defaultdict(set)
     for row in side.collect():
         for n, text, fingerprint in windows_of_item(row["text"]):
             owners[text] |= {row["item"]} - {None}
-            length[text] = n
             prints[n].add(fingerprint)
     known = docs.sparkSession.sparkContext.broadcast((dict(owners), {n: np.array(sorted(p), np.uint64) for n, p in prints.items()}))
-    kind = dict(docs.dtypes)["doc_id"]
 
-    def run(batches):
+    @F.arrow_udf(_FOUND)
+    def leaks(texts: pa.Array) -> pa.Array:
         owners, prints = known.value
-        for batch in batches:
-            n = 0
-            for part in words.slices(batch.column(1), words.ALNUM):
-                hits: list[list[tuple[int, int]]] = [[] for _ in part.counts]
-                items: list[set[str]] = [set() for _ in part.counts]
-                for size, starts in _candidates(part, prints):
-                    for s, i in zip(starts, np.searchsorted(part.bounds, starts, "right") - 1, strict=True):
-                        if (own := owners.get(part.span(s, s + size))) is not None:
-                            hits[i].append((int(s - part.bounds[i]), size))
-                            items[i] |= own
-                spans = pa.array([merged(h) for h in hits], _SPANS)
-                cols = [batch.column(0).slice(n, len(hits)), pa.array(part.counts, pa.int64()), spans, pa.array([list(x) for x in items], pa.list_(pa.string()))]
-                n += len(hits)
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "spans", "items"])
-
-    return docs.mapInArrow(run, _OUT.format(id=kind))
-
-
+        n_words, spans, shared = [], [], []
+        for part in words.slices(texts, words.ALNUM):
+            hits: list[list[tuple[int, int]]] = [[] for _ in part.counts]
+            items: list[set[str]] = [set() for _ in part.counts]
+            for size, starts in _candidates(part, prints):
+                for s, i in zip(starts, np.searchsorted(part.bounds, starts, "right") - 1, strict=True):
+                    if (own := owners.get(part.span(s, s + size))) is not None:
+                        hits[i].append((int(s - part.bounds[i]), size))
+                        items[i] |= own
+            n_words += part.counts.tolist()
+            spans += map(merged, hits)
+            shared += map(list, items)
+        columns = pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(shared, pa.list_(pa.string()))
+        return pa.StructArray.from_arrays(columns, ["n_words", "spans", "items"])
+
+    return docs.withColumn(name, leaks(text_col))
+
+
+_FOUND = "n_words long, spans array<struct<start:long,length:long>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
@@ -159,14 +161,15 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
-def _by_shuffle(docs: DataFrame, side: DataFrame) -> DataFrame:
-    kind = dict(docs.dtypes)["doc_id"]
+def _by_shuffle(docs: DataFrame, side: DataFrame, text_col: str, name: str) -> DataFrame:
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # row numbers hold once they are written
+    rows = docs.select("_row", F.col(text_col).alias("text"))
 
     def item_windows(batches):
         for batch in batches:
             for item, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = windows_of_item(text.as_py())
-                cols = [pa.array([item.as_py()] * len(found), pa.string())] + [pa.array([f[k] if k < 2 else np.uint64(f[2]).astype(np.int64) for f in found], t) for k, t in ((0, pa.int32()), (1, pa.binary()), (2, pa.int64()))]
+                cols = [pa.array([item.as_py()] * len(found), pa.string()), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), pa.array(np.array([f[2] for f in found], np.uint64).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, names=["item", "size", "window", "print"])
 
     known = written(side.mapInArrow(item_windows, "item string, size int, window binary, print long"), "windows")
@@ -180,11 +183,11 @@ def _by_shuffle(docs: DataFrame, side: DataFrame) -> DataFrame:
                     hashes, at = part.grams(size) if size < WINDOW else kept_grams(part)[::-1]
                     text = np.searchsorted(part.bounds, at, "right") - 1
                     cols = [batch.column(0).take(pa.array(n + text)), pa.array(np.full(len(at), size), pa.int32()), pa.array(at - part.bounds[text], pa.int64()), pa.array(hashes.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "size", "at", "print"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["_row", "size", "at", "print"])
                 n += len(part.counts)
 
-    joined = docs.mapInArrow(prints, f"doc_id {kind}, size int, at long, print long").join(known.select("size", "print").distinct(), ["size", "print"], "left_semi")
-    places = joined.groupBy(F.col("doc_id").alias("place_id")).agg(F.collect_set(F.struct("size", "at")).alias("places"))
+    hits = rows.mapInArrow(prints, "_row long, size int, at long, print long").join(known.select("size", "print").distinct(), ["size", "print"], "left_semi")
+    places = hits.groupBy("_row").agg(F.collect_set(F.struct("size", "at")).alias("places"))
 
     def windows(batches):
         for batch in batches:
@@ -192,26 +195,26 @@ def _by_shuffle(docs: DataFrame, side: DataFrame) -> DataFrame:
             for part in words.slices(batch.column(1), words.ALNUM):
                 found = []
                 for i, places in enumerate(batch.column(2).slice(n, len(part.counts)).to_pylist()):
-                    base, past, mine = part.bounds[i], part.bounds[i + 1], []
+                    base, mine = part.bounds[i], []
                     for size in {p["size"] for p in places or ()}:
                         at = np.array(sorted(p["at"] for p in places if p["size"] == size)) + base
                         starts = candidate_windows(part, at) if size == WINDOW else at
-                        mine += [{"start": int(s - base), "size": size, "window": part.span(s, s + size)} for s in starts if base <= s and s + size <= past]
+                        mine += [{"start": int(s - base), "size": size, "window": part.span(s, s + size)} for s in starts]
                     found.append(mine)
                 cols = [batch.column(0).slice(n, len(found)), pa.array(part.counts, pa.int64()), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int32()), ("window", pa.binary())])))]
                 n += len(found)
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "windows"])
+                yield pa.RecordBatch.from_arrays(cols, names=["_row", "n_words", "windows"])
 
-    placed = docs.join(places, F.col("doc_id").eqNullSafe(F.col("place_id")), "left").select("doc_id", "text", "places")
-    seen = placed.mapInArrow(windows, f"doc_id {kind}, n_words long, windows array<struct<start:long,size:int,window:binary>>")
-    seen = written(seen.withColumn("row", F.monotonically_increasing_id()), "seen")  # rows have numbers once they are written
+    placed = rows.join(places, "_row", "left").select("_row", "text", "places")
+    seen = written(placed.mapInArrow(windows, "_row long, n_words long, windows array<struct<start:long,size:int,window:binary>>"), "seen")
     owners = known.groupBy("window").agg(F.collect_set("item").alias("owners"))
-    hits = seen.select("row", F.inline("windows")).join(owners, "window").groupBy("row").agg(F.collect_set(F.struct("start", F.col("size").cast("long").alias("length"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("owners"))).alias("items"))
+    found = seen.select("_row", F.inline("windows")).join(owners, "window").groupBy("_row").agg(F.collect_set(F.struct("start", "size")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("owners"))).alias("items"))
 
     @F.pandas_udf("array<struct<start:long,length:long>>")
     def disjoint(column: pd.Series) -> pd.Series:
-        return column.map(lambda found: merged([(w["start"], w["length"]) for w in found]))
+        return column.map(lambda hits: merged([(w["start"], w["size"]) for w in hits]))
 
-    empty = F.array().cast("array<struct<start:long,length:long>>")
-    spans = hits.select("row", disjoint("hits").alias("spans"), "items")
-    return seen.drop("windows").join(spans, "row", "left").select("doc_id", "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    spans = found.select("_row", disjoint("hits").alias("spans"), "items")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    got = seen.select("_row", "n_words").join(spans, "_row", "left").select("_row", F.struct("n_words", F.coalesce("spans", none("struct<start:long,length:long>")).alias("spans"), F.coalesce("items", none("string")).alias("items")).alias(name))
+    return docs.drop(name).join(got, "_row").drop("_row")

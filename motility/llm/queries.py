@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", *(f"leak.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
