@@ -22,8 +22,9 @@ from motility.llm import words
 from motility.llm.common import small_batches, written
 from motility.llm.components import connected_components
 
-ROUNDS = 2
-BLOCK = 128
+ROUNDS = 3
+#: Members, and shingles, that one block of a bucket holds, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -171,15 +172,18 @@ def leftover_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, p
 
     In a bucket, members outside its largest component meet all members, in blocks of bounded size. None: no such bucket.
     """
-    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    total = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    todo = written(total.where("k > 1 and m > 2"), "unsettled")
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    total = sizes.groupBy("bucket").agg(
+        F.sum("m").alias("m"), F.sum("n").alias("n_all"), F.count("*").alias("k"),
+        F.max(F.struct("m", "comp", "n")).alias("main"),
+    )
+    blocks = lambda m, n: F.ceil(F.greatest(m / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    main = F.col("main")
+    todo = total.where("k > 1 and m > 2").select("bucket", main["comp"].alias("main"), blocks(F.col("m") - main["m"], F.col("n_all") - main["n"]).alias("n_odd"), blocks(F.col("m"), F.col("n_all")).alias("n_all"))
+    todo = written(todo, "unsettled")
     if todo.isEmpty():
         return None
-    at = members.join(todo, "bucket").select(
-        "bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("odd"),
-        F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("n_odd"), F.ceil(F.col("m") / BLOCK).cast("int").alias("n_all"),
-    )
+    at = members.join(todo, "bucket").select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("odd"), "n_odd", "n_all")
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     left = at.where("odd").select("bucket", "rep", "comp", F.lit(0).alias("side"), block("n_odd").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
     right = at.select("bucket", "rep", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("n_odd") - 1)).alias("i"), block("n_all").alias("j"))
@@ -205,10 +209,10 @@ def near_duplicates(
     real = base.where("doc_id is not null and digest is not null")
     reps = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # an id whose rows have different texts: one node, whose rows lead to several classes
-    rep_rows = real.select(F.col("doc_id").alias("rep"), "digest", "signature", "bands").join(reps, ["rep", "digest"], "left_semi").dropDuplicates(["rep"])
-    members = rep_rows.select("rep", F.explode("bands").alias("bucket"))
+    rep_rows = real.select(F.col("doc_id").alias("rep"), "digest", "n_shingles", "bands").join(reps, ["rep", "digest"], "left_semi").dropDuplicates(["rep"])
+    members = rep_rows.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    members = written(members.join(shared, "bucket").select("bucket", "rep"), "buckets")
+    members = written(members.join(shared, "bucket").select("bucket", "rep", "n"), "buckets")
     wanted = members.select("rep").distinct()
     signatures = written(base.select(F.col("doc_id").alias("rep"), "signature").where("signature is not null").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "signatures")
     sets = written(set_table(docs, wanted, id_col, text_col, shingle).where("size(shingles) > 0").dropDuplicates(["rep"]), "sets")

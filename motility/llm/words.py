@@ -28,6 +28,7 @@ def _table(is_word) -> np.ndarray:
 
 
 _RNG_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER_VALUES = _table(lambda b: True)
 #: ``[^\x20\x09-\x0D]``, lower-cased.
 SPACED = _table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after lower-casing.
@@ -77,6 +78,16 @@ class Words:
         """The slice's text number of each word."""
         return np.repeat(np.arange(self.hi - self.lo), self.counts)
 
+    def prefixes(self, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of each word, lower-cased; of all of it where it has fewer."""
+        acc = np.full(len(self.starts), np.uint64(k))
+        for j in range(k):
+            at = self.starts + j
+            inside = at < self.ends
+            acc *= _STEP
+            acc[inside] += _LOWER_VALUES[self.data[at[inside]]]
+        return mixed(acc)
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word windows that lie in one text, and the word each begins at."""
         n = len(self.hashes) - k + 1
