@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motility.llm.common import ascii_lower, written
+from motility.llm.common import written
 
 # Common function words by language.
 COMMON_WORDS = {
@@ -18,6 +18,7 @@ COMMON_WORDS = {
     "es": ["con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "no", "para", "por", "que", "se", "su", "un", "una", "y", "al"],
     "fr": ["au", "avec", "dans", "de", "des", "du", "elle", "en", "est", "et", "la", "le", "les", "pas", "pour", "que", "qui", "sur", "un", "une"],
 }
+ALL_COMMON = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Documents with fewer words have too thin histograms to be judged by them.
@@ -52,19 +53,19 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return F.when(n < 6, 0).when(~repeated, 0).otherwise(bound(bound(listed, again), covered)).cast("long")
 
 
-def _common_counts(lower: Column, common: Column) -> Column:
-    """How often each word of ``common`` stands in the text of single-spaced words ``lower``."""
-    # a doubled space lets neighbours be counted both
-    line = F.concat(F.lit(" "), F.replace(lower, F.lit(" "), F.lit("  ")), F.lit(" "))
+def _common_counts(words: Column, common: Column) -> Column:
+    """How often each word of ``common`` is among the words, in any case."""
+    # what is no common word of any language goes first; a doubled space lets neighbours be counted both
+    lower = F.filter(F.split(F.lower(F.array_join(words, " ")), " "), lambda w: w.isin(ALL_COMMON))
+    line = F.concat(F.lit(" "), F.array_join(lower, "  "), F.lit(" "))
     take = lambda line: F.transform(common, lambda w: F.call_function("div", F.length(line) - F.length(F.replace(line, F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))), F.length(w) + 2))
     return F.get(F.transform(F.array(line), take), F.lit(0))
 
 
 def _common_of(lang: Column) -> Column:
     """The common words of a language; those of all four, each once, for any other."""
-    everything = sorted({w for ws in COMMON_WORDS.values() for w in ws})
     lists = F.create_map(*(x for k, ws in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))))
-    return F.coalesce(F.try_element_at(lists, lang), F.array(*map(F.lit, everything)))
+    return F.coalesce(F.try_element_at(lists, lang), F.array(*map(F.lit, ALL_COMMON)))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -94,7 +95,7 @@ def counts(docs: DataFrame, text_col: str, lang_col: str | None, name: str) -> D
             F.col("_lang").alias("lang"), F.col("_n").cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
             n_lines.cast("long").alias("n_dup_lines"), _repeat_words(F.col("_words"), F.col("_n")).alias("n_repeat_words"),
             n_chars.alias("n_chars"), upper.alias("upper"), digits.alias("digits"), points.alias("points"), accents.alias("accents"),
-            _common_counts(ascii_lower(F.array_join("_words", " ")), _common_of(F.col("_lang"))).alias("common"),
+            _common_counts(F.col("_words"), _common_of(F.col("_lang"))).alias("common"),
         ),
     )
     c, d = F.col("_c"), lambda x: x.cast("double")
