@@ -9,9 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motility.functions.grouped import merged_pieces, principal_axes, voxel_components, voxel_hull_volume
 from motility.operators.voxels import KEYS, VOXEL
+from motility.sources.tables import spread
 
 
 def label_components(voxels: DataFrame, keys: Sequence[str] = KEYS, connectivity: int = 26) -> DataFrame:
@@ -20,12 +22,12 @@ def label_components(voxels: DataFrame, keys: Sequence[str] = KEYS, connectivity
     A volume is the unit of work, so ``keys`` should name capture and frame; volumes run in parallel.
     """
     columns = [c for c in voxels.columns if c != "component"]
-    schema = voxels.select(columns).schema.add("component", "long")
+    schema = T.StructType([*voxels.select(columns).schema.fields, T.StructField("component", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(component=voxel_components(pdf[list(VOXEL)].to_numpy(np.int64), connectivity))
 
-    return voxels.select(columns).groupBy(*keys).applyInPandas(run, schema)
+    return spread(voxels.select(columns), keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def _sized(voxels: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
@@ -119,7 +121,7 @@ def solidity(voxels: DataFrame, keys: Sequence[str] = KEYS, label: str = "label"
         hull = voxel_hull_volume(pdf[list(VOXEL)].to_numpy(np.int64))
         return pd.DataFrame([[*key, len(pdf), hull, len(pdf) / hull if hull else math.nan]], columns=[*keys, label, "volume", "hull", "solidity"])
 
-    return voxels.groupBy(*keys, label).applyInPandas(run, schema)
+    return spread(voxels.select(*keys, label, *VOXEL), [*keys, label]).groupBy(*keys, label).applyInPandas(run, schema)
 
 
 def region_mean_score(voxels: DataFrame, keys: Sequence[str] = KEYS, label: str = "label", score: str = "score") -> DataFrame:
@@ -170,7 +172,7 @@ def merge_oversegmented(overlaps: DataFrame, keys: Sequence[str] = KEYS) -> Data
         group = merged_pieces(counts, dict(zip(pdf["la"], pdf["na"], strict=True)), dict(zip(pdf["lb"], pdf["nb"], strict=True)))
         return pd.DataFrame([[*key, p, g] for p, g in sorted(group.items())], columns=[*keys, "piece", "merged"])
 
-    groups = overlaps.groupBy(*keys).applyInPandas(run, schema)
+    groups = spread(overlaps, keys).groupBy(*keys).applyInPandas(run, schema)
     sized = groups.join(overlaps.select(*keys, F.col("la").alias("piece"), "na").distinct(), [*keys, "piece"]).groupBy(*keys, "merged").agg(F.sum("na").alias("n"))
     joined = groups.join(overlaps.withColumnRenamed("la", "piece"), [*keys, "piece"]).groupBy(*keys, "merged", "lb").agg(F.sum("inter").alias("inter"), F.max("nb").alias("nb"))
     scored = joined.join(sized, [*keys, "merged"]).withColumn("iou", F.col("inter") / (F.col("n") + F.col("nb") - F.col("inter")))

@@ -145,17 +145,17 @@ def _iou_sql(extra: int) -> str:
     one = lambda p: " * ".join(f"({p}.{c}2 - {p}.{c}1 + {extra})" for c in "yxz")
     return f"""SELECT capture, t, box_a, box_b, round(i / (va + vb - i), 6) AS iou FROM (
 SELECT a.capture, a.t, a.box_id AS box_a, b.box_id AS box_b, {both} AS i, {one('a')} AS va, {one('b')} AS vb
-FROM boxes a JOIN boxes b ON a.capture = b.capture AND a.t = b.t WHERE (a.box_id // 20) % 2 = 0 AND (b.box_id // 20) % 2 = 1) WHERE i > 0"""
+FROM boxes a JOIN boxes b ON a.capture = b.capture AND a.t = b.t WHERE (a.box_id // 200) % 2 = 0 AND (b.box_id // 200) % 2 = 1) WHERE i > 0"""
 
 
 @query("d3_box_iou", _iou_sql(0), "boxes")
 def d3(v):
-    return D.box_iou(v.boxes.where("box_id div 20 % 2 = 0"), v.boxes.where("box_id div 20 % 2 = 1")).withColumn("iou", F.round("iou", 6))
+    return D.box_iou(v.boxes.where("box_id div 200 % 2 = 0"), v.boxes.where("box_id div 200 % 2 = 1")).withColumn("iou", F.round("iou", 6))
 
 
 @query("d3_box_iou_inclusive", _iou_sql(1), "boxes")
 def d3_inclusive(v):
-    return D.box_iou(v.boxes.where("box_id div 20 % 2 = 0"), v.boxes.where("box_id div 20 % 2 = 1"), mode="inclusive").withColumn("iou", F.round("iou", 6))
+    return D.box_iou(v.boxes.where("box_id div 200 % 2 = 0"), v.boxes.where("box_id div 200 % 2 = 1"), mode="inclusive").withColumn("iou", F.round("iou", 6))
 
 
 @query("d4_mask_iou_by_plane", """

@@ -9,6 +9,7 @@ from motility.functions.names import natural_path_key, parse_capture_path
 from motility.operators import voxels as V
 from motility.plans.registry import query
 from motility.sources import captures as C
+from motility.sources.tables import scratch_path
 
 NUMBER = "CAST(nullif(regexp_extract(path, '{}', 1), '') AS BIGINT)"
 
@@ -143,3 +144,29 @@ def b13(v):
         return lambda batch: batch[["capture", "z", "y", "x"]].assign(score=batch["l0"] * 2 - batch["l1"])
 
     return V.predict_tiles(v.grid, make_model, "capture long, z long, y long, x long, score double")
+
+
+@query("a1_list_files")
+def a1(v):
+    files = C.list_files(v.spark, v.sf_dir, "*.parquet")
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+
+
+@query("a6_a7_cells_round_trip", "SELECT CAST(f AS BIGINT) AS feature, count(*) AS n FROM (SELECT unnest(range(16)) AS f FROM embeddings) GROUP BY f")
+def a6(v):
+    """Writes the cell table to the shared folder, reads it back and counts the values that came back as they were."""
+    from motility.operators.behaviors import to_long, to_vectors
+
+    rows = to_vectors(v.cells, ["row_id", "grp", "cluster"])
+    wide = rows.select(*(F.col("features")[i].alias(f"f {i}") for i in range(16)), "grp", "cluster", F.lit(1).alias("volume"), F.lit(1).alias("capture"), F.col("row_id").alias("track_id"), F.lit(1).alias("t"))
+    path = scratch_path(v.spark, "cells")
+    C.write_cells(wide, path)
+    back = to_long(C.read_cells(v.spark, path, 16).withColumnRenamed("track_id", "row_id"), ["row_id"])
+    return back.join(v.cells.select("row_id", "feature", F.col("value").alias("was")), ["row_id", "feature"]).where("value = was").groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@query("a8_write_by_capture", "SELECT grp, volume, capture, count(*) AS n FROM track_nodes GROUP BY ALL", "track_nodes")
+def a8(v):
+    path = scratch_path(v.spark, "captures")
+    C.write_by_capture(v.track_nodes, path)
+    return v.spark.read.parquet(path).groupBy(*(F.col(k).cast("long").alias(k) for k in C.KEYS)).agg(F.count("*").alias("n"))
