@@ -17,6 +17,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motility.llm.common import ascii_lower, written
 
@@ -128,7 +129,6 @@ def _by_ranges(rows: DataFrame, clean: DataFrame, default: str) -> DataFrame:
         firsts, numbers = begins.value
         return keys.map(lambda k: numbers[max(0, bisect.bisect_right(firsts, k) - 1)])
 
-    schema = rows.schema
     at = written(rows.select(*(f"`{c}`" for c in rows.columns), range_of(key).alias("_range")), "urls")
     shares = at.groupBy("_range").agg(F.ceil(F.count("*") / SHARE_URLS).cast("int").alias("_shares"))
     shares = written(shares, "shares")
@@ -142,5 +142,5 @@ def _by_ranges(rows: DataFrame, clean: DataFrame, default: str) -> DataFrame:
         names, verdicts = (right["host"] + right["path"]).tolist(), right["verdict"].tolist()
         return left.assign(rule=[names[i] if i >= 0 else None for i in found], verdict=[verdicts[i] if i >= 0 else default for i in found])
 
-    out = schema.add("rule", "string").add("verdict", "string")
+    out = T.StructType([*rows.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
     return dealt.groupBy("_range", "_share").cogroup(spread.groupBy("_range", "_share")).applyInPandas(run, out)
