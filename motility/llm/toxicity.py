@@ -25,8 +25,8 @@ TABLES = 4
 PAD = max(WIDTHS) - 1
 N_BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows that are read for training and calibration at most.
-MAX_LABELLED = 12_000
-EPOCHS, BATCH, RATE = 4, 64, 0.01
+MAX_LABELLED = 6000
+EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Labelled toxic rows of a language in the calibration part, below which the common threshold holds.
 MIN_LANGUAGE_POSITIVES = 15
 
@@ -246,12 +246,13 @@ def fit(
                 n += len(found)
 
     part = F.pmod(F.xxhash64(F.col("_id"), F.lit(1)), F.lit(5))
-    got = rows.select("_text", part.alias("part"), "_lang", "_y").mapInArrow(hashed, "part long, lang string, y int, pairs binary").collect()
-    got.sort(key=lambda r: (r["pairs"], r["y"], r["lang"]))
-    texts = [np.frombuffer(r["pairs"], np.int32).reshape(-1, TABLES) for r in got]
-    y = np.array([min(1, max(0, r["y"])) for r in got], np.float32)
-    kept = np.array([r["part"] > 0 for r in got], bool)
-    if not len(got):
+    got = rows.select("_text", part.alias("part"), "_lang", "_y").mapInArrow(hashed, "part long, lang string, y int, pairs binary").toArrow()  # within the bound
+    raw, parts, all_langs, marks = (got.column(k).to_pylist() for k in ("pairs", "part", "lang", "y"))
+    order = sorted(range(len(raw)), key=lambda i: (raw[i], marks[i], all_langs[i]))
+    texts = [np.frombuffer(raw[i], np.int32).reshape(-1, TABLES) for i in order]
+    y = np.array([min(1, max(0, marks[i])) for i in order], np.float32)
+    kept = np.array([parts[i] > 0 for i in order], bool)
+    if not len(texts):
         return ToxicityModel(new_network(0), 0.0, -2.0, 0.7)
     net = train([t for t, k in zip(texts, kept, strict=True) if k], y[kept])
     rest = np.flatnonzero(~kept) if (~kept).any() else np.arange(len(y))
@@ -259,6 +260,6 @@ def fit(
     slope, offset = fitted_sigmoid(z, y[rest].astype(np.float64))
     scores = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
     threshold = best_threshold(scores, y[rest], 0.7)
-    langs = np.array([got[i]["lang"] for i in rest])
+    langs = np.array([all_langs[order[i]] for i in rest])
     by_language = {str(x): best_threshold(scores[langs == x], y[rest][langs == x], threshold) for x in np.unique(langs) if y[rest][langs == x].sum() >= MIN_LANGUAGE_POSITIVES}
     return ToxicityModel(net, slope, offset, threshold, by_language)
