@@ -162,8 +162,8 @@ def _label(block: Block, has_main: bool) -> bool | None:
     return None if len(words) < LONG_WORDS or not block.links else False
 
 
-def second_pass(labels: list[bool | None]) -> list[bool]:
-    """Open blocks take the label of the nearest decided block; at equal distance that of the next one. None decided: all are text."""
+def second_pass(labels: list[bool | None], headings: list[bool]) -> list[bool]:
+    """Open blocks take the label of the nearest decided block; at equal distance headings that of the next one, others of the one before. None decided: all are text."""
     n = len(labels)
     before, after = [None] * n, [None] * n
     for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
@@ -175,7 +175,7 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
     for i, label in enumerate(labels):
         b, a = before[i], after[i]
         if label is None:
-            near = a if b is None or a is not None and a - i <= i - b else b
+            near = a if b is None or a is not None and a - i < i - b + headings[i] else b
             label = True if near is None else labels[near]
         out.append(bool(label))
     return out
@@ -184,7 +184,7 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The text blocks of a page, one per line."""
     blocks = blocks_of(page or "")
-    return "\n".join(b.text for b, good in zip(blocks, second_pass(first_pass(blocks)), strict=True) if good)
+    return "\n".join(b.text for b, good in zip(blocks, second_pass(first_pass(blocks), [b.heading for b in blocks]), strict=True) if good)
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "main_text") -> DataFrame:

@@ -46,7 +46,14 @@ def parse(text: str | None) -> tuple[str, list[int], list[tuple[int, int, int]]]
     that introduces a quote ("... wrote:") belongs to the quote.
     """
     lines = [quote_level(x) for x in (text or "").split("\n")]
-    own = [x for i, (level, x) in enumerate(lines) if not level and not (_SAID.search(x) and next((k for k, y in lines[i + 1 :] if k or y.strip()), 0))]
+    quoted_next, kept = False, []
+    for level, x in reversed(lines):  # from the end, so that the next line with text is known
+        if level or not (quoted_next and _SAID.search(x)):
+            kept.append((level, x))
+        if x.strip():
+            quoted_next = level > 0
+    lines = kept[::-1]
+    own = [x for level, x in lines if not level]
     runs: list[tuple[int, list[str]]] = []
     fresh = True
     for level, x in lines:

@@ -9,6 +9,7 @@ of the training, and so are the thresholds of the languages.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -245,13 +246,22 @@ def fit(
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(n, len(found)) for k in (1, 2, 3)] + [pa.array(found, pa.binary())], names=["part", "lang", "y", "pairs"])
                 n += len(found)
 
+    def trained(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model_of(rows))], pa.binary())], names=["model"])
+
     part = F.pmod(F.xxhash64(F.col("_id"), F.lit(1)), F.lit(5))
-    got = rows.select("_text", part.alias("part"), "_lang", "_y").mapInArrow(hashed, "part long, lang string, y int, pairs binary").toArrow()  # within the bound
-    raw, parts, all_langs, marks = (got.column(k).to_pylist() for k in ("pairs", "part", "lang", "y"))
-    order = sorted(range(len(raw)), key=lambda i: (raw[i], marks[i], all_langs[i]))
-    texts = [np.frombuffer(raw[i], np.int32).reshape(-1, TABLES) for i in order]
-    y = np.array([min(1, max(0, marks[i])) for i in order], np.float32)
-    kept = np.array([parts[i] > 0 for i in order], bool)
+    got = rows.select("_text", part.alias("part"), "_lang", "_y").mapInArrow(hashed, "part long, lang string, y int, pairs binary")
+    model = got.repartition(1).mapInArrow(trained, "model binary").first()  # the sample is bounded, and one task trains on it
+    return pickle.loads(model["model"]) if model else model_of([])
+
+
+def model_of(rows: list[tuple[int, str, int, bytes]]) -> ToxicityModel:
+    """The model from ``(part, language, label, bucket numbers)``; part 0 calibrates, the others train."""
+    rows = sorted(rows, key=lambda r: (r[3], r[2], r[1], r[0]))
+    texts = [np.frombuffer(r[3], np.int32).reshape(-1, TABLES) for r in rows]
+    y = np.array([min(1, max(0, r[2])) for r in rows], np.float32)
+    kept = np.array([r[0] > 0 for r in rows], bool)
     if not len(texts):
         return ToxicityModel(new_network(0), 0.0, -2.0, 0.7)
     net = train([t for t, k in zip(texts, kept, strict=True) if k], y[kept])
@@ -260,6 +270,6 @@ def fit(
     slope, offset = fitted_sigmoid(z, y[rest].astype(np.float64))
     scores = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
     threshold = best_threshold(scores, y[rest], 0.7)
-    langs = np.array([all_langs[order[i]] for i in rest])
+    langs = np.array([rows[i][1] for i in rest])
     by_language = {str(x): best_threshold(scores[langs == x], y[rest][langs == x], threshold) for x in np.unique(langs) if y[rest][langs == x].sum() >= MIN_LANGUAGE_POSITIVES}
     return ToxicityModel(net, slope, offset, threshold, by_language)
