@@ -28,8 +28,8 @@ N_BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows that are read for training and calibration at most.
 MAX_LABELLED = 6000
 EPOCHS, BATCH, RATE = 6, 64, 0.01
-#: Labelled toxic rows of a language in the calibration part, below which the common threshold holds.
-MIN_LANGUAGE_POSITIVES = 15
+#: Toxic rows in the calibration part (of a language), below which 0.7 (the common threshold) holds.
+MIN_POSITIVES = 15
 
 
 def bucket_numbers(part: words.Words) -> np.ndarray:
@@ -176,8 +176,8 @@ def fitted_sigmoid(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def best_threshold(scores: np.ndarray, y: np.ndarray, default: float) -> float:
-    """The middle of the best run of thresholds by F1, between 0.3 and 0.9; ``default`` where nothing is toxic."""
-    if not y.sum():
+    """The middle of the best run of thresholds by F1, between 0.3 and 0.9; ``default`` where too little is toxic to tell."""
+    if y.sum() < MIN_POSITIVES:
         return default
     grid = np.round(np.arange(0.3, 0.9001, 0.02), 2)
     f1 = np.array([2 * (y[scores >= t]).sum() / max(1, (scores >= t).sum() + y.sum()) for t in grid])
@@ -271,5 +271,5 @@ def model_of(rows: list[tuple[int, str, int, bytes]]) -> ToxicityModel:
     scores = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
     threshold = best_threshold(scores, y[rest], 0.7)
     langs = np.array([rows[i][1] for i in rest])
-    by_language = {str(x): best_threshold(scores[langs == x], y[rest][langs == x], threshold) for x in np.unique(langs) if y[rest][langs == x].sum() >= MIN_LANGUAGE_POSITIVES}
+    by_language = {str(x): best_threshold(scores[langs == x], y[rest][langs == x], threshold) for x in np.unique(langs) if y[rest][langs == x].sum() >= MIN_POSITIVES}
     return ToxicityModel(net, slope, offset, threshold, by_language)

@@ -38,7 +38,7 @@ def test_stages_keep_columns_and_decide(spark):
         assert out.join(docs, "doc_id", "left_anti").count() == 0 and out.select("doc_id").distinct().count() == out.count()
         seen.append(out.count())
         docs = out
-    assert seen[-1] < seen[0] and seen[1] > 0.8 * seen[0] * 0.9
+    assert 0.3 * seen[0] < seen[-1] < seen[0]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert pieces.select("doc_id").distinct().count() == docs.count()
     assert pieces.count() == corpus_pipeline.run(spark, DATA).count()
