@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from motility.llm import quality
 from motility.llm.sharding import _P, _Q, round_keys
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,5 +64,50 @@ SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'rows' AS
 FROM numbered JOIN s{steps} USING (row_number)"""
 
 
+def op10() -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * inter >= 80 * (na.n + nb.n - inter)),
+link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a AS x, b AS y FROM link UNION SELECT x, b FROM reach JOIN link ON y = a),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(y, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON x = d.doc_id
+"""
+
+
+def op3() -> str:
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    lists = "CASE lang " + " ".join(f"WHEN '{k}' THEN {quoted(ws)}" for k, ws in quality.COMMON_WORDS.items()) + f" ELSE {quoted(quality.ALL_COMMON)} END"
+    without = lambda p: f"(length(text) - length(regexp_replace(text, '{p}', '', 'g')))"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ln, {lists} AS cw FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 4)),
+again AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)) GROUP BY doc_id),
+c AS (SELECT doc_id, lang, cw, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {without("[#*$%&|<>]")} AS n_symbols, len(ln) - len(list_distinct(ln)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  length(text) AS n_chars, {without("[A-Z]")} AS upper, {without("[0-9]")} AS digits, {without(r"[.,;:!?''" + '"' + r"()\-]")} AS points, strlen(text) - length(text) AS accents, w FROM w LEFT JOIN again USING (doc_id)),
+cc AS (SELECT doc_id, lang, i AS pos, greatest(0, [word_chars - upper - digits - points - n_symbols - accents, upper, digits, points, n_symbols, accents, n_chars - word_chars][i])::DOUBLE AS n FROM (SELECT *, unnest(range(1, 8)) AS i FROM c)),
+own AS (SELECT doc_id, lower(x) AS x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM c) GROUP BY ALL),
+cw AS (SELECT doc_id, lang, i AS pos, coalesce(own.n, 0)::DOUBLE AS n FROM (SELECT doc_id, lang, unnest(cw) AS cword, unnest(range(0, len(cw))) AS i FROM c) k LEFT JOIN own USING (doc_id) WHERE own.x = cword OR own.doc_id IS NULL
+  UNION ALL SELECT doc_id, lang, i, 0.0 FROM (SELECT doc_id, lang, unnest(cw) AS cword, unnest(range(0, len(cw))) AS i FROM c) k ANTI JOIN own ON own.doc_id = k.doc_id AND own.x = cword),
+cx AS (SELECT doc_id, lang, pos, max(n) AS n FROM cw GROUP BY ALL),
+co AS (SELECT doc_id, lang, pos, n FROM cx UNION ALL SELECT doc_id, any_value(cx.lang), -1, any_value(n_words) - sum(n) FROM cx JOIN c USING (doc_id) GROUP BY doc_id),
+h AS (SELECT 'chars' AS kind, * FROM cc UNION ALL SELECT 'common', * FROM co),
+r AS (SELECT kind, lang, pos, sum(n) AS q FROM h GROUP BY ALL),
+j AS (SELECT kind, doc_id, n, q, sum(n) OVER (PARTITION BY kind, doc_id) AS sn, sum(q) OVER (PARTITION BY kind, doc_id) AS sq FROM h JOIN r USING (kind, lang, pos)),
+m AS (SELECT kind, doc_id, CASE WHEN sn > 0 AND sq > 0 THEN n / sn END AS p, CASE WHEN sn > 0 AND sq > 0 THEN q / sq END AS q FROM j),
+dist AS (SELECT kind, doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS d FROM m GROUP BY ALL),
+z AS (SELECT c.*, round(x.d, 6) AS char_distance, round(y.d, 6) AS common_distance, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c JOIN dist x ON x.doc_id = c.doc_id AND x.kind = 'chars' JOIN dist y ON y.doc_id = c.doc_id AND y.kind = 'common')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (n_words < {quality.MIN_CHAR_WORDS} OR char_distance <= {quality.MAX_CHAR_DISTANCE}) AND (n_words < {quality.MIN_COMMON_WORDS} OR common_distance <= {quality.MAX_COMMON_DISTANCE}) AS kept, char_distance, common_distance FROM z
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_decontaminate": op2(), "op8_url_rules": op8()}
+    return {"op2_decontaminate": op2(), "op3_quality": op3(), "op8_url_rules": op8(), "op10_near_dedup": op10()}

@@ -35,8 +35,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "common_distance")
-    return judged.select("doc_id", *(f"quality.{c}" for c in fields))
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    distances = (F.round(f"quality.{c}", 6).alias(c) for c in ("char_distance", "common_distance"))
+    return judged.select("doc_id", *(f"quality.{c}" for c in fields), *distances)
 
 
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

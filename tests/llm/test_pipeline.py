@@ -20,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["op2_decontaminate", "op8_url_rules", "op4_shard"])
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op3_quality", "op4_shard", "op8_url_rules", "op10_near_dedup"])
 def test_sql(spark, duck, name):
     sql = oracles.op4() if name == "op4_shard" else oracles.all_sql()[name]
     found = duck.sql(sql)
