@@ -6,14 +6,17 @@ folder after each pair of steps, so nothing is recomputed when an executor is lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from motility.llm.common import written
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, with their number and a sum of their hashes, counted while they are written."""
+    seen = Observation()
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    return table, (seen.get["n"], seen.get["h"])
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -37,13 +40,11 @@ def connected_components(edges: DataFrame, max_steps: int = 64) -> DataFrame:
     Raises if the steps do not converge (each pair of steps at least halves long chains, so 64 are ample).
     """
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(edges, "edges")
-    before = _fingerprint(edges)
+    edges, before = _written(edges)
     for _ in range(max_steps):
         if not before[0]:
             break
-        edges = written(small_star(large_star(edges)), "edges")
-        now = _fingerprint(edges)
+        edges, now = _written(small_star(large_star(edges)))
         if now == before:
             break
         before = now

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from motility.llm import words
 from motility.llm.common import small_batches
 
-BUCKET_BITS, DIM, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
+BUCKET_BITS, DIM, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
 TABLES = 4
 PAD = max(WIDTHS) - 1
 N_BUCKETS = 1 << BUCKET_BITS
