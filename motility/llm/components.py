@@ -20,10 +20,10 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the least of its neighbours and itself."""
+    """Every larger neighbour of a node is linked to the least of its neighbours and itself. As many edges as before, some perhaps twice."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -33,12 +33,8 @@ def small_star(edges: DataFrame) -> DataFrame:
     return near.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_steps: int = 64) -> DataFrame:
-    """Maps each node of ``edges(u, v)`` that isn't the least of its component to it: ``(node, component)``.
-
-    Self loops, repeated edges and edges in both directions do no harm; nulls are left out. No edges: no rows.
-    Raises if the steps do not converge (each pair of steps at least halves long chains, so 64 are ample).
-    """
+def linked(edges: DataFrame, max_steps: int = 64) -> tuple[DataFrame, int]:
+    """``connected_components`` of the edges, and how many rows it has."""
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = _written(edges)
     for _ in range(max_steps):
@@ -50,4 +46,13 @@ def connected_components(edges: DataFrame, max_steps: int = 64) -> DataFrame:
         before = now
     else:
         raise RuntimeError("connected components did not converge")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")), before[0]
+
+
+def connected_components(edges: DataFrame, max_steps: int = 64) -> DataFrame:
+    """Maps each node of ``edges(u, v)`` that isn't the least of its component to it: ``(node, component)``.
+
+    Self loops, repeated edges and edges in both directions do no harm; nulls are left out. No edges: no rows.
+    Raises if the steps do not converge (each pair of steps at least halves long chains, so 64 are ample).
+    """
+    return linked(edges, max_steps)[0]

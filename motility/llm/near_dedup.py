@@ -1,8 +1,8 @@
 """Near-duplicate groups by MinHash: universal hash minima, banding, signature and set verification, components.
 
 How the work grows: one narrow pass makes a profile per document; documents with equal shingle sets fall
-together by a digest before anything is paired; every band bucket pairs its members with one centre per
-round, so a bucket of m members gives m - 1 pairs, never m * m / 2. Buckets whose members then still lie in several
+together by a digest before anything is paired; every band bucket pairs its members with one or two centres in each of
+two passes, so a bucket of m members gives 3 * m pairs at most, never m * m / 2. Buckets whose members then still lie in several
 components are searched to the end in blocks, members outside the bucket's largest component against all. Only the
 links that are needed to connect the members are put out, so no group grows with its square.
 """
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from motility.llm import words
 from motility.llm.common import small_batches, written
-from motility.llm.components import connected_components
+from motility.llm.components import linked
 
-ROUNDS = 3
+#: Each pass pairs the members of a bucket with those that come first by these seeds, if the passes before left it in pieces.
+CENTRES = ((0,), (1, 2))
 #: Members, and shingles, that one block of a bucket holds, about.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 _SHORT = np.uint64(0xA24BAED4963EE407)
@@ -224,15 +225,16 @@ def near_duplicates(
             return table.withColumn("comp", F.col(column))
         return table.join(found.withColumnRenamed("node", column), column, "left").withColumn("comp", F.coalesce("component", column)).drop("component")
 
-    for k in range(ROUNDS):
+    for seeds in CENTRES:
         at = settled(members)
-        centre = at.groupBy("bucket").agg(F.min_by(F.struct("rep", "comp"), F.struct(F.xxhash64("rep", F.lit(k)), "rep")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+        firsts = F.array(*(F.min_by(F.struct("rep", "comp"), F.struct(F.xxhash64("rep", F.lit(k)), "rep")) for k in seeds))
+        centre = at.groupBy("bucket").agg(firsts.alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket", F.explode("c").alias("c"))
         pairs = at.join(centre, "bucket").where("comp != c.comp").select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y")).distinct()
         links = verified(pairs, signatures, sets, percent, slack).toDF("u", "v")
-        found = _merged(found, connected_components(_mapped(links, found)))
+        found = _merged(found, *linked(_mapped(links, found)))
     more = leftover_links(settled(members), signatures, sets, percent, slack)
     if more is not None:
-        found = _merged(found, connected_components(more))
+        found = _merged(found, *linked(more))
 
     named = settled(reps).select("digest", F.col("comp").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
@@ -247,10 +249,9 @@ def _mapped(links: DataFrame, found: DataFrame | None) -> DataFrame:
     return links
 
 
-def _merged(found: DataFrame | None, newer: DataFrame) -> DataFrame:
-    """The components after those of ``found`` were merged as ``newer`` says."""
-    if found is None:
-        return newer
+def _merged(found: DataFrame | None, newer: DataFrame, n: int) -> DataFrame:
+    """The components after those of ``found`` were merged as the ``n`` rows of ``newer`` say, whose nodes are no nodes of ``found``."""
+    if found is None or not n:
+        return newer if found is None else found
     moved = found.join(newer.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    both = moved.select("node", F.coalesce("to", "component").alias("component")).union(newer)
-    return written(both.groupBy("node").agg(F.min("component").alias("component")), "components")
+    return written(moved.select("node", F.coalesce("to", "component").alias("component")).union(newer), "components")
