@@ -13,7 +13,7 @@ from motility.llm import toxicity
 from motility.llm.common import written
 from motility.llm.decontaminate import find_leaks
 from motility.llm.near_dedup import near_duplicates
-from motility.llm.packing import pack
+from motility.llm.packing import pack, public_vocabulary
 from motility.llm.quality import judge_quality
 
 
@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, as pieces of sequences with their token ids."""
-    return pack(docs)
+    return pack(docs, vocabulary=public_vocabulary())
 
 
 STAGES = [

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +25,7 @@ END = 1
 
 @functools.cache
 def encoder(path: str):
-    """The byte-level BPE of a rank file; ids equal those of the JSON file of the same vocabulary."""
+    """The byte-level BPE of a rank file; ids equal those of the JSON file of the same vocabulary where no added token stands in the text."""
     import public_tokenizers
     import tiktoken
 
@@ -32,6 +34,31 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def encoding(path: str, vocabulary: str | None = None):
+    """A function from a text to its ids. With ``vocabulary``, as ``tokenizers`` encodes by that JSON file: added tokens part the text and have their own ids."""
+    plain = encoder(path).encode_ordinary
+    if vocabulary is None:
+        return plain
+    with open(vocabulary, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens must stand for their exact text")
+    ids = {x["content"]: x["id"] for x in added}
+    if not ids:
+        return plain
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> list[int]:
+        parts = marks.split(text)  # texts and marks in turn
+        found = plain(parts[0])
+        for mark, rest in zip(parts[1::2], parts[2::2], strict=True):
+            found += [ids[mark], *plain(rest)]
+        return found
+
+    return encode
+
+
 def pieces_of(n: int, most: int) -> list[tuple[int, int]]:
     """``(start, length)`` of the pieces of n tokens: as many of length ``most`` as fit, then falling powers of two."""
     whole = n - n % most
@@ -43,12 +70,12 @@ def pieces_of(n: int, most: int) -> list[tuple[int, int]]:
     return cut
 
 
-def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, most: int, with_ids: bool) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, most: int, with_ids: bool, vocabulary: str | None = None) -> DataFrame:
     """A row per piece of each document, with its token ids if wanted."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoding(tokenizer, vocabulary)
         for batch in batches:
             rows: list[tuple] = []
             source: list[int] = []
@@ -68,13 +95,22 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def public_vocabulary() -> str:
+    """The JSON file of the public 50k byte-level BPE, with its added token ``<|endoftext|>``."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = 2048, with_ids: bool = True,
+    vocabulary: str | None = None,
 ) -> DataFrame:
     """Packs all documents into sequences of at most ``max_tokens`` (a power of two) tokens.
 
     Returns per piece ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` and, if asked for, its token ``ids``. A document's ids are those of
-    its whole text and an end id. ``tokenizer`` is a rank file; by default the public 50k byte-level BPE. Sequence ids are gapless from 0, longest
+    its whole text and an end id. ``tokenizer`` is a rank file; by default the public 50k byte-level BPE. With ``vocabulary``,
+    the JSON file of the same ranks, an added token of that file has its own id wherever its literal text stands; without it such text is encoded as any other. Sequence ids are gapless from 0, longest
     sequences first; offset is always 0.
 
     A null or empty text is the end id alone. Null and repeated ids are packed row by row. Other columns are ignored. An empty table gives no rows.
@@ -85,7 +121,7 @@ def pack(
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = written(tokenized_pieces(docs, id_col, text_col, tokenizer, max_tokens, with_ids), "pieces")
+    pieces = written(tokenized_pieces(docs, id_col, text_col, tokenizer, max_tokens, with_ids, vocabulary), "pieces")
     # twelve lengths times 256 buckets; the longest first
     pieces = pieces.withColumn("_bucket", F.concat(F.lpad((F.lit(max_tokens) - F.col("length")).cast("string"), 10, "0"), md5_bucket(F.col("doc_id"), 2)))
     out, _ = numbered(pieces, "_bucket", ["doc_id", "start", "ids_crc32", "doc_tokens"], "sequence_id")

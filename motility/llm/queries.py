@@ -9,7 +9,7 @@ from motility.llm import lm_score, oracles, toxicity
 from motility.llm.decontaminate import find_leaks
 from motility.llm.html_blocks import extract
 from motility.llm.near_dedup import near_duplicates
-from motility.llm.packing import pack
+from motility.llm.packing import pack, public_vocabulary
 from motility.llm.quality import judge_quality
 from motility.llm.quotes import reply_threads
 from motility.llm.sharding import shard
@@ -72,7 +72,7 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), with_ids=False)
+    return pack(_table(spark, sf_dir, "documents"), with_ids=False, vocabulary=public_vocabulary())
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -339,6 +339,23 @@ def test_packing_round_trip_with_the_reference_tokenizer(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_added_tokens_in_texts_have_their_ids(spark, tmp_path):
+    import corpus_pipeline
+    from motility.llm import queries
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.public_vocabulary())
+    mark = "<|endoftext|>"
+    texts = ["one <|endoftext|> two", mark, mark * 3 + "x", f"a{mark}b  {mark}\n", f" {mark[:-1]} {mark}", "none", "", None, f"{mark} word" * 900]
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+    assert want[0] == [505, 220, 50256, 734, 1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    crc = {(i, s): (zlib.crc32(np.array(ids[s : s + k], "<u4").tobytes()), len(ids)) for i, ids in want.items() for s, k in packing.pieces_of(len(ids), 2048)}
+    assert {(r.doc_id, r.start): (r.ids_crc32, r.doc_tokens) for r in queries.op9_pack(spark, str(tmp_path)).collect()} == crc
+    assert {(r.doc_id, r.start): (r.ids_crc32, r.doc_tokens) for r in corpus_pipeline.pack_rest(spark, docs, "").collect()} == crc
+
+
 # op10
 
 
