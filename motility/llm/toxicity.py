@@ -3,8 +3,8 @@
 Each word has four hashed embeddings side by side: two of the word, so that two words are taken for one another only if both hashes
 meet, and those of its first four and six bytes, so that inflected forms share some. Filters over
 one, two and three words are pooled by their maximum over the whole text; a linear layer scores the maxima. Embeddings start from how
-much more often a bucket stands in toxic texts, because a maximum passes its gradient to one place only. Scores are calibrated on labelled rows kept out
-of the training, and so are the thresholds of the languages.
+much more often a bucket stands in toxic texts, because a maximum passes its gradient to one place only. A bounded sample trains the network; the score and
+the thresholds of the languages are calibrated on all labelled rows, each scored by a network that has not learnt from it.
 """
 
 from __future__ import annotations
@@ -19,17 +19,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motility.llm import words
-from motility.llm.common import small_batches
+from motility.llm.common import small_batches, written
 
 BUCKET_BITS, DIM, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
 TABLES = 4
 PAD = max(WIDTHS) - 1
 N_BUCKETS = 1 << BUCKET_BITS
-#: Labelled rows that are read for training and calibration at most.
+#: Labelled rows that are read for training at most. Calibration takes all.
 MAX_LABELLED = 6000
 EPOCHS, BATCH, RATE = 6, 64, 0.01
-#: Toxic rows in the calibration part (of a language), below which 0.7 (the common threshold) holds.
+#: Toxic labelled rows (of a language), below which 0.7 (the common threshold) holds.
 MIN_POSITIVES = 15
+#: Parts of the sample. A network learns from all parts but one and scores that; the final network is the one without part 0.
+FOLDS = 5
+GRID = np.round(np.arange(0.3, 0.9001, 0.02), 2)
+#: Bins in which logits meet for the sigmoid, by unit; beyond the limit they count as the limit.
+BINS, FAR = 64, 50.0
 
 
 def bucket_numbers(part: words.Words) -> np.ndarray:
@@ -160,28 +165,35 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 5) -> Network:
     return net
 
 
-def fitted_sigmoid(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with targets drawn in as Platt does; (1, 0) for one class only."""
-    if not 0 < y.sum() < len(y):
+def fitted_sigmoid(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset by Newton's method over logits z that stand for n rows each, with targets drawn in as Platt does; (1, 0) for one class only."""
+    n1, n0 = n[y == 1].sum(), n[y == 0].sum()
+    if not (n1 and n0):
         return 1.0, 0.0
-    n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     w = np.array([1.0, 0.0])
     x = np.stack([z, np.ones_like(z)], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-3
-        w = w - np.linalg.solve(hessian, x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-3
+        w = w - np.linalg.solve(hessian, x.T @ (n * (p - target)) + 1e-3 * (w - [1.0, 0.0]))
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray, default: float) -> float:
-    """The middle of the best run of thresholds by F1, between 0.3 and 0.9; ``default`` where too little is toxic to tell."""
-    if y.sum() < MIN_POSITIVES:
+def probabilities(z: np.ndarray, slope: float, offset: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slope * z.astype(np.float64) + offset, -30, 30)))
+
+
+def best_threshold(rows: np.ndarray, toxic: np.ndarray, default: float) -> float:
+    """The middle of the best run of thresholds of GRID by F1; ``default`` where too little is toxic to tell.
+
+    Entry k of ``rows`` and ``toxic`` counts the rows whose score reaches exactly the first k thresholds.
+    """
+    if toxic.sum() < MIN_POSITIVES:
         return default
-    grid = np.round(np.arange(0.3, 0.9001, 0.02), 2)
-    f1 = np.array([2 * (y[scores >= t]).sum() / max(1, (scores >= t).sum() + y.sum()) for t in grid])
-    return float(np.median(grid[f1 >= f1.max() - 1e-9]))
+    reached, hits = (x[::-1].cumsum()[::-1][1:] for x in (rows, toxic))
+    f1 = 2 * hits / np.maximum(1, reached + toxic.sum())
+    return float(np.median(GRID[f1 >= f1.max() - 1e-9]))
 
 
 @dataclass
@@ -194,8 +206,7 @@ class ToxicityModel:
 
     def scores(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for part in words.slices(texts, words.ALNUM, 1 << 19):
-            z = logits(self.net, bucket_numbers(part), part.counts)
-            yield 1 / (1 + np.exp(-np.clip(self.slope * z.astype(np.float64) + self.offset, -30, 30)))
+            yield probabilities(logits(self.net, bucket_numbers(part), part.counts), self.slope, self.offset)
 
     def scored(self, docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", name: str = "toxicity") -> DataFrame:
         """Adds the struct ``name``: ``score`` of the whole text, the ``threshold`` of its language, ``flagged`` (at or above it).
@@ -228,14 +239,18 @@ def fit(
 ) -> ToxicityModel:
     """Trains on a sample of ``max_labelled`` labelled rows at most, those first by a hash of the id; held-out ids are left out.
 
-    Four fifths of the sample train the network, the rest calibrate the score and the thresholds. Whole texts are used. Null ids and
+    The score and the thresholds are calibrated on all labelled rows that are not held out: those of the sample are scored by networks trained on the
+    other four fifths of it, all others by the final network, which learns from four fifths of the sample. Whole texts are used. Null ids and
     labels are left out; of several labels of an id the greatest counts, and of several rows one. No labelled rows: an untrained network whose scores are under 0.5.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     one = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
-    sample = one.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    one = one.groupBy("_id").agg(F.greatest(F.lit(0), F.least(F.lit(1), F.max("_y"))).alias("_y"))
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang")).join(F.broadcast(sample), "_id").dropDuplicates(["_id"])
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang")).where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    sample = written(one.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled), "sample")
+    rows = named.join(F.broadcast(sample), "_id").dropDuplicates(["_id"])
 
     def hashed(batches):
         for batch in batches:
@@ -246,30 +261,63 @@ def fit(
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(n, len(found)) for k in (1, 2, 3)] + [pa.array(found, pa.binary())], names=["part", "lang", "y", "pairs"])
                 n += len(found)
 
-    def trained(batches):
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model_of(rows))], pa.binary())], names=["model"])
+    def trained(key, table):
+        fold = key[0].as_py()
+        found = [table.column(k).to_pylist() for k in ("part", "lang", "y", "pairs")]
+        net, tested = fold_of(list(zip(*found, strict=True)), fold)
+        kept = [(None, *r) for r in tested] + ([(pickle.dumps(net), None, None, None)] if fold == 0 else [])
+        kinds = (pa.binary(), pa.string(), pa.int32(), pa.float64())
+        return pa.Table.from_arrays([pa.array([r[k] for r in kept], kind) for k, kind in enumerate(kinds)], names=["net", "lang", "y", "z"])
 
-    part = F.pmod(F.xxhash64(F.col("_id"), F.lit(1)), F.lit(5))
+    part = F.pmod(F.xxhash64(F.col("_id"), F.lit(1)), F.lit(FOLDS))
     got = rows.select("_text", part.alias("part"), "_lang", "_y").mapInArrow(hashed, "part long, lang string, y int, pairs binary")
-    model = got.repartition(1).mapInArrow(trained, "model binary").first()  # the sample is bounded, and one task trains on it
-    return pickle.loads(model["model"]) if model else model_of([])
+    dealt = got.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+    # the sample is bounded, and a task trains on all of it but one part
+    nets = written(dealt.groupBy("fold").applyInArrow(trained, "net binary, lang string, y int, z double"), "networks")
+    final = nets.where("net is not null").select("net").first()
+    if final is None:
+        return ToxicityModel(new_network(0), 0.0, -2.0, 0.7)
+    net = pickle.loads(final["net"])
+    sent = spark.sparkContext.broadcast(net)
 
+    @F.arrow_udf("double")
+    def logit(texts: pa.Array) -> pa.Array:
+        found = [logits(sent.value, bucket_numbers(p), p.counts) for p in words.slices(texts, words.ALNUM, 1 << 19)]
+        return pa.array(np.concatenate([np.empty(0), *found]))
 
-def model_of(rows: list[tuple[int, str, int, bytes]]) -> ToxicityModel:
-    """The model from ``(part, language, label, bucket numbers)``; part 0 calibrates, the others train."""
+    # scores meet the labels without the texts
+    others = named.select("_id", "_lang", logit("_text").alias("_z")).join(one.join(F.broadcast(sample.select("_id")), "_id", "left_anti"), "_id")
+    others = others.groupBy("_id").agg(F.min(F.struct("_lang", "_z")).alias("_row"), F.max("_y").alias("_y"))
+    logged = nets.where("net is null").select("lang", "y", "z").union(others.select("_row._lang", "_y", "_row._z"))
+    return calibrated(net, written(logged, "logits"))
+
+
+def fold_of(rows: list[tuple[int, str, int, bytes]], fold: int) -> tuple[Network, list[tuple[str, int, float]]]:
+    """The network that learns from ``(part, language, label, bucket numbers)`` of all parts but ``fold``, and that part's ``(language, label, logit)``."""
     rows = sorted(rows, key=lambda r: (r[3], r[2], r[1], r[0]))
     texts = [np.frombuffer(r[3], np.int32).reshape(-1, TABLES) for r in rows]
-    y = np.array([min(1, max(0, r[2])) for r in rows], np.float32)
-    kept = np.array([r[0] > 0 for r in rows], bool)
-    if not len(texts):
-        return ToxicityModel(new_network(0), 0.0, -2.0, 0.7)
-    net = train([t for t, k in zip(texts, kept, strict=True) if k], y[kept])
-    rest = np.flatnonzero(~kept) if (~kept).any() else np.arange(len(y))
-    z = np.concatenate([logits(net, texts[i], np.array([len(texts[i])])) for i in rest]).astype(np.float64)
-    slope, offset = fitted_sigmoid(z, y[rest].astype(np.float64))
-    scores = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
-    threshold = best_threshold(scores, y[rest], 0.7)
-    langs = np.array([rows[i][1] for i in rest])
-    by_language = {str(x): best_threshold(scores[langs == x], y[rest][langs == x], threshold) for x in np.unique(langs) if y[rest][langs == x].sum() >= MIN_POSITIVES}
-    return ToxicityModel(net, slope, offset, threshold, by_language)
+    learnt = [i for i, r in enumerate(rows) if r[0] != fold]
+    net = train([texts[i] for i in learnt], np.array([rows[i][2] for i in learnt], np.float32))
+    return net, [(r[1], r[2], float(logits(net, t, np.array([len(t)]))[0])) for r, t in zip(rows, texts, strict=True) if r[0] == fold]
+
+
+def calibrated(net: Network, logged: DataFrame) -> ToxicityModel:
+    """The model of the network, from the ``(lang, y, z)`` of all labelled rows: only histograms come to the driver."""
+    near = F.greatest(F.lit(-FAR), F.least(F.lit(FAR), "z"))
+    bins = logged.groupBy("y", F.round(near * BINS).alias("bin")).agg(F.avg(near).alias("z"), F.count("*").alias("n")).orderBy("y", "bin").collect()
+    z, y, n = (np.array([r[k] for r in bins], np.float64) for k in ("z", "y", "n"))
+    slope, offset = fitted_sigmoid(z, y, n)
+
+    @F.arrow_udf("int")
+    def reach(zs: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(GRID, probabilities(zs.to_numpy(zero_copy_only=False), slope, offset), "right").astype(np.int32))
+
+    counts = written(logged.select("lang", "y", reach("z").alias("k")).groupBy("lang", "k").agg(F.count("*").alias("n"), F.sum("y").alias("toxic")), "counts")
+    enough = counts.groupBy("lang").agg(F.sum("toxic").alias("_all")).where(F.col("_all") >= MIN_POSITIVES).select("lang")
+    common, by_language = np.zeros((2, len(GRID) + 1), np.int64), {}
+    for r in counts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).collect():
+        common[:, r.k] = r.n, r.toxic
+    for r in counts.join(enough, "lang").collect():  # a row per language and step of the grid at most
+        by_language.setdefault(r.lang, np.zeros_like(common))[:, r.k] = r.n, r.toxic
+    threshold = best_threshold(*common, 0.7)
+    return ToxicityModel(net, slope, offset, threshold, {k: best_threshold(*v, threshold) for k, v in by_language.items()})

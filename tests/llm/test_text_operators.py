@@ -276,6 +276,31 @@ def test_classifier_learns_and_ignores_held_out_labels(spark):
     assert none.where("toxicity.flagged").count() == 0
 
 
+def test_thresholds_cover_all_labelled_rows(spark, monkeypatch):
+    rng, rows, seen = random.Random(4), [], []
+    for i in range(1500):
+        w, toxic = prose(rng, rng.randrange(5, 40)).split(), rng.random() < 0.25
+        if toxic:
+            w[rng.randrange(len(w))] = rng.choice(["vile", "nasty", "horrid"])
+        rows.append((i, " ".join(w), "es" if i % 10 == 0 else "en", int(toxic)))
+    docs = spark.createDataFrame([*rows, (1, "again", "en", 0)], "doc_id long, text string, lang string, toxic int")
+    told = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    calibrated = toxicity.calibrated
+    monkeypatch.setattr(toxicity, "calibrated", lambda net, logged: seen.extend(logged.collect()) or calibrated(net, logged))
+    assert sum(r[3] for r in told if r[2] == "es") >= toxicity.MIN_POSITIVES
+    labels = spark.createDataFrame(rows, docs.schema).select("doc_id", "toxic")
+    for most in (300, 6000):  # the sample is a part of the labelled rows, or all
+        seen.clear()
+        model = toxicity.fit(docs, labels, max_labelled=most)
+        assert collections.Counter((r.lang, r.y) for r in seen) == collections.Counter((r[2], r[3]) for r in told)
+        assert set(model.by_language) == {"en", "es"}
+        for lang in ("en", "es"):
+            score = toxicity.probabilities(np.array([r.z for r in seen if r.lang == lang]), model.slope, model.offset)
+            y = np.array([r.y for r in seen if r.lang == lang])
+            f1 = np.array([2 * y[score >= t].sum() / max(1, (score >= t).sum() + y.sum()) for t in toxicity.GRID])
+            assert model.by_language[lang] == pytest.approx(np.median(toxicity.GRID[f1 >= f1.max() - 1e-9]))
+
+
 # op8
 
 
