@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,30 +20,73 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder for intermediate tables, ``spark.checkpoint.dir``.
+
+    It must be one that the driver and all executors see, so there is no default; only a master on this machine alone,
+    where every folder is seen by all, may leave it unset.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-tables-", dir=os.environ.get("TMPDIR") or None)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        path = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+class Scratch:
+    """Intermediate tables of one job in a folder of its own; those that nothing reads any more can be deleted."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+        self.count = 0
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        """Writes ``df`` as Parquet and reads it back: the lineage ends at files that outlive any executor."""
+        self.count += 1
+        path = f"{self.root}/{self.count}-{label}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes the files of tables that ``write`` returned."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(table)])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back.
+    """One table in a folder of its own, which stays."""
+    return Scratch(df.sparkSession, label).write(df, label)
 
-    This cuts the lineage with files that outlive any executor, and gives later steps pruned columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def fresh(columns: Iterable[str], *labels: str) -> list[str]:
+    """A column name for each label that none of ``columns`` has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for label in labels:
+        while label.lower() in taken:
+            label += "_"
+        taken.add(label.lower())
+        found.append(label)
+    return found
+
+
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters those have."""
+    return [F.col(quoted(c)) for c in columns]
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def digest_only(df: DataFrame, *names: str) -> DataFrame:
-    """The columns of a contract, in its order."""
-    return df.select(*names)

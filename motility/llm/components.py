@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps, as joins and aggregates.
 
 A step needs a shuffle or three whatever the components look like; the edges are written to the shared
-folder after each pair of steps, so nothing is recomputed when an executor is lost.
+folder after each pair of steps, so nothing is recomputed when an executor is lost. Those of the pair before are deleted.
 """
 
 from __future__ import annotations
@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from motility.llm.common import written
+from motility.llm.common import Scratch
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+def _written(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges as a written table, with their number and a sum of their hashes, counted while they are written."""
     seen = Observation()
-    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    table = scratch.write(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
     return table, (seen.get["n"], seen.get["h"])
 
 
@@ -35,12 +35,15 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 def linked(edges: DataFrame, max_steps: int = 64) -> tuple[DataFrame, int]:
     """``connected_components`` of the edges, and how many rows it has."""
+    scratch = Scratch(edges.sparkSession, "components")
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = _written(edges)
+    edges, before = _written(scratch, edges)
     for _ in range(max_steps):
         if not before[0]:
             break
-        edges, now = _written(small_star(large_star(edges)))
+        old = edges
+        edges, now = _written(scratch, small_star(large_star(old)))
+        scratch.drop(old)
         if now == before:
             break
         before = now

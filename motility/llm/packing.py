@@ -2,15 +2,20 @@
 
 A document is cut into pieces of 2048 tokens and then the binary digits of the rest, longest first. Every piece is a
 sequence of its own; sequences of one length are numbered in a row, so a batch takes equal lengths.
+
+Tokenizing costs most. A byte-level BPE parts a text before every single space between two other characters, so each such
+chunk has ids of its own; a task asks the tokenizer for chunks it has not met lately, and joins their ids.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
 import json
+import os
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,42 +26,72 @@ from motility.llm.common import small_batches, written
 from motility.llm.numbering import md5_bucket, numbered
 
 END = 1
+#: A text is parted here without any effect on its ids: the space always belongs to what follows it.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Chunks that a task remembers at most, their longest length, and characters that are parted at a time.
+MEMORY, CHUNK, STEP = 1 << 18, 48, 1 << 20
+
+
+def parts_at_spaces(spec: dict) -> bool:
+    """Whether the tokenizer of this JSON is a byte-level BPE by the usual pattern, so that chunks can be encoded one by one."""
+    before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    odd = any(" " in x["content"] or any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for x in added)
+    return plain and not odd and not spec.get("normalizer") and not spec.get("truncation") and (spec.get("model") or {}).get("dropout") is None
+
+
+class Encoder:
+    """The ids of texts, as ``encode(text, add_special_tokens=False)`` of the tokenizer gives them: added tokens in a text have their own ids."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core already
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            self.parted = parts_at_spaces(json.load(file))
+        self.known: dict[str, bytes] = {}
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, text: str) -> Iterator[list[str]]:
+        """The chunks of a text, a bounded number of characters at a time (but for a longer chunk)."""
+        at = 0
+        while len(text) - at > STEP:
+            cut = _CUT.search(text, at + STEP)
+            past = cut.start() if cut else len(text)
+            yield _CUT.split(text[at:past])
+            at = past
+        if at < len(text):
+            yield _CUT.split(text[at:])
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of one text as unsigned 32-bit numbers."""
+        if not self.parted:
+            return np.frombuffer(self._raw([text])[0], np.uint32)
+        found = []
+        for chunks in self._chunks(text):
+            known = self.known
+            new = [c for c in dict.fromkeys(chunks) if c not in known]
+            if new:
+                if len(known) + len(new) > MEMORY:
+                    known.clear()
+                    new = list(dict.fromkeys(chunks))
+                got = dict(zip(new, self._raw(new), strict=True))
+                found.append(b"".join([known[c] if c in known else got[c] for c in chunks]))
+                known.update((c, x) for c, x in got.items() if len(c) <= CHUNK)
+            else:
+                found.append(b"".join([known[c] for c in chunks]))
+        return np.frombuffer(b"".join(found), np.uint32)
 
 
 @functools.cache
-def encoder(path: str):
-    """The byte-level BPE of a rank file; ids equal those of the JSON file of the same vocabulary where no added token stands in the text."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-@functools.cache
-def encoding(path: str, vocabulary: str | None = None):
-    """A function from a text to its ids. With ``vocabulary``, as ``tokenizers`` encodes by that JSON file: added tokens part the text and have their own ids."""
-    plain = encoder(path).encode_ordinary
-    if vocabulary is None:
-        return plain
-    with open(vocabulary, encoding="utf-8") as file:
-        added = json.load(file)["added_tokens"]
-    if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
-        raise ValueError("added tokens must stand for their exact text")
-    ids = {x["content"]: x["id"] for x in added}
-    if not ids:
-        return plain
-    marks = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")")
-
-    def encode(text: str) -> list[int]:
-        parts = marks.split(text)  # texts and marks in turn
-        found = plain(parts[0])
-        for mark, rest in zip(parts[1::2], parts[2::2], strict=True):
-            found += [ids[mark], *plain(rest)]
-        return found
-
-    return encode
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker and file."""
+    return Encoder(path)
 
 
 def pieces_of(n: int, most: int) -> list[tuple[int, int]]:
@@ -70,24 +105,29 @@ def pieces_of(n: int, most: int) -> list[tuple[int, int]]:
     return cut
 
 
-def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, most: int, with_ids: bool, vocabulary: str | None = None) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, most: int, with_ids: bool) -> DataFrame:
     """A row per piece of each document, with its token ids if wanted."""
-    kind = dict(docs.dtypes)[id_col]
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encode = encoding(tokenizer, vocabulary)
+        encode = encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             source: list[int] = []
+            pieces: list[np.ndarray] = []
             for i, text in enumerate(batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), END], "<u4")
+                ids = np.append(encode.ids(text.as_py() or ""), np.uint32(END)).astype("<u4", copy=False)
                 for start, length in pieces_of(len(ids), most):
                     piece = ids[start : start + length]
-                    rows.append((start, length, zlib.crc32(piece.tobytes()), len(ids), piece if with_ids else None))
+                    rows.append((start, length, zlib.crc32(piece), len(ids)))
                     source.append(i)
+                    if with_ids:
+                        pieces.append(piece)
             cols = [batch.column(0).take(pa.array(source, pa.int64())), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))]
             if with_ids:
-                cols.append(pa.array([r[4].astype(np.int64) for r in rows], pa.list_(pa.int64())))
+                ends = np.cumsum([0, *(r[1] for r in rows)]).astype(np.int32)
+                flat = np.concatenate([np.empty(0, np.int64), *pieces]).astype(np.int64)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(cols)])
 
     small_batches(docs.sparkSession)
@@ -102,34 +142,29 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = 2048, with_ids: bool = True,
-    vocabulary: str | None = None,
-) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = 2048, with_ids: bool = True) -> DataFrame:
     """Packs all documents into sequences of at most ``max_tokens`` (a power of two) tokens.
 
     Returns per piece ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` and, if asked for, its token ``ids``. A document's ids are those of
-    its whole text and an end id. ``tokenizer`` is a rank file; by default the public 50k byte-level BPE. With ``vocabulary``,
-    the JSON file of the same ranks, an added token of that file has its own id wherever its literal text stands; without it such text is encoded as any other. Sequence ids are gapless from 0, longest
-    sequences first; offset is always 0.
+    its whole text, without special tokens added, and an end id. ``tokenizer`` is the JSON file of a tokenizer; by default the public 50k byte-level BPE. Where
+    an added token of that file stands in a text it has its own id. Sequence ids are gapless from 0, longest sequences first; offset is always 0.
 
-    A null or empty text is the end id alone. Null and repeated ids are packed row by row. Other columns are ignored. An empty table gives no rows.
+    A null or empty text is the end id alone. Very long texts are tokenized whole, parted a million characters at a time at places that do not change the ids; memory
+    follows the longest text. Null and repeated ids are packed row by row. Pieces that tie in length, id, start, ids and document length are equal and numbered in any
+    order. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     if max_tokens < 1 or max_tokens & max_tokens - 1:
         raise ValueError("max_tokens must be a power of two")
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = written(tokenized_pieces(docs, id_col, text_col, tokenizer, max_tokens, with_ids, vocabulary), "pieces")
+    pieces = written(tokenized_pieces(docs, id_col, text_col, tokenizer or public_vocabulary(), max_tokens, with_ids), "pieces")
     # twelve lengths times 256 buckets; the longest first
-    pieces = pieces.withColumn("_bucket", F.concat(F.lpad((F.lit(max_tokens) - F.col("length")).cast("string"), 10, "0"), md5_bucket(F.col("doc_id"), 2)))
-    out, _ = numbered(pieces, "_bucket", ["doc_id", "start", "ids_crc32", "doc_tokens"], "sequence_id")
+    spread = md5_bucket(*(F.col(c) for c in ("doc_id", "start", "ids_crc32")), digits=2)
+    pieces = pieces.withColumn("bucket", F.concat(F.lpad((F.lit(max_tokens) - F.col("length")).cast("string"), 10, "0"), spread))
+    out, _ = numbered(pieces, "bucket", ["doc_id", "start", "ids_crc32", "doc_tokens"], "sequence_id")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)
 
 
 def batches(packed: DataFrame, sequences: int) -> DataFrame:
     """Adds ``batch``: the number of the batch that a sequence goes to; a batch holds sequences of one length only."""
-    firsts = packed.groupBy("length").agg(F.min("sequence_id").alias("_first"))  # a row per power of two
-    at = F.call_function("div", F.col("sequence_id") - F.col("_first"), F.lit(sequences).cast("long"))
-    return packed.join(F.broadcast(firsts), "length").withColumn("batch", F.struct("length", at.alias("number"))).drop("_first")
+    firsts = packed.groupBy("length").agg(F.min("sequence_id").alias("first"))  # a row per power of two
+    at = F.call_function("div", F.col("sequence_id") - F.col("first"), F.lit(sequences).cast("long"))
+    return packed.join(F.broadcast(firsts), "length").withColumn("batch", F.struct("length", at.alias("number"))).drop("first")

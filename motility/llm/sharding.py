@@ -13,6 +13,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motility.llm.common import fresh, named, quoted
 from motility.llm.numbering import md5_bucket, numbered
 
 ROUNDS = 6
@@ -76,23 +77,27 @@ def permuted(x: Column, n: int, seed: int, steps: int) -> Column:
 def shard(df: DataFrame, key: str = "doc_id", n_shards: int = 8, seed: int = 11, order: list[str] | None = None) -> DataFrame:
     """Deals all rows to ``n_shards`` in a reproducible random order; returns ``df`` with ``row_number``, ``shard int``, ``slot long``.
 
-    The row number is the place by (MD5 bucket of the key, key, ``order``), p its image under the permutation; then
+    The row number is the place by (MD5 bucket of the key and ``order``, key, ``order``), p its image under the permutation; then
     shard = p mod n_shards and slot = p div n_shards, so shard sizes differ by one at most and slots are gapless. The same rows and seed give
     the same places on any cluster.
 
-    Rows with a null key come first in their bucket. Rows that tie in the key and ``order`` (by default a hash of all columns) are equal
-    and may swap places. An empty table gives no rows. ``df`` must not have the three added columns itself (they are replaced).
+    Rows with a null key come first in their bucket; many of them, or of any key, are spread over buckets by ``order`` (by default a hash of all columns). Rows that tie
+    in the key and ``order`` may swap places. Texts of any length are carried along but not ordered by. An empty table gives no rows. Columns of ``df`` with one of the three
+    added names are replaced, all others kept, whatever their names.
     """
     df = df.drop("row_number", "shard", "slot")
-    named = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    keyed = df.withColumn("_bucket", md5_bucket(F.col(key))).withColumn("_tie", F.xxhash64(*(f"`{c}`" for c in order or named)))
-    rows, n = numbered(keyed, "_bucket", [key, *(order or ()), "_tie"])
-    place = permuted(F.col("row_number"), n, seed, walk_steps(df.sparkSession, n, seed))
-    rows = rows.withColumn("_place", place)
-    return rows.withColumn("shard", (F.col("_place") % n_shards).cast("int")).withColumn("slot", _div(F.col("_place"), n_shards)).drop("_bucket", "_tie", "_place")
+    bucket, tie, place = fresh([*df.columns, "row_number", "shard", "slot"], "bucket", "tie", "place")
+    hashed = [quoted(f.name) for f in df.schema if not f.dataType.simpleString().startswith(("map", "variant"))]
+    keyed = df.withColumn(tie, F.xxhash64(*(map(quoted, order) if order else hashed)))
+    keyed = keyed.withColumn(bucket, md5_bucket(F.col(quoted(key)), *(F.col(quoted(c)) for c in order or [tie])))
+    rows, n = numbered(keyed, bucket, [key, *(order or ()), tie])
+    at = permuted(F.col("row_number"), n, seed, walk_steps(df.sparkSession, n, seed))
+    rows = rows.withColumn(place, at)
+    return rows.select(*named(df.columns), "row_number", (F.col(place) % n_shards).cast("int").alias("shard"), _div(F.col(place), n_shards).alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
     """Writes sharded rows as ``path/shard=k/...``, each file a gapless run of slots in order."""
-    part = _div(F.col("slot"), rows_per_file)
-    df.withColumn("_part", part).repartition("shard", "_part").sortWithinPartitions("shard", "slot").drop("_part").write.partitionBy("shard").parquet(path)
+    (part,) = fresh(df.columns, "part")
+    dealt = df.withColumn(part, _div(F.col("slot"), rows_per_file)).repartition("shard", part).sortWithinPartitions("shard", "slot")
+    dealt.drop(part).write.partitionBy("shard").parquet(path)

@@ -15,7 +15,7 @@ from motility.llm import lm_score, packing, quality, quotes, sharding, toxicity,
 from motility.llm.components import connected_components
 from motility.llm.decontaminate import find_leaks
 from motility.llm.html_blocks import extract, main_text
-from motility.llm.near_dedup import near_duplicates
+from motility.llm.near_dedup import drop_near_duplicates, near_duplicates
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 SPACED, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -342,21 +342,26 @@ def test_pieces_are_binary():
         assert all(k & (k - 1) == 0 and k <= 2048 for _, k in cut) and len([k for _, k in cut if k < 2048]) == len({k for _, k in cut if k < 2048})
 
 
-def test_packing_round_trip_with_the_reference_tokenizer(spark):
-    import public_tokenizers
+def by_the_tokenizer(texts):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(packing.public_vocabulary())
+    return [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+
+
+def test_packing_round_trip_with_the_tokenizer(spark):
+    mark = "<|endoftext|>"
     texts = [None, "", "Hello <|endoftext|> world", "été 漢字 \U0001f600\u200d  \n\t x's", prose(random.Random(1), 3000), "a" * 5000, " " * 300, "\u00a0\u2003x\u0301", "1234567890 ½ Ⅷ ٣"] + ["same"] * 4
-    docs = spark.createDataFrame([(i // 2 if i else None, x) for i, x in enumerate(texts)], "doc_id long, text string").withColumn("ids", F.lit(1))
+    texts += ["one <|endoftext|> two", mark, mark * 3 + "x", f"a{mark}b  {mark}\n", f" {mark[:-1]} {mark}", f"{mark} word" * 900, " lead", "trail ", "a  b   c\n d", "don't  'tis 're"]
+    want_ids = by_the_tokenizer(texts)
+    assert want_ids[texts.index("one <|endoftext|> two")] == [505, 220, 50256, 734, 1]
+    docs = spark.createDataFrame([(i // 2 if i else None, x) for i, x in enumerate(texts)], "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("bucket", F.lit(2)).withColumn("`n`", F.lit(3))
     rows = packing.pack(docs).collect()
     assert sorted(r.sequence_id for r in rows) == list(range(len(rows))) and all(r.offset == 0 and r.length == len(r.ids) for r in rows)
     assert [r.length for r in sorted(rows, key=lambda r: r.sequence_id)] == sorted((r.length for r in rows), reverse=True)
     assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
     want = collections.Counter()
-    for i, x in enumerate(texts):
-        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+    for i, ids in enumerate(want_ids):
         want.update((i // 2 if i else None, s, tuple(ids[s : s + k]), len(ids)) for s, k in packing.pieces_of(len(ids), 2048))
     assert collections.Counter((r.doc_id, r.start, tuple(r.ids), r.doc_tokens) for r in rows) == want
     even = packing.batches(packing.pack(docs, with_ids=False), 3).groupBy("batch").agg(F.count_distinct("length").alias("k"), F.count("*").alias("n")).collect()
@@ -364,19 +369,35 @@ def test_packing_round_trip_with_the_reference_tokenizer(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_added_tokens_in_texts_have_their_ids(spark, tmp_path):
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "x" * 300_000, "word <|endoftext|> and  more\n" * 60_000, " a" * 1_500_000], ids=["blanks", "lines", "one word", "marks", "words"])
+def test_very_long_texts_have_the_tokenizers_ids(text):
+    assert [*packing.encoder(packing.public_vocabulary()).ids(text), 1] == by_the_tokenizer([text])[0]
+
+
+def test_a_text_is_cut_at_no_place_that_changes_ids():
+    for c in [*map(chr, range(0x300)), *map(chr, range(0x2000, 0x2070)), "\u3000", "\ufeff", "\u180e", "\u1680", "漢", "\U0001f600"]:
+        texts = [f"a {c}b", f"a{c} b", f"{c} {c}", f"a  {c}", f"{c}  a"]
+        assert [[*packing.encoder(packing.public_vocabulary()).ids(x), 1] for x in texts] == by_the_tokenizer(texts), repr(c)
+
+
+def test_memory_of_chunks_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 50)
+    encoder = packing.Encoder(packing.public_vocabulary())
+    rng = random.Random(3)
+    for n in (10, 40, 60, 30, 200):
+        text = " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+        assert [*encoder.ids(text), 1] == by_the_tokenizer([text])[0]
+        assert len(encoder.known) <= max(50, n)
+
+
+def test_pipeline_and_query_pack_alike(spark, tmp_path):
     import corpus_pipeline
     from motility.llm import queries
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.public_vocabulary())
-    mark = "<|endoftext|>"
-    texts = ["one <|endoftext|> two", mark, mark * 3 + "x", f"a{mark}b  {mark}\n", f" {mark[:-1]} {mark}", "none", "", None, f"{mark} word" * 900]
-    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
-    assert want[0] == [505, 220, 50256, 734, 1]
+    texts = ["one <|endoftext|> two", "", None, "<|endoftext|> word" * 900]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    crc = {(i, s): (zlib.crc32(np.array(ids[s : s + k], "<u4").tobytes()), len(ids)) for i, ids in want.items() for s, k in packing.pieces_of(len(ids), 2048)}
+    crc = {(i, s): (zlib.crc32(np.array(ids[s : s + k], "<u4").tobytes()), len(ids)) for i, ids in enumerate(by_the_tokenizer(texts)) for s, k in packing.pieces_of(len(ids), 2048)}
     assert {(r.doc_id, r.start): (r.ids_crc32, r.doc_tokens) for r in queries.op9_pack(spark, str(tmp_path)).collect()} == crc
     assert {(r.doc_id, r.start): (r.ids_crc32, r.doc_tokens) for r in corpus_pipeline.pack_rest(spark, docs, "").collect()} == crc
 
@@ -436,6 +457,49 @@ def test_repeated_rows_stay_together(spark):
     assert [(r.doc_id, r.component_id) for r in near_duplicates(docs).collect()].count((4, 2)) == 2
 
 
+def alike(rng, tag):
+    w = [f"{tag}{i}" for i in range(62)]
+    return " ".join(w), " ".join([*w, f"end{rng.randrange(9)}"])
+
+
+def test_an_id_with_different_texts_keeps_the_links_of_each(spark):
+    rng = random.Random(4)
+    (a, a2), (b, b2) = alike(rng, "a"), alike(rng, "b")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a2), (3, b2), (9, "other words of a text"), (5, None), (5, a), (None, a2), (None, "alone it stands here now")], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (9, 9, True), (5, 1, False), (5, 1, False), (None, 1, False), (None, None, True)], key=str)
+
+
+def test_dropping_keeps_one_text_of_each_group(spark):
+    (a, a2), (b, b2) = alike(random.Random(4), "a"), alike(random.Random(4), "b")
+    rows = [(1, a, 1), (1, a, 2), (1, b, 3), (2, a2, 4), (3, b2, 5), (None, a, 6), (None, "alone it stands here now", 7), (None, "alone it stands here now", 8), (4, "", 9), (4, "", 10), (5, None, 11), (6, None, 12)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_key int, digest string")
+    out = drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, "alone it stands here now"), (4, ""), (5, None), (6, None)], key=str)
+    assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_documents_on_one_template_meet_only_where_they_may_be_alike(spark, monkeypatch):
+    """Buckets with many members that aren't alike, among them a few that are linked to members that aren't the centre."""
+    from motility.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SHARE", 20)  # hot keys are dealt to several tasks
+    rng = random.Random(6)
+    base = [f"t{i}" for i in range(80)]
+    rows = []
+    for i in range(160):
+        own = rng.choice([4, 8, 14, 30])
+        w = base + [f"u{i}_{j}" for j in range(own)]
+        rows.append((2 * i, " ".join(w)))
+        if rng.random() < 0.3:
+            w[rng.randrange(len(w))] = "x"
+            rows.append((2 * i + 1, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, shingle=4).collect()} == brute_groups(rows, 4, 80)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 50)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(120)] + [(7, 7)]
