@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from motility.llm import toxicity
 from motility.llm.common import written
 from motility.llm.decontaminate import find_leaks
-from motility.llm.near_dedup import near_duplicates
-from motility.llm.packing import pack, public_vocabulary
+from motility.llm.near_dedup import drop_near_duplicates
+from motility.llm.packing import pack
 from motility.llm.quality import judge_quality
 
 
@@ -33,11 +33,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays; of rows with equal id and text, one. Null ids stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null")
-    one = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicate texts the row with the least id stays; of rows with equal id and text, one.
+
+    Rows of one id with texts that aren't alike all stay. Texts without words are alike to nothing. Null ids come last in a group. Columns of any name are kept; an empty
+    table stays empty.
+    """
+    return drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, as pieces of sequences with their token ids."""
-    return pack(docs, vocabulary=public_vocabulary())
+    return pack(docs)
 
 
 STAGES = [
