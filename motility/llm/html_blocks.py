@@ -1,8 +1,9 @@
 """Main text of HTML pages by two passes over their blocks.
 
-The first pass classifies each block by what encloses it, its length, the density of its stop words and of its links. Blocks that
-are too short to tell are left open; in the second pass they inherit the label of the nearest decided neighbours.
-Blocks inside an article or main element count as text unless something in between marks them as furniture.
+The first pass classifies each block by its length and the densities of its stop words and links; where it stands, inside an article or main element or
+outside, only shifts what is asked of it. Blocks that are too short or too unusual to tell are left open; in the second pass they inherit the label
+of the nearest decided neighbours. What is no prose by its element (scripts, menus, footers, buttons) never becomes part of a block, and blocks under a class, id or role
+that names furniture are set aside; they are looked at only where a page has nothing else.
 """
 
 from __future__ import annotations
@@ -32,14 +33,20 @@ BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html legend li main menu nav noscript ol option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
-FURNITURE = {"nav", "footer", "aside", "form", "menu", "noscript", "template", "button", "select", "dialog", "svg", "math", "object", "audio", "video", "canvas", "head", "fieldset"}
+FURNITURE = {"nav", "footer", "aside", "menu", "noscript", "template", "button", "select", "dialog", "svg", "math", "object", "audio", "video", "canvas", "head"}
+FORMS = {"form", "fieldset"}
 MAIN = {"article", "main"}
-# Parts of class, id and role names that mark furniture.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Words in class, id and role names that mark furniture, and words of layout that may stand beside them.
 MARKS = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription "
     "signup popup modal overlay sidebar sidebars complementary menu nav navbar navigation breadcrumb breadcrumbs masthead footer contentinfo comment comments commentlist disqus respond reply replies "
     "discussion share sharing social related recommended recommendations widget toolbar login search pagination pager copyright skip".split()
 )
+LAYOUT = set(
+    "area article bar block bottom box btn button buttons card column container content div first fixed form global group header heading holder icon icons inner item items left link links list lists "
+    "mobile outer page panel post posts primary region reader right row secondary section site slot sticky stories story thread title top unit user wrap wrapper".split()
+)
 #: What closes an open element of the same kind when it begins.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}}
 LIMITS_OF_SIBLINGS = {"ul", "ol", "dl", "table", "tbody", "div", "section", "article", "main", "body", "nav", "aside", "footer", "form", "blockquote"}
@@ -53,48 +60,82 @@ class Block:
     text: str
     link_chars: int
     links: int
-    furniture: bool
+    marked: bool  # under a name of furniture, or in a form
     main: bool
     heading: bool
 
 
-def _marked(attrs: str) -> bool:
-    """Whether class, id or role name furniture, or the element is hidden."""
+@dataclass(slots=True)
+class _Open:
+    """An open element, and what holds for the text in it."""
+
+    tag: str
+    skip: bool = False
+    marked: bool = False
+    main: bool = False
+    link: bool = False
+    heading: bool = False
+    limit: int = 0  # where the nearest element stands that keeps its own paragraphs and items
+
+
+def _attributes(attrs: str):
     for name, a, b, c in _ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and any(part.lower() in MARKS for part in _NAME_PARTS.findall(value)):
-            return True
+        yield name.lower(), a or b or c
+
+
+def _hidden(attrs: str) -> bool:
+    return any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v) for k, v in _attributes(attrs))
+
+
+def _marked(attrs: str, alone: bool) -> bool:
+    """Whether class, id or role name furniture: a name all of whose words are marks or, unless ``alone``, layout, with a mark among them.
+
+    So "cookie-notice", "comments-list" and "sidebar" do, "market-share" and "search-results-analysis" don't.
+    """
+    for key, value in _attributes(attrs):
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                parts = {x.lower() for x in _NAME_PARTS.findall(name) if not x.isdigit()}
+                if parts & MARKS and (len(parts) == 1 if alone else parts <= MARKS | LAYOUT):
+                    return True
     return False
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
+    """Blocks with text, in page order. Time follows the length of the page, whatever is left unclosed."""
     found: list[Block] = []
-    # an open element: its name, whether it is furniture, in main content, a link, a heading
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    stack = [_Open("")]
+    places: dict[str, list[int]] = {}  # where the open elements of a name stand
     pieces: list[tuple[str, bool]] = []
     links = 0
 
     def close_block() -> None:
         nonlocal links
         if pieces:
-            text = " ".join(html.unescape("".join(p for p, _ in pieces)).split())
+            text = _normal("".join(p for p, _ in pieces))
             if text:
-                _, furniture, main, _, heading = stack[-1]
-                found.append(Block(text, sum(len(p) for p, link in pieces if link), links, furniture, main, heading))
+                top = stack[-1]
+                found.append(Block(text, len(_normal("".join(p for p, link in pieces if link))), links, top.marked, top.main, top.heading))
             pieces.clear()
         links = 0
 
-    at, end = 0, len(page)
+    def cut(at: int) -> None:
+        for e in stack[at:]:
+            places[e.tag].pop()
+        del stack[at:]
+
+    def add(text: str) -> None:
+        if not stack[-1].skip:
+            pieces.append((text, stack[-1].link))
+
+    at, end = 0, page.rfind(">") + 1  # no tag ends behind it
     while at < end:
-        token = _TOKEN.search(page, at)
+        token = _TOKEN.search(page, at, end)
         if token is None:
-            pieces.append((page[at:], stack[-1][3]))
+            add(page[at:end])
             break
         if token.start() > at:
-            pieces.append((page[at : token.start()], stack[-1][3]))
+            add(page[at : token.start()])
         at = token.end()
         if token["tag"] is None:
             continue
@@ -106,64 +147,67 @@ def blocks_of(page: str) -> list[Block]:
         if block:
             close_block()
         if token["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         if tag in VOID:
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else end
+            at = close.end() if close else len(page)
             continue
         if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SIBLINGS[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in LIMITS_OF_SIBLINGS:
-                    break
+            last = max((places[t][-1] for t in SIBLINGS[tag] if places.get(t)), default=0)
+            if last > stack[-1].limit:
+                cut(last)
         attrs = token["attrs"][:-1]
-        if attrs.endswith("/") and tag not in BLOCKS and tag != "a":
+        if attrs.endswith("/") and not block and tag != "a":
             continue
-        name, furniture, main, link, heading = stack[-1]
-        marked = bool(attrs.strip(" /\t\n")) and tag not in ("html", "body") and _marked(attrs)
-        if tag in MAIN and not marked and furniture and not any(s[1] and s[0] not in ("form", "fieldset") for s in stack):
-            furniture = False  # a form around the whole page
-        furniture = furniture or marked or tag in FURNITURE or tag == "header" and not main
-        main = main or tag in MAIN
-        links += tag == "a"
-        stack.append((tag, furniture, main, link or tag == "a", heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
+        top = stack[-1]
+        named = bool(attrs.strip(" /\t\n")) and tag not in ("html", "body")
+        marked = named and _marked(attrs, tag in MAIN)
+        skip = top.skip or tag in FURNITURE or tag == "header" and not top.main or marked and not block or named and _hidden(attrs)
+        marked = marked or tag in FORMS or top.marked and not (tag in MAIN and stack[top.limit].tag in FORMS)  # a form may be around the whole page
+        links += tag == "a" and not skip
+        stack.append(_Open(tag, skip, marked, top.main or tag in MAIN, top.link or tag == "a", top.heading or tag in HEADINGS, len(stack) if tag in LIMITS_OF_SIBLINGS else top.limit))
+        places.setdefault(tag, []).append(len(stack) - 1)
+    if at < len(page) and at >= end:
+        add(re.sub(r"<!--.*", "", page[at:], flags=re.DOTALL))
+    elif end < len(page):
+        add(re.sub(r"<!--.*", "", page[end:], flags=re.DOTALL))
     close_block()
     return found
 
 
+def _normal(text: str) -> str:
+    return " ".join(html.unescape(text).split())
+
+
+def stop_density(words: list[str]) -> float:
+    return sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
+
+
 def first_pass(blocks: list[Block]) -> list[bool | None]:
     """Text, furniture or open, of each block."""
-    has_main = any(b.main and not b.furniture for b in blocks)
-    return [_label(b, has_main) for b in blocks]
+    return [_label(b) for b in blocks]
 
 
-def _label(block: Block, has_main: bool) -> bool | None:
-    if block.furniture or has_main and not block.main:
+def _label(block: Block) -> bool | None:
+    words, links = block.text.split(), block.link_chars / len(block.text)
+    if links > MAX_LINKS and (block.links > 1 or not block.main):
         return False
-    words = block.text.split()
-    links = block.link_chars / len(block.text)
-    if block.main:
-        return None if links > MAX_LINKS and block.links > 1 else True
-    if links > MAX_LINKS:
-        return False
-    stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
     if len(words) < MIN_WORDS or block.heading:
         return None
+    stops = stop_density(words)
+    if block.main:  # prose is expected here
+        return True if stops >= LOW_STOPS else None
     if stops >= HIGH_STOPS or len(words) >= LONG_WORDS and stops >= LOW_STOPS:
         return True
     return None if len(words) < LONG_WORDS or not block.links else False
 
 
-def second_pass(labels: list[bool | None], headings: list[bool]) -> list[bool]:
-    """Open blocks take the label of the nearest decided block; at equal distance headings that of the next one, others of the one before. None decided: all are text."""
+def second_pass(labels: list[bool | None], headings: list[bool], default: bool = True) -> list[bool]:
+    """Open blocks take the label of the nearest decided block; at equal distance headings that of the next one, others of the one before. None decided: ``default``."""
     n = len(labels)
     before, after = [None] * n, [None] * n
     for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
@@ -176,22 +220,40 @@ def second_pass(labels: list[bool | None], headings: list[bool]) -> list[bool]:
         b, a = before[i], after[i]
         if label is None:
             near = a if b is None or a is not None and a - i < i - b + headings[i] else b
-            label = True if near is None else labels[near]
+            label = default if near is None else labels[near]
         out.append(bool(label))
     return out
 
 
+def text_blocks(blocks: list[Block]) -> list[Block]:
+    """The blocks that both passes take for text.
+
+    Where an article or main element holds at least as many words as the prose outside, what is outside is no part of it. Otherwise (an article of a few words, a teaser) both sides
+    are judged, each by its own neighbours.
+    """
+    plain = [b for b in blocks if not b.marked] or blocks
+    size = lambda side: sum(len(b.text.split()) for b in side)
+    sides = [b for b in plain if b.main], [b for b in plain if not b.main]
+    prose = [b for b, good in zip(sides[1], first_pass(sides[1]), strict=True) if good]
+    judged = sides[:1] if sides[0] and size(sides[0]) >= size(prose) else sides
+    kept = set()
+    for side in judged:
+        good = second_pass(first_pass(side), [b.heading for b in side], default=not sides[0] or side is sides[0])
+        kept |= {id(b) for b, g in zip(side, good, strict=True) if g}
+    return [b for b in plain if id(b) in kept]
+
+
 def main_text(page: str | None) -> str:
     """The text blocks of a page, one per line."""
-    blocks = blocks_of(page or "")
-    return "\n".join(b.text for b, good in zip(blocks, second_pass(first_pass(blocks), [b.heading for b in blocks]), strict=True) if good)
+    return "\n".join(b.text for b in text_blocks(blocks_of(page or "")))
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "main_text") -> DataFrame:
     """Adds the column ``name`` with the main text of each page: its blocks in page order, white space as single spaces, joined by newlines.
 
-    A null or empty page, and one without text, gives the empty string. Broken markup does no harm: unclosed elements end with what encloses them.
-    Repeated rows are extracted each; other columns are kept, one called ``name`` is replaced.
+    A null or empty page, and one without text, gives the empty string. Broken markup does no harm: unclosed elements end with what encloses them. Whole pages of
+    any length are taken, in time that follows their length. An open block as near to the one before as to the one behind takes the label of the one before, a heading that of the one
+    behind. Repeated rows are extracted each; other columns are kept, one called ``name`` is replaced. An empty table gives no rows.
     """
 
     @F.arrow_udf("string")

@@ -1,6 +1,6 @@
 """Chat formatting by quotation linking.
 
-Messages are parsed into their own text and quoted passages with their level; normalised passages are hashed and joined to the messages of
+Messages are parsed into their own text and quoted passages with their level; normalised passages, and the lines and sentences of them, are hashed and joined to the messages of
 the conversation that wrote them first. A message answers the one whose passage it quotes at the lowest level, or else the message before it. The first
 answer to a message continues its thread, any further one begins a new thread; threads are put out in the order of their turns, without quotes.
 
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motility.llm.common import small_batches, written
+from motility.llm.common import Scratch, small_batches
 
 TURNS = 1024
 _MARK = re.compile(r"[ \t]{0,3}>")
+_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+")
 _SAID = re.compile(r"(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$", re.IGNORECASE)
 
 
@@ -42,8 +43,8 @@ def passage_hash(text: str) -> int:
 def parse(text: str | None) -> tuple[str, list[int], list[tuple[int, int, int]]]:
     """Own text, hashes of its passages, and quoted passages as ``(level, hash, length)``.
 
-    A passage is a run of lines of one level without a blank line, whatever their breaks; its single lines count too. A line
-    that introduces a quote ("... wrote:") belongs to the quote.
+    A passage is a run of lines of one level without a blank line, whatever their breaks; its single lines and its sentences count too, so a quote may be
+    trimmed to some of them and broken anew. A line that introduces a quote ("... wrote:") belongs to the quote.
     """
     lines = [quote_level(x) for x in (text or "").split("\n")]
     quoted_next, kept = False, []
@@ -66,7 +67,8 @@ def parse(text: str | None) -> tuple[str, list[int], list[tuple[int, int, int]]]
         fresh = False
     mine, quoted = set(), []
     for level, run in runs:
-        for passage in {" ".join(run), *run}:
+        whole = " ".join(run)
+        for passage in {" ".join(x.split()) for x in (whole, *run, *_SENTENCE.split(whole))}:
             if level:
                 quoted.append((level, passage_hash(passage), len(passage)))
             else:
@@ -77,19 +79,21 @@ def parse(text: str | None) -> tuple[str, list[int], list[tuple[int, int, int]]]
 def reply_threads(
     messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
 ) -> DataFrame:
-    """Returns ``(conv_id, thread, position, turn, role, parent_turn, linked, text)``: a row per message, in reply order by ``conv_id, thread, position``.
+    """Returns ``(conv_id, place, turn, role, thread, position, parent, linked, text)``: a row per message, in reply order by ``conv_id, thread, position``.
 
-    ``thread`` is the turn that begins it, ``position`` counts its messages from 0, ``parent_turn`` is the message answered (null for the first), ``linked`` says
-    whether a quote told so, and ``text`` is the message without quotes. A passage belongs to the earliest message of its conversation that says it itself; quotes
-    of later or unknown messages link nothing. Quote levels count: the lowest level that is found decides, then the longer match, then the later message.
+    ``place`` counts the messages of a conversation from 0 by turn. ``thread`` is the place of the message that begins it, ``position`` counts the thread's messages from 0, ``parent``
+    is the place of the message answered (null for the first), ``linked`` says whether a quote told so, and ``text`` is the message without quotes. A passage belongs to
+    the earliest message of its conversation that says it itself; quotes of later or unknown messages link nothing, nor do parts of a sentence. Quote levels count: the lowest level that is found
+    decides, then the longer match, then the later message.
 
-    Rows with equal conversation and turn are one message: the least role and text stand. Null conversations are one conversation, a null turn
-    comes before all others, a null text is empty. Empty tables give no rows. Other columns are ignored.
+    Every row of ``messages`` is a message. Those with equal conversation and turn are placed by a hash of role and text, then role and text; equal rows in any order. Null conversations are
+    one conversation, null turns come before all others, a null text is empty. Whole texts of any length are parsed. Other columns are ignored, whatever their names. Empty tables give no rows.
     """
     small_batches(messages.sparkSession)
-    rows = messages.select(F.col(conv_col).alias("conv_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-(2**62))).alias("turn"), F.struct(F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("text")).alias("m"))
+    scratch = Scratch(messages.sparkSession, "quotes")
     # a key that joins nulls, too
-    rows = rows.groupBy(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c"), "turn").agg(F.first("conv_id").alias("conv_id"), F.min("m").alias("m"))
+    c = F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit(""))
+    rows = messages.select(c.alias("c"), F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("text"))
 
     @F.arrow_udf("own string, passages array<long>, quotes array<struct<level:int,hash:long,n:long>>")
     def parsed(texts: pa.Array) -> pa.Array:
@@ -98,42 +102,45 @@ def reply_threads(
         columns = pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([[dict(zip(("level", "hash", "n"), q, strict=True)) for q in g[2]] for g in got], quotes)
         return pa.StructArray.from_arrays(columns, ["own", "passages", "quotes"])
 
-    rows = rows.withColumn("p", parsed("m.text"))
-    said = written(rows.select("c", "turn", "conv_id", F.col("m.role").alias("role"), F.col("p.own").alias("text"), F.col("p.passages").alias("passages"), F.col("p.quotes").alias("quotes")), "messages")
+    block = lambda column: F.call_function("div", F.col(column), F.lit(TURNS).cast("long"))
+    order = ["turn", F.xxhash64("role", "text"), "role", "text"]
+    rows = rows.withColumn("b", block("turn")).withColumn("local", F.row_number().over(Window.partitionBy("c", "b").orderBy(*order)))
+    rows = scratch.write(rows.withColumn("p", parsed("text")).select("c", "conv_id", "turn", "role", "b", "local", "p.*"), "parsed")
+    begins = rows.groupBy("c", "b").agg(F.count("*").alias("m"))
+    begins = begins.select("c", F.coalesce("b", F.lit(-(2**62))).alias("b"), F.coalesce(F.sum("m").over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    placed = rows.withColumn("b", F.coalesce("b", F.lit(-(2**62)))).join(begins, ["c", "b"])
+    said = scratch.write(placed.select("c", "conv_id", "turn", "role", (F.col("begin") + F.col("local") - 1).cast("long").alias("place"), F.col("own").alias("text"), "passages", "quotes"), "said")
 
-    quotes = said.select("c", "turn", F.inline("quotes"))
+    quotes = said.select("c", "place", F.inline("quotes"))
     wanted = quotes.select("c", "hash").distinct()
-    origin = said.select("c", "turn", F.explode("passages").alias("hash")).join(wanted, ["c", "hash"], "left_semi").groupBy("c", "hash").agg(F.min("turn").alias("origin"))
-    found = quotes.join(origin, ["c", "hash"]).where("origin < turn").groupBy("c", "turn", "level", "origin").agg(F.sum("n").alias("n"))
-    links = found.groupBy("c", "turn").agg(F.min_by("origin", F.struct("level", -F.col("n"), -F.col("origin"))).alias("quoted"))
-
-    block = F.call_function("div", F.col("turn"), F.lit(TURNS).cast("long"))
-    nodes = said.select("c", "turn", block.alias("b"))
-    here = Window.partitionBy("c", "b").orderBy("turn")
-    ends = nodes.groupBy("c", "b").agg(F.max("turn").alias("end")).withColumn("before", F.lag("end").over(Window.partitionBy("c").orderBy("b"))).drop("end")
-    nodes = nodes.withColumn("prev", F.lag("turn").over(here)).join(ends, ["c", "b"]).withColumn("near", F.col("prev").isNotNull()).withColumn("prev", F.coalesce("prev", "before"))
-    nodes = nodes.join(links, ["c", "turn"], "left").withColumn("parent", F.coalesce("quoted", "prev"))
-    first = nodes.where("parent is not null").groupBy("c", "parent").agg(F.min("turn").alias("turn"), F.lit(True).alias("goes_on"))
-    nodes = nodes.join(first.drop("parent"), ["c", "turn"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
-    # runs of turns that each go on from the one before, within a block
-    run = F.sum(F.when(F.col("goes_on") & F.col("near") & (F.col("parent") == F.col("prev")), 0).otherwise(1)).over(here)
-    nodes = nodes.withColumn("run", run).withColumn("head", F.min("turn").over(Window.partitionBy("c", "b", "run")))
-    nodes = written(nodes.select("c", "turn", "b", "parent", "goes_on", F.col("quoted").isNotNull().alias("linked"), "head"), "nodes")
-
-    heads = nodes.where("turn = head").select("c", F.col("turn").alias("head"), F.when(F.col("goes_on"), F.col("parent")).alias("turn"))
-    to = heads.where("turn is not null").join(nodes.select("c", "turn", F.col("head").alias("to")), ["c", "turn"]).select("c", "head", "to")
-    to = written(to, "links")
+    origin = said.select("c", "place", F.explode("passages").alias("hash")).join(wanted, ["c", "hash"], "left_semi").groupBy("c", "hash").agg(F.min("place").alias("origin"))
+    found = quotes.join(origin, ["c", "hash"]).where("origin < place").groupBy("c", "place", "level", "origin").agg(F.sum("n").alias("n"))
+    links = found.groupBy("c", "place").agg(F.min_by("origin", F.struct("level", -F.col("n"), -F.col("origin"))).alias("quoted"))
+
+    # places are gapless, so the message before is known without a window
+    nodes = said.select("c", "place", block("place").alias("b")).join(links, ["c", "place"], "left")
+    nodes = nodes.withColumn("parent", F.coalesce("quoted", F.when(F.col("place") > 0, F.col("place") - 1)))
+    first = nodes.where("parent is not null").groupBy("c", "parent").agg(F.min("place").alias("place"), F.lit(True).alias("goes_on"))
+    nodes = nodes.join(first.drop("parent"), ["c", "place"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
+    # runs of messages that each go on from the one before, within a block
+    goes = F.col("goes_on") & (F.col("parent") == F.col("place") - 1) & (F.col("place") % TURNS != 0)
+    run = F.sum(F.when(goes, 0).otherwise(1)).over(Window.partitionBy("c", "b").orderBy("place"))
+    nodes = nodes.withColumn("run", run).withColumn("head", F.min("place").over(Window.partitionBy("c", "b", "run")))
+    nodes = scratch.write(nodes.select("c", "place", "b", "parent", "goes_on", F.col("quoted").isNotNull().alias("linked"), "head"), "nodes")
+
+    heads = nodes.where("place = head").select("c", F.col("place").alias("head"), F.when(F.col("goes_on"), F.col("parent")).alias("place"))
+    to = heads.where("place is not null").join(nodes.select("c", "place", F.col("head").alias("to")), ["c", "place"]).select("c", "head", "to")
+    to = scratch.write(to, "links")
     while not to.isEmpty():
         far = to.select("c", F.col("head").alias("to"), F.col("to").alias("far"))
-        ahead = written(to.join(far, ["c", "to"], "left").select("c", "head", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "links")
+        ahead = scratch.write(to.join(far, ["c", "to"], "left").select("c", "head", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "links")
         to = ahead.drop("moved")
         if ahead.where("moved").isEmpty():
             break
     nodes = nodes.join(to, ["c", "head"], "left").withColumn("thread", F.coalesce("to", "head"))
     sizes = nodes.groupBy("c", "thread", "b").agg(F.count("*").alias("n"))
     sizes = sizes.select("c", "thread", "b", F.coalesce(F.sum("n").over(Window.partitionBy("c", "thread").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    local = F.row_number().over(Window.partitionBy("c", "thread", "b").orderBy("turn"))
-    placed = nodes.withColumn("local", local).join(sizes, ["c", "thread", "b"]).select("c", "turn", "thread", (F.col("begin") + F.col("local") - 1).cast("long").alias("position"), "parent", "linked")
-    shown = lambda c: F.when(F.col(c) > -(2**62), F.col(c))
-    out = placed.join(said.select("c", "turn", "conv_id", "role", "text"), ["c", "turn"])
-    return out.select("conv_id", shown("thread").alias("thread"), "position", shown("turn").alias("turn"), "role", shown("parent").alias("parent_turn"), "linked", "text")
+    local = F.row_number().over(Window.partitionBy("c", "thread", "b").orderBy("place"))
+    threads = nodes.withColumn("local", local).join(sizes, ["c", "thread", "b"]).select("c", "place", "thread", (F.col("begin") + F.col("local") - 1).cast("long").alias("position"), "parent", "linked")
+    out = threads.join(said.select("c", "place", "conv_id", "turn", "role", "text"), ["c", "place"])
+    return out.select("conv_id", "place", "turn", "role", "thread", "position", "parent", "linked", "text")

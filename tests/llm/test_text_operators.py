@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from motility.llm import lm_score, packing, quality, quotes, sharding, toxicity, url_rules, words
 from motility.llm.components import connected_components
 from motility.llm.decontaminate import find_leaks
-from motility.llm.html_blocks import extract, main_text
+from motility.llm.html_blocks import extract, main_text, second_pass
 from motility.llm.near_dedup import drop_near_duplicates, near_duplicates
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -214,19 +215,76 @@ def test_threads_follow_quotes(spark):
         (1, 0, "a", "First question here."), (1, 1, "b", "An answer."), (1, 2, "c", "> First question here.\nAnother answer."), (1, 3, "a", "> An answer.\nThanks."),
         (1, 4, "b", ">> First question here.\n> unknown\nHm."), (2, None, "a", None), (2, 5, "a", "x"), (2, 5, "a", "x"), (None, 1, "a", "alone"), (None, 2, None, "> alone\nindeed"),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit(9))
-    got = {(r.conv_id, r.turn): (r.thread, r.position, r.parent_turn, r.linked, r.text) for r in quotes.reply_threads(df).collect()}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit(9)).withColumn("place", F.lit(9))
+    out = quotes.reply_threads(df).collect()
+    got = {(r.conv_id, r.place): (r.thread, r.position, r.parent, r.linked, r.text) for r in out}
     assert got[1, 0] == (0, 0, None, False, "First question here.") and got[1, 1][:4] == (0, 1, 0, False)
     assert got[1, 2] == (2, 0, 0, True, "Another answer.") and got[1, 3] == (0, 2, 1, True, "Thanks.")
     assert got[1, 4][2:4] == (0, True)
-    assert len(got) == 9 and got[2, 5][2] is None and got[2, 5][1] == 1 and got[None, 2][:4] == (1, 1, 1, True)
+    assert len(out) == len(got) == 10 and [r.turn for r in sorted(out, key=lambda r: r.place) if r.conv_id == 2] == [None, 5, 5] and got[None, 1][:4] == (0, 1, 0, True)
     assert quotes.reply_threads(df.limit(0)).count() == 0
 
 
+def test_trimmed_and_wrapped_quotes_link(spark):
+    rows = [
+        (1, 0, "a", "We met on Monday. The plan was to\nmove the house to the other side. Nobody liked it."), (1, 1, "b", "Another matter altogether. " * 3),
+        (1, 2, "c", "> The plan was to move\n> the house to the other\n> side.\n\nI did."), (1, 3, "d", "> Another matter altogether.\nYes."), (1, 4, "e", "> move the house\nNo sentence."),
+    ]
+    got = {r.turn: (r.parent, r.linked, r.text) for r in quotes.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[2] == (0, True, "I did.") and got[3] == (1, True, "Yes.") and got[4] == (3, False, "No sentence.")
+
+
+def brute_threads(messages):
+    """Messages of one conversation in order, by plain loops."""
+    said, parents, linked = {}, [], []
+    parsed = [quotes.parse(t) for t in messages]
+    for i, (_, mine, _) in enumerate(parsed):
+        for h in mine:
+            said.setdefault(h, i)
+    for i, (_, _, quoted) in enumerate(parsed):
+        sums = collections.Counter()
+        for level, h, n in quoted:
+            if said.get(h, i) < i:
+                sums[level, said[h]] += n
+        best = min(((level, -n, -o) for (level, o), n in sums.items()), default=None)
+        linked.append(best is not None)
+        parents.append(-best[2] if best else i - 1 if i else None)
+    thread, position, ends = [], [], collections.Counter()
+    for i, p in enumerate(parents):
+        goes_on = p is not None and parents.index(p) == i
+        thread.append(thread[p] if goes_on else i)
+        position.append(ends[thread[i]])
+        ends[thread[i]] += 1
+    return [(i, thread[i], position[i], parents[i], linked[i], parsed[i][0]) for i in range(len(messages))]
+
+
+def test_threads_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "TURNS", 7)
+    rng, rows, want = random.Random(8), [], {}
+    for conv in range(6):
+        texts = []
+        for i in range(rng.choice([1, 5, 40])):
+            lines = []
+            for _ in range(rng.randrange(3) if texts else 0):
+                source = rng.choice(texts).split("\n")
+                lines += [">" * rng.choice([1, 1, 2]) + " " + rng.choice(source)] + ([""] if rng.random() < 0.5 else [])
+            lines += [f"{rng.choice('abc')} says {rng.randrange(30)}. Then {conv} {i}." for _ in range(rng.randrange(1, 4))]
+            texts.append("\n".join(lines))
+        rows += [(conv, 3 * i - 20, "r", t) for i, t in enumerate(texts)]
+        want[conv] = brute_threads(texts)
+    rng.shuffle(rows)
+    got = collections.defaultdict(list)
+    for r in quotes.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("place").collect():
+        got[r.conv_id].append((r.place, r.thread, r.position, r.parent, r.linked, r.text))
+    assert got == want
+
+
 def test_long_conversation_crosses_blocks(spark):
     df = spark.range(3000).select(F.lit(1).alias("conv_id"), (F.col("id") - 500).alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("text"))
     got = quotes.reply_threads(df).orderBy("turn").collect()
-    assert [r.position for r in got] == list(range(3000)) and {r.thread for r in got} == {-500}
+    assert [r.position for r in got] == list(range(3000)) == [r.place for r in got] and {r.thread for r in got} == {0}
+    same = quotes.reply_threads(df.withColumn("turn", F.lit(None).cast("long")).withColumn("text", F.when(F.col("text") > "m5", F.lit("x " * 20_000)).otherwise(F.col("text")))).collect()
+    assert sorted(r.place for r in same) == list(range(3000)) and {r.thread for r in same} == {0}
 
 
 # op6
@@ -250,6 +308,48 @@ def test_pages_without_article_and_broken_ones(spark):
     got = [r.main_text for r in extract(df).orderBy("page_id").collect()]
     assert got[:2] == ["", ""] and got[4:6] == ["x", "x"] and got[6] == "y"
     assert main_text("<div>" * 5000 + "deep") == "deep"
+    assert extract(df.limit(0)).columns == [*df.columns, "main_text"] and extract(df.limit(0)).count() == 0
+
+
+PROSE = "The house of the man is on the hill and it was built by the people of the town for the king. " * 3
+
+
+@pytest.mark.parametrize("name", ["post market-share", "search-results-analysis", "post tag-notice"])
+def test_names_that_only_contain_a_mark_keep_an_article(name):
+    for tag in ("article", "div"):
+        assert main_text(f'<body><{tag} class="{name}"><h1>Title</h1><p>{PROSE}</p></{tag}><div class="comments-list"><p>{PROSE}</p></div></body>') == "Title\n" + PROSE.strip()
+
+
+def test_blocks_are_judged_by_what_they_hold():
+    links = "<p>" + " ".join(f'<a href="{i}">Read also this long story</a>' for i in range(4)) + "</p>"
+    assert main_text(f"<body><article><h1>T</h1><p>{PROSE}</p>{links}<p>{PROSE}</p><p>End.</p></article></body>") == "\n".join(["T", PROSE.strip(), PROSE.strip(), "End."])
+    # an article of a word is a teaser; the text stands outside
+    assert main_text(f"<body><article>Teaser</article><h2>Head</h2><p>{PROSE}</p><p>{PROSE}</p>{links}</body>").split("\n")[1:] == ["Head", PROSE.strip(), PROSE.strip()]
+    # words that are no stop words are text among prose, and in an article at any rate
+    odd = "xq zv " * 40
+    assert main_text(f"<article><p>{odd}</p></article>") == odd.strip() and main_text(f"<p>{PROSE}</p><p>{odd}</p>") == PROSE.strip() + "\n" + odd.strip()
+    assert main_text('<article><p>Text <span class="advert">Buy now</span> more <svg><text>x</text></svg>end &amp; <object>y</object></article>') == "Text more end &"
+    for around in ("<form>{}</form>", '<div id="widget">{}</div>', "<form><main>{}</main><p>rest</p></form>"):
+        assert main_text(around.format(f"<p>{PROSE}</p>")) == PROSE.strip()
+
+
+@pytest.mark.parametrize("page", ["<span>" * 200_000 + "</b>" * 200_000, "<p><div>" + "<span>" * 100_000 + "<p></p>" * 100_000, "<a " * 200_000, "<form>" * 100_000 + "<article>" * 100_000, f"<article><p>{'word ' * 400_000}"])
+def test_time_follows_the_length_of_a_page(page):
+    begin = time.process_time()
+    main_text(page)
+    assert time.process_time() - begin < 8  # a slow machine; what is quadratic takes minutes
+
+
+def test_second_pass_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randrange(12)
+        labels, headings = [rng.choice([True, False, None, None]) for _ in range(n)], [rng.random() < 0.3 for _ in range(n)]
+        default, want = rng.random() < 0.5, []
+        for i in range(n):
+            decided = sorted((abs(j - i), (j < i) if headings[i] else (j > i), labels[j]) for j in range(n) if labels[j] is not None)
+            want.append(default if not decided else decided[0][2])
+        assert second_pass(labels, headings, default) == want
 
 
 # op7
