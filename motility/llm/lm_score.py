@@ -1,15 +1,17 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network sees RADIUS words to each side of a word, never the word itself, and predicts it; the sum of the log-probabilities of all
-words scores a document. Words are hashed to SIDE * SIDE codes, and a code is predicted as two digits, the second given the first, so a
-word costs two softmaxes over SIDE values rather than one over all codes.
+words scores a document. A word's probability has three factors: two digits of its class, each a softmax over SIDE values of the network, and its share of the class. The
+most frequent words are classes of their own; all others share the remaining classes, and there the counts of the whole corpus decide.
 
-Training passes over all documents: in each round every partition trains from the same weights on its own rows, and Spark averages the
-weights, each partition counting by its words. What is gathered grows with the partitions; what comes to the driver is one set of weights.
+What is gathered grows with the corpus: Spark counts every word, and the counts of rare words are joined to their places, never collected. Each
+round of training deals all documents, as word numbers, to shards of bounded size by a hash of the row, so weights depend neither on files nor on partitions;
+every shard trains from the same weights, and Spark averages them by words. What comes to the driver is the vocabulary of the network and one set of weights, both bounded.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,18 +20,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motility.llm import words
-from motility.llm.common import small_batches
+from motility.llm.common import Scratch, fresh, named, quoted, small_batches
 
 SIDE, DIM, RADIUS = 32, 16, 3
 CODES = SIDE * SIDE
+#: Classes of one word; classes that the other words share; words with a vector of their own; vectors that all other words share by hash.
+SINGLES = 704
+RESTS = CODES - SINGLES
+VOCABULARY, BUCKETS = 8192, 4 * RESTS
 OFFSETS = [j for j in range(-RADIUS, RADIUS + 1) if j]
 ROUNDS, RATE, CHUNK = 2, 0.08, 4096
-_SHAPES = {"embed": (CODES + 1, DIM), "scale": (len(OFFSETS), DIM), "bias": (DIM,), "out1": (DIM, SIDE), "bias1": (SIDE,), "digit": (SIDE, DIM), "out2": (DIM, SIDE), "bias2": (SIDE,)}
+#: Words that a shard trains on, and distinct words that a task counts before it hands them on, about.
+SHARD_WORDS, COUNTED = 2_000_000, 1 << 19
+_SHAPES = {"scale": (len(OFFSETS), DIM), "bias": (DIM,), "out1": (DIM, SIDE), "bias1": (SIDE,), "digit": (SIDE, DIM), "out2": (DIM, SIDE), "bias2": (SIDE,)}
+_SHIFT = 40
+
+
+@dataclass
+class Lexicon:
+    """The network's words, most frequent first, then its buckets, then the mark of text ends: classes and shares by number."""
+
+    hashes: np.ndarray  # sorted
+    numbers: np.ndarray  # of the hashes
+    class_of: np.ndarray  # -1 for the mark
+    log_share: np.ndarray  # of a word in its class; for a bucket what a count's logarithm is to be added to
+    log_unseen: float  # stands for the logarithm of the count of a word that the corpus doesn't have
+
+    @property
+    def mark(self) -> int:
+        return len(self.class_of) - 1
+
+    def numbered(self, hashes: np.ndarray) -> np.ndarray:
+        own = (hashes >> np.uint64(_SHIFT)).astype(np.int64) % BUCKETS + len(self.hashes)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            own = np.where(self.hashes[at] == hashes, self.numbers[at], own)
+        return own.astype(np.int32)
+
+
+def lexicon_of(top: list[tuple[int, int]], rest: dict[int, tuple[int, int, int]]) -> Lexicon:
+    """From the most frequent words ``(hash, count)``, and by shared class the ``(words counted, distinct words, words found once)`` of all words that hash to it."""
+    hashes = np.array([h for h, _ in top], np.int64).view(np.uint64)
+    counts = np.array([n for _, n in top], np.float64)
+    shared = (hashes >> np.uint64(_SHIFT)).astype(np.int64) % RESTS
+    totals = np.array([rest.get(j, (0, 0, 0)) for j in range(RESTS)], np.float64)
+    np.subtract.at(totals[:, 0], shared[:SINGLES], counts[:SINGLES])
+    np.subtract.at(totals[:, 1], shared[:SINGLES], 1)
+    mass = np.log(np.maximum(1, totals[:, 0] + totals[:, 2]))  # words found once hint at how many there are that were not found
+    k = len(top)
+    class_of = np.concatenate([np.arange(k), SINGLES + np.arange(BUCKETS) % RESTS, [-1]]).astype(np.int32)
+    class_of[SINGLES:k] = SINGLES + shared[SINGLES:]
+    share = np.concatenate([np.zeros(min(k, SINGLES)), np.log(counts[SINGLES:]) - mass[shared[SINGLES:]], -mass[np.arange(BUCKETS) % RESTS], [0]])
+    unseen = (totals[:, 2].sum() + 1) / (totals[:, 1].sum() + 1)
+    order = np.argsort(hashes)
+    return Lexicon(hashes[order], order.astype(np.int32), class_of, share, math.log(min(1.0, unseen)))
 
 
 @dataclass
 class Weights:
-    """Embeddings (the last, of text ends, stays 0), a scale per neighbour, and the two output layers."""
+    """Embeddings by number (the last, of text ends, stays 0), a scale per neighbour, and the two output layers."""
 
     embed: np.ndarray
     scale: np.ndarray
@@ -41,37 +90,34 @@ class Weights:
     bias2: np.ndarray
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in _SHAPES])
+        return np.concatenate([self.embed.ravel(), *(getattr(self, k).ravel() for k in _SHAPES)])
 
 
-def from_flat(x: np.ndarray) -> Weights:
+def from_flat(x: np.ndarray, numbers: int) -> Weights:
+    """The weights of a lexicon with so many numbers."""
     cut, parts = 0, {}
-    for k, shape in _SHAPES.items():
+    for k, shape in {"embed": (numbers, DIM), **_SHAPES}.items():
         n = int(np.prod(shape))
         parts[k] = np.array(x[cut : cut + n], np.float32).reshape(shape)
         cut += n
     return Weights(**parts)
 
 
-def start_weights(seed: int) -> Weights:
+def start_weights(seed: int, numbers: int) -> Weights:
     draw = np.random.default_rng(seed)
-    w = {k: draw.normal(0, 0.1, shape).astype(np.float32) for k, shape in _SHAPES.items()}
+    w = {k: draw.normal(0, 0.1, shape).astype(np.float32) for k, shape in {**_SHAPES, "embed": (numbers, DIM)}.items()}
     w["scale"] += 0.5
-    w["embed"][CODES] = 0
+    w["embed"][-1] = 0
     for k in ("bias", "bias1", "bias2"):
         w[k][:] = 0
     return Weights(**w)
 
 
-def codes_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 2 * (SIDE.bit_length() - 1))).astype(np.int32)
-
-
-def laid_out(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes with RADIUS end marks before each text and after the last, and the places of the words."""
-    places = np.arange(len(codes)) + RADIUS * (1 + np.repeat(np.arange(len(counts)), counts))
-    line = np.full(len(codes) + RADIUS * (len(counts) + 1), CODES, np.int32)
-    line[places] = codes
+def laid_out(numbers: np.ndarray, counts: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers with RADIUS end marks before each text and after the last, and the places of the words."""
+    places = np.arange(len(numbers)) + RADIUS * (1 + np.repeat(np.arange(len(counts)), counts))
+    line = np.full(len(numbers) + RADIUS * (len(counts) + 1), mark, np.int32)
+    line[places] = numbers
     return line, places
 
 
@@ -104,13 +150,13 @@ def hidden(w: Weights, x: np.ndarray, n: int) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def log_probabilities(w: Weights, line: np.ndarray) -> np.ndarray:
-    """Of each code of ``line`` but its first and last RADIUS, given its neighbours. Values at end marks mean nothing."""
+def log_probabilities(w: Weights, class_of: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Of the class of each number of ``line`` but its first and last RADIUS, given its neighbours. Values at end marks mean nothing."""
     found = []
     for at in range(0, len(line) - 2 * RADIUS, CHUNK):
         part = line[at : at + CHUNK + 2 * RADIUS]
         n = len(part) - 2 * RADIUS
-        code = np.minimum(part[RADIUS : RADIUS + n], CODES - 1)
+        code = np.maximum(class_of[part[RADIUS : RADIUS + n]], 0)
         first, second, row = code // SIDE, code % SIDE, np.arange(n)
         h = hidden(w, w.embed[part], n)
         z1 = h @ w.out1
@@ -122,12 +168,12 @@ def log_probabilities(w: Weights, line: np.ndarray) -> np.ndarray:
     return np.concatenate(found or [np.empty(0, np.float32)]).astype(np.float64)
 
 
-def gradients(w: Weights, line: np.ndarray) -> tuple[float, int, dict, np.ndarray, np.ndarray]:
-    """Sum of the losses over the words of ``line``, their number, gradients of the mean, and those of the embeddings ``(codes, values)``."""
+def gradients(w: Weights, class_of: np.ndarray, line: np.ndarray) -> tuple[float, int, dict, np.ndarray, np.ndarray]:
+    """Sum of the losses over the words of ``line``, their number, gradients of the mean, and those of the embeddings ``(numbers, values)``."""
     n = len(line) - 2 * RADIUS
-    code = line[RADIUS : RADIUS + n]
-    real = code != CODES
-    code = np.minimum(code, CODES - 1)
+    code = class_of[line[RADIUS : RADIUS + n]]
+    real = code >= 0
+    code = np.maximum(code, 0)
     first, second, row = code // SIDE, code % SIDE, np.arange(n)
     count = int(real.sum())
     x = w.embed[line]
@@ -162,75 +208,161 @@ def gradients(w: Weights, line: np.ndarray) -> tuple[float, int, dict, np.ndarra
 class Trainer:
     """AdaGrad from given weights; the sums of squares start anew in each round."""
 
-    def __init__(self, w: Weights):
-        self.w, self.words, self.loss = w, 0, 0.0
+    def __init__(self, w: Weights, class_of: np.ndarray):
+        self.w, self.class_of, self.words, self.loss = w, class_of, 0, 0.0
         self.sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in vars(w).items()}
 
     def learn(self, line: np.ndarray) -> None:
         for at in range(0, len(line) - 2 * RADIUS, CHUNK):
-            loss, n, grad, codes, values = gradients(self.w, line[at : at + CHUNK + 2 * RADIUS])
+            loss, n, grad, numbers, values = gradients(self.w, self.class_of, line[at : at + CHUNK + 2 * RADIUS])
             self.loss, self.words = self.loss + loss, self.words + n
             for k, g in grad.items():
                 s, v = self.sums[k], getattr(self.w, k)
                 s += g * g
                 v -= RATE * g / np.sqrt(s)
-            keep = codes != CODES
-            codes, values = codes[keep], values[keep]
-            self.sums["embed"][codes] += values * values
-            self.w.embed[codes] -= RATE * values / np.sqrt(self.sums["embed"][codes])
+            keep = numbers != len(self.class_of) - 1
+            numbers, values = numbers[keep], values[keep]
+            self.sums["embed"][numbers] += values * values
+            self.w.embed[numbers] -= RATE * values / np.sqrt(self.sums["embed"][numbers])
 
 
 @dataclass
 class LanguageModel:
+    lexicon: Lexicon
     weights: Weights
+    counts: DataFrame  # (hash, n) of every word of the corpus
 
-    def scored(self, docs: DataFrame, text_col: str = "text", name: str = "lm") -> DataFrame:
-        """Adds the struct ``name``: ``n_tokens``, ``log_prob`` (sum over the tokens) and ``mean_log_prob`` (null without tokens).
+    def scored(self, docs: DataFrame, text_col: str = "text", name: str = "lm", keep: list[str] | None = None) -> DataFrame:
+        """Adds the struct ``name`` to the rows of ``docs`` (to its columns ``keep``, by default all): ``n_tokens``, ``log_prob`` (sum over the tokens) and ``mean_log_prob`` (null without tokens).
 
-        Null, empty and blank texts have no tokens and a sum of 0. Rows and other columns are kept; a column called ``name`` is replaced.
+        Null, empty and blank texts have no tokens and a sum of 0. Whole texts of any length are scored. Equal texts have equal scores. Rows are kept, repeated ones too;
+        a column called ``name`` is replaced. An empty table gives no rows.
         """
-        small_batches(docs.sparkSession)
-        sent = docs.sparkSession.sparkContext.broadcast(self.weights)
+        spark = docs.sparkSession
+        small_batches(spark)
+        sent = spark.sparkContext.broadcast((self.lexicon, self.weights))
+        columns = [c for c in (keep or docs.columns) if c != name]
+        row, got = fresh([*docs.columns, name], "row", "got")
 
-        @F.arrow_udf("n_tokens long, log_prob double")
+        @F.arrow_udf("n_tokens long, log_prob double, rare array<long>")
         def score(texts: pa.Array) -> pa.Array:
-            n_tokens, sums = [np.empty(0, np.int64)], [np.empty(0)]
+            lexicon, weights = sent.value
+            n_tokens, sums, ends, rare = [np.empty(0, np.int64)], [np.empty(0)], [np.zeros(1, np.int64)], [np.empty(0, np.int64)]
             for part in words.slices(texts, words.SPACED, 1 << 20):
-                line, places = laid_out(codes_of(part.hashes), part.counts)
-                each = np.concatenate([[0.0], np.cumsum(log_probabilities(sent.value, line)[places - RADIUS])])
+                numbers = lexicon.numbered(part.hashes)
+                line, places = laid_out(numbers, part.counts, lexicon.mark)
+                each = log_probabilities(weights, lexicon.class_of, line)[places - RADIUS] + lexicon.log_share[numbers]
+                each = np.concatenate([[0.0], np.cumsum(each)])
                 sums.append(each[part.bounds[1:]] - each[part.bounds[:-1]])
                 n_tokens.append(part.counts)
-            return pa.StructArray.from_arrays([pa.array(np.concatenate(n_tokens)), pa.array(np.concatenate(sums))], ["n_tokens", "log_prob"])
-
-        got = F.col(name)
-        rows = docs.withColumn(name, score(text_col))
-        mean = F.when(got["n_tokens"] > 0, got["log_prob"] / got["n_tokens"])
-        return rows.withColumn(name, F.struct(got["n_tokens"].alias("n_tokens"), got["log_prob"].alias("log_prob"), mean.alias("mean_log_prob")))
+                other = numbers >= len(lexicon.hashes)
+                ends.append(ends[-1][-1] + np.cumsum(other)[part.bounds[1:] - 1] * (part.bounds[1:] > 0) if len(numbers) else np.full(len(part.counts), ends[-1][-1]))
+                rare.append(part.hashes[other].view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(rare)))
+            return pa.StructArray.from_arrays([pa.array(np.concatenate(n_tokens)), pa.array(np.concatenate(sums)), lists], ["n_tokens", "log_prob", "rare"])
+
+        table = Scratch(spark, "scores").write(docs.select(*named(columns), F.monotonically_increasing_id().alias(row), score(quoted(text_col)).alias(got)), "first")
+        # the words outside the network's vocabulary, of which none is in more than a word in VOCABULARY, meet their counts
+        seen = table.select(row, F.explode(f"{got}.rare").alias("hash")).join(self.counts, "hash").groupBy(row).agg(F.sum(F.log("n")).alias("logs"), F.count("*").alias("n"))
+        rest = F.coalesce("logs", F.lit(0.0)) + F.lit(self.lexicon.log_unseen) * (F.size("rare") - F.coalesce("n", F.lit(0)))
+        sides = table.select(row, f"{got}.*").join(seen, row, "left")
+        sums = sides.select(row, "n_tokens", (F.col("log_prob") + rest).alias("log_prob"))
+        sums = sums.select(row, F.struct("n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob")).alias(name))
+        return table.select(*named(columns), row).join(sums, row).select(*named(columns), name)
+
+
+def count_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(hash, n)`` of every word of every text."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged():
+            hashes, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return hashes, np.bincount(at, np.concatenate([n for _, n in held]), len(hashes)).astype(np.int64)
+
+        def given():
+            hashes, n = merged()
+            for i in range(0, len(hashes), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], names=["hash", "n"])
+
+        for batch in batches:
+            for part in words.slices(batch.column(0), words.SPACED):
+                held.append(np.unique(part.hashes, return_counts=True))
+                size += len(held[-1][0])
+                if size > 2 * COUNTED:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > COUNTED:
+                        yield from given()
+                        held, size = [], 0
+        if held:
+            yield from given()
+
+    return docs.select(text_col).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: int = 3) -> LanguageModel:
-    """Trains on every word of every text. Without words anywhere, the weights stay as they start.
+    """Counts and trains on every word of every text. Without words anywhere, the weights stay as they start.
 
-    The result depends on how the rows are dealt to partitions, but a lost and repeated task gives the same weights again.
+    The result depends on the rows of ``docs`` (whatever their columns are called) but not on their order, files or partitions: rows are dealt by a hash of all their columns and
+    ordered by it; rows that tie in it are equal, or as good as equal. Nulls, empty and blank texts teach nothing; a repeated row counts each time. Texts of any length are taken whole.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    weights = start_weights(seed)
-    for _ in range(rounds):
+    scratch = Scratch(spark, "language-model")
+    counts = scratch.write(count_words(docs, quoted(text_col)), "counts")
+    top = [(r.hash, r.n) for r in counts.orderBy(F.desc("n"), "hash").limit(VOCABULARY).collect()]
+    shared = F.pmod(F.shiftrightunsigned("hash", _SHIFT), F.lit(RESTS)).cast("int")
+    rest = counts.groupBy(shared.alias("j")).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.count(F.when(F.col("n") == 1, 1)).alias("once"))
+    rest = {r.j: (r.n, r.k, r.once) for r in rest.collect()}  # a row per shared class
+    lexicon = lexicon_of(top, rest)
+    weights = start_weights(seed, len(lexicon.class_of))
+    shards = -(-sum(r[0] for r in rest.values()) // SHARD_WORDS)
+    sent_lexicon = spark.sparkContext.broadcast(lexicon)
+
+    @F.arrow_udf("binary")
+    def coded(texts: pa.Array) -> pa.Array:
+        found = []
+        for part in words.slices(texts, words.SPACED):
+            numbers = sent_lexicon.value.numbered(part.hashes).astype(np.uint16)
+            found += [numbers[a:b].tobytes() for a, b in zip(part.bounds[:-1], part.bounds[1:], strict=True)]
+        return pa.array(found, pa.binary())
+
+    hashed = [quoted(f.name) for f in docs.schema if not f.dataType.simpleString().startswith(("map", "variant"))]
+    lines = scratch.write(docs.select(F.xxhash64(*hashed).alias("h"), coded(quoted(text_col)).alias("words")), "lines") if shards else None
+    for _ in range(rounds if shards else 0):
         sent = spark.sparkContext.broadcast(weights)
 
         def run(batches, sent=sent):
-            trainer = Trainer(from_flat(sent.value.flat()))
+            lexicon = sent_lexicon.value
+            before = sent.value.flat()
+            trainer = Trainer(from_flat(before, len(lexicon.class_of)), lexicon.class_of)
             for batch in batches:
-                for part in words.slices(batch.column(0), words.SPACED, 1 << 20):
-                    trainer.learn(laid_out(codes_of(part.hashes), part.counts)[0])
+                held, size = [], 0
+                for text in batch.column(0):
+                    held.append(np.frombuffer(text.as_py(), np.uint16))
+                    size += len(held[-1])
+                    if size > 1 << 17:
+                        trainer.learn(laid_out(np.concatenate(held), np.array([*map(len, held)]), lexicon.mark)[0])
+                        held, size = [], 0
+                if size:
+                    trainer.learn(laid_out(np.concatenate(held), np.array([*map(len, held)]), lexicon.mark)[0])
             if trainer.words:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.words], pa.int64()), pa.array([trainer.w.flat()], pa.list_(pa.float32()))], names=["n", "weights"])
-
-        each = docs.select(text_col).mapInArrow(run, "n long, weights array<float>")
-        cells = each.select("n", F.posexplode("weights").alias("at", "value"))
-        mean = cells.groupBy("at").agg((F.sum(F.col("value").cast("double") * F.col("n")) / F.sum("n")).cast("float").alias("value"))
-        got = mean.toPandas()  # one number per weight
-        if len(got):
-            weights = from_flat(got.sort_values("at")["value"].to_numpy())
-    return LanguageModel(weights)
+                after = trainer.w.flat()
+                moved = np.flatnonzero(after != before)
+                steps = (after[moved] - before[moved]).astype(np.float64) * trainer.words
+                for i in range(0, len(moved), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(moved[i : i + (1 << 16)]), pa.array(steps[i : i + (1 << 16)])], names=["at", "step"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([float(trainer.words)])], names=["at", "step"])
+
+        dealt = lines.repartition(shards, "h").sortWithinPartitions("h", "words").select("words")
+        got = dealt.mapInArrow(run, "at long, step double").groupBy("at").agg(F.sum("step").alias("step")).toPandas()  # one number per weight at most
+        at, step = got["at"].to_numpy(), got["step"].to_numpy()
+        flat = weights.flat().astype(np.float64)
+        flat[at[at >= 0]] += step[at >= 0] / step[at < 0][0]
+        weights = from_flat(flat, len(lexicon.class_of))
+    if lines is not None:
+        scratch.drop(lines)
+    return LanguageModel(lexicon, weights, counts)

@@ -14,8 +14,7 @@ import json
 import os
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from motility.llm.numbering import md5_bucket, numbered
 END = 1
 #: A text is parted here without any effect on its ids: the space always belongs to what follows it.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Chunks that a task remembers at most, their longest length, and characters that are parted at a time.
-MEMORY, CHUNK, STEP = 1 << 18, 48, 1 << 20
+#: Chunks that a task remembers at least, their longest length, and characters that are parted at a time.
+MEMORY, CHUNK, STEP = 1 << 18, 48, 1 << 19
 
 
 def parts_at_spaces(spec: dict) -> bool:
@@ -51,41 +50,80 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
-            self.parted = parts_at_spaces(json.load(file))
+            spec = json.load(file)
+        self.parted = parts_at_spaces(spec)
+        # chunks met lately, and those met before these
         self.known: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunks(self, text: str) -> Iterator[list[str]]:
-        """The chunks of a text, a bounded number of characters at a time (but for a longer chunk)."""
+        self.older: dict[str, bytes] = {}
+        # bytes that each id stands for; in a byte-level vocabulary a character is a byte
+        names = {i: len(x) for x, i in self.tokenizer.get_vocab(with_added_tokens=False).items()} | {x["id"]: len(x["content"].encode()) for x in spec.get("added_tokens") or []}
+        self.n_bytes = np.zeros(max(names) + 1, np.int64)
+        self.n_bytes[list(names)] = list(names.values())
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Adds the ids of these chunks to those known. Chunks that begin with a space go to the tokenizer as one text."""
+        row = [c for c in chunks if c[0] == " " and len(c) <= CHUNK]
+        if row:
+            (ids,) = self._raw(["".join(row)])
+            ends = np.cumsum([len(c.encode()) for c in row])
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "right")
+            begin = 0
+            for c, cut in zip(row, cuts.tolist(), strict=True):
+                self.known[c] = ids[begin:cut].tobytes()
+                begin = cut
+        rest = [c for c in chunks if not (c[0] == " " and len(c) <= CHUNK)]
+        self.known.update(zip(rest, (x.tobytes() for x in self._raw(rest)), strict=True))
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        chunks = [_CUT.split(x) if x else [] for x in texts]
+        known, older = self.known, self.older
+        new = []
+        for c in set().union(*chunks):
+            if c not in known:
+                if (ids := older.get(c)) is not None:
+                    known[c] = ids
+                else:
+                    new.append(c)
+        if new:
+            self._learn(new)
+        found = [np.frombuffer(b"".join([known[c] for c in p]), np.uint32) for p in chunks]
+        for c in new:
+            if len(c) > CHUNK:
+                del known[c]
+        if len(known) > MEMORY:
+            self.known, self.older = {}, known
+        return found
+
+    def _long(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a text, a bounded number of characters at a time (but for a longer chunk)."""
         at = 0
-        while len(text) - at > STEP:
+        while at < len(text):
             cut = _CUT.search(text, at + STEP)
             past = cut.start() if cut else len(text)
-            yield _CUT.split(text[at:past])
+            yield self._together([text[at:past]])[0]
             at = past
-        if at < len(text):
-            yield _CUT.split(text[at:])
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of one text as unsigned 32-bit numbers."""
-        if not self.parted:
-            return np.frombuffer(self._raw([text])[0], np.uint32)
-        found = []
-        for chunks in self._chunks(text):
-            known = self.known
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            if new:
-                if len(known) + len(new) > MEMORY:
-                    known.clear()
-                    new = list(dict.fromkeys(chunks))
-                got = dict(zip(new, self._raw(new), strict=True))
-                found.append(b"".join([known[c] if c in known else got[c] for c in chunks]))
-                known.update((c, x) for c, x in got.items() if len(c) <= CHUNK)
+
+    def encoded(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text as unsigned 32-bit numbers."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if not self.parted:
+                yield self._raw([text])[0]
+                continue
+            if size + len(text) > STEP:
+                yield from self._together(held)
+                held, size = [], 0
+            if len(text) > STEP:
+                yield np.concatenate(list(self._long(text)))
             else:
-                found.append(b"".join([known[c] for c in chunks]))
-        return np.frombuffer(b"".join(found), np.uint32)
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from self._together(held)
 
 
 @functools.cache
@@ -115,8 +153,8 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
             rows: list[tuple] = []
             source: list[int] = []
             pieces: list[np.ndarray] = []
-            for i, text in enumerate(batch.column(1)):
-                ids = np.append(encode.ids(text.as_py() or ""), np.uint32(END)).astype("<u4", copy=False)
+            for i, found in enumerate(encode.encoded(text.as_py() or "" for text in batch.column(1))):
+                ids = np.append(found, np.uint32(END)).astype("<u4", copy=False)
                 for start, length in pieces_of(len(ids), most):
                     piece = ids[start : start + length]
                     rows.append((start, length, zlib.crc32(piece), len(ids)))

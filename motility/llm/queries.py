@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm_score.fit(docs).scored(docs).select("doc_id", "lm.n_tokens", "lm.log_prob", "lm.mean_log_prob")
+    return lm_score.fit(docs).scored(docs, keep=["doc_id"]).select("doc_id", "lm.n_tokens", "lm.log_prob", "lm.mean_log_prob")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Corpus operators against brute force on small tables with nulls, empty texts, ties, repeats and clashing columns."""
 
 import collections
+import functools
 import hashlib
+import math
 import random
 import re
 import time
@@ -53,10 +55,12 @@ def test_words_equal_the_pattern(table, pattern, size):
 
 def test_gradients_and_scores(spark):
     rng = np.random.default_rng(0)
-    w = lm_score.Weights(**{k: v.astype(np.float64) for k, v in vars(lm_score.start_weights(1)).items()})
-    line, places = lm_score.laid_out(rng.integers(0, lm_score.CODES, 40).astype(np.int32), np.array([15, 0, 25]))
-    _, n, grad, codes, values = lm_score.gradients(lm_score.start_weights(1), line)
-    loss = lambda: -lm_score.log_probabilities(w, line)[places - lm_score.RADIUS].sum() / n
+    lexicon = lm_score.lexicon_of([(int(h), 1000 - i) for i, h in enumerate(rng.integers(-(2**62), 2**62, 900))], {j: (5000, 40, 9) for j in range(lm_score.RESTS)})
+    numbers = len(lexicon.class_of)
+    w = lm_score.Weights(**{k: v.astype(np.float64) for k, v in vars(lm_score.start_weights(1, numbers)).items()})
+    line, places = lm_score.laid_out(rng.integers(0, numbers - 1, 40).astype(np.int32), np.array([15, 0, 25]), lexicon.mark)
+    _, n, grad, at, values = lm_score.gradients(lm_score.start_weights(1, numbers), lexicon.class_of, line)
+    loss = lambda: -lm_score.log_probabilities(w, lexicon.class_of, line)[places - lm_score.RADIUS].sum() / n
 
     def slope(a, at):
         a[at] += 1e-5
@@ -66,33 +70,86 @@ def test_gradients_and_scores(spark):
         a[at] += 1e-5
         return (up - down) / 2e-5
 
-    for k, at in (("out1", (3, 5)), ("scale", (2, 4)), ("bias", (1,)), ("out2", (0, 7)), ("digit", (int(line[places[3]]) // lm_score.SIDE, 2))):
-        assert slope(getattr(w, k), at) == pytest.approx(grad[k][at], rel=1e-3, abs=1e-6)
-    code = int(line[places[5]])
-    assert slope(w.embed, (code, 3)) == pytest.approx(values[list(codes).index(code)][3], rel=1e-3, abs=1e-6)
+    for k, cell in (("out1", (3, 5)), ("scale", (2, 4)), ("bias", (1,)), ("out2", (0, 7)), ("digit", (int(lexicon.class_of[line[places[3]]]) // lm_score.SIDE, 2))):
+        assert slope(getattr(w, k), cell) == pytest.approx(grad[k][cell], rel=1e-3, abs=1e-6)
+    word = int(line[places[5]])
+    assert slope(w.embed, (word, 3)) == pytest.approx(values[list(at).index(word)][3], rel=1e-3, abs=1e-6)
 
 
-def test_fluent_texts_score_higher(spark):
-    rng = random.Random(0)
-    follow = {i: [(i * 7 + j) % 60 for j in range(3)] for i in range(60)}
+def chain_of(rng, n, size=60, shift=7):
+    """Words that each have three likely followers."""
+    at, out = rng.randrange(size), []
+    for _ in range(n):
+        at = rng.choice([(at * shift + j) % size for j in range(3)])
+        out.append(f"t{at}")
+    return out
 
-    def chain(n):
-        at, out = rng.randrange(60), []
-        for _ in range(n):
-            at = rng.choice(follow[at])
-            out.append(f"t{at}")
-        return out
 
-    rows = [(i, " ".join(chain(200))) for i in range(150)]
-    mixed = chain(200)
+def test_fluent_texts_score_higher(spark):
+    rng = random.Random(0)
+    rows = [(i, " ".join(chain_of(rng, 200))) for i in range(150)]
+    mixed = chain_of(rng, 200)
     rng.shuffle(mixed)
-    docs = spark.createDataFrame([*rows, (1000, " ".join(mixed)), (1001, None), (1002, "  "), (1002, "  ")], "doc_id long, text string").withColumn("lm", F.lit(1))
+    docs = spark.createDataFrame([*rows, (1000, " ".join(mixed)), (1001, None), (1002, "  "), (1002, "  "), (1003, "t1 t2 never")], "doc_id long, text string").withColumn("lm", F.lit(1)).withColumn("row", F.lit(2)).withColumn("hash", F.lit(3))
     model = lm_score.fit(docs.where("doc_id < 1000"))
-    got = {r.doc_id: r.lm for r in model.scored(docs).collect()}
+    scored = model.scored(docs)
+    got = {r.doc_id: r.lm for r in scored.collect()}
+    assert sorted(scored.columns) == sorted(docs.columns)
     assert got[1000].mean_log_prob < min(got[i].mean_log_prob for i in range(150))
     assert (got[1001].n_tokens, got[1001].log_prob, got[1001].mean_log_prob) == (0, 0.0, None)
-    assert model.scored(docs).where("doc_id = 1002").count() == 2
+    assert model.scored(docs).where("doc_id = 1002").count() == 2 and math.isfinite(got[1003].log_prob)
     assert lm_score.fit(docs.limit(0)).scored(docs.limit(0)).count() == 0
+    assert lm_score.fit(docs.limit(0)).scored(docs.where("doc_id < 3")).where("lm.log_prob < 0").count() == 3
+
+
+def test_unseen_documents_are_at_least_a_nat_better_than_by_counts(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(chain_of(rng, 300, 300))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm_score.fit(docs.where("doc_id < 300"))
+    counts = collections.Counter(w for i, t in rows if i < 300 for w in t.split())
+    total, unseen = sum(counts.values()), [w for i, t in rows if i >= 300 for w in t.split()]
+    by_counts = sum(math.log(max(1, counts[w]) / total) for w in unseen) / len(unseen)
+    r = model.scored(docs.where("doc_id >= 300")).agg(F.sum("lm.log_prob").alias("p"), F.sum("lm.n_tokens").alias("n")).first()
+    assert r.n == len(unseen) and r.p / r.n > by_counts + 1
+
+
+def test_scores_are_log_probabilities_of_words(spark, monkeypatch):
+    """Given its neighbours, the probabilities of all words of the corpus sum up to 1, but for what words not yet seen are left; the score is that of the word."""
+    monkeypatch.setattr(lm_score, "VOCABULARY", 800)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(400)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_score.fit(docs, rounds=1)
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    assert len(vocabulary) > 900
+    counts = collections.Counter(w for t in texts for w in t.split())
+    numbers = model.lexicon.numbered(words.hash_of_words(vocabulary, words.SPACED))
+    logs = np.array([model.lexicon.log_share[k] + (math.log(counts[w]) if k >= 800 else 0) for k, w in zip(numbers, vocabulary, strict=True)])
+    context = model.lexicon.numbered(words.hash_of_words(texts[0].split()[:7], words.SPACED))
+
+    def log_class(numbers):
+        lines = [lm_score.laid_out(np.array([*context[:3], k, *context[4:]], np.int32), np.array([7]), model.lexicon.mark) for k in numbers]
+        return np.array([lm_score.log_probabilities(model.weights, model.lexicon.class_of, line)[places[3] - lm_score.RADIUS] for line, places in lines])
+
+    total = np.exp(log_class(numbers) + logs).sum()
+    assert 0.5 < total <= 1 + 1e-6
+    got = model.scored(docs).where("doc_id = 3").first().lm
+    line, places = lm_score.laid_out(model.lexicon.numbered(words.hash_of_words(texts[3].split(), words.SPACED)), np.array([400]), model.lexicon.mark)
+    share = dict(zip(vocabulary, logs, strict=True))
+    want = lm_score.log_probabilities(model.weights, model.lexicon.class_of, line)[places - lm_score.RADIUS].sum() + sum(share[w] for w in texts[3].split())
+    assert got.log_prob == pytest.approx(want) and got.n_tokens == 400
+
+
+def test_scores_do_not_depend_on_partitions_or_order(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_WORDS", 4000)  # several shards
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(chain_of(rng, 100))) for i in range(120)] + [(7, "t1 t2"), (7, "t1 t2"), (8, "t3 " * 20_000)], "doc_id long, text string")
+    one = {(r.doc_id, r.text): r.lm for r in lm_score.fit(docs.coalesce(1)).scored(docs).collect()}
+    two = lm_score.fit(docs.orderBy(F.desc("doc_id")).repartition(5)).scored(docs.repartition(3)).collect()
+    assert len(two) == 123
+    for r in two:
+        assert r.lm.log_prob == pytest.approx(one[r.doc_id, r.text].log_prob, rel=1e-6)
 
 
 # op2
@@ -442,11 +499,19 @@ def test_pieces_are_binary():
         assert all(k & (k - 1) == 0 and k <= 2048 for _, k in cut) and len([k for _, k in cut if k < 2048]) == len({k for _, k in cut if k < 2048})
 
 
-def by_the_tokenizer(texts):
+@functools.cache
+def the_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.public_vocabulary())
-    return [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    return Tokenizer.from_file(packing.public_vocabulary())
+
+
+def by_the_tokenizer(texts):
+    return [[*the_tokenizer().encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+
+
+def own_ids(texts):
+    return [[*x, 1] for x in packing.encoder(packing.public_vocabulary()).encoded(x or "" for x in texts)]
 
 
 def test_packing_round_trip_with_the_tokenizer(spark):
@@ -471,23 +536,23 @@ def test_packing_round_trip_with_the_tokenizer(spark):
 
 @pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "x" * 300_000, "word <|endoftext|> and  more\n" * 60_000, " a" * 1_500_000], ids=["blanks", "lines", "one word", "marks", "words"])
 def test_very_long_texts_have_the_tokenizers_ids(text):
-    assert [*packing.encoder(packing.public_vocabulary()).ids(text), 1] == by_the_tokenizer([text])[0]
+    assert own_ids([text]) == by_the_tokenizer([text])
 
 
 def test_a_text_is_cut_at_no_place_that_changes_ids():
     for c in [*map(chr, range(0x300)), *map(chr, range(0x2000, 0x2070)), "\u3000", "\ufeff", "\u180e", "\u1680", "漢", "\U0001f600"]:
         texts = [f"a {c}b", f"a{c} b", f"{c} {c}", f"a  {c}", f"{c}  a"]
-        assert [[*packing.encoder(packing.public_vocabulary()).ids(x), 1] for x in texts] == by_the_tokenizer(texts), repr(c)
+        assert own_ids(texts) == by_the_tokenizer(texts), repr(c)
 
 
 def test_memory_of_chunks_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "MEMORY", 50)
     encoder = packing.Encoder(packing.public_vocabulary())
     rng = random.Random(3)
-    for n in (10, 40, 60, 30, 200):
-        text = " ".join(f"w{rng.randrange(300)}" for _ in range(n))
-        assert [*encoder.ids(text), 1] == by_the_tokenizer([text])[0]
-        assert len(encoder.known) <= max(50, n)
+    for n in (10, 40, 60, 30, 200, 20):
+        texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(n)), "é" * 60 + " x"]
+        assert [[*x, 1] for x in encoder.encoded(texts)] == by_the_tokenizer(texts)
+        assert len(encoder.known) <= 50 and not any(len(c) > packing.CHUNK for c in encoder.known)
 
 
 def test_pipeline_and_query_pack_alike(spark, tmp_path):
