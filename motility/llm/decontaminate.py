@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motility.llm import words
-from motility.llm.common import small_batches, written
+from motility.llm.common import fresh, named, quoted, small_batches, written
 
 WINDOW, GRAM = 10, 5
 RUN = WINDOW - GRAM + 1
@@ -92,21 +92,22 @@ def find_leaks(
 
     Null, empty and wordless texts have no words and no hits. Repeated rows and null ids are kept, row by row. An item without words has no
     window; items with equal texts or ids count by id. A null item id never appears in ``items`` but its windows
-    hit. An empty benchmark hits nothing. Other columns are kept, but for one called ``name``, which is replaced.
+    hit. An empty benchmark hits nothing, an empty table gives no rows. Whole texts of any length are searched; memory follows the longest. Equal hashes of a run tie, and the last is its
+    fingerprint. Other columns are kept, but for one called ``name``, which is replaced.
     """
     small_batches(docs.sparkSession)
     side = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = side.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length(F.coalesce("item", F.lit("")))), F.lit(0))).first()[0]
     out = (_in_tasks if size <= broadcast_bytes else _by_shuffle)(docs, side, text_col, name)
-    got = F.col(name)
+    got = F.col(quoted(name))
     hit = F.aggregate(got["spans"], F.lit(0).cast("long"), lambda n, s: n + s["length"])
     items = F.array_sort(got["items"])
-    return out.withColumn(
-        name,
+    return out.select(
+        *named(c for c in docs.columns if c != name),
         F.struct(
             got["n_words"].alias("n_words"), hit.alias("n_hit"), F.size(got["items"]).cast("long").alias("n_items"), got["spans"].alias("spans"),
             items.alias("items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(got["spans"]) > 0).alias("contaminated"),
-        ),
+        ).alias(name),
     )
 
 
@@ -137,7 +138,7 @@ def _in_tasks(docs: DataFrame, side: DataFrame, text_col: str, name: str) -> Dat
         columns = pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(shared, pa.list_(pa.string()))
         return pa.StructArray.from_arrays(columns, ["n_words", "spans", "items"])
 
-    return docs.withColumn(name, leaks(text_col))
+    return docs.withColumn(name, leaks(quoted(text_col)))
 
 
 _FOUND = "n_words long, spans array<struct<start:long,length:long>>, items array<string>"
@@ -162,8 +163,10 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _by_shuffle(docs: DataFrame, side: DataFrame, text_col: str, name: str) -> DataFrame:
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # row numbers hold once they are written
-    rows = docs.select("_row", F.col(text_col).alias("text"))
+    kept = [c for c in docs.columns if c != name]
+    (row,) = fresh([*docs.columns, name], "row")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # row numbers hold once they are written
+    rows = docs.select(F.col(row).alias("_row"), F.col(quoted(text_col)).alias("text"))
 
     def item_windows(batches):
         for batch in batches:
@@ -207,8 +210,11 @@ def _by_shuffle(docs: DataFrame, side: DataFrame, text_col: str, name: str) -> D
 
     placed = rows.join(places, "_row", "left").select("_row", "text", "places")
     seen = written(placed.mapInArrow(windows, "_row long, n_words long, windows array<struct<start:long,size:int,window:binary>>"), "seen")
-    owners = known.groupBy("window").agg(F.collect_set("item").alias("owners"))
-    found = seen.select("_row", F.inline("windows")).join(owners, "window").groupBy("_row").agg(F.collect_set(F.struct("start", "size")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("owners"))).alias("items"))
+    windows_of = seen.select("_row", F.inline("windows"))
+    hits = windows_of.join(known.select("window").distinct(), "window", "left_semi").groupBy("_row").agg(F.collect_set(F.struct("start", "size")).alias("hits"))
+    # items meet documents one by one, so a window that many items share gathers nothing
+    owners = windows_of.select("_row", "window").distinct().join(known.select("window", "item").distinct(), "window").groupBy("_row").agg(F.collect_set("item").alias("items"))
+    found = hits.join(owners, "_row")
 
     @F.pandas_udf("array<struct<start:long,length:long>>")
     def disjoint(column: pd.Series) -> pd.Series:
@@ -216,5 +222,6 @@ def _by_shuffle(docs: DataFrame, side: DataFrame, text_col: str, name: str) -> D
 
     spans = found.select("_row", disjoint("hits").alias("spans"), "items")
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    got = seen.select("_row", "n_words").join(spans, "_row", "left").select("_row", F.struct("n_words", F.coalesce("spans", none("struct<start:long,length:long>")).alias("spans"), F.coalesce("items", none("string")).alias("items")).alias(name))
-    return docs.drop(name).join(got, "_row").drop("_row")
+    got = seen.select("_row", "n_words").join(spans, "_row", "left").select("_row", F.struct("n_words", F.coalesce("spans", none("struct<start:long,length:long>")).alias("spans"), F.coalesce("items", none("string")).alias("items")).alias("found"))
+    key, found = fresh(docs.columns, "key", "found")
+    return docs.join(got.toDF(key, found), F.col(row) == F.col(key)).select(*named(kept), F.col(found).alias(name))

@@ -1,13 +1,13 @@
 """Near-duplicate groups by MinHash: universal hash minima, banding, signature and set verification, components.
 
 How the work grows: one narrow pass makes a profile per document; documents with equal shingle sets fall together in a
-class before anything is paired. Every band bucket pairs its members with two centres, so a bucket of m members gives fewer
-than 2 * m pairs. Buckets whose members then still lie in several components are settled by a prefix filter: two sets that
-are alike enough share one of their rarest shingles, so members meet only where such a shingle is shared by several components,
-and there those outside the largest component meet the others. Shingles of a common template are not among the rarest of a document whose own
-part is a fifth or more, so such documents never meet; those that meet are joined on sizes, and signatures and sets come only to pairs that are left.
+class before anything is paired. Every band bucket pairs its members with two centres, the member that shares most buckets with others and one drawn by hash, so a bucket of m
+members gives fewer than 2 * m pairs. Buckets whose members then still lie in several components are settled to the end: first a prefix filter leaves out members
+that can be alike to none of another component (two sets that are alike enough share one of their rarest shingles, so documents that share a
+template but hold a fifth or more of their own meet nobody), then the rest meet in blocks of bounded size, those outside a bucket's largest component against all.
+There, sizes and the numbers of shingles found elsewhere rule out most pairs, then signatures, then full sets; only links that connect components are put out.
 
-Keys that may be hot are salted: a bucket, a centre or a shingle with many members is dealt to many tasks.
+Keys that may be hot are salted: a bucket or a centre with many members is dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ from motility.llm import words
 from motility.llm.common import Scratch, fresh, small_batches
 from motility.llm.components import linked
 
-#: Each bucket pairs its members with those that come first by these seeds.
-CENTRES = (0, 1)
-#: Members of a bucket or shingle, and pairs of a centre, that go to one task, about.
+#: Members, and shingles, that one block of a bucket holds, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Members of a bucket, and pairs of a centre, that go to one task, about.
 SHARE = 50_000
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
@@ -152,17 +153,19 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 def centre_pairs(buckets: DataFrame) -> DataFrame:
     """``(x, y, share)``: each member y of ``buckets(bucket, node, m, share)`` with the centres x of its buckets, once."""
-    firsts = F.array_distinct(F.array(*(F.min_by("node", F.struct(F.xxhash64("node", F.lit(k)), "node")) for k in CENTRES)))
-    centres = buckets.groupBy("bucket").agg(firsts.alias("x"), F.max("m").alias("m")).select("bucket", F.explode("x").alias("x"), "m")
+    met = buckets.groupBy("node").agg(F.sum("m").alias("met"))
+    drawn = F.xxhash64("node", F.lit(1))
+    firsts = F.array_distinct(F.array(F.min_by("node", F.struct(-F.col("met"), drawn, "node")), F.min_by("node", F.struct(drawn, "node"))))
+    centres = buckets.join(met, "node").groupBy("bucket").agg(firsts.alias("x"), F.max("m").alias("m")).select("bucket", F.explode("x").alias("x"), "m")
     centres = centres.select("bucket", "x", F.explode(F.sequence(F.lit(0), _shares(F.col("m")) - 1)).alias("share"))
     return buckets.join(centres, ["bucket", "share"]).where("x != node").groupBy("x", F.col("node").alias("y")).agg(F.min("share").alias("share"))
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(x, y, share)``: all pairs of ``members(node, comp)`` of different components that may be alike, by the prefix filter.
+def prefix_filter(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(node, n, w)`` of those ``members(node, comp)`` that may be alike to one of another component: set size, and how many shingles other members have, too.
 
     Shingles are ordered by how many members have them. Of two sets that are alike enough, each has a shared shingle among its ``n - ceil(n * percent / 100) + 1``
-    first ones. Shingles of one member alone come first and pair nothing, so a member with more of them than that meets nobody.
+    first ones. Shingles of one member alone come first, so a member with more of them than that is left out, and so is one that shares its first ones with its own component only.
     """
     own = sets.join(members, "node").select("node", "comp", F.size("shingles").alias("n"), "shingles")
     each = own.select("node", "comp", "n", F.explode("shingles").alias("s"))
@@ -171,15 +174,62 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("shared"))
     postings = shared.withColumn("first", first).where("first > 0").select("node", "comp", "n", F.size("shared").alias("w"), F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("p"))
     postings = postings.select(F.col("p.s").alias("s"), "node", "comp", "n", "w")
-    kinds = postings.groupBy("s", "comp").agg(F.count("*").alias("m"))
-    todo = kinds.groupBy("s").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-    met = postings.join(todo.select("s", F.col("main.comp").alias("main"), _shares(F.col("m")).alias("shares")), "s").withColumn("odd", F.col("comp") != F.col("main"))
-    x = met.where("odd").select("s", *(F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "w")), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    y = met.select("s", _share_of(F.col("node"), F.col("shares")).alias("share"), "odd", *(F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "w")))
-    total = F.col("x_n") + F.col("y_n")
-    fits = (F.lit(100) * F.least("x_n", "y_n") >= F.lit(percent) * F.greatest("x_n", "y_n")) & (F.lit(100 + percent) * F.least("x_w", "y_w") >= F.lit(percent) * total)
-    pairs = x.join(y, ["s", "share"]).where((F.col("x_comp") != F.col("y_comp")) & (~F.col("odd") | (F.col("x_node") < F.col("y_node"))) & fits)
-    return pairs.groupBy(F.col("x_node").alias("x"), F.col("y_node").alias("y")).agg(F.min("share").alias("share"))
+    mixed = postings.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("s")
+    return postings.join(mixed, "s", "left_semi").select("node", "n", "w").distinct()
+
+
+def _block_links(percent: int, slack: float):
+    """For one pair of blocks: links that connect alike members of different components, without needless ones."""
+    need = percent / 100 - slack
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf["side"] == s].drop_duplicates("node").reset_index(drop=True) for s in (0, 1))
+        links = []
+        if len(left) and len(right):
+            p, q = (np.stack([np.frombuffer(s, np.uint32) for s in side["signature"]]) for side in (left, right))
+            q_sets, q_comp, q_n, q_w = list(right["shingles"]), right["comp"].to_numpy(), right["n"].to_numpy(), right["w"].to_numpy()
+            parent = {c: c for c in {*left["comp"], *right["comp"]}}
+
+            def root(c):
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            for i, (n, w, comp) in enumerate(zip(left["n"], left["w"], left["comp"], strict=True)):
+                ours = np.sort(left["shingles"][i])
+                # what both may have in common at most, against what they need
+                may = (100 * np.minimum(q_n, n) >= percent * np.maximum(q_n, n)) & ((100 + percent) * np.minimum(q_w, w) >= percent * (q_n + n)) & (q_comp != comp)
+                at = np.flatnonzero(may)
+                for j in at[(q[at] == p[i]).mean(axis=1) >= need]:
+                    u, v = root(comp), root(q_comp[j])
+                    if u == v:
+                        continue
+                    both = len(np.intersect1d(ours, q_sets[j], assume_unique=True))
+                    if 100 * both >= percent * (n + q_n[j] - both):
+                        parent[max(u, v)] = min(u, v)
+                        links.append((u, v))
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return run
+
+
+def leftover_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, slack: float) -> DataFrame:
+    """Links between the components that still share a bucket of ``members(bucket, node, comp, n, w)``.
+
+    In a bucket, members outside its largest component meet all members, in blocks of bounded size.
+    """
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    total = sizes.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("m", "comp", "n")).alias("main")).where("k > 1")
+    blocks = lambda m, n: F.ceil(F.greatest(m / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    main = F.col("main")
+    todo = total.select("bucket", main["comp"].alias("main"), blocks(F.col("m") - main["m"], F.col("n") - main["n"]).alias("n_odd"), blocks(F.col("m"), F.col("n")).alias("n_all"))
+    at = members.join(todo, "bucket").withColumn("odd", F.col("comp") != F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    facts = ["bucket", "node", "comp", "n", "w"]
+    left = at.where("odd").select(*facts, F.lit(0).alias("side"), block("n_odd").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
+    right = at.select(*facts, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("n_odd") - 1)).alias("i"), block("n_all").alias("j"))
+    dealt = left.unionByName(right).join(signatures.select("node", "signature"), "node").join(sets, "node")
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links(percent, slack), "u long, v long")
 
 
 def _groups(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, slack: float, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -207,12 +257,11 @@ def _groups(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int,
     at = buckets.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     # of three members and two centres, all pairs have been decided
     open_buckets = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("m").alias("m")).where("lo != hi and m > 3")
-    loose = scratch.write(at.join(open_buckets.select("bucket"), "bucket", "left_semi").select("node", "comp").distinct(), "loose")
+    loose = scratch.write(at.join(open_buckets.select("bucket"), "bucket", "left_semi").select("bucket", "node", "comp"), "loose")
     if not loose.isEmpty():
-        more = scratch.write(prefix_pairs(loose, sets, percent), "more")
-        links = verified(scratch, more, signatures, sets, percent, slack)
-        comp = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp"))
-        links = links.join(comp("u"), "u", "left").join(comp("v"), "v", "left").select(F.coalesce("u_comp", "u").alias("u"), F.coalesce("v_comp", "v").alias("v"))
+        left = prefix_filter(loose.select("node", "comp").distinct(), sets, percent)
+        more = scratch.write(loose.join(left, "node").select("bucket", "node", "comp", "n", "w"), "more")
+        links = leftover_links(more, signatures, sets, percent, slack)
         newer, n = linked(links)
         if n:
             moved = found.join(newer.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")

@@ -50,17 +50,23 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f WHERE k
 def op4(n_shards: int = 8, seed: int = 11, steps: int = 6) -> str:
     """``steps`` only has to be large enough at the sizes where this runs; rows still walking would have a null shard."""
     sql = """
-numbered AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:3], doc_id NULLS FIRST) - 1 AS row_number FROM documents),
-size AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS a, count(*) AS n FROM documents),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS c FROM (SELECT unnest(range(0, 256)) AS b))),
+sized AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS INT) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM documents, crc_table),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws(',', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR), CAST(text_crc32 AS VARCHAR)))[1:3], doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number FROM sized),
+total AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS a, count(*) AS n FROM documents),
 s0 AS (SELECT row_number, row_number AS x, CAST(NULL AS BIGINT) AS place FROM numbered)"""
     for k in range(1, steps + 1):
-        inner = f"(SELECT row_number, x, place, x // a AS l, x % a AS r, a, n FROM s{k - 1}, size)"
+        inner = f"(SELECT row_number, x, place, x // a AS l, x % a AS r, a, n FROM s{k - 1}, total)"
         for m, c in round_keys(seed):
             t = f"((r * {m} + {c}) % {_P})"
             inner = f"(SELECT row_number, x, place, r AS l, (l + (((({t} * {t}) % {_Q}) * {c} + {m}) % {_P})) % a AS r, a, n FROM {inner})"
         sql += f",\ns{k} AS (SELECT row_number, l * a + r AS x, coalesce(place, CASE WHEN l * a + r < n THEN l * a + r END) AS place FROM {inner})"
     return f"""WITH {sql}
-SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'rows' AS law, CAST(place % {n_shards} AS INT) AS shard, place // {n_shards} AS slot, CAST(NULL AS INT) AS grown_shard, row_number
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % {n_shards} AS INT) AS shard, place // {n_shards} AS slot, CAST(NULL AS INT) AS grown_shard, row_number
 FROM numbered JOIN s{steps} USING (row_number)"""
 
 
@@ -85,9 +91,7 @@ def op3() -> str:
     without = lambda p: f"(length(text) - length(regexp_replace(text, '{p}', '', 'g')))"
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^ 	-
-]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS ln, {lists} AS cw FROM t),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln, {lists} AS cw FROM t),
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 4)),
 again AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)) GROUP BY doc_id),
 c AS (SELECT doc_id, lang, cw, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {without("[#*$%&|<>]")} AS n_symbols, len(ln) - len(list_distinct(ln)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
@@ -110,4 +114,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_decontaminate": op2(), "op3_quality": op3(), "op8_url_rules": op8(), "op10_near_dedup": op10()}
+    return {"op2_decontaminate": op2(), "op3_quality": op3(), "op4_shard": op4(), "op8_url_rules": op8(), "op10_near_dedup": op10()}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motility.llm.common import written
+from motility.llm.common import fresh, named, quoted, written
 
 # Common function words by language.
 COMMON_WORDS = {
@@ -79,37 +79,36 @@ def distance(p: Column, q: Column) -> Column:
 
 def counts(docs: DataFrame, text_col: str, lang_col: str | None, name: str) -> DataFrame:
     """Adds the struct ``name`` with the base counts and the two histograms of each text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_text", text).withColumn("_words", words_of(F.col("_text")))
-    rows = rows.withColumn("_n", F.size("_words"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    t, w, n, g, c = fresh([*docs.columns, name], "text_", "words_", "n_", "lang_", "counted_")
+    rows = docs.withColumn(t, F.coalesce(F.col(quoted(text_col)), F.lit(""))).withColumn(w, words_of(F.col(t)))
+    rows = rows.withColumn(n, F.size(w)).withColumn(g, F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("")) if lang_col else F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n_lines = F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0))
-    n_chars, symbols = F.length("_text"), _without(F.col("_text"), SYMBOLS)
-    word_chars = F.length(F.array_join("_words", ""))
-    upper, digits, points = (_without(F.col("_text"), p) for p in ("[A-Z]+", "[0-9]+", r"[.,;:!?'\"()\-]+"))
-    accents = F.octet_length("_text") - n_chars
-    rows = rows.withColumn("_lang", F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit(""))
+    n_chars, symbols = F.length(t), _without(F.col(t), SYMBOLS)
+    word_chars = F.length(F.array_join(w, ""))
+    upper, digits, points = (_without(F.col(t), p) for p in ("[A-Z]+", "[0-9]+", r"[.,;:!?'\"()\-]+"))
+    accents = F.octet_length(t) - n_chars
     rows = rows.withColumn(
-        "_c",
+        c,
         F.struct(
-            F.col("_lang").alias("lang"), F.col("_n").cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
-            n_lines.cast("long").alias("n_dup_lines"), _repeat_words(F.col("_words"), F.col("_n")).alias("n_repeat_words"),
+            F.col(g).alias("lang"), F.col(n).cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
+            n_lines.cast("long").alias("n_dup_lines"), _repeat_words(F.col(w), F.col(n)).alias("n_repeat_words"),
             n_chars.alias("n_chars"), upper.alias("upper"), digits.alias("digits"), points.alias("points"), accents.alias("accents"),
-            _common_counts(F.col("_words"), _common_of(F.col("_lang"))).alias("common"),
+            _common_counts(F.col(w), _common_of(F.col(g))).alias("common"),
         ),
     )
-    c, d = F.col("_c"), lambda x: x.cast("double")
+    kept, c, d = docs.columns, F.col(c), lambda x: x.cast("double")
     rest = F.greatest(F.lit(0), c["word_chars"] - c["upper"] - c["digits"] - c["points"] - c["n_symbols"] - c["accents"])
     chars = F.array(d(rest), d(c["upper"]), d(c["digits"]), d(c["points"]), d(c["n_symbols"]), d(c["accents"]), d(c["n_chars"] - c["word_chars"]))
     words = F.transform(c["common"], d)
     other = d(c["n_words"]) - F.aggregate(words, F.lit(0.0), lambda s, x: s + x)
     base = [c[x].alias(x) for x in ("lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return rows.withColumn(name, F.struct(*base, chars.alias("chars"), F.concat(words, F.array(other)).alias("common"))).drop("_text", "_words", "_n", "_lang", "_c")
+    return rows.select(*named(x for x in kept if x != name), F.struct(*base, chars.alias("chars"), F.concat(words, F.array(other)).alias("common")).alias(name))
 
 
 def references(counted: DataFrame, name: str) -> DataFrame:
     """``(lang, ref_chars, ref_common)``: the histograms of a language, summed over all its documents."""
-    c = F.col(name)
+    c = F.col(quoted(name))
     both = F.concat(F.transform(c["chars"], lambda x: x), c["common"])
     cells = counted.select(c["lang"].alias("lang"), F.size(c["chars"]).alias("k"), F.posexplode(both).alias("at", "n"))
     sums = cells.groupBy("lang", "k", "at").agg(F.sum("n").alias("n"))
@@ -126,23 +125,22 @@ def judge_quality(
     fewer than 10 words, or if more than a fifth of its words lie in 5-word windows that it repeats. It is kept if it passes and, where it has words enough for
     the histogram (60 for characters, 100 for common words), is no farther from its language than the two limits.
 
-    A null text has no words and fails; a null language is a language of its own, with the common words of all. Repeated rows are judged each. An
-    empty table gives no rows. A column called ``name`` is replaced, all others are kept as they are.
+    A null text has no words and fails; a null language is a language of its own, with the common words of all. Whole texts of any length are judged, in the memory of the text and
+    its words. No result depends on an order, so ties do nothing. Repeated rows are judged each. An empty table gives no rows. A column called ``name`` is replaced, all others are kept as they are.
     """
     base = docs.drop(name)
     columns = [c for c in (keep or base.columns) if c != name]
-    counted = written(counts(base, text_col, lang_col, name).select(*(f"`{c}`" for c in columns), name), "counts")
+    counted = written(counts(base, text_col, lang_col, name).select(*named(columns), quoted(name)), "counts")
     refs = written(references(counted, name), "references")
-    if refs.limit(small_refs + 1).count() <= small_refs:
-        refs = F.broadcast(refs.withColumnRenamed("lang", "_lang"))
-    else:
-        refs = refs.withColumnRenamed("lang", "_lang")
-    c = F.col(name)
-    rows = counted.join(refs, c["lang"] == F.col("_lang"), "left")
+    g, ref_chars, ref_common, char, common = fresh(counted.columns, "lang_", "ref_chars_", "ref_common_", "char_", "common_")
+    small = refs.limit(small_refs + 1).count() <= small_refs
+    refs = refs.toDF(g, ref_chars, ref_common)
+    c = F.col(quoted(name))
+    rows = counted.join(F.broadcast(refs) if small else refs, c["lang"] == F.col(g), "left")
     failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
     near = lambda n, d, most: (c["n_words"] < n) | (d <= most)
-    rows = rows.withColumn("_char", distance(c["chars"], F.col("ref_chars"))).withColumn("_common", distance(c["common"], F.col("ref_common")))
-    kept = ~failed & near(MIN_CHAR_WORDS, F.col("_char"), MAX_CHAR_DISTANCE) & near(MIN_COMMON_WORDS, F.col("_common"), MAX_COMMON_DISTANCE)
+    rows = rows.withColumn(char, distance(c["chars"], F.col(ref_chars))).withColumn(common, distance(c["common"], F.col(ref_common)))
+    kept = ~failed & near(MIN_CHAR_WORDS, F.col(char), MAX_CHAR_DISTANCE) & near(MIN_COMMON_WORDS, F.col(common), MAX_COMMON_DISTANCE)
     base_fields = [c[x].alias(x) for x in ("lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    verdict = F.struct(*base_fields, F.col("_char").alias("char_distance"), F.col("_common").alias("common_distance"), failed.alias("base_failed"), kept.alias("kept"))
-    return rows.select(*(f"`{x}`" for x in columns), verdict.alias(name))
+    verdict = F.struct(*base_fields, F.col(char).alias("char_distance"), F.col(common).alias("common_distance"), failed.alias("base_failed"), kept.alias("kept"))
+    return rows.select(*named(columns), verdict.alias(name))

@@ -25,8 +25,10 @@ BUCKET_BITS, DIM, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
 TABLES = 4
 PAD = max(WIDTHS) - 1
 N_BUCKETS = 1 << BUCKET_BITS
-#: Labelled rows that are read for training at most. Calibration takes all.
-MAX_LABELLED = 6000
+#: Labelled rows, and words of them, that networks are trained on at most. Calibration takes all.
+MAX_LABELLED, MAX_WORDS = 6000, 6_000_000
+#: Words of one text that are embedded at a time.
+SPAN = 1 << 16
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Toxic labelled rows (of a language), below which 0.7 (the common threshold) holds.
 MIN_POSITIVES = 15
@@ -100,9 +102,20 @@ def pooled(net: Network, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def logits(net: Network, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if len(counts) == 1 and counts[0] > SPAN:  # a long text alone: the maximum over its parts, each of which also sees the words behind it
+        ends = [(s, min(s + SPAN, len(pairs))) for s in range(0, len(pairs), SPAN)]
+        parts = [np.concatenate([a[: e - s] for a in activations_of(net, pairs[s : e + PAD], e + PAD > len(pairs))], axis=1).max(axis=0) for s, e in ends]
+        return np.maximum(np.max(parts, axis=0), 0)[None] @ net.out + net.out_bias
     return pooled(net, pairs, counts) @ net.out + net.out_bias
 
 
+def activations_of(net: Network, pairs: np.ndarray, at_end: bool) -> list[np.ndarray]:
+    """The filters' values over a part of a text, with padding behind it where the text ends."""
+    if at_end:
+        pairs = np.concatenate([pairs, np.full((PAD, TABLES), N_BUCKETS, np.int32)])
+    return activations(net, embedded(net, pairs))
+
+
 def start_from_counts(net: Network, texts: list[np.ndarray], toxic: np.ndarray) -> None:
     """Sets the first number of each embedding by how far the toxic share of the texts with its bucket is from the common share."""
     share = toxic.mean()
@@ -237,10 +250,10 @@ def held_out(id_col: Column) -> Column:
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", label_col: str = "toxic", max_labelled: int = MAX_LABELLED,
 ) -> ToxicityModel:
-    """Trains on a sample of ``max_labelled`` labelled rows at most, those first by a hash of the id; held-out ids are left out.
+    """Trains on a sample of ``max_labelled`` labelled rows at most, those first by a hash of the id, without those that would bring it over MAX_WORDS words; held-out ids are left out.
 
     The score and the thresholds are calibrated on all labelled rows that are not held out: those of the sample are scored by networks trained on the
-    other four fifths of it, all others by the final network, which learns from four fifths of the sample. Whole texts are used. Null ids and
+    other four fifths of it, all others by the final network, which learns from four fifths of the sample. Whole texts of any length are used. Null ids and
     labels are left out; of several labels of an id the greatest counts, and of several rows one. No labelled rows: an untrained network whose scores are under 0.5.
     """
     spark = docs.sparkSession
@@ -249,8 +262,8 @@ def fit(
     one = one.groupBy("_id").agg(F.greatest(F.lit(0), F.least(F.lit(1), F.max("_y"))).alias("_y"))
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit("")
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang")).where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    sample = written(one.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled), "sample")
-    rows = named.join(F.broadcast(sample), "_id").dropDuplicates(["_id"])
+    first = written(one.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled), "first")
+    rows = named.join(F.broadcast(first), "_id").dropDuplicates(["_id"])
 
     def hashed(batches):
         for batch in batches:
@@ -258,7 +271,7 @@ def fit(
             for part in words.slices(batch.column(0), words.ALNUM):
                 pairs = bucket_numbers(part)
                 found = [pairs[a:b].tobytes() for a, b in zip(part.bounds[:-1], part.bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(n, len(found)) for k in (1, 2, 3)] + [pa.array(found, pa.binary())], names=["part", "lang", "y", "pairs"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(n, len(found)) for k in (1, 2, 3, 4)] + [pa.array(part.counts, pa.int64()), pa.array(found, pa.binary())], names=["_id", "part", "lang", "y", "n", "pairs"])
                 n += len(found)
 
     def trained(key, table):
@@ -270,8 +283,15 @@ def fit(
         return pa.Table.from_arrays([pa.array([r[k] for r in kept], kind) for k, kind in enumerate(kinds)], names=["net", "lang", "y", "z"])
 
     part = F.pmod(F.xxhash64(F.col("_id"), F.lit(1)), F.lit(FOLDS))
-    got = rows.select("_text", part.alias("part"), "_lang", "_y").mapInArrow(hashed, "part long, lang string, y int, pairs binary")
-    dealt = got.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+    kind = docs.schema[id_col].dataType.simpleString()
+    got = written(rows.select("_text", "_id", part.alias("part"), "_lang", "_y").mapInArrow(hashed, f"_id {kind}, part long, lang string, y int, n long, pairs binary"), "hashed")
+    total, chosen = 0, []
+    for r in got.select("_id", "n").orderBy(F.xxhash64("_id"), "_id").collect():  # max_labelled rows at most
+        if total + r.n <= MAX_WORDS:
+            total += r.n
+            chosen.append((r[0],))
+    sample = F.broadcast(spark.createDataFrame(chosen, f"_id {kind}"))
+    dealt = got.join(sample, "_id").select("part", "lang", "y", "pairs").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
     # the sample is bounded, and a task trains on all of it but one part
     nets = written(dealt.groupBy("fold").applyInArrow(trained, "net binary, lang string, y int, z double"), "networks")
     final = nets.where("net is not null").select("net").first()
@@ -286,7 +306,7 @@ def fit(
         return pa.array(np.concatenate([np.empty(0), *found]))
 
     # scores meet the labels without the texts
-    others = named.select("_id", "_lang", logit("_text").alias("_z")).join(one.join(F.broadcast(sample.select("_id")), "_id", "left_anti"), "_id")
+    others = named.select("_id", "_lang", logit("_text").alias("_z")).join(one.join(sample, "_id", "left_anti"), "_id")
     others = others.groupBy("_id").agg(F.min(F.struct("_lang", "_z")).alias("_row"), F.max("_y").alias("_y"))
     logged = nets.where("net is null").select("lang", "y", "z").union(others.select("_row._lang", "_y", "_row._z"))
     return calibrated(net, written(logged, "logits"))

@@ -17,9 +17,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from motility.llm.common import ascii_lower, written
+from motility.llm.common import ascii_lower, fresh, named, quoted, written
 
 RANGE_RULES, SHARE_URLS = 50_000, 100_000
 
@@ -92,12 +91,12 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     ``default`` holds where none fits. A null url, or one without ``://``, has an empty host and path.
 
     Hosts of rules are lower-cased; rules with a null host are left out, a null path is ``/``, a null verdict is the default. Of rules with the
-    same host and path, the least verdict in the alphabet holds. Repeated urls are judged each; empty tables do no harm. Columns of ``urls`` with the
+    same host and path, the least verdict in the alphabet holds. Repeated urls are judged each; empty tables do no harm. Urls of any length are taken whole. Columns of ``urls`` with the
     added names are replaced.
     """
     urls = urls.drop("host", "path", "rule", "verdict")
     clean = rules.where("host is not null").groupBy(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("/")).alias("path")).agg(F.coalesce(F.min("verdict"), F.lit(default)).alias("verdict"))
-    rows = urls.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
+    rows = urls.withColumn("host", host_of(F.col(quoted(url_col)))).withColumn("path", path_of(F.col(quoted(url_col))))
     if clean.limit(broadcast_rows + 1).count() <= broadcast_rows:
         kept = [tuple(r) for r in clean.collect()]
         sent = urls.sparkSession.sparkContext.broadcast((nested_hosts([(h, p, i) for i, (h, p, _) in enumerate(kept)]), [h + p for h, p, _ in kept], [v for *_, v in kept]))
@@ -108,7 +107,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
             at = sweep(hosts.tolist(), paths.tolist(), nested)
             return pd.DataFrame({"rule": [names[i] if i >= 0 else None for i in at], "verdict": [verdicts[i] if i >= 0 else default for i in at]}, dtype=object)
 
-        return rows.withColumn("_found", found("host", "path")).select(*(f"`{c}`" for c in rows.columns), "_found.rule", "_found.verdict")
+        (f,) = fresh(rows.columns, "found")
+        return rows.withColumn(f, found("host", "path")).select(*named(rows.columns), f"{f}.rule", f"{f}.verdict")
     return _by_ranges(rows, clean, default)
 
 
@@ -129,18 +129,20 @@ def _by_ranges(rows: DataFrame, clean: DataFrame, default: str) -> DataFrame:
         firsts, numbers = begins.value
         return keys.map(lambda k: numbers[max(0, bisect.bisect_right(firsts, k) - 1)])
 
-    at = written(rows.select(*(f"`{c}`" for c in rows.columns), range_of(key).alias("_range")), "urls")
-    shares = at.groupBy("_range").agg(F.ceil(F.count("*") / SHARE_URLS).cast("int").alias("_shares"))
-    shares = written(shares, "shares")
-    dealt = at.join(F.broadcast(shares), "_range").withColumn("_share", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_shares")).cast("int")).drop("_shares")
-    spread = all_rules.join(F.broadcast(shares), F.col("range") == F.col("_range")).select("host", "path", "verdict", "_range", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
+    row, key_ = fresh(rows.columns, "row", "key")
+    # row numbers hold once they are written; only hosts and paths go through the sweep
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "urls")
+    at = rows.select(F.col(row).alias("row"), "host", "path", range_of(key).alias("range"))
+    shares = written(at.groupBy("range").agg(F.ceil(F.count("*") / SHARE_URLS).cast("int").alias("shares")), "shares")
+    dealt = at.join(F.broadcast(shares), "range").withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int")).drop("shares")
+    spread = all_rules.join(F.broadcast(shares), "range").select("host", "path", "verdict", "range", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["host", "path"], ignore_index=True)
         found = sweep(left["host"].tolist(), left["path"].tolist(), nested_hosts(list(zip(right["host"], right["path"], range(len(right)), strict=True))))
-        left = left.drop(columns=["_range", "_share"])
         names, verdicts = (right["host"] + right["path"]).tolist(), right["verdict"].tolist()
-        return left.assign(rule=[names[i] if i >= 0 else None for i in found], verdict=[verdicts[i] if i >= 0 else default for i in found])
+        return pd.DataFrame({"key": left["row"], "rule": [names[i] if i >= 0 else None for i in found], "verdict": [verdicts[i] if i >= 0 else default for i in found]}).astype({"rule": object, "verdict": object})
 
-    out = T.StructType([*rows.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
-    return dealt.groupBy("_range", "_share").cogroup(spread.groupBy("_range", "_share")).applyInPandas(run, out)
+    judged = dealt.groupBy("range", "share").cogroup(spread.groupBy("range", "share")).applyInPandas(run, "key long, rule string, verdict string")
+    kept = [c for c in rows.columns if c != row]
+    return rows.join(judged.toDF(key_, "rule", "verdict"), F.col(row) == F.col(key_)).select(*named(kept), "rule", "verdict")

@@ -650,7 +650,8 @@ def test_documents_on_one_template_meet_only_where_they_may_be_alike(spark, monk
     """Buckets with many members that aren't alike, among them a few that are linked to members that aren't the centre."""
     from motility.llm import near_dedup
 
-    monkeypatch.setattr(near_dedup, "SHARE", 20)  # hot keys are dealt to several tasks
+    monkeypatch.setattr(near_dedup, "SHARE", 40)  # hot keys are dealt to several tasks
+    monkeypatch.setattr(near_dedup, "BLOCK", 30)
     rng = random.Random(6)
     base = [f"t{i}" for i in range(80)]
     rows = []
