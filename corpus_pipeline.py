@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motility.llm import toxicity
-from motility.llm.common import written
+from motility.llm.common import fresh, written
 from motility.llm.decontaminate import find_leaks
 from motility.llm.near_dedup import drop_near_duplicates
 from motility.llm.packing import pack
@@ -22,14 +22,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under the threshold of their language stay; the classifier learns from the labels of ``docs``."""
+    """Documents whose toxicity is under the threshold of their language stay; the classifier learns from the labels of ``docs``.
+
+    Null and empty texts are scored as texts without words; a null language has the common threshold. Long texts are scored whole. Every row is judged, repeated ones
+    alike; a score at the threshold is over it. Columns of any name are kept; an empty table stays empty.
+    """
+    (name,) = fresh(docs.columns, "toxicity")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return model.scored(docs, name="_toxicity").where("not _toxicity.flagged").drop("_toxicity")
+    return model.scored(docs, name=name).where(~F.col(f"{name}.flagged")).drop(name)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules stay."""
-    return judge_quality(docs, name="_quality").where("_quality.kept").drop("_quality")
+    """Documents that pass the quality rules stay.
+
+    Null, empty and other texts of fewer than ten words go. Long texts are judged whole. Every row is judged, repeated ones alike; a distance at its limit passes. Columns of any
+    name are kept; an empty table stays empty.
+    """
+    (name,) = fresh(docs.columns, "quality")
+    return judge_quality(docs, name=name).where(F.col(f"{name}.kept")).drop(name)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +52,21 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item stay."""
-    return find_leaks(docs, _table(spark, sf_dir, "benchmark"), name="_leak").where("not _leak.contaminated").drop("_leak")
+    """Documents without a window of a benchmark item stay.
+
+    Null and empty texts, and all where the benchmark is empty, stay. Long texts are searched whole. Every row is judged, repeated ones alike, and no tie matters. Columns of any
+    name are kept; an empty table stays empty.
+    """
+    (name,) = fresh(docs.columns, "leak")
+    return find_leaks(docs, _table(spark, sf_dir, "benchmark"), name=name).where(~F.col(f"{name}.contaminated")).drop(name)
 
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, as pieces of sequences with their token ids."""
+    """All that is left, as pieces of sequences with their token ids.
+
+    Null and empty texts are an end id; long texts are tokenized whole. Rows with null or repeated ids are packed each; equal pieces are numbered in any order. Columns
+    other than id and text are ignored; an empty table gives no rows.
+    """
     return pack(docs)
 
 
