@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motility.sources.tables import stored
+
 
 def union_selected(tables: Sequence[DataFrame], label: str = "selected") -> DataFrame:
     """The selected rows of all tables, by column name."""
@@ -46,10 +48,11 @@ def to_long(df: DataFrame, ids: Sequence[str], features: str = "features") -> Da
 
 def kmeans(df: DataFrame, k: int, seed: int = 1, replicates: int = 10, features: str = "features", max_iter: int = 50) -> tuple[DataFrame, DataFrame, float]:
     """The best of ``replicates`` K-means fits: ``(rows with cluster, centroids, cost)``. Clusters count from 1."""
-    vectors = df.withColumn("_v", array_to_vector(features)).cache()
+    vectors = df.withColumn("_v", array_to_vector(features)).persist()
     best = min((KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_v", predictionCol="_c").fit(vectors) for i in range(replicates)), key=lambda m: m.summary.trainingCost)
     centroids = df.sparkSession.createDataFrame([(i + 1, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())], "cluster long, centroid array<double>")
-    rows = best.transform(vectors).withColumn("cluster", (F.col("_c") + 1).cast("long")).drop("_v", "_c")
+    vectors.unpersist()
+    rows = best.transform(df.withColumn("_v", array_to_vector(features))).withColumn("cluster", (F.col("_c") + 1).cast("long")).drop("_v", "_c")
     return rows, centroids, float(best.summary.trainingCost)
 
 
@@ -79,6 +82,32 @@ def select_k(criterion: DataFrame) -> DataFrame:
     return inner.agg(F.coalesce(F.min_by("k", F.struct("value", "k")), F.lit(1).cast("long")).alias("k"))
 
 
+def worst_overlaps(clusterings: DataFrame, by: str = "grp") -> DataFrame:
+    """``(k, value)``: the greatest histogram intersection of any two groups, for each clustering ``(k, by, cluster)`` of the same rows."""
+    counts = clusterings.groupBy("k", by, "cluster").agg(F.count("*").alias("n"))
+    share = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("k", by)))
+    side = lambda n: share.select("k", "cluster", F.col(by).alias(n), F.col("share").alias(f"s{n}"))
+    groups = counts.select("k", by).distinct()
+    pairs = groups.select("k", F.col(by).alias("a")).join(groups.select("k", F.col(by).alias("b")), "k").where("a < b")
+    shared = side("a").join(side("b"), ["k", "cluster"]).where("a < b").groupBy("k", "a", "b").agg(F.sum(F.least("sa", "sb")).alias("overlap"))
+    return pairs.join(shared, ["k", "a", "b"], "left").groupBy("k").agg(F.max(F.coalesce("overlap", F.lit(0.0))).alias("value"))
+
+
+def choose_behaviors(rows: DataFrame, ks: Sequence[int] = range(2, 11), restarts: int = 10, seed: int = 1, by: str = "grp", features: str = "features") -> tuple[DataFrame, DataFrame, int]:
+    """The sweep over the number of clusters: ``(rows with cluster, centroids, k)``.
+
+    For each k a fit (with one seed) gives the histograms of the groups; the k at the first least local minimum of the greatest intersection of two groups is fitted anew with ``restarts`` seeds. Only
+    ``by`` and the cluster are kept of a sweep's fits, so the rows are read once per fit and written once per sweep.
+    """
+    tried = []
+    for k in ks:
+        fitted, _, _ = kmeans(rows, k, seed, 1, features)
+        tried.append(fitted.select(F.lit(k).cast("long").alias("k"), by, "cluster"))
+    chosen = int(select_k(worst_overlaps(stored(reduce(DataFrame.unionByName, tried), "sweep"), by)).first()["k"])
+    fitted, centroids, _ = kmeans(rows, max(2, chosen), seed, restarts, features)
+    return fitted, centroids, chosen
+
+
 def assign_nearest_centroid(long: DataFrame, centroids: DataFrame) -> DataFrame:
     """``(row_id, cluster)``: the nearest of ``centroids(cluster, feature, centre)``; of equal ones the least."""
     gap = F.col("value") - F.col("centre")

@@ -39,14 +39,39 @@ def _product(columns) -> Column:
     return out
 
 
+def in_cells(boxes: DataFrame, size: tuple[float, float], extra: float = 0.0) -> DataFrame:
+    """A row for each cell ``_cy, _cx`` of a grid in y and x that a box reaches into; ``extra`` is added to its far sides."""
+    at = lambda c, s: F.floor(F.col(c) / F.lit(s))
+    reach = lambda lo, hi, s: F.sequence(at(lo, s), F.greatest(at(lo, s), F.floor((F.col(hi) + extra) / F.lit(s))))
+    whole = boxes.where(" and ".join(f"{c} is not null" for pair in SIDES[:2] for c in pair))
+    return whole.withColumn("_cy", F.explode(reach("y1", "y2", size[0]))).withColumn("_cx", F.explode(reach("x1", "x2", size[1])))
+
+
+def cell_size(*tables: DataFrame) -> tuple[float, float]:
+    """Twice the mean sides in y and x, so that a usual box reaches into four cells at most and a huge one into many."""
+    sides = tables[0].select("y1", "y2", "x1", "x2")
+    for t in tables[1:]:
+        sides = sides.unionByName(t.select("y1", "y2", "x1", "x2"))
+    mean = sides.agg(F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("y"), F.avg(F.abs(F.col("x2") - F.col("x1"))).alias("x")).first()
+    return max(1.0, 2 * (mean.y or 0.0)), max(1.0, 2 * (mean.x or 0.0))
+
+
 def box_iou(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, mode: str = "half_open", flat: bool = False, box_id: str = "box_id") -> DataFrame:
-    """``(keys, box_a, box_b, iou)`` of the pairs of boxes of one volume that overlap; ``inclusive`` sides add one; ``flat`` leaves z out."""
+    """``(keys, box_a, box_b, iou)`` of the pairs of boxes of one volume that overlap; ``inclusive`` sides add one; ``flat`` leaves z out.
+
+    Boxes meet in the cells of a grid in y and x, and a pair counts in the first cell that both reach into. Boxes with a null side overlap nothing.
+    """
     sides = SIDES[:2] if flat else SIDES
     extra = {"half_open": 0.0, "inclusive": 1.0}[mode]
+    size = cell_size(a, b)
+    columns = [*keys, box_id, *(c for pair in sides for c in pair)]
+    a, b = (in_cells(t.select(*columns), size, extra) for t in (a, b))
     both, va, vb = _overlap(sides, extra)
-    meet = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    meet = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "_cy", "_cx")]
     for lo, hi in sides:
         meet += [F.col(f"a.{lo}") < F.col(f"b.{hi}") + extra, F.col(f"b.{lo}") < F.col(f"a.{hi}") + extra]
+    for c, lo, s in (("_cy", "y1", size[0]), ("_cx", "x1", size[1])):
+        meet.append(F.col(f"a.{c}") == F.floor(F.greatest(f"a.{lo}", f"b.{lo}") / F.lit(s)))
     joined = a.alias("a").join(b.alias("b"), meet).select(*(F.col(f"a.{k}") for k in keys), F.col(f"a.{box_id}").alias("box_a"), F.col(f"b.{box_id}").alias("box_b"), both.alias("_i"), va.alias("_a"), vb.alias("_b"))
     return joined.where("_i > 0").withColumn("iou", F.col("_i") / (F.col("_a") + F.col("_b") - F.col("_i"))).drop("_i", "_a", "_b")
 
@@ -62,14 +87,16 @@ def mask_iou_by_plane(pred: DataFrame, truth: DataFrame, keys: Sequence[str] = K
 def label_detections(boxes: DataFrame, pred: DataFrame, truth: DataFrame, keys: Sequence[str] = KEYS, thr: float = 0.5, box_id: str = "box_id") -> DataFrame:
     """Adds ``true_label``: 1 if the IoU of the two masks inside the box is above ``thr``; without truth in the box it is 0.
 
-    Boxes are half open, and negative corners count as 0.
+    Boxes are half open, and negative corners count as 0. Boxes are dealt to the cells of a grid, and each voxel meets those of its cell.
     """
+    size = cell_size(boxes)
     side = lambda df, name: df.select(*keys, *VOXEL).distinct().withColumn(name, F.lit(1))
     voxels = side(pred, "p").join(side(truth, "q"), [*keys, *VOXEL], "full").withColumnsRenamed({k: f"_{k}" for k in keys})
-    inside = [F.col(k) == F.col(f"_{k}") for k in keys]
+    voxels = voxels.withColumn("_vy", F.floor(F.col("y") / F.lit(size[0]))).withColumn("_vx", F.floor(F.col("x") / F.lit(size[1])))
+    inside = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_cy") == F.col("_vy"), F.col("_cx") == F.col("_vx")]
     for a in VOXEL:
         inside += [F.col(a) >= F.greatest(F.lit(0), F.floor(F.col(f"{a}1"))), F.col(a) < F.greatest(F.lit(0), F.floor(F.col(f"{a}2")))]
-    hit = boxes.join(voxels, inside).groupBy(box_id).agg(F.count(F.when(F.col("p").isNotNull() & F.col("q").isNotNull(), 1)).alias("_i"), F.count("*").alias("_u"), F.count("q").alias("_q"))
+    hit = in_cells(boxes, size).join(voxels, inside).groupBy(box_id).agg(F.count(F.when(F.col("p").isNotNull() & F.col("q").isNotNull(), 1)).alias("_i"), F.count("*").alias("_u"), F.count("q").alias("_q"))
     true = F.when((F.col("_q") > 0) & (F.col("_i") / F.col("_u") > thr), 1).otherwise(0)
     return boxes.join(hit, box_id, "left").withColumn("true_label", F.coalesce(true, F.lit(0)).cast("long")).drop("_i", "_u", "_q")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from motility.operators.behaviors import davies_bouldin
 from motility.operators.detections import roc_auc
+from motility.sources.tables import stored
 
 POINTS = 10_001
 
@@ -89,20 +90,25 @@ def best_division(long: DataFrame, moments: DataFrame, clusters: Sequence[int],
     mask = divisions(moments, clusters, points).orderBy(F.round("ovl", 9), "mask").first()["mask"]
     one = [c for i, c in enumerate(clusters) if mask >> i & 1]
     rest = [c for c in clusters if c not in one]
-    mine = long.where(F.col("cluster").isin(clusters))
-    split = davies_bouldin(mine.withColumn("cluster", F.col("cluster").isin(one).cast("long"))).first()[0]
-    whole = davies_bouldin(mine).first()[0]
+    split, whole = split_indices(long, one, clusters)
     if len(clusters) > 2 and not split < whole:
         return None
     return (one, rest) if len(one) <= len(rest) else (rest, one)
 
 
+def split_indices(long: DataFrame, one: Sequence[int], clusters: Sequence[int]) -> tuple[float, float]:
+    """The Davies-Bouldin index of the clusters in two parts, ``one`` and the rest, and that of the clusters."""
+    mine = long.where(F.col("cluster").isin(list(clusters)))
+    split = davies_bouldin(mine.withColumn("cluster", F.col("cluster").isin(list(one)).cast("long"))).first()[0]
+    return split, davies_bouldin(mine).first()[0]
+
+
 def build_hierarchy(long: DataFrame, clusters: Sequence[int], points: int = 1000) -> DataFrame:
     """``(node, cluster, side)``: nodes from 1; side is 1, 0, or -1 for a cluster that the node leaves out.
 
     The best division is repeated on each side. Where it is refused, each cluster is set against the rest. At most 2K - 1 divisions are tried.
     """
-    moments = cluster_moments(long).cache()
+    moments = stored(cluster_moments(long), "moments")
     nodes: list[tuple[list[int], list[int]]] = []
     work = [sorted(clusters)]
     while work:
@@ -119,10 +125,14 @@ def build_hierarchy(long: DataFrame, clusters: Sequence[int], points: int = 1000
     return long.sparkSession.createDataFrame(rows, "node long, cluster long, side long")
 
 
-def l1_path(rows: DataFrame, lambdas: Sequence[float], features: str = "features", label: str = "side", max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
+#: The default path: 101 values from 0.001 to 1, evenly spaced by their logarithm.
+LAMBDAS = tuple(10 ** (-3 + 3 * i / 100) for i in range(101))
+
+
+def l1_path(rows: DataFrame, lambdas: Sequence[float] = LAMBDAS, features: str = "features", label: str = "side", max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
     """L1 logistic models of side 1 against side 0 for each lambda: ``(lambda, auc, nonzero)`` and ``(lambda, feature, weight)``. Features are standardised already."""
     spark = rows.sparkSession
-    data = rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias("label"), array_to_vector(features).alias("features")).cache()
+    data = rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias("label"), array_to_vector(features).alias("features")).persist()
     path, weights = [], []
     for lam in lambdas:
         model = LogisticRegression(regParam=float(lam), elasticNetParam=1.0, standardization=False, maxIter=max_iter).fit(data)
@@ -131,6 +141,7 @@ def l1_path(rows: DataFrame, lambdas: Sequence[float], features: str = "features
         values = model.coefficients.toArray()
         path.append((float(lam), float(auc), int((abs(values) > 1e-9).sum())))
         weights += [(float(lam), i, float(w)) for i, w in enumerate(values)]
+    data.unpersist()
     return spark.createDataFrame(path, "lambda double, auc double, nonzero long"), spark.createDataFrame(weights, "lambda double, feature long, weight double")
 
 
@@ -194,7 +205,7 @@ def forward_selection(long: DataFrame, candidates: Sequence[int], tol: float = 0
     single = parts[0]
     for p in parts[1:]:
         single = single.unionByName(p)
-    single = single.cache()
+    single = stored(single, "distances")
     chosen: list[int] = []
     error = 1.0
     while len(chosen) < len(candidates):

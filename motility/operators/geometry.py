@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motility.operators.voxels import KEYS, VOXEL
-from motility.sources.tables import spread
+from motility.sources.tables import spread, stored
 
 TARGET = ("tz", "ty", "tx")
 
@@ -32,21 +32,26 @@ def _nearest(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
 def nearest_point(points: DataFrame, targets: DataFrame, keys: Sequence[str] = KEYS, point_id: str = "label", cell: float | None = None) -> DataFrame:
     """The nearest target of each point of the same volume: ``(keys, point_id, z, y, x, tz, ty, tx, distance)``; of equal ones the least.
 
-    With ``cell``, points are first held only against the targets in their own and the neighbouring cells of a grid of that size. A target found within one cell
-    length is the nearest; the other points are then held against all targets.
+    With ``cell``, points are held only against the targets in their own and the neighbouring cells of a grid of that size. A target found within one cell
+    length is the nearest; the points left are held against a grid four times as wide, and so on, each step written to the shared folder. Points of volumes without targets have no row.
     """
     group = [*keys, point_id, *VOXEL]
     points = points.select(group)
     named = targets.select(*keys, *(F.col(v).alias(t) for v, t in zip(VOXEL, TARGET, strict=True)))
     if cell is None:
         return _nearest(points.join(named, list(keys)), group)
-    at = lambda c: F.floor(F.col(c) / F.lit(cell))
     steps = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((a, b, c), "abc", strict=True))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
-    boxed = named.select("*", *(at(t).alias(f"g{t}") for t in TARGET))
-    spread = points.withColumn("_s", F.explode(steps)).select(*group, *((at(v) + F.col(f"_s.{s}")).alias(f"g{t}") for v, t, s in zip(VOXEL, TARGET, "abc", strict=True)))
-    near = _nearest(spread.join(boxed, [*keys, *(f"g{t}" for t in TARGET)]), group).where(F.col("distance") <= cell)
-    rest = points.join(near.select(group), group, "left_anti")
-    return near.unionByName(_nearest(rest.join(named, list(keys)), group))
+    rest = points.join(named.select(*keys).distinct(), list(keys), "left_semi")
+    found = None
+    while found is None or not rest.isEmpty():
+        at = lambda c, size=cell: F.floor(F.col(c) / F.lit(size))
+        boxed = named.select("*", *(at(t).alias(f"g{t}") for t in TARGET))
+        around = rest.withColumn("_s", F.explode(steps)).select(*group, *((at(v) + F.col(f"_s.{s}")).alias(f"g{t}") for v, t, s in zip(VOXEL, TARGET, "abc", strict=True)))
+        near = stored(_nearest(around.join(boxed, [*keys, *(f"g{t}" for t in TARGET)]), group).where(F.col("distance") <= cell), "nearest")
+        rest = stored(rest.join(near.select(group), group, "left_anti"), "points")
+        found = near if found is None else found.unionByName(near)
+        cell *= 4
+    return found
 
 
 def min_distance(voxels: DataFrame, surface: DataFrame, keys: Sequence[str] = KEYS, label: str = "label", cell: float | None = None) -> DataFrame:

@@ -30,10 +30,10 @@ def match_nodes(detections: DataFrame, nodes: DataFrame, keys: Sequence[str] = (
     return best.select(*keys, det_id, (-F.col("m.n")).alias("node_id"), F.sqrt("m._d").alias("distance"))
 
 
-def link_detections(nodes: DataFrame, keys: Sequence[str] = CAPTURE, cost_none: float = 20.0, properties: Sequence[str] = ("vol",)) -> DataFrame:
+def link_detections(nodes: DataFrame, keys: Sequence[str] = CAPTURE, cost_none: float = 20.0, properties: Sequence[str] = ("vol", "diameter", "surface")) -> DataFrame:
     """Links nodes into tracks: ``(keys, track_id, t, node_id)``.
 
-    Nodes need ``node_id, t, y, x, z, dy, dx, dz`` and the properties. Frames of a capture are folded in order, so a capture is the unit of work; captures run
+    Nodes need ``node_id, t, y, x, z, dy, dx, dz`` and the properties, whose ratios gate a link. Frames of a capture are folded in order, so a capture is the unit of work; captures run
     in parallel, and no time-ordered method can split one.
     """
     types = dict(nodes.dtypes)
@@ -188,29 +188,59 @@ def filter_short_tracks(tracks: DataFrame, keys: Sequence[str] = CAPTURE, min_le
     return tracks.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "track_id"))).where(F.col("_n") > min_len).drop("_n")
 
 
-def repaired(nodes: DataFrame, tracks: DataFrame, keys: Sequence[str] = CAPTURE, min_len: int = 10) -> DataFrame:
-    """Nodes with the volumes, boxes and places of outliers replaced by those of the nearest valid node of their track."""
-    marked = track_outliers(tracks.join(nodes, [*keys, "t", "node_id"]), keys, min_len)
-    near = nearest_valid_frame(marked.where("outlier is not null"), marked.where("outlier is null"), keys)
-    shape = ["vol", "dx", "dy", "dz"]
-    ref = nodes.select(*keys, F.col("node_id").alias("ref_node"), *(F.col(c).alias(f"_{c}") for c in shape))
-    fixed = near.join(ref, [*keys, "ref_node"]).select(*keys, "node_id", *(f"_{c}" for c in shape))
-    return nodes.join(fixed, [*keys, "node_id"], "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in shape}).drop(*(f"_{c}" for c in shape))
+def resegmented(voxels: DataFrame, nodes: DataFrame, tracks: DataFrame, keys: Sequence[str] = ("capture",), label: str = "label", min_len: int = 10, min_voxels: int = 110) -> DataFrame:
+    """The voxels with the regions of outliers cut and joined anew, after the nearest valid frame of their track.
+
+    ``nodes`` has ``node_id, label``, places, corners ``z_lo, y_lo, x_lo``, sides and ``vol``. An agglomeration is split among the centroids of that frame that lie in its box, if there are two or
+    more; parts of ``min_voxels`` or fewer are dropped. A separation is joined with the regions of its frame whose projection along z meets that of the valid region, unless they are valid nodes of other
+    tracks of more than ``min_len`` nodes; a region that meets several goes to the one it shares most with. Of what was joined, the largest component is kept.
+    """
+    from motility.operators.regions import keep_largest, label_components, label_overlaps, partition_by_seed
 
+    frame = [*keys, "t"]
+    marked = stored(track_outliers(tracks.select(*frame, "track_id", "node_id").join(nodes, [*frame, "node_id"]), keys, min_len), "marked")
+    near = nearest_valid_frame(marked.where("outlier is not null"), marked.where("outlier is null"), keys)
+    odd = stored(near.join(marked.where("outlier is not null").select(*keys, "node_id", "outlier", label, *(f"{a}_lo" for a in "zyx"), *(f"d{a}" for a in "zyx")), [*keys, "node_id"]), "odd")
 
-def three_pass(voxels: DataFrame, keys: Sequence[str] = ("capture",), label: str = "label", cost_none: float = 20.0, min_len: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Links, splits regions that several tracks claim, links again, evens out outliers, links a last time: ``(track nodes, track measures)``.
+    ref = nodes.select(*keys, F.col("t").alias("ref_t"), F.col("node_id").alias("seed"), *(F.col(a).alias(f"s{a}") for a in "zyx"))
+    seeds = odd.where("outlier = 'agglomeration'").join(ref, [*keys, "ref_t"])
+    for a in "zyx":
+        seeds = seeds.where(F.col(f"s{a}").between(F.col(f"{a}_lo"), F.col(f"{a}_lo") + F.col(f"d{a}")))
+    seeds = seeds.withColumn("_n", F.count("*").over(Window.partitionBy(*frame, label))).where("_n > 1").select(*frame, label, "seed", "sz", "sy", "sx")
+    parts = stored(partition_by_seed(voxels, seeds, frame, label).select(*frame, *"zyx", label, "seed"), "parts")
+    large = parts.withColumn("_n", F.count("*").over(Window.partitionBy(*frame, label, "seed"))).where(F.col("_n") > min_voxels).drop("_n")
+
+    # references and pieces are projections along z: the valid region, moved to the frame of the outlier, and the regions of that frame
+    cut_short = odd.where("outlier = 'separation'")
+    valid = voxels.join(nodes.select(*frame, label, F.col("node_id").alias("ref_node")), [*frame, label]).select(*keys, F.col("t").alias("ref_t"), "ref_node", *"zyx")
+    shape = cut_short.select(*keys, "t", "ref_t", "ref_node", F.col(label).alias("_own")).join(valid, [*keys, "ref_t", "ref_node"]).select(*frame, *"zyx", F.col("_own").alias(label))
+    long_tracks = marked.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "track_id"))).where(F.col("outlier").isNull() & (F.col("_n") > min_len))
+    free = voxels.join(cut_short.select(*frame).distinct(), frame, "left_semi").join(long_tracks.select(*frame, label), [*frame, label], "left_anti").join(parts.select(*frame, label).distinct(), [*frame, label], "left_anti")
+    meets = label_overlaps(free, shape, frame, "z", label).groupBy(*frame, F.col("la").alias(label)).agg(F.min_by("lb", F.struct(-F.col("inter"), "lb")).alias("_to"))
+    joined = stored(free.join(meets, [*frame, label]).select(*frame, *"zyx", label, "_to"), "joined")
+    whole = label_components(joined.select(*frame, *"zyx", F.col("_to").alias(label)), [*frame, label])
+    whole = keep_largest(whole, [*frame, label], "component")
+
+    touched = parts.select(*frame, label).unionByName(joined.select(*frame, label)).distinct()
+    rest = voxels.join(touched, [*frame, label], "left_anti").select(*frame, *"zyx", F.col(label).cast("long").alias(label))
+    split = large.select(*frame, *"zyx", F.xxhash64(label, "seed").alias(label))  # a label of its own for each part
+    return rest.unionByName(split).unionByName(whole.select(rest.columns))
+
+
+def three_pass(voxels: DataFrame, keys: Sequence[str] = ("capture",), label: str = "label", cost_none: float = 20.0, min_len: int = 10, min_voxels: int = 110) -> tuple[DataFrame, DataFrame]:
+    """Links, splits regions that several tracks claim, links again, cuts and joins the regions of outliers anew, links a last time: ``(track nodes, track measures)``.
 
     First pass: regions become nodes and are linked. A region where a track ends beside another one (``collisions``) is split among the last places of both. The new regions
-    are linked, nodes that stand out in their track take the shape of the nearest valid one, and the last links give the measures. Each pass is one shuffle by capture.
+    are linked, ``resegmented`` mends those that stand out in their track, and the last links give the measures. Each pass is a few shuffles by capture.
     """
-    from motility.operators.regions import build_nodes, partition_by_seed, region_moments
+    from motility.operators.regions import build_nodes, partition_by_seed, region_moments, surface_area
 
     frame = [*keys, "t"]
 
     def nodes_of(v: DataFrame) -> DataFrame:
         m = build_nodes(region_moments(v, frame, label), keys, "t", label)
-        return m.select(*frame, label, "node_id", F.col("cz").alias("z"), F.col("cy").alias("y"), F.col("cx").alias("x"), *(F.col(f"d{a}").cast("double").alias(f"d{a}") for a in "zyx"), F.col("volume").cast("double").alias("vol"))
+        m = m.join(surface_area(v, frame, label), [*frame, label])
+        return m.select(*frame, label, "node_id", "surface", "diameter", *(f"{a}_lo" for a in "zyx"), F.col("cz").alias("z"), F.col("cy").alias("y"), F.col("cx").alias("x"), *(F.col(f"d{a}").cast("double").alias(f"d{a}") for a in "zyx"), F.col("volume").cast("double").alias("vol"))
 
     first = stored(nodes_of(voxels), "nodes")
     full = stored(link_detections(first, keys, cost_none).join(first, [*frame, "node_id"]), "tracks")
@@ -229,6 +259,7 @@ def three_pass(voxels: DataFrame, keys: Sequence[str] = ("capture",), label: str
     # a label of its own for each part: the seed stands above the old label
     again = whole.unionByName(split).withColumn(label, F.col("seed") * F.lit(1 << 32) + F.col(label)).drop("seed")
     second = stored(nodes_of(again), "nodes")
-    third = stored(repaired(second, stored(link_detections(second, keys, cost_none), "tracks"), keys, min_len), "nodes")
+    mended = stored(resegmented(stored(again, "voxels"), second, stored(link_detections(second, keys, cost_none), "tracks"), keys, label, min_len, min_voxels), "voxels")
+    third = stored(nodes_of(mended), "nodes")
     final = stored(link_detections(third, keys, cost_none).join(third, [*frame, "node_id"]), "tracks")
     return final, distance_network(final, keys)

@@ -95,11 +95,15 @@ def softmax_argmax(df: DataFrame, logits: Sequence[str]) -> DataFrame:
 def paint_boxes(voxels: DataFrame, boxes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds ``paint``: the product of the scores of the boxes that hold a voxel, 1 without any. Box sides are included.
 
-    A range join behind the equal keys; where boxes are few, Spark broadcasts them by their size.
+    Boxes are dealt to the cells of a grid in y and x, and each voxel meets those of its own cell only.
     """
-    b = boxes.select(*(F.col(k).alias(f"_{k}") for k in keys), "y1", "x1", "z1", "y2", "x2", "z2", F.col("score").alias("_score"))
-    inside = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(a).between(F.col(f"{a}1"), F.col(f"{a}2")) for a in VOXEL]
-    hit = voxels.select(*keys, *VOXEL).join(b, inside).groupBy(*keys, *VOXEL).agg(F.product("_score").alias("paint"))
+    from motility.operators.detections import cell_size, in_cells
+
+    size = cell_size(boxes)
+    b = in_cells(boxes, size).select(*(F.col(k).alias(f"_{k}") for k in keys), "y1", "x1", "z1", "y2", "x2", "z2", "_cy", "_cx", F.col("score").alias("_score"))
+    at = voxels.select(*keys, *VOXEL).withColumn("_vy", F.floor(F.col("y") / F.lit(size[0]))).withColumn("_vx", F.floor(F.col("x") / F.lit(size[1])))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_vy") == F.col("_cy"), F.col("_vx") == F.col("_cx")]
+    hit = at.join(b, same + [F.col(a).between(F.col(f"{a}1"), F.col(f"{a}2")) for a in VOXEL]).groupBy(*keys, *VOXEL).agg(F.product("_score").alias("paint"))
     return voxels.join(hit, [*keys, *VOXEL], "left").withColumn("paint", F.coalesce("paint", F.lit(1.0)))
 
 

@@ -41,13 +41,13 @@ VIEWS = {
         WHERE z BETWEEN 0 AND 15 AND y BETWEEN 0 AND 69 AND x BETWEEN 0 AND 69
         GROUP BY capture, t, z, y, x""",
     "grid": """
-        SELECT CAST(o_orderkey % 3 AS BIGINT) AS capture, CAST(1 AS BIGINT) AS t, CAST((o_orderkey // 192) % 26 AS BIGINT) AS z, CAST((o_orderkey // 3) % 8 AS BIGINT) AS y,
+        SELECT CAST(o_orderkey % 3 AS BIGINT) AS capture, CAST(1 + o_orderkey // 4992 AS BIGINT) AS t, CAST((o_orderkey // 192) % 26 AS BIGINT) AS z, CAST((o_orderkey // 3) % 8 AS BIGINT) AS y,
                CAST((o_orderkey // 24) % 8 AS BIGINT) AS x, CAST(o_orderkey * 97 % 65536 AS BIGINT) AS raw,
                CAST(o_orderkey * 7 % 101 AS DOUBLE) / 50 - 1 AS l0, CAST(o_orderkey * 11 % 103 AS DOUBLE) / 50 - 1 AS l1, CAST(o_orderkey * 13 % 107 AS DOUBLE) / 50 - 1 AS l2
-        FROM orders WHERE o_orderkey < 4992""",
+        FROM orders""",
     "cells": """
         SELECT row_id, grp, cluster, feature, CAST(ELEM(embedding, feature) AS DOUBLE) AS value
-        FROM (SELECT CAST(vec_id AS BIGINT) AS row_id, CAST(1 + vec_id % 4 AS BIGINT) AS grp, CAST(1 + label AS BIGINT) AS cluster, embedding, SERIES(0, 15) AS feature FROM embeddings) AS a""",
+        FROM (SELECT CAST(vec_id AS BIGINT) AS row_id, CAST(1 + vec_id % 4 AS BIGINT) AS grp, CAST(1 + label AS BIGINT) AS cluster, embedding, SERIES(0, 63) AS feature FROM embeddings) AS a""",
     "paths": """
         SELECT 'group' || grp || '/' || volume || '_capture' || capture || '/T' || lpad(CAST(t AS STRING), 5, '0') || '.mat' AS path FROM (SELECT DISTINCT grp, volume, capture, t FROM track_nodes) AS a
         UNION ALL
@@ -56,9 +56,17 @@ VIEWS = {
         SELECT 'group' || grp || '/' || volume || '_capture' || capture || '/raw_t' || lpad(CAST(t AS STRING), 3, '0') || '_z' || lpad(CAST(node_id % 26 AS STRING), 3, '0') || '_c' || lpad(CAST(node_id % 3 AS STRING), 3, '0') || '.tif' AS path FROM track_nodes""",
     "members": """
         SELECT member, feature, CAST(member AS DOUBLE) / 10 AS mu, 1 + CAST(feature AS DOUBLE) / 10 AS sd, CAST((member * 7 + feature * 3) % 11 - 5 AS DOUBLE) / 10 AS coef, CAST(0 AS DOUBLE) AS intercept
-        FROM (SELECT member, SERIES(0, 15) AS feature FROM (SELECT CAST(n_nationkey AS BIGINT) AS member FROM nation WHERE n_nationkey < 4) AS a) AS b""",
+        FROM (SELECT member, SERIES(0, 63) AS feature FROM (SELECT CAST(n_nationkey AS BIGINT) AS member FROM nation WHERE n_nationkey < 4) AS a) AS b""",
     "scored": """
         SELECT CAST(event_id AS BIGINT) AS id, event_type AS kind, CAST(event_id * 13 % 1000 AS DOUBLE) / 1000 AS score, CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS label FROM events""",
+    "cell_nodes": """
+        SELECT grp, volume, capture, track_id, node_id, t, y, x, z, vol, score, CAST(20 + node_id % 173 AS DOUBLE) AS surface, CAST(node_id * 7 % 31 AS DOUBLE) AS height, CAST(1 + node_id * 11 % 29 AS DOUBLE) AS width,
+               CAST(node_id * 7 % 31 AS DOUBLE) / (1 + node_id * 11 % 29) AS height_to_width, CAST(node_id * 19 % 100 AS DOUBLE) / 100 AS sphericity, CAST(node_id * 23 % 100 AS DOUBLE) / 100 AS prolate, CAST(node_id * 29 % 100 AS DOUBLE) / 100 AS oblate,
+               CAST(9 + node_id % 5 AS DOUBLE) AS axis_1, CAST(5 + node_id % 4 AS DOUBLE) AS axis_2, CAST(1 + node_id % 3 AS DOUBLE) AS axis_3, CAST(node_id * 31 % 97 AS DOUBLE) / 97 AS extent, CAST(node_id * 37 % 89 AS DOUBLE) / 89 AS solidity,
+               CAST(4 + node_id * 41 % 13 AS DOUBLE) AS diameter, CAST(node_id * 43 % 360 AS DOUBLE) - 180 AS azimuth, CAST(node_id * 47 % 180 AS DOUBLE) - 90 AS elevation, CAST(node_id * 53 % 360 AS DOUBLE) - 180 AS roll,
+               CASE WHEN node_id % 997 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(node_id * 59 % 101 AS DOUBLE) / 50 END AS polar_radius, CAST(node_id * 61 % 628 AS DOUBLE) / 100 AS polar_angle,
+               CAST(node_id * 67 % 211 AS DOUBLE) / 10 AS centre_distance, CAST(node_id * 71 % 199 AS DOUBLE) / 10 AS surface_distance
+        FROM track_nodes""",
     "features": """
         SELECT grp, volume, capture, track_id, node_id, t, score, vol AS f1, CASE WHEN node_id % 97 = 0 THEN CAST('NaN' AS DOUBLE) ELSE dx * dy END AS f2, x / (1 + dy) AS f3 FROM track_nodes""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from motility.operators import behaviors as B
 from motility.operators import explain as X
+from motility.operators.detections import roc_auc
 from motility.plans.queries_tracks import rounded
 from motility.plans.registry import query
 
@@ -59,12 +60,26 @@ def i6(v):
 
 
 @query("i7_select_k", """
-WITH c AS (SELECT DISTINCT CAST(1 + node_id % 40 AS BIGINT) AS k, CAST((1 + node_id % 40) * 37 % 41 AS DOUBLE) AS value FROM track_nodes),
-w AS (SELECT *, lag(value) OVER (ORDER BY k) AS a, lead(value) OVER (ORDER BY k) AS b FROM c)
-SELECT coalesce(arg_min(k, value), 1) AS k FROM w WHERE value < a AND value < b""", "track_nodes")
+WITH r AS (SELECT k, CAST(1 + vec_id % 4 AS BIGINT) AS grp, CAST((label * 7 + vec_id % 3) % k AS BIGINT) AS cluster FROM embeddings, (SELECT CAST(unnest(range(2, 11)) AS BIGINT) AS k)),
+n AS (SELECT k, grp, cluster, count(*) AS n FROM r GROUP BY ALL), s AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY k, grp) AS share FROM n),
+o AS (SELECT a.k, a.grp AS a, b.grp AS b, sum(least(a.share, b.share)) AS v FROM s a JOIN s b ON a.k = b.k AND a.cluster = b.cluster AND a.grp < b.grp GROUP BY ALL),
+c AS (SELECT k, round(max(v), 9) AS value FROM o GROUP BY k), w AS (SELECT *, lag(value) OVER (ORDER BY k) AS a, lead(value) OVER (ORDER BY k) AS b FROM c),
+p AS (SELECT coalesce(arg_min(k, value), 1) AS k FROM (SELECT * FROM w WHERE value < a AND value < b ORDER BY value, k LIMIT 1))
+SELECT c.k, round(value, 6) AS value, c.k = p.k AS chosen FROM c, p""")
 def i7(v):
-    k = 1 + F.col("node_id") % 40
-    return B.select_k(v.track_nodes.select(k.cast("long").alias("k"), (k * 37 % 41).cast("double").alias("value")).distinct())
+    """The criterion over labels folded to k values, as a sweep would give them, and the k that it picks."""
+    ks = v.embeddings.withColumn("k", F.explode(F.sequence(F.lit(2).cast("long"), F.lit(10).cast("long"))))
+    folded = ks.select("k", (1 + F.col("vec_id") % 4).cast("long").alias("grp"), ((F.col("label") * 7 + F.col("vec_id") % 3) % F.col("k")).cast("long").alias("cluster"))
+    curve = B.worst_overlaps(folded).withColumn("value", F.round("value", 9))
+    picked = B.select_k(curve).withColumnRenamed("k", "best")
+    return rounded(curve.crossJoin(F.broadcast(picked)).select("k", "value", (F.col("k") == F.col("best")).alias("chosen")), "value")  # one row
+
+
+@query("w3_choose_behaviors")
+def w3(v):
+    """The sweep over the number of behaviours of the discovery groups, and the final clusters."""
+    rows, _, k = B.choose_behaviors(B.to_vectors(_z(v).where("grp <= 2"), ["row_id", "grp"]), range(2, 7), restarts=2)
+    return rows.select("row_id", "grp", "cluster", F.lit(k).cast("long").alias("k"))
 
 
 @query("i8_assign_nearest_centroid", f"""
@@ -105,9 +120,9 @@ g AS (SELECT *, (hi - lo) / {points} AS h, unnest(range(0, {points} + 1)) AS i F
 o AS (SELECT feature, ci, cj, sum(h * least({pdf("m1", "s1")}, {pdf("m2", "s2")}) * CASE WHEN i IN (0, {points}) THEN 0.5 ELSE 1 END) AS ovl FROM y GROUP BY ALL)"""
 
 
-@query("i12_gaussian_overlap", f"WITH {MOMENTS}, {_overlap_sql(6, 10_001)} SELECT feature, ci, cj, round(ovl, 6) AS ovl FROM o WHERE feature < 4", "cells")
+@query("i12_gaussian_overlap", f"WITH {MOMENTS}, {_overlap_sql(6, 2001)} SELECT feature, ci, cj, round(ovl, 6) AS ovl FROM o", "cells")
 def i12(v):
-    return rounded(X.gaussian_overlap(X.cluster_moments(v.cells.where("feature < 4"))), "ovl")
+    return rounded(X.gaussian_overlap(X.cluster_moments(v.cells), points=2001), "ovl")
 
 
 @query("i13_hierarchy_importance", f"""
@@ -122,33 +137,52 @@ def i13(v):
 
 
 @query("i14_best_division", """
-WITH f AS (SELECT cluster, feature, count(*) AS n, sum(value) AS s1, sum(value * value) AS s2 FROM cells WHERE cluster <= 6 GROUP BY ALL),
-k AS (SELECT unnest(range(1, 32)) * 2 AS mask), sd AS (SELECT mask, feature, CASE WHEN (mask & (1 << (cluster - 1)::INT)) > 0 THEN 1 ELSE 0 END AS side, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2 FROM k, f GROUP BY ALL),
+WITH cl AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS b, count(*) OVER () AS nk FROM (SELECT DISTINCT cluster FROM cells)),
+f AS (SELECT cluster, b, feature, count(*) AS n, sum(value) AS s1, sum(value * value) AS s2 FROM cells JOIN cl USING (cluster) GROUP BY ALL),
+k AS (SELECT unnest(range(1, CAST(2 ** (max(nk) - 1) AS BIGINT))) * 2 AS mask FROM cl), sd AS (SELECT mask, feature, CASE WHEN (mask & (1 << b::INT)) > 0 THEN 1 ELSE 0 END AS side, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2 FROM k, f GROUP BY ALL),
 q AS (SELECT mask, feature, side, s1 / n AS mean, sqrt((s2 - s1 * s1 / n) / (n - 1)) AS std FROM sd),
 p AS (SELECT a.mask, a.feature, a.mean AS m1, a.std AS s1, b.mean AS m2, b.std AS s2, least(a.mean - 6 * a.std, b.mean - 6 * b.std) AS lo, greatest(a.mean + 3 * a.std, b.mean + 3 * b.std) AS hi FROM q a JOIN q b ON a.mask = b.mask AND a.feature = b.feature AND a.side = 0 AND b.side = 1),
-g AS (SELECT *, (hi - lo) / 200 AS h, unnest(range(0, 201)) AS i FROM p), y AS (SELECT *, lo + h * i AS x FROM g),
-o AS (SELECT mask, feature, sum(h * least(exp(-(x - m1) * (x - m1) / (2 * s1 * s1)) / (s1 * sqrt(2 * pi())), exp(-(x - m2) * (x - m2) / (2 * s2 * s2)) / (s2 * sqrt(2 * pi()))) * CASE WHEN i IN (0, 200) THEN 0.5 ELSE 1 END) AS ovl FROM y GROUP BY ALL)
-SELECT mask, round(median(ovl), 6) AS ovl FROM o GROUP BY mask""", "cells")
+g AS (SELECT *, (hi - lo) / 100 AS h, unnest(range(0, 101)) AS i FROM p), y AS (SELECT *, lo + h * i AS x FROM g),
+o AS (SELECT mask, feature, sum(h * least(exp(-(x - m1) * (x - m1) / (2 * s1 * s1)) / (s1 * sqrt(2 * pi())), exp(-(x - m2) * (x - m2) / (2 * s2 * s2)) / (s2 * sqrt(2 * pi()))) * CASE WHEN i IN (0, 100) THEN 0.5 ELSE 1 END) AS ovl FROM y GROUP BY ALL),
+best AS (SELECT mask FROM (SELECT mask, round(median(ovl), 9) AS ovl FROM o GROUP BY mask) ORDER BY ovl, mask LIMIT 1),
+z AS (SELECT 'split' AS kind, CASE WHEN (mask & (1 << b::INT)) > 0 THEN 1 ELSE 0 END AS cluster, row_id, feature, value FROM cells JOIN cl USING (cluster), best UNION ALL SELECT 'whole', cluster, row_id, feature, value FROM cells),
+c AS (SELECT kind, cluster, feature, avg(value) AS m FROM z GROUP BY ALL), r AS (SELECT kind, cluster, row_id, sqrt(sum((value - m) * (value - m))) AS d FROM z JOIN c USING (kind, cluster, feature) GROUP BY ALL),
+s AS (SELECT kind, cluster, avg(d) AS s FROM r GROUP BY ALL), a AS (SELECT p.kind, p.cluster AS a, q.cluster AS b, sqrt(sum((p.m - q.m) * (p.m - q.m))) AS m FROM c p JOIN c q ON p.kind = q.kind AND p.feature = q.feature AND p.cluster != q.cluster GROUP BY ALL),
+w AS (SELECT a.kind, a, max((x.s + y.s) / m) AS r FROM a JOIN s x ON x.kind = a.kind AND x.cluster = a JOIN s y ON y.kind = a.kind AND y.cluster = b GROUP BY ALL), db AS (SELECT kind, avg(r) AS i FROM w GROUP BY kind),
+n AS (SELECT count(*) FILTER ((mask & (1 << b::INT)) > 0) * 2 <= count(*) AS small FROM cl, best)
+SELECT cl.cluster, CASE WHEN ((mask & (1 << b::INT)) > 0) = small THEN 1 ELSE 0 END AS side, (SELECT max(i) FILTER (kind = 'split') < max(i) FILTER (kind = 'whole') FROM db) AS accepted FROM cl, best, n""", "cells")
 def i14(v):
-    return rounded(X.divisions(X.cluster_moments(v.cells.where("cluster <= 6")), [1, 2, 3, 4, 5, 6], points=200), "ovl")
+    """The best two-way division of all clusters, the side with fewer clusters as side 1, and whether it is accepted."""
+    clusters = sorted(r[0] for r in v.cells.select("cluster").distinct().collect())  # a row per cluster
+    moments = X.cluster_moments(v.cells)
+    mask = X.divisions(moments, clusters, points=100).orderBy(F.round("ovl", 9), "mask").first()["mask"]
+    one = [c for i, c in enumerate(clusters) if mask >> i & 1]
+    split, whole = X.split_indices(v.cells, one, clusters)
+    one = one if 2 * len(one) <= len(clusters) else [c for c in clusters if c not in one]
+    return v.cells.select("cluster").distinct().select("cluster", F.col("cluster").isin(one).cast("int").alias("side"), F.lit(split < whole).alias("accepted"))
 
 
 @query("i15_build_hierarchy")
 def i15(v):
-    return X.build_hierarchy(v.cells.where("cluster <= 5"), [1, 2, 3, 4, 5], points=200)
+    clusters = sorted(r[0] for r in v.cells.select("cluster").distinct().collect())  # a row per cluster
+    return X.build_hierarchy(v.cells, clusters, points=50)
 
 
 @query("i16_l1_path")
 def i16(v):
     rows = B.to_vectors(_z(v), ["row_id", "cluster"]).withColumn("side", (F.col("cluster") <= 5).cast("long"))
-    return X.l1_path(rows, [0.001, 0.01, 0.1], max_iter=20)[0]
+    return X.l1_path(rows, X.LAMBDAS[::20], max_iter=50)[0]  # six of the default path; the rest differ in cost only
 
 
 @query("i17_select_lambda", '''
-WITH p AS (SELECT CAST(feature + 1 AS DOUBLE) / 100 AS "lambda", 0.9 - min(feature) * 0.002 + min(value) * 0.0 AS auc FROM cells GROUP BY feature)
+WITH r AS (SELECT feature, cluster <= 5 AS y, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS rk FROM cells),
+s AS (SELECT feature, sum(y::INT) AS p, sum(1 - y::INT) AS n, sum(CASE WHEN y THEN rk ELSE 0 END) AS rs FROM r GROUP BY feature),
+p AS (SELECT CAST(feature + 1 AS DOUBLE) / 100 AS "lambda", round(CASE WHEN p > 0 AND n > 0 THEN (rs - p * (p + 1) / 2.0::DOUBLE) / (p * n) ELSE 1 END, 9) AS auc FROM s)
 SELECT coalesce(min("lambda") FILTER (auc < (SELECT arg_min(auc, "lambda") FROM p) * 0.985::DOUBLE), max("lambda")) AS "lambda" FROM p''', "cells")
 def i17(v):
-    path = v.cells.groupBy("feature").agg(F.min("value").alias("m")).select(((F.col("feature") + 1).cast("double") / 100).alias("lambda"), (F.lit(0.9) - F.col("feature") * 0.002 + F.col("m") * 0.0).alias("auc"))
+    """The curve is the ranking quality of each feature alone, in place of that of a model per lambda."""
+    scored = v.cells.select("feature", F.col("value").alias("score"), (F.col("cluster") <= 5).cast("long").alias("label"))
+    path = roc_auc(scored, by=["feature"]).select(((F.col("feature") + 1).cast("double") / 100).alias("lambda"), F.round("auc", 9).alias("auc"))
     return X.select_lambda(path)
 
 
@@ -177,8 +211,8 @@ def i20(v):
 
 @query("i21_forward_selection")
 def i21(v):
-    long = v.cells.where("feature < 6").withColumn("label", (F.col("cluster") <= 5).cast("long"))
-    chosen = X.forward_selection(long, list(range(6)), tol=0.01)
+    long = v.cells.withColumn("label", (F.col("cluster") <= 5).cast("long"))
+    chosen = X.forward_selection(long, list(range(64)), tol=0.01)
     return long.where(F.col("feature").isin(chosen)).groupBy("feature").agg(F.count("*").alias("n"))
 
 

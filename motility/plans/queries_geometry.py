@@ -29,11 +29,11 @@ def e1(v):
 
 @query("e2_min_distance", f"""
 WITH s AS (SELECT capture, t, z AS tz, y AS ty, x AS tx FROM voxels WHERE label % 50 = 0),
-n AS (SELECT v.capture, v.t, label, z, y, x, min({FAR}) AS d FROM voxels v JOIN s ON v.capture = s.capture AND v.t = s.t WHERE label % 30 = 10 GROUP BY ALL),
+n AS (SELECT v.capture, v.t, label, z, y, x, min({FAR}) AS d FROM voxels v JOIN s ON v.capture = s.capture AND v.t = s.t GROUP BY ALL),
 m AS (SELECT *, min(d) OVER (PARTITION BY capture, t, label) AS least FROM n)
 SELECT capture, t, label, round(least, 6) AS distance, round(median(z)) AS cz, round(median(y)) AS cy, round(median(x)) AS cx FROM m WHERE d = least GROUP BY capture, t, label, least""", "voxels")
 def e2(v):
-    return G.min_distance(v.voxels.where("label % 30 = 10"), _surface(v)).withColumn("distance", F.round("distance", 6))
+    return G.min_distance(v.voxels, _surface(v), cell=12.0).withColumn("distance", F.round("distance", 6))
 
 
 @query("e3_centerline", """
@@ -67,12 +67,19 @@ def e6(v):
     return G.fit_ellipse(v.voxels.select("capture", "t", "label", "y", "x").distinct(), ["capture", "t", "label"])
 
 
-@query("e7_ellipse_polar", """
-WITH p AS (SELECT box_id, (x1 - 100 - 3) / 9 * cos(0.4) + (y1 - 90) / 9 * sin(0.4) AS u, (-(x1 - 103) * sin(0.4) + (y1 - 90) * cos(0.4)) / 5 AS v FROM boxes)
-SELECT box_id, round(u * u + v * v, 6) AS radius2, round(CASE WHEN atan2(v, u) < 0 THEN atan2(v, u) + 2 * pi() ELSE atan2(v, u) END, 6) AS theta FROM p""", "boxes")
+MOMENT_ELLIPSES = "el AS (SELECT capture, t, label, avg(x) AS cx, avg(y) AS cy, 1 + 2 * stddev_pop(x) AS r1, 1 + stddev_pop(y) AS r2, CAST(label % 7 AS DOUBLE) / 5 - 0.6::DOUBLE AS angle FROM voxels GROUP BY capture, t, label)"
+
+
+@query("e7_ellipse_polar", f"""
+WITH {MOMENT_ELLIPSES}, p AS (SELECT v.capture, v.t, v.label, z, y, x, ((x - cx) * cos(angle) + (y - cy) * sin(angle)) / r1 AS u, (-(x - cx) * sin(angle) + (y - cy) * cos(angle)) / r2 AS v FROM voxels v JOIN el USING (capture, t, label))
+SELECT capture, t, label, z, y, x, round(u * u + v * v, 6) AS radius2, CASE WHEN u * u + v * v > 1e-9 THEN round(CASE WHEN atan2(v, u) < 0 THEN atan2(v, u) + 2 * pi() ELSE atan2(v, u) END, 4) % 6.2832 END AS theta FROM p""", "voxels")
 def e7(v):
-    e = {"cx": 103.0, "cy": 90.0, "r1": 9.0, "r2": 5.0, "angle": 0.4}
-    return G.ellipse_polar(v.boxes.withColumns({k: F.lit(x) for k, x in e.items()}), "x1", "y1").select("box_id", F.round("radius2", 6).alias("radius2"), F.round("theta", 6).alias("theta"))
+    """Every voxel against an ellipse of its region's own moments."""
+    el = v.voxels.groupBy("capture", "t", "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (1 + 2 * F.stddev_pop("x")).alias("r1"), (1 + F.stddev_pop("y")).alias("r2"))
+    el = el.withColumn("angle", (F.col("label") % 7).cast("double") / 5 - F.lit(0.6))
+    out = G.ellipse_polar(v.voxels.join(el, ["capture", "t", "label"]))
+    theta = F.when(F.col("radius2") > 1e-9, F.round("theta", 4) % F.lit(6.2832))  # the angle of the centre means nothing, and 2 pi is 0
+    return out.select("capture", "t", "label", "z", "y", "x", F.round("radius2", 6).alias("radius2"), theta.alias("theta"))
 
 
 NORMALS = "nn AS (SELECT capture, t, label AS sid, CAST(min(z) AS DOUBLE) AS sz, CAST(min(y) AS DOUBLE) AS sy, CAST(min(x) AS DOUBLE) AS sx, CASE label % 3 WHEN 0 THEN 0.6 WHEN 1 THEN 0.0 ELSE 0.48 END::DOUBLE AS nz, CASE label % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 1.0 ELSE 0.64 END::DOUBLE AS ny, CASE label % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 ELSE 0.6 END::DOUBLE AS nx FROM voxels WHERE label % 5 = 0 GROUP BY capture, t, label)"

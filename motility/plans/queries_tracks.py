@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motility.operators import dynamics as G
+from motility.operators import features as W
 from motility.operators import selection as H
 from motility.operators import tracks as T
 from motility.plans.registry import query
@@ -27,7 +28,8 @@ def f1(v):
 
 @query("f2_link_detections")
 def f2(v):
-    return T.link_detections(v.track_nodes.withColumn("dz", F.lit(4.0)).withColumn("dx", F.col("dx") * 4).withColumn("dy", F.col("dy") * 4))
+    nodes = v.track_nodes.withColumns({"dz": F.lit(4.0), "dx": F.col("dx") * 4, "dy": F.col("dy") * 4, "diameter": F.cbrt("vol"), "surface": F.col("dx") * F.col("dy")})
+    return T.link_detections(nodes)
 
 
 COLLISIONS = f"""WITH l AS (SELECT *, min(t) OVER (PARTITION BY {KEYS}, track_id) AS t0, max(t) OVER (PARTITION BY {KEYS}, track_id) AS t1, min(t) OVER (PARTITION BY {KEYS}) AS f0, max(t) OVER (PARTITION BY {KEYS}) AS f1 FROM n),
@@ -134,9 +136,9 @@ r AS (SELECT a.grp, a.volume, a.capture, a.track_id, a.node_id AS focal, b.node_
 f AS (SELECT grp, volume, capture, track_id, focal, node_id, vol, score, w / sum(w) OVER (PARTITION BY track_id, focal) AS w FROM r)"""
 
 
-@query("g2_hann_pairs", f"{PAIRS} SELECT {KEYS}, track_id, focal, node_id, round(w, 9) AS w FROM f WHERE track_id % 5 = 0", "track_nodes")
+@query("g2_hann_pairs", f"{PAIRS} SELECT {KEYS}, track_id, focal, node_id, round(w, 9) AS w FROM f", "track_nodes")
 def g2(v):
-    return rounded(G.hann_pairs(v.track_nodes.where("track_id % 5 = 0")), "w", digits=9)
+    return rounded(G.hann_pairs(v.track_nodes), "w", digits=9)
 
 
 @query("g3_weighted_stats", f"""
@@ -200,3 +202,42 @@ def h3(v):
 def h4(v):
     valid = v.features.where("f1 > 110").select("node_id", (F.col("score") > 0.5).alias("selected"))
     return H.scatter_labels(v.features.select("node_id"), valid, ["node_id"])
+
+
+def _cell_table_sql() -> str:
+    """The 74 measures of every node, in the order of the table."""
+    mean = lambda c: f"m_{c}"
+    dev = lambda c: f"sqrt(greatest(0, s_{c} - m_{c} * m_{c}))"
+    cell, polar, turned, far, shape = W.CELL, W.POLAR, W.ORIENTATION, W.DISTANCE, W.SHAPE
+    gap = lambda e: f"CASE WHEN lost THEN -1 ELSE {e} END"
+    ratio = lambda p, q: f"CASE WHEN {q} != 0 THEN {p} / {q} ELSE -1 END"
+    track = ["n_nodes", "path", "max_speed", "mean_speed", ratio("ends", "path"), ratio("path", "ends"), "angle", *map(mean, shape), *map(dev, shape),
+             *(gap(mean(c)) for c in polar), *(gap(dev(c)) for c in polar), *(gap(mean(c)) for c in turned), *(gap(dev(c)) for c in turned), *map(mean, far),
+             "min_distance", "m_score", "max_score", "min_score", "max_score - min_score"]
+    values = ", ".join(f"round(({e})::DOUBLE, 3)" for e in [*track, *cell])
+    sums = ", ".join(f"sum(w * b.{c}) AS m_{c}, sum(w * b.{c} * b.{c}) AS s_{c}" for c in cell)
+    return f"""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, track_id ORDER BY t, node_id) AS pos FROM cell_nodes),
+r AS (SELECT a.node_id AS focal, b.node_id AS other, (1 + cos(pi() * (b.pos - a.pos) / 84)) / 2 AS w FROM p a JOIN p b ON a.track_id = b.track_id AND abs(b.pos - a.pos) < 84),
+f AS (SELECT focal, other, w / sum(w) OVER (PARTITION BY focal) AS w FROM r),
+st AS (SELECT focal AS node_id, {sums} FROM f JOIN cell_nodes b ON b.node_id = other GROUP BY focal),
+c AS (SELECT n.*, n.z * (dz / 0.5) AS zz, dt FROM cell_nodes n JOIN calibration USING (grp, volume, capture)),
+h AS (SELECT *, sqrt((round(zz) - lag(round(zz)) OVER g) ** 2 + (round(y) - lag(round(y)) OVER g) ** 2 + (round(x) - lag(round(x)) OVER g) ** 2) AS hop FROM c WINDOW g AS (PARTITION BY {KEYS}, track_id ORDER BY t, node_id)),
+k AS (SELECT track_id, count(*) AS n_nodes, coalesce(sum(hop), 0) AS path, max(hop) / any_value(dt) AS max_speed, avg(hop) / any_value(dt) AS mean_speed, min(surface_distance) AS min_distance, max(score) AS max_score, min(score) AS min_score,
+  bool_or(isnan(polar_radius)) AS lost, sqrt((arg_max(zz, t) - arg_min(zz, t)) ** 2 + (arg_max(y, t) - arg_min(y, t)) ** 2 + (arg_max(x, t) - arg_min(x, t)) ** 2) AS ends FROM h GROUP BY track_id),
+l AS (SELECT {KEYS}, t AS lpos, round(avg(y), 6) AS ly, CAST(t * 2 AS DOUBLE) AS lx FROM track_nodes GROUP BY {KEYS}, t),
+e AS (SELECT {KEYS}, track_id, arg_min(y, struct_pack(x := x, t := t)) AS ay, min(x) AS ax, arg_max(y, struct_pack(x := x, t := t)) AS by_, max(x) AS bx FROM track_nodes GROUP BY ALL),
+na AS (SELECT track_id, ay, ax, by_, bx, ly AS lay, lx AS lax FROM e JOIN l USING (grp, volume, capture) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY (ay - ly) * (ay - ly) + (ax - lx) * (ax - lx), lpos) = 1),
+nb AS (SELECT track_id, ly AS lby, lx AS lbx FROM e JOIN l USING (grp, volume, capture) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY (by_ - ly) * (by_ - ly) + (bx - lx) * (bx - lx), lpos) = 1),
+an AS (SELECT track_id, CASE WHEN lbx != lax OR lby != lay THEN acos((bx - ax) / sqrt((by_ - ay) ** 2 + (bx - ax) ** 2)) - acos((lbx - lax) / sqrt((lby - lay) ** 2 + (lbx - lax) ** 2)) END AS angle FROM na JOIN nb USING (track_id)),
+v AS (SELECT node_id, [{values}] AS features FROM cell_nodes n JOIN st USING (node_id) JOIN k USING (track_id) LEFT JOIN an USING (track_id))
+SELECT node_id, i - 1 AS feature, coalesce(features[i], 0) + 0.0::DOUBLE AS value FROM v, (SELECT unnest(range(1, 75)) AS i) WHERE NOT isnan(coalesce(features[i], 0))"""
+
+
+@query("w2_cell_table", _cell_table_sql(), "cell_nodes calibration")
+def w2(v):
+    """The whole job from cells and tracks to the 74 measures, as a row per node and measure; values that are no numbers are left out."""
+    line = v.track_nodes.groupBy("grp", "volume", "capture", F.col("t").alias("pos")).agg(F.round(F.avg("y"), 6).alias("y")).withColumn("x", (F.col("pos") * 2).cast("double"))
+    table = W.cell_table(v.cell_nodes, v.calibration, line)
+    long = table.select("node_id", F.posexplode("features").alias("feature", "value")).withColumn("feature", F.col("feature").cast("long"))
+    return long.withColumn("value", F.round(F.coalesce("value", F.lit(0.0)), 3) + 0.0).where(~F.isnan("value"))

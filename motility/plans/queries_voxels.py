@@ -51,33 +51,33 @@ def b1(v):
 
 
 @query("b2_arrange_channels", """
-WITH g AS (SELECT capture, z, y, x, raw % 2 AS c, l0 AS value FROM grid)
-SELECT capture, z, y, x, CASE WHEN c = 0 THEN 0 ELSE 2 END AS c, value FROM g
-UNION ALL SELECT capture, z, y, x, 1 AS c, 0.0::DOUBLE AS value FROM g WHERE c = 0""", "grid")
+WITH g AS (SELECT capture, t, z, y, x, raw % 2 AS c, l0 AS value FROM grid)
+SELECT capture, t, z, y, x, CASE WHEN c = 0 THEN 0 ELSE 2 END AS c, value FROM g
+UNION ALL SELECT capture, t, z, y, x, 1 AS c, 0.0::DOUBLE AS value FROM g WHERE c = 0""", "grid")
 def b2(v):
-    two = v.grid.select("capture", "z", "y", "x", (F.col("raw") % 2).alias("c"), F.col("l0").alias("value"))
+    two = v.grid.select("capture", "t", "z", "y", "x", (F.col("raw") % 2).alias("c"), F.col("l0").alias("value"))
     return V.arrange_channels(two, [0, 2])
 
 
 @query("b3_z_tiles", """
-WITH g AS (SELECT DISTINCT capture, t, z FROM grid WHERE capture < 2 OR z < 10),
+WITH g AS (SELECT DISTINCT capture, t, CASE WHEN capture = 2 THEN z % 10 ELSE z END AS z FROM grid),
 n AS (SELECT capture, t, max(z) + 1 AS nz FROM g GROUP BY ALL),
 k AS (SELECT capture, t, nz, unnest(range(0, abs(nz - 16) + 1)) AS k FROM n),
 kz AS (SELECT *, unnest(range(0, 16)) AS zt FROM k)
 SELECT kz.capture, kz.t, k, zt, g.z FROM kz LEFT JOIN g ON g.capture = kz.capture AND g.t = kz.t AND g.z = CASE WHEN nz >= 16 THEN k + zt ELSE zt - k END
 WHERE g.z IS NOT NULL OR nz < 16""", "grid")
 def b3(v):
-    planes = v.grid.where("capture < 2 OR z < 10").select("capture", "t", "z").distinct()
+    planes = v.grid.select("capture", "t", F.when(F.col("capture") == 2, F.col("z") % 10).otherwise(F.col("z")).alias("z")).distinct()
     return V.z_tiles(planes)
 
 
 STATS = "(VALUES (0, 0.1, 0.5), (1, -0.2, 0.7), (2, 0.05, 0.9)) AS s(c, mean, std)"
 
 
-@query("b4_standardize_channels", f"SELECT o.capture, o.z, o.y, o.x, round((l0 - mean::DOUBLE) / std::DOUBLE, 6) AS value FROM grid o JOIN {STATS} ON raw % 3 = s.c", "grid")
+@query("b4_standardize_channels", f"SELECT o.capture, o.t, o.z, o.y, o.x, round((l0 - mean::DOUBLE) / std::DOUBLE, 6) AS value FROM grid o JOIN {STATS} ON raw % 3 = s.c", "grid")
 def b4(v):
     stats = v.spark.createDataFrame([(0, 0.1, 0.5), (1, -0.2, 0.7), (2, 0.05, 0.9)], "c long, mean double, std double")
-    return V.standardize_channels(v.grid.withColumn("c", F.col("raw") % 3), stats, value="l0").select("capture", "z", "y", "x", F.round("l0", 6).alias("value"))
+    return V.standardize_channels(v.grid.withColumn("c", F.col("raw") % 3), stats, value="l0").select("capture", "t", "z", "y", "x", F.round("l0", 6).alias("value"))
 
 
 TILED = "WITH tiled AS (SELECT capture, t, z AS k, zt, y, x, l0 + zt AS l0, l1, l2 FROM (SELECT *, unnest(range(0, 3)) AS zt FROM grid))"
@@ -95,9 +95,9 @@ def b5(v):
 
 @query("b6_softmax_argmax", """
 WITH e AS (SELECT *, greatest(l0, l1, l2) AS m FROM grid)
-SELECT capture, z, y, x, round(exp(l0 - m) / (exp(l0 - m) + exp(l1 - m) + exp(l2 - m)), 6) AS p0, CASE WHEN l0 = m THEN 0 WHEN l1 = m THEN 1 ELSE 2 END AS class FROM e""", "grid")
+SELECT capture, t, z, y, x, round(exp(l0 - m) / (exp(l0 - m) + exp(l1 - m) + exp(l2 - m)), 6) AS p0, CASE WHEN l0 = m THEN 0 WHEN l1 = m THEN 1 ELSE 2 END AS class FROM e""", "grid")
 def b6(v):
-    return V.softmax_argmax(v.grid, ["l0", "l1", "l2"]).select("capture", "z", "y", "x", F.round(F.col("prob")[0], 6).alias("p0"), "class")
+    return V.softmax_argmax(v.grid, ["l0", "l1", "l2"]).select("capture", "t", "z", "y", "x", F.round(F.col("prob")[0], 6).alias("p0"), "class")
 
 
 @query("b7_mean_over_planes", f"{TILED} SELECT capture, t, k + zt AS z, y, x, round(avg(l1), 6) AS score, count(*) AS n_tiles FROM tiled GROUP BY capture, t, k + zt, y, x", "grid")
@@ -107,7 +107,9 @@ def b7(v):
 
 
 @query("b8_paint_boxes", """
-WITH p AS (SELECT v.capture, v.t, v.z, v.y, v.x, product(score) AS paint FROM voxels v JOIN boxes b ON v.capture = b.capture AND v.t = b.t AND v.z BETWEEN z1 AND z2 AND v.y BETWEEN y1 AND y2 AND v.x BETWEEN x1 AND x2 GROUP BY ALL)
+WITH g AS (SELECT *, unnest(range(CAST(y1 AS BIGINT) // 16, CAST(y2 AS BIGINT) // 16 + 1)) AS cy FROM boxes), h AS (SELECT *, unnest(range(CAST(x1 AS BIGINT) // 16, CAST(x2 AS BIGINT) // 16 + 1)) AS cx FROM g),
+p AS (SELECT v.capture, v.t, v.z, v.y, v.x, product(score) AS paint FROM (SELECT *, y // 16 AS cy, x // 16 AS cx FROM voxels) v JOIN h b ON v.capture = b.capture AND v.t = b.t AND v.cy = b.cy AND v.cx = b.cx
+  WHERE v.z BETWEEN z1 AND z2 AND v.y BETWEEN y1 AND y2 AND v.x BETWEEN x1 AND x2 GROUP BY ALL)
 SELECT v.capture, v.t, v.z, v.y, v.x, label, round(coalesce(paint, 1.0), 6) AS paint FROM voxels v LEFT JOIN p USING (capture, t, z, y, x)""", "voxels boxes")
 def b8(v):
     return V.paint_boxes(v.voxels, v.boxes).withColumn("paint", F.round("paint", 6))
@@ -138,12 +140,12 @@ def b12(v):
     return V.boundary_shell(v.voxels, dims=(16, 70, 70))
 
 
-@query("b13_predict_tiles")
+@query("b13_predict_tiles", "SELECT capture, t, z, y, x, l0 * 2 - l1 AS score FROM grid", "grid")
 def b13(v):
     def make_model():
-        return lambda batch: batch[["capture", "z", "y", "x"]].assign(score=batch["l0"] * 2 - batch["l1"])
+        return lambda batch: batch[["capture", "t", "z", "y", "x"]].assign(score=batch["l0"] * 2 - batch["l1"])
 
-    return V.predict_tiles(v.grid, make_model, "capture long, z long, y long, x long, score double")
+    return V.predict_tiles(v.grid, make_model, "capture long, t long, z long, y long, x long, score double")
 
 
 @query("a1_list_files")
@@ -152,16 +154,16 @@ def a1(v):
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
 
 
-@query("a6_a7_cells_round_trip", "SELECT CAST(f AS BIGINT) AS feature, count(*) AS n FROM (SELECT unnest(range(16)) AS f FROM embeddings) GROUP BY f")
+@query("a6_a7_cells_round_trip", "SELECT CAST(f AS BIGINT) AS feature, count(*) AS n FROM (SELECT unnest(range(64)) AS f FROM embeddings) GROUP BY f")
 def a6(v):
     """Writes the cell table to the shared folder, reads it back and counts the values that came back as they were."""
     from motility.operators.behaviors import to_long, to_vectors
 
     rows = to_vectors(v.cells, ["row_id", "grp", "cluster"])
-    wide = rows.select(*(F.col("features")[i].alias(f"f {i}") for i in range(16)), "grp", "cluster", F.lit(1).alias("volume"), F.lit(1).alias("capture"), F.col("row_id").alias("track_id"), F.lit(1).alias("t"))
+    wide = rows.select(*(F.col("features")[i].alias(f"f {i}") for i in range(64)), "grp", "cluster", F.lit(1).alias("volume"), F.lit(1).alias("capture"), F.col("row_id").alias("track_id"), F.lit(1).alias("t"))
     path = scratch_path(v.spark, "cells")
     C.write_cells(wide, path)
-    back = to_long(C.read_cells(v.spark, path, 16).withColumnRenamed("track_id", "row_id"), ["row_id"])
+    back = to_long(C.read_cells(v.spark, path, 64).withColumnRenamed("track_id", "row_id"), ["row_id"])
     return back.join(v.cells.select("row_id", "feature", F.col("value").alias("was")), ["row_id", "feature"]).where("value = was").groupBy("feature").agg(F.count("*").alias("n"))
 
 

@@ -132,9 +132,9 @@ def test_moving_balls_are_linked(spark):
             if t % 11 == 5 and k % 2:
                 continue  # a missed frame
             y, x, z = (start + speed * t + rng.normal(0, 0.2, 3)).tolist()
-            rows.append((1, 1, 1, t, n, y, x, z, 20.0, 20.0, 20.0, 500.0, k))
+            rows.append((1, 1, 1, t, n, y, x, z, 20.0, 20.0, 20.0, 500.0, 10.0, 300.0, k))
             n += 1
-    df = spark.createDataFrame(rows, "grp long, volume long, capture long, t long, node_id long, y double, x double, z double, dy double, dx double, dz double, vol double, truth long")
+    df = spark.createDataFrame(rows, "grp long, volume long, capture long, t long, node_id long, y double, x double, z double, dy double, dx double, dz double, vol double, diameter double, surface double, truth long")
     found = tracks.link_detections(df).join(df.select("node_id", "truth"), "node_id")
     assert found.select("truth", "track_id").distinct().count() == 6
 
@@ -149,6 +149,104 @@ def test_merged_cell_is_split_and_tracked(spark):
     assert measures.count() == 2 and final.count() == 24
 
 
+def ball(z, y, x, r):
+    return {(z + a, y + b, x + c) for a in range(-r, r + 1) for b in range(-r, r + 1) for c in range(-r, r + 1) if a * a + b * b + c * c <= r * r}
+
+
+def test_a_cell_that_fell_apart_is_joined(spark):
+    rows = []
+    for t in range(15):
+        for k in (1, 2):
+            rows += [(0, t, *p, k + 10 * (t == 7 and k == 1 and p[2] > 20 + t)) for p in ball(8, 20 * k, 20 + t, 4)]
+    final, measures = tracks.three_pass(spark.createDataFrame(rows, V + ", label long"))
+    got = final.collect()
+    assert len(got) == 30 and {r.vol for r in got} == {float(len(ball(0, 0, 0, 4)))} and measures.count() == 2
+
+
+def test_a_region_of_two_cells_is_cut_after_the_nearest_valid_frame(spark):
+    rows, nodes, found = [], [], []
+    for t in range(13):
+        one, two = ball(8, 20, 20, 4), ball(8, 20, 29, 4)
+        regions = {1: one | two} if t == 6 else {1: one, 2: two}
+        for k, places in regions.items():
+            rows += [(0, t, *p, k) for p in places]
+            lo, hi = [min(p[i] for p in places) for i in range(3)], [max(p[i] for p in places) for i in range(3)]
+            n = 2 * t + k
+            nodes.append((0, t, k, n, *(sum(p[i] for p in places) / len(places) for i in range(3)), *map(float, lo), *(float(h - c + 1) for c, h in zip(lo, hi, strict=True)), float(len(places))))
+            found.append((0, k, t, n))
+    voxels = spark.createDataFrame(rows, V + ", label long")
+    named = spark.createDataFrame(nodes, "capture long, t long, label long, node_id long, z double, y double, x double, z_lo double, y_lo double, x_lo double, dz double, dy double, dx double, vol double")
+    out = tracks.resegmented(voxels, named, spark.createDataFrame(found, "capture long, track_id long, t long, node_id long"))
+    sizes = out.groupBy("t", "label").count().collect()
+    assert len(sizes) == 26 and out.count() == voxels.count()
+    small = tracks.resegmented(voxels, named, spark.createDataFrame(found, "capture long, track_id long, t long, node_id long"), min_voxels=1000)
+    assert small.where("t = 6").count() == 0
+
+
+def test_pieces_of_one_reference_are_merged(spark):
+    rng = np.random.default_rng(5)
+    pieces, reference = [], []
+    for k in range(4):
+        for p in ball(8, 20, 20 * k, 4):
+            reference.append((0, 0, *p, k))
+            pieces.append((0, 0, *p, 10 * k + int(rng.integers(0, 3))))
+    got = regions.merge_oversegmented(regions.label_overlaps(*(spark.createDataFrame(r, V + ", label long") for r in (pieces, reference)))).collect()
+    assert all(r.reference == r.piece // 10 and r.merged == 10 * r.reference and r.iou == 1.0 for r in got) and len(got) == 12
+
+
+def test_boxes_of_all_sizes_meet_once(spark):
+    rng = np.random.default_rng(7)
+
+    def make(n):
+        lo, side = rng.uniform(-50, 200, (n, 3)), np.where(rng.random((n, 1)) < 0.05, rng.uniform(0, 400, (n, 3)), rng.uniform(0, 12, (n, 3)))
+        return [(0, 0, i, *(float(v) for a in range(3) for v in (lo[i, a], lo[i, a] + side[i, a]))) for i in range(n)]
+
+    a, b = make(120), make(150)
+    schema = "capture long, t long, box_id long, y1 double, y2 double, x1 double, x2 double, z1 double, z2 double"
+    for mode, extra in (("half_open", 0.0), ("inclusive", 1.0)):
+        want = {}
+        for p, q in itertools.product(a, b):
+            sides = [min(p[i + 1], q[i + 1]) - max(p[i], q[i]) + extra for i in (3, 5, 7)]
+            if min(sides) > 0:
+                size = lambda r: math.prod(r[i + 1] - r[i] + extra for i in (3, 5, 7))
+                want[p[2], q[2]] = math.prod(sides) / (size(p) + size(q) - math.prod(sides))
+        got = detections.box_iou(spark.createDataFrame([*a, (0, 0, 999, None, 1.0, 0.0, 1.0, 0.0, 1.0)], schema), spark.createDataFrame(b, schema), mode=mode).collect()
+        assert len(got) == len(want) and all(r.iou == pytest.approx(want[r.box_a, r.box_b]) for r in got)
+    assert detections.box_iou(spark.createDataFrame([], schema), spark.createDataFrame(b, schema)).count() == 0
+
+
+def test_sparse_path_is_optimal(spark):
+    """The optimality conditions of the L1 model at each lambda, by its gradient."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 6))
+    y = (x[:, 0] - x[:, 3] + 0.5 * rng.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([(int(t), [float(v) for v in r]) for t, r in zip(y, x, strict=True)], "side long, features array<double>")
+    path, weights = explain.l1_path(rows, [0.01, 0.05, 0.2], max_iter=200)
+    assert [r.nonzero for r in path.orderBy("lambda").collect()] == sorted((r.nonzero for r in path.collect()), reverse=True)
+    for lam in (0.01, 0.05, 0.2):
+        w = np.array([r.weight for r in weights.where(F.col("lambda") == lam).orderBy("feature").collect()])
+        b = 0.0
+        for _ in range(200):  # the intercept, by Newton's method
+            p = 1 / (1 + np.exp(-(x @ w + b)))
+            b -= (p - y).mean() / (p * (1 - p)).mean()
+        grad = x.T @ (p - y) / len(y)
+        assert np.all(np.abs(grad[w == 0]) <= lam + 2e-3) and np.allclose(grad[w != 0], -lam * np.sign(w[w != 0]), atol=2e-3)
+    assert len(explain.LAMBDAS) == 101 and explain.LAMBDAS[0] == 0.001 and explain.LAMBDAS[-1] == 1
+
+
+def test_number_of_behaviours_is_found(spark):
+    """Two groups that share no behaviour: with three clusters they overlap least."""
+    rng = np.random.default_rng(3)
+    spots = {1: [0, 8], 2: [100]}
+    rows = [(g * 1000 + i, g, [float(v) for v in rng.normal(spots[g][i % len(spots[g])], 0.3, 2)]) for g in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, grp long, features array<double>")
+    got, centroids, k = behaviors.choose_behaviors(df, range(2, 5), restarts=2)
+    curve = {r.k: r.value for r in behaviors.worst_overlaps(got.select(F.lit(1).alias("k"), "grp", "cluster")).collect()}
+    assert got.count() == 120 and centroids.count() == max(2, k) and curve == {1: 0.0}
+    best = behaviors.sweep_top(df, [{"k": n, "seed": 1} for n in (2, 3, 4)], 1).first()
+    assert best.k in (2, 3)
+
+
 def test_exact_ellipse(spark):
     a = 0.5
     points = [(1, 10 + 6 * math.cos(u) * math.cos(a) - 3 * math.sin(u) * math.sin(a), 20 + 6 * math.cos(u) * math.sin(a) + 3 * math.sin(u) * math.cos(a)) for u in np.linspace(0, 6, 25)]
