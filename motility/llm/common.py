@@ -66,6 +66,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return Scratch(df.sparkSession, label).write(df, label)
 
 
+def grows(table: DataFrame) -> DataFrame:
+    """One side of a join that grows with the corpus: it is sorted and merged, and never broadcast because a small corpus makes it small."""
+    return table.hint("merge")
+
+
 def fresh(columns: Iterable[str], *labels: str) -> list[str]:
     """A column name for each label that none of ``columns`` has, in any case of letters."""
     taken = {c.lower() for c in columns}

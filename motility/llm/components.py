@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from motility.llm.common import Scratch
+from motility.llm.common import Scratch, grows
 
 
 def _written(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -23,13 +23,13 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of its neighbours and itself. As many edges as before, some perhaps twice."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.where("v > u").join(grows(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the least of them. Edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    near = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = edges.join(grows(least), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 

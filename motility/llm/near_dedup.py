@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motility.llm import words
-from motility.llm.common import Scratch, fresh, small_batches
+from motility.llm.common import Scratch, fresh, grows, small_batches
 from motility.llm.components import linked
 
 #: Members, and shingles, that one block of a bucket holds, about.
@@ -106,8 +106,8 @@ def set_table(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(map(digest_of, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
     # texts without an id are few or hot, and go through without a shuffle
-    texts = docs.where("doc_id is not null").join(wanted.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    return texts.select("text").mapInArrow(run, "digest binary, shingles array<long>").join(wanted.select("node", "digest"), "digest").select("node", "shingles").dropDuplicates(["node"])
+    texts = docs.where("doc_id is not null").join(grows(wanted.select("doc_id").where("doc_id is not null")), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    return texts.select("text").mapInArrow(run, "digest binary, shingles array<long>").join(grows(wanted.select("node", "digest")), "digest").select("node", "shingles").dropDuplicates(["node"])
 
 
 def _alike(percent: int) -> Column:
@@ -139,8 +139,8 @@ def verified(scratch: Scratch, pairs: DataFrame, signatures: DataFrame, sets: Da
 
     def both(pairs: DataFrame, table: DataFrame, column: str, name: str) -> DataFrame:
         side = lambda c: table.select(F.col("node").alias(c), F.col(column).alias(f"{c}_{name}"))
-        xs = pairs.select("x", "share").distinct().join(side("x"), "x")
-        return pairs.join(side("y"), "y").join(xs, ["x", "share"])
+        xs = pairs.select("x", "share").distinct().join(grows(side("x")), "x")
+        return pairs.join(grows(side("y")), "y").join(grows(xs), ["x", "share"])
 
     near = scratch.write(both(pairs, signatures, "signature", "sig").mapInArrow(agree, "x long, y long, share int"), "near")
     return both(near, sets, "shingles", "set").where(_alike(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -156,9 +156,9 @@ def centre_pairs(buckets: DataFrame) -> DataFrame:
     met = buckets.groupBy("node").agg(F.sum("m").alias("met"))
     drawn = F.xxhash64("node", F.lit(1))
     firsts = F.array_distinct(F.array(F.min_by("node", F.struct(-F.col("met"), drawn, "node")), F.min_by("node", F.struct(drawn, "node"))))
-    centres = buckets.join(met, "node").groupBy("bucket").agg(firsts.alias("x"), F.max("m").alias("m")).select("bucket", F.explode("x").alias("x"), "m")
+    centres = buckets.join(grows(met), "node").groupBy("bucket").agg(firsts.alias("x"), F.max("m").alias("m")).select("bucket", F.explode("x").alias("x"), "m")
     centres = centres.select("bucket", "x", F.explode(F.sequence(F.lit(0), _shares(F.col("m")) - 1)).alias("share"))
-    return buckets.join(centres, ["bucket", "share"]).where("x != node").groupBy("x", F.col("node").alias("y")).agg(F.min("share").alias("share"))
+    return buckets.join(grows(centres), ["bucket", "share"]).where("x != node").groupBy("x", F.col("node").alias("y")).agg(F.min("share").alias("share"))
 
 
 def prefix_filter(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,15 +167,15 @@ def prefix_filter(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     Shingles are ordered by how many members have them. Of two sets that are alike enough, each has a shared shingle among its ``n - ceil(n * percent / 100) + 1``
     first ones. Shingles of one member alone come first, so a member with more of them than that is left out, and so is one that shares its first ones with its own component only.
     """
-    own = sets.join(members, "node").select("node", "comp", F.size("shingles").alias("n"), "shingles")
+    own = sets.join(grows(members), "node").select("node", "comp", F.size("shingles").alias("n"), "shingles")
     each = own.select("node", "comp", "n", F.explode("shingles").alias("s"))
     counts = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
-    shared = each.join(counts, "s").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("shared"))
+    shared = each.join(grows(counts), "s").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("shared"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("shared"))
     postings = shared.withColumn("first", first).where("first > 0").select("node", "comp", "n", F.size("shared").alias("w"), F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("p"))
     postings = postings.select(F.col("p.s").alias("s"), "node", "comp", "n", "w")
     mixed = postings.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("s")
-    return postings.join(mixed, "s", "left_semi").select("node", "n", "w").distinct()
+    return postings.join(grows(mixed), "s", "left_semi").select("node", "n", "w").distinct()
 
 
 def _block_links(percent: int, slack: float):
@@ -223,12 +223,12 @@ def leftover_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, p
     blocks = lambda m, n: F.ceil(F.greatest(m / BLOCK, n / BLOCK_SHINGLES)).cast("int")
     main = F.col("main")
     todo = total.select("bucket", main["comp"].alias("main"), blocks(F.col("m") - main["m"], F.col("n") - main["n"]).alias("n_odd"), blocks(F.col("m"), F.col("n")).alias("n_all"))
-    at = members.join(todo, "bucket").withColumn("odd", F.col("comp") != F.col("main"))
+    at = members.join(grows(todo), "bucket").withColumn("odd", F.col("comp") != F.col("main"))
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     facts = ["bucket", "node", "comp", "n", "w"]
     left = at.where("odd").select(*facts, F.lit(0).alias("side"), block("n_odd").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
     right = at.select(*facts, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("n_odd") - 1)).alias("i"), block("n_all").alias("j"))
-    dealt = left.unionByName(right).join(signatures.select("node", "signature"), "node").join(sets, "node")
+    dealt = left.unionByName(right).join(grows(signatures.select("node", "signature")), "node").join(grows(sets), "node")
     return dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links(percent, slack), "u long, v long")
 
 
@@ -243,32 +243,32 @@ def _groups(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int,
     # row numbers hold once they are written
     base = scratch.write(profiles(docs, shingle, bands, rows, seed).withColumn("row", F.monotonically_increasing_id()), "profiles")
     classes = scratch.write(base.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "classes")
-    one = base.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
+    one = base.withColumnRenamed("row", "node").join(grows(classes.select("node")), "node", "left_semi")
     members = one.select("node", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = scratch.write(members.join(sizes, "bucket").select("bucket", "node", "m", _share_of(F.col("node"), _shares(F.col("m"))).alias("share")), "buckets")
+    buckets = scratch.write(members.join(grows(sizes), "bucket").select("bucket", "node", "m", _share_of(F.col("node"), _shares(F.col("m"))).alias("share")), "buckets")
     wanted = buckets.select("node").distinct()
-    signatures = scratch.write(one.join(wanted, "node", "left_semi").select("node", "doc_id", "digest", "signature"), "signatures")
+    signatures = scratch.write(one.join(grows(wanted), "node", "left_semi").select("node", "doc_id", "digest", "signature"), "signatures")
     sets = scratch.write(set_table(docs, signatures.select("node", "doc_id", "digest"), shingle), "sets")
 
     pairs = scratch.write(centre_pairs(buckets), "pairs")
     found, _ = linked(verified(scratch, pairs, signatures, sets, percent, slack))
 
-    at = buckets.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    at = buckets.join(grows(found), "node", "left").withColumn("comp", F.coalesce("component", "node"))
     # of three members and two centres, all pairs have been decided
     open_buckets = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("m").alias("m")).where("lo != hi and m > 3")
-    loose = scratch.write(at.join(open_buckets.select("bucket"), "bucket", "left_semi").select("bucket", "node", "comp"), "loose")
+    loose = scratch.write(at.join(grows(open_buckets.select("bucket")), "bucket", "left_semi").select("bucket", "node", "comp"), "loose")
     if not loose.isEmpty():
         left = prefix_filter(loose.select("node", "comp").distinct(), sets, percent)
-        more = scratch.write(loose.join(left, "node").select("bucket", "node", "comp", "n", "w"), "more")
+        more = scratch.write(loose.join(grows(left), "node").select("bucket", "node", "comp", "n", "w"), "more")
         links = leftover_links(more, signatures, sets, percent, slack)
         newer, n = linked(links)
         if n:
-            moved = found.join(newer.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+            moved = found.join(grows(newer.select(F.col("node").alias("component"), F.col("component").alias("to"))), "component", "left")
             found = scratch.write(moved.select("node", F.coalesce("to", "component").alias("component")).union(newer), "found")
         scratch.drop(more)
     scratch.drop(buckets, signatures, sets, pairs, loose)
-    comps = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("comp"), "first_id")
+    comps = classes.join(grows(found), "node", "left").select("digest", F.coalesce("component", "node").alias("comp"), "first_id")
     return base.select("doc_id", "key", "n_shingles", "digest"), comps
 
 
@@ -288,7 +288,7 @@ def near_duplicates(
     ids) nothing depends. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     rows_of, comps = _groups(_columns(docs, id_col, text_col, F.lit(None).cast("binary")), shingle, percent, bands, rows, slack, seed)
-    named = Scratch(docs.sparkSession, "groups").write(rows_of.join(comps, "digest", "left"), "named")
+    named = Scratch(docs.sparkSession, "groups").write(rows_of.join(grows(comps), "digest", "left"), "named")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     again = named.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     again = again.where("n > 1 and lo is not null")
@@ -299,7 +299,7 @@ def near_duplicates(
         least = least.select("comp", "to").join(least.groupBy("to").agg(F.min("least").alias("least")), "to").select("comp", "least")
     # a row without words takes part through the other rows of its id
     own = again.join(least.withColumnRenamed("comp", "lo"), "lo").select("doc_id", F.col("least").alias("own"))
-    out = named.join(least, "comp", "left").join(own, "doc_id", "left")
+    out = named.join(grows(least), "comp", "left").join(grows(own), "doc_id", "left")
     component = F.coalesce("least", "own", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))
 
@@ -316,11 +316,11 @@ def drop_near_duplicates(
     """
     key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.length(text_col), F.col(text_col)).cast("binary")))
     rows_of, comps = _groups(_columns(docs, id_col, text_col, key), shingle, percent, bands, rows, slack, seed)
-    rows_of = rows_of.join(comps.select("digest", "comp"), "digest", "left")
+    rows_of = rows_of.join(grows(comps.select("digest", "comp")), "digest", "left")
     kept = rows_of.where("comp is not null").groupBy("comp").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key")).select("key")
     (k,) = fresh(docs.columns, "row_key")
     kept = kept.union(rows_of.where("comp is null").select("key")).toDF(k)
-    return docs.withColumn(k, key).join(kept, k, "left_semi").dropDuplicates([k]).drop(k)
+    return docs.withColumn(k, key).join(grows(kept), k, "left_semi").dropDuplicates([k]).drop(k)
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataFrame:
