@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from motility.operators.tracks import CAPTURE
 from motility.sources.captures import apply_calibration
+from motility.sources.tables import stored
 
 
 def track_kinematics(tracks: DataFrame, calibration: DataFrame, keys: Sequence[str] = CAPTURE, v_size_x: float = 0.5) -> DataFrame:
@@ -43,22 +44,27 @@ def hann_pairs(tracks: DataFrame, keys: Sequence[str] = CAPTURE, half: int = 84,
     The raw weight is (1 + cos(pi * d / half)) / 2 for places d apart in the track, and 0 from ``half`` on. Places are dealt to blocks of ``half``, so a pair is sought in
     neighbouring blocks only. ``columns`` of the node are carried along.
     """
+    total = F.sum("w").over(Window.partitionBy(*keys, "track_id", "focal"))
+    return _raw_pairs(tracks, keys, half, columns).withColumn("w", F.col("w") / total)
+
+
+def _raw_pairs(tracks: DataFrame, keys: Sequence[str], half: int, columns: Sequence[str]) -> DataFrame:
     mine = Window.partitionBy(*keys, "track_id").orderBy("t", "node_id")
-    at = tracks.withColumn("pos", F.row_number().over(mine)).withColumn("block", F.floor(F.col("pos") / half))
+    at = tracks.select(*keys, "track_id", "node_id", F.row_number().over(mine).alias("pos"), *columns).withColumn("block", F.floor(F.col("pos") / half))
+    at = stored(at, "places")  # both sides of the join read it
     focal = at.select(*keys, "track_id", F.col("node_id").alias("focal"), F.col("pos").alias("fpos"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
     gap = F.col("pos") - F.col("fpos")
-    both = focal.join(at.select(*keys, "track_id", "block", "pos", "node_id", *columns), [*keys, "track_id", "block"]).where(F.abs(gap) < half)
-    raw = both.withColumn("w", (F.lit(1.0) + F.cos(F.lit(math.pi) * gap / half)) / 2)
-    total = F.sum("w").over(Window.partitionBy(*keys, "track_id", "focal"))
-    return raw.withColumn("w", F.col("w") / total).select(*keys, "track_id", "focal", "node_id", "w", *columns)
+    both = focal.join(at, [*keys, "track_id", "block"]).where(F.abs(gap) < half)
+    return both.withColumn("w", (F.lit(1.0) + F.cos(F.lit(math.pi) * gap / half)) / 2).select(*keys, "track_id", "focal", "node_id", "w", *columns)
 
 
 def weighted_stats(tracks: DataFrame, columns: Sequence[str], keys: Sequence[str] = CAPTURE, half: int = 84) -> DataFrame:
-    """The weighted mean ``<c>_mean`` and biased standard deviation ``<c>_std`` of each column around each focal node, in one pass over the pairs."""
-    pairs = hann_pairs(tracks, keys, half, columns)
-    sums = pairs.groupBy(*keys, "track_id", "focal").agg(*(s for c in columns for s in (F.sum(F.col("w") * F.col(c)).alias(f"{c}_mean"), F.sum(F.col("w") * F.col(c) * F.col(c)).alias(f"{c}_sq"))))
-    std = lambda c: F.sqrt(F.greatest(F.lit(0.0), F.col(f"{c}_sq") - F.col(f"{c}_mean") * F.col(f"{c}_mean"))).alias(f"{c}_std")
-    return sums.select(*keys, "track_id", F.col("focal").alias("node_id"), *(x for c in columns for x in (F.col(f"{c}_mean"), std(c))))
+    """The weighted mean ``<c>_mean`` and biased standard deviation ``<c>_std`` of each column around each focal node, in one aggregate over the pairs."""
+    pairs = _raw_pairs(tracks, keys, half, columns)
+    sums = pairs.groupBy(*keys, "track_id", "focal").agg(F.sum("w").alias("_w"), *(s for c in columns for s in (F.sum(F.col("w") * F.col(c)).alias(f"{c}_sum"), F.sum(F.col("w") * F.col(c) * F.col(c)).alias(f"{c}_sq"))))
+    mean = lambda c: F.col(f"{c}_sum") / F.col("_w")
+    std = lambda c: F.sqrt(F.greatest(F.lit(0.0), F.col(f"{c}_sq") / F.col("_w") - mean(c) * mean(c)))
+    return sums.select(*keys, "track_id", F.col("focal").alias("node_id"), *(x for c in columns for x in (mean(c).alias(f"{c}_mean"), std(c).alias(f"{c}_std"))))
 
 
 def track_extrema(tracks: DataFrame, keys: Sequence[str] = CAPTURE, distance: str = "distance", score: str = "score") -> DataFrame:

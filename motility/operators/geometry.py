@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,36 +24,45 @@ def _squared(a: Sequence[str], b: Sequence[str]) -> Column:
     return total
 
 
-def _nearest(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
-    far = _squared(VOXEL, TARGET)
-    return pairs.groupBy(*group).agg(F.min(F.struct(far.alias("d"), *TARGET)).alias("m")).select(*group, *(f"m.{c}" for c in TARGET), F.sqrt("m.d").alias("distance"))
+def _by_rings(points: DataFrame, targets: DataFrame, keys: Sequence[str], group: Sequence[str], to: Sequence[str], best: Callable[[DataFrame], DataFrame], far: str, cell: float | None) -> DataFrame:
+    """``best`` over the pairs of points and targets of one volume, where a pair's measure ``far`` is no less than its distance.
 
-
-def nearest_point(points: DataFrame, targets: DataFrame, keys: Sequence[str] = KEYS, point_id: str = "label", cell: float | None = None) -> DataFrame:
-    """The nearest target of each point of the same volume: ``(keys, point_id, z, y, x, tz, ty, tx, distance)``; of equal ones the least.
-
-    With ``cell``, points are held only against the targets in their own and the neighbouring cells of a grid of that size. A target found within one cell
-    length is the nearest; the points left are held against a grid four times as wide, and so on, each step written to the shared folder. Points of volumes without targets have no row.
+    Points are held only against the targets in their own and the neighbouring cells of a grid of size ``cell``. What is found within one cell length can't be beaten by a target farther away; the
+    points left are held against a grid four times as wide, and so on, each step written to the shared folder. Without ``cell`` all pairs of a volume are held.
+    Points of volumes without targets have no row.
     """
-    group = [*keys, point_id, *VOXEL]
-    points = points.select(group)
-    named = targets.select(*keys, *(F.col(v).alias(t) for v, t in zip(VOXEL, TARGET, strict=True)))
     if cell is None:
-        return _nearest(points.join(named, list(keys)), group)
+        return best(points.join(targets, list(keys)))
     steps = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((a, b, c), "abc", strict=True))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
-    rest = points.join(named.select(*keys).distinct(), list(keys), "left_semi")
+    rest = points.join(targets.select(*keys).distinct(), list(keys), "left_semi")
     found = None
     while found is None or not rest.isEmpty():
         at = lambda c, size=cell: F.floor(F.col(c) / F.lit(size))
-        boxed = named.select("*", *(at(t).alias(f"g{t}") for t in TARGET))
-        around = rest.withColumn("_s", F.explode(steps)).select(*group, *((at(v) + F.col(f"_s.{s}")).alias(f"g{t}") for v, t, s in zip(VOXEL, TARGET, "abc", strict=True)))
-        near = stored(_nearest(around.join(boxed, [*keys, *(f"g{t}" for t in TARGET)]), group).where(F.col("distance") <= cell), "nearest")
-        rest = stored(rest.join(near.select(group), group, "left_anti"), "points")
+        boxed = targets.select("*", *(at(t).alias(f"_g{v}") for v, t in zip(VOXEL, to, strict=True)))
+        around = rest.withColumn("_s", F.explode(steps)).select(*rest.columns, *((at(v) + F.col(f"_s.{s}")).alias(f"_g{v}") for v, s in zip(VOXEL, "abc", strict=True)))
+        near = stored(best(around.join(boxed, [*keys, *(f"_g{v}" for v in VOXEL)])).where(F.col(far) <= cell * (1 - 1e-9)), "nearest")
+        rest = stored(rest.join(near.select(*group), list(group), "left_anti"), "points")
         found = near if found is None else found.unionByName(near)
         cell *= 4
     return found
 
 
+def nearest_point(points: DataFrame, targets: DataFrame, keys: Sequence[str] = KEYS, point_id: str = "label", cell: float | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """The nearest target of each point of the same volume: ``(keys, point_id, z, y, x, tz, ty, tx, distance)``; of equal ones the least.
+
+    ``cell`` is the grid size that the search begins with; without it all pairs are held. Columns ``order`` of the targets, where given, decide between equal distances and are returned in place of the target's place.
+    """
+    group = [*keys, point_id, *VOXEL]
+    named = targets.select(*keys, *(F.col(v).alias(t) for v, t in zip(VOXEL, TARGET, strict=True)), *order)
+    told = list(order) or list(TARGET)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        near = pairs.groupBy(*group).agg(F.min(F.struct(_squared(VOXEL, TARGET).alias("d"), *told)).alias("m"))
+        return near.select(*group, *(f"m.{c}" for c in told), F.sqrt("m.d").alias("distance"))
+
+    return _by_rings(points.select(group), named, keys, group, TARGET, best, "distance", cell)
+
+
 def min_distance(voxels: DataFrame, surface: DataFrame, keys: Sequence[str] = KEYS, label: str = "label", cell: float | None = None) -> DataFrame:
     """The least distance of a region's voxels to the surface, and the rounded median of the voxels that have it."""
     near = nearest_point(voxels, surface, keys, label, cell)
@@ -176,23 +185,28 @@ def ellipse_polar(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return df.withColumn("radius2", p * p + q * q).withColumn("theta", F.when(theta < 0, theta + 2 * math.pi).otherwise(theta))
 
 
-def nearest_normal(points: DataFrame, normals: DataFrame, keys: Sequence[str] = KEYS, point_id: str = "label") -> DataFrame:
+def nearest_normal(points: DataFrame, normals: DataFrame, keys: Sequence[str] = KEYS, point_id: str = "label", cell: float | None = None) -> DataFrame:
     """The surface point whose normal line passes nearest: least sum of the distance to the line and from its foot to the surface point.
 
-    ``normals`` has ``sid, sz, sy, sx`` and unit vectors ``nz, ny, nx``. Returns ``(keys, point_id, sid, line_distance, foot_distance)``; ties go to the least sid.
+    ``normals`` has ``sid, sz, sy, sx`` and unit vectors ``nz, ny, nx``. Returns ``(keys, point_id, sid, line_distance, foot_distance)``; ties go to the least sid. The sum is no less than the
+    distance to the surface point, so with ``cell`` a grid bounds the search.
     """
-    both = points.select(*keys, point_id, *VOXEL).join(normals, list(keys))
-    along = F.lit(0.0)
-    for a in VOXEL:
-        along = along + (F.col(a) - F.col(f"s{a}")) * F.col(f"n{a}")
-    both = both.withColumn("_t", along)
-    off = F.lit(0.0)
-    for a in VOXEL:
-        gap = F.col(a) - F.col(f"s{a}") - F.col("_t") * F.col(f"n{a}")
-        off = off + gap * gap
-    both = both.withColumn("_line", F.sqrt(off)).withColumn("_foot", F.abs("_t"))
-    best = both.groupBy(*keys, point_id).agg(F.min(F.struct(F.round(F.col("_line") + F.col("_foot"), 9), "sid", "_line", "_foot")).alias("m"))
-    return best.select(*keys, point_id, "m.sid", F.col("m._line").alias("line_distance"), F.col("m._foot").alias("foot_distance"))
+    group = [*keys, point_id]
+
+    def best(both: DataFrame) -> DataFrame:
+        along = off = F.lit(0.0)
+        for a in VOXEL:
+            along = along + (F.col(a) - F.col(f"s{a}")) * F.col(f"n{a}")
+        both = both.withColumn("_t", along)
+        for a in VOXEL:
+            gap = F.col(a) - F.col(f"s{a}") - F.col("_t") * F.col(f"n{a}")
+            off = off + gap * gap
+        both = both.withColumn("_line", F.sqrt(off)).withColumn("_foot", F.abs("_t"))
+        least = both.groupBy(*group).agg(F.min(F.struct(F.round(F.col("_line") + F.col("_foot"), 9).alias("sum"), "sid", "_line", "_foot")).alias("m"))
+        return least.select(*group, "m.sid", F.col("m._line").alias("line_distance"), F.col("m._foot").alias("foot_distance"), F.col("m.sum").alias("_sum"))
+
+    found = _by_rings(points.select(*group, *VOXEL), normals, keys, group, ["sz", "sy", "sx"], best, "_sum", cell)
+    return found.drop("_sum")
 
 
 def extent_along_ray(cells: DataFrame, voxels: DataFrame, keys: Sequence[str] = KEYS, label: str = "label", steps: int = 10_000, step: float = 0.01) -> DataFrame:

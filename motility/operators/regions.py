@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from motility.functions.grouped import merged_pieces, principal_axes, voxel_components, voxel_hull_volume
 from motility.operators.voxels import KEYS, VOXEL
-from motility.sources.tables import spread
+from motility.sources.tables import spread, stored
 
 
 def label_components(voxels: DataFrame, keys: Sequence[str] = KEYS, connectivity: int = 26) -> DataFrame:
@@ -152,7 +152,7 @@ def label_overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, proje
     """``(keys, la, lb, inter, na, nb, iou)`` of all pairs of labels that meet; with ``project`` on projections along that axis."""
     at = [v for v in VOXEL if v != project]
     side = lambda df, name: df.select(*keys, *at, F.col(label).alias(name)).distinct()
-    pa, pb = side(a, "la"), side(b, "lb")
+    pa, pb = stored(side(a, "la"), "sides"), stored(side(b, "lb"), "sides")  # each is joined and counted
     inter = pa.join(pb, [*keys, *at]).groupBy(*keys, "la", "lb").agg(F.count("*").alias("inter"))
     out = inter.join(pa.groupBy(*keys, "la").agg(F.count("*").alias("na")), [*keys, "la"]).join(pb.groupBy(*keys, "lb").agg(F.count("*").alias("nb")), [*keys, "lb"])
     return out.withColumn("iou", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")))

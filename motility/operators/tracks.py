@@ -19,15 +19,12 @@ CAPTURE = ("grp", "volume", "capture")
 MAD = 1.4826
 
 
-def match_nodes(detections: DataFrame, nodes: DataFrame, keys: Sequence[str] = (*CAPTURE, "t"), det_id: str = "det_id") -> DataFrame:
-    """``(keys, det_id, node_id, distance)``: the node of the same frame nearest to each detection; of equal ones the last."""
-    side = nodes.select(*keys, "node_id", *(F.col(a).alias(f"n{a}") for a in "zyx"))
-    far = F.lit(0.0)
-    for a in "zyx":
-        far = far + (F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}"))
-    both = detections.select(*keys, det_id, *"zyx").join(side, list(keys)).withColumn("_d", far)
-    best = both.groupBy(*keys, det_id).agg(F.min(F.struct("_d", (-F.col("node_id")).alias("n"))).alias("m"))
-    return best.select(*keys, det_id, (-F.col("m.n")).alias("node_id"), F.sqrt("m._d").alias("distance"))
+def match_nodes(detections: DataFrame, nodes: DataFrame, keys: Sequence[str] = (*CAPTURE, "t"), det_id: str = "det_id", cell: float | None = None) -> DataFrame:
+    """``(keys, det_id, node_id, distance)``: the node of the same frame nearest to each detection; of equal ones the last. ``cell`` bounds the search as in ``nearest_point``."""
+    from motility.operators.geometry import nearest_point
+
+    side = nodes.select(*keys, *"zyx", (-F.col("node_id")).alias("n"))
+    return nearest_point(detections, side, keys, det_id, cell, ["n"]).select(*keys, det_id, (-F.col("n")).alias("node_id"), "distance")
 
 
 def link_detections(nodes: DataFrame, keys: Sequence[str] = CAPTURE, cost_none: float = 20.0, properties: Sequence[str] = ("vol", "diameter", "surface")) -> DataFrame:
@@ -56,9 +53,9 @@ def collisions(tracks: DataFrame, keys: Sequence[str] = CAPTURE) -> DataFrame:
 
     Boxes are ``x, y, dx, dy`` (centre and sides) and meet if their intersection has an area. A track's frame is used once: the least partner stands.
     """
-    life = tracks.groupBy(*keys, "track_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    mine = Window.partitionBy(*keys, "track_id")
     span = tracks.groupBy(*keys).agg(F.min("t").alias("f0"), F.max("t").alias("f1"))
-    ends = tracks.join(life, [*keys, "track_id"]).join(span, list(keys))
+    ends = tracks.withColumn("t0", F.min("t").over(mine)).withColumn("t1", F.max("t").over(mine)).where("t in (t0, t1)").join(span, list(keys))
     born = ends.where((F.col("t") == F.col("t0")) & (F.col("t") > F.col("f0"))).withColumn("kind", F.lit("separation")).withColumn("at", F.col("t") - 1)
     gone = ends.where((F.col("t") == F.col("t1")) & (F.col("t") < F.col("f1"))).withColumn("kind", F.lit("collision")).withColumn("at", F.col("t") + 1)
     one = born.unionByName(gone).select(*keys, "kind", "t", "track_id", "at", "x", "y", "dx", "dy")

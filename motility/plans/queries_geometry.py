@@ -93,7 +93,7 @@ def e8(v):
     third = lambda a, b, c: F.when(F.col("label") % 3 == 0, a).when(F.col("label") % 3 == 1, b).otherwise(c)
     corner = v.voxels.where("label % 5 = 0").groupBy("capture", "t", "label").agg(*(F.min(a).cast("double").alias(f"s{a}") for a in "zyx"))
     normals = corner.withColumns({"nz": third(0.6, 0.0, 0.48), "ny": third(0.8, 1.0, 0.64), "nx": third(0.0, 0.0, 0.6)}).withColumnRenamed("label", "sid")
-    return G.nearest_normal(_centres(v), normals).withColumn("line_distance", F.round("line_distance", 6)).withColumn("foot_distance", F.round("foot_distance", 6))
+    return G.nearest_normal(_centres(v), normals, cell=12.0).withColumn("line_distance", F.round("line_distance", 6)).withColumn("foot_distance", F.round("foot_distance", 6))
 
 
 @query("e9_extent_along_ray", """

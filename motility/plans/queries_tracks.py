@@ -23,7 +23,7 @@ b AS (SELECT grp, volume, capture, t, det_id, node_id, (d.z - n.z) * (d.z - n.z)
 SELECT grp, volume, capture, t, det_id, node_id, round(sqrt(q), 6) AS distance FROM b QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY q, node_id DESC) = 1""", "track_nodes")
 def f1(v):
     dets = v.track_nodes.where("node_id % 3 = 0").select("grp", "volume", "capture", "t", F.col("node_id").alias("det_id"), (F.col("z") + 0.25).alias("z"), (F.col("y") + 3).alias("y"), (F.col("x") - 2).alias("x"))
-    return rounded(T.match_nodes(dets, v.track_nodes), "distance")
+    return rounded(T.match_nodes(dets, v.track_nodes, cell=32.0), "distance")
 
 
 @query("f2_link_detections")

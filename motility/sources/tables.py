@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; where that is unset (tests), a local folder is taken for the session."""
+    """A new path in the folder of ``spark.checkpoint.dir``, which the driver and all executors must see. Only a master on this machine alone may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
