@@ -114,5 +114,6 @@ def with_views(names: list[str], sql: str) -> str:
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in order)
     sql = sql.strip()
     if ctes:
-        sql = f"WITH {ctes}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {ctes} {sql}"
+        head = next((h for h in ("WITH RECURSIVE ", "WITH ") if sql.upper().startswith(h)), "")
+        sql = f"{head}{ctes}, {sql[len(head):]}" if head else f"WITH {ctes} {sql}"
     return _duck(sql)

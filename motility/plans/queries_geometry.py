@@ -36,17 +36,26 @@ def e2(v):
     return G.min_distance(v.voxels, _surface(v), cell=12.0).withColumn("distance", F.round("distance", 6))
 
 
-@query("e3_centerline", """
-WITH f AS (SELECT DISTINCT capture, t, y, x FROM voxels), a AS (SELECT capture, t, count(*) FILTER (x = 0) >= count(*) FILTER (y = 0) AS ax FROM f GROUP BY ALL),
+LINE = """f AS (SELECT DISTINCT capture, t, y, x FROM voxels), a AS (SELECT capture, t, count(*) FILTER (x = 0) >= count(*) FILTER (y = 0) AS ax FROM f GROUP BY ALL),
 l AS (SELECT capture, t, z, count(*) AS n FROM voxels GROUP BY ALL), zz AS (SELECT capture, t, round(median(z)) AS z FROM l WHERE (capture, t, n) IN (SELECT capture, t, max(n) FROM l GROUP BY capture, t) GROUP BY capture, t),
 p AS (SELECT capture, t, ax, CASE WHEN ax THEN x ELSE y END AS pos, CASE WHEN ax THEN y ELSE x END AS o FROM f JOIN a USING (capture, t)),
-m AS (SELECT capture, t, ax, pos, round(median(o)) AS mid FROM p GROUP BY ALL)
-SELECT capture, t, pos, z, CASE WHEN ax THEN mid ELSE pos END AS y, CASE WHEN ax THEN pos ELSE mid END AS x FROM m JOIN zz USING (capture, t)""", "voxels")
+m AS (SELECT capture, t, ax, pos, round(median(o)) AS mid FROM p GROUP BY ALL),
+line AS (SELECT capture, t, pos, z, CASE WHEN ax THEN mid ELSE pos END AS y, CASE WHEN ax THEN pos ELSE mid END AS x FROM m JOIN zz USING (capture, t))"""
+
+
+@query("e3_centerline", f"WITH {LINE} SELECT * FROM line", "voxels")
 def e3(v):
     return G.centerline(v.voxels)
 
 
-@query("e4_order_points")
+@query("e4_order_points", f"""
+WITH RECURSIVE {LINE}, pt AS (SELECT capture, t, z, y, x, row_number() OVER (PARTITION BY capture, t ORDER BY z, y, x) AS id FROM line),
+chain AS (
+  SELECT capture, t, 0 AS pos, id, z, y, x, [id] AS seen FROM pt QUALIFY row_number() OVER (PARTITION BY capture, t ORDER BY z * z + y * y + x * x, id) = 1
+  UNION ALL SELECT capture, t, pos + 1, id, z, y, x, list_append(seen, id) FROM (
+    SELECT c.capture, c.t, pos, seen, pt.id, pt.z, pt.y, pt.x, row_number() OVER (PARTITION BY c.capture, c.t ORDER BY (pt.z - c.z) ** 2 + (pt.y - c.y) ** 2 + (pt.x - c.x) ** 2, pt.id) AS k
+    FROM chain c JOIN pt ON pt.capture = c.capture AND pt.t = c.t WHERE NOT list_contains(seen, pt.id)) WHERE k = 1)
+SELECT capture, t, z, y, x, pos FROM chain""", "voxels")
 def e4(v):
     return G.order_points(G.centerline(v.voxels).drop("pos"))
 

@@ -16,7 +16,14 @@ def _shifted(v):
     return v.voxels.withColumn("x", F.col("x") + 1).withColumn("label", F.col("label") + 100000)
 
 
-@query("c1_label_components")
+@query("c1_label_components", """
+WITH RECURSIVE n AS (SELECT *, row_number() OVER (ORDER BY capture, t, z, y, x) AS id FROM voxels),
+s AS (SELECT a, b, unnest(range(-1, 2)) AS c FROM (SELECT a, unnest(range(-1, 2)) AS b FROM (SELECT unnest(range(-1, 2)) AS a))),
+e AS MATERIALIZED (SELECT n.id AS p, m.id AS q FROM (SELECT id, capture, t, z + a AS z, y + b AS y, x + c AS x FROM n, s) m JOIN n USING (capture, t, z, y, x) WHERE n.id != m.id),
+cc(id, comp) USING KEY (id) AS (
+  SELECT id, id FROM n
+  UNION (SELECT u.id, min(w.comp) FROM cc w JOIN e ON e.q = w.id JOIN recurring.cc u ON u.id = e.p WHERE w.comp < u.comp GROUP BY u.id))
+SELECT capture, t, z, y, x, dense_rank() OVER (PARTITION BY capture, t ORDER BY comp) AS component FROM n JOIN cc USING (id)""", "voxels")
 def c1(v):
     return R.label_components(v.voxels.select("capture", "t", "z", "y", "x"))
 
@@ -33,7 +40,15 @@ def c3(v):
     return R.keep_largest(v.voxels).select("capture", "t", "z", "y", "x", "label")
 
 
-@query("c4_fill_holes")
+@query("c4_fill_holes", """
+WITH RECURSIVE m AS (SELECT capture, t, z, y, x FROM voxels WHERE (z * 7 + y * 3 + x) % 11 != 0),
+b AS (SELECT capture, t, min(z) AS z1, max(z) AS z2, min(y) AS y1, max(y) AS y2, min(x) AS x1, max(x) AS x2 FROM m GROUP BY ALL),
+g AS (SELECT *, unnest(range(x1, x2 + 1)) AS x FROM (SELECT *, unnest(range(y1, y2 + 1)) AS y FROM (SELECT *, unnest(range(z1, z2 + 1)) AS z FROM b))),
+o AS MATERIALIZED (SELECT g.* FROM g ANTI JOIN m USING (capture, t, z, y, x)),
+s(a, b, c) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
+r AS (SELECT capture, t, z, y, x FROM o WHERE z IN (z1, z2) OR y IN (y1, y2) OR x IN (x1, x2)
+  UNION SELECT o.capture, o.t, o.z, o.y, o.x FROM (SELECT capture, t, z + a AS z, y + b AS y, x + c AS x FROM r, s) k JOIN o USING (capture, t, z, y, x))
+SELECT capture, t, z, y, x FROM m UNION ALL SELECT capture, t, z, y, x FROM o ANTI JOIN r USING (capture, t, z, y, x)""", "voxels")
 def c4(v):
     shell = v.voxels.where("(z * 7 + y * 3 + x) % 11 != 0")
     return R.fill_holes(shell)
