@@ -107,11 +107,11 @@ def e8(v):
 
 @query("e9_extent_along_ray", """
 WITH m AS (SELECT capture, t, label, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx, min(z) - 3.5 AS sz, min(y) - 2.25 AS sy, min(x) - 1.125 AS sx FROM voxels GROUP BY ALL),
-p AS (SELECT DISTINCT capture, t, label, CAST(round(sz + (cz - sz) * i * 0.01) AS BIGINT) AS z, CAST(round(sy + (cy - sy) * i * 0.01) AS BIGINT) AS y, CAST(round(sx + (cx - sx) * i * 0.01) AS BIGINT) AS x FROM m, (SELECT unnest(range(0, 401)) AS i))
+p AS (SELECT DISTINCT capture, t, label, CAST(round(sz + (cz - sz) * i * 0.01) AS BIGINT) AS z, CAST(round(sy + (cy - sy) * i * 0.01) AS BIGINT) AS y, CAST(round(sx + (cx - sx) * i * 0.01) AS BIGINT) AS x FROM m, (SELECT unnest(range(0, 10001)) AS i))
 SELECT m.capture, m.t, m.label, count(v.z) AS height FROM m LEFT JOIN p USING (capture, t, label) LEFT JOIN voxels v ON v.capture = m.capture AND v.t = m.t AND v.label = m.label AND v.z = p.z AND v.y = p.y AND v.x = p.x GROUP BY ALL""", "voxels")
 def e9(v):
     cells = v.voxels.groupBy("capture", "t", "label").agg(*(F.avg(a).alias(f"c{a}") for a in "zyx"), (F.min("z") - 3.5).alias("sz"), (F.min("y") - 2.25).alias("sy"), (F.min("x") - 1.125).alias("sx"))
-    return G.extent_along_ray(cells, v.voxels, steps=400)
+    return G.extent_along_ray(cells, v.voxels)
 
 
 @query("e10_oriented_width", """

@@ -63,10 +63,11 @@ def f4(v):
     return T.event_spans(T.collisions(big), big)
 
 
-@query("f5_track_table", "SELECT track_id, t, node_id FROM track_nodes WHERE t IN (1, 2, 5, 9) AND node_id > 0", "track_nodes")
+@query("f5_track_table", "SELECT track_id, t, node_id FROM track_nodes WHERE node_id > 0", "track_nodes")
 def f5(v):
-    matrix = T.track_matrix(v.track_nodes, [1, 2, 5, 9])
-    return T.track_table(matrix, ["t1", "t2", "t5", "t9"]).select("track_id", "t", "node_id")
+    frames = [r[0] for r in v.track_nodes.select("t").distinct().orderBy("t").collect()]  # a matrix has a column per frame
+    matrix = T.track_matrix(v.track_nodes, frames)
+    return T.track_table(matrix, [f"t{t}" for t in frames]).select("track_id", "t", "node_id")
 
 
 NETWORK = f"""WITH h AS (SELECT *, sqrt((z - lag(z) OVER g) ** 2 + (y - lag(y) OVER g) ** 2 + (x - lag(x) OVER g) ** 2) AS hop FROM track_nodes WINDOW g AS (PARTITION BY {KEYS}, track_id ORDER BY t, node_id)),
