@@ -303,6 +303,20 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The ``size`` most frequent words, of equal ones those with the least hash.
+
+    A histogram of counts first tells how frequent they are, so that tasks do not each send the driver as many words.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    held = 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.level):  # a few hundred rows
+        held, least = held + r.k, r.level
+        if held >= size:
+            break
+    return (counts.where(level >= least) if held else counts).orderBy(F.desc("n"), "hash").limit(size)
+
+
 def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: int = 3) -> LanguageModel:
     """Counts and trains on every word of every text. Without words anywhere, the weights stay as they start.
 
@@ -313,7 +327,7 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: int
     small_batches(spark)
     scratch = Scratch(spark, "language-model")
     counts = scratch.write(count_words(docs, quoted(text_col)), "counts")
-    top = [(r.hash, r.n) for r in counts.orderBy(F.desc("n"), "hash").limit(VOCABULARY).collect()]
+    top = [(r.hash, r.n) for r in most_frequent(counts, VOCABULARY).collect()]
     shared = F.pmod(F.shiftrightunsigned("hash", _SHIFT), F.lit(RESTS)).cast("int")
     rest = counts.groupBy(shared.alias("j")).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.count(F.when(F.col("n") == 1, 1)).alias("once"))
     rest = {r.j: (r.n, r.k, r.once) for r in rest.collect()}  # a row per shared class
