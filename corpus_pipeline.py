@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motility.llm import toxicity
-from motility.llm.common import fresh, written
+from motility.llm.common import Scratch, fresh
 from motility.llm.decontaminate import find_leaks
 from motility.llm.near_dedup import drop_near_duplicates
 from motility.llm.packing import pack
@@ -83,8 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again. A stage's table is deleted once the next one stands."""
+    scratch = Scratch(spark, "pipeline")
+    docs, before = _table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [docs]
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are written
+    scratch.drop(*before)
+    return packed
