@@ -28,10 +28,12 @@ CODES = SIDE * SIDE
 SINGLES = 704
 RESTS = CODES - SINGLES
 VOCABULARY, BUCKETS = 8192, 4 * RESTS
+#: The most frequent words, whose counts go to all tasks; those of other words are joined.
+KNOWN = 1 << 17
 OFFSETS = [j for j in range(-RADIUS, RADIUS + 1) if j]
 ROUNDS, RATE, CHUNK = 2, 0.08, 4096
 #: Words that a shard trains on, and distinct words that a task counts before it hands them on, about.
-SHARD_WORDS, COUNTED = 2_000_000, 1 << 19
+SHARD_WORDS, COUNTED = 4_000_000, 1 << 19
 _SHAPES = {"scale": (len(OFFSETS), DIM), "bias": (DIM,), "out1": (DIM, SIDE), "bias1": (SIDE,), "digit": (SIDE, DIM), "out2": (DIM, SIDE), "bias2": (SIDE,)}
 _SHIFT = 40
 
@@ -45,11 +47,21 @@ class Lexicon:
     class_of: np.ndarray  # -1 for the mark
     log_share: np.ndarray  # of a word in its class; for a bucket what a count's logarithm is to be added to
     log_unseen: float  # stands for the logarithm of the count of a word that the corpus doesn't have
+    known: np.ndarray  # sorted hashes of the words whose counts are at hand
+    log_count: np.ndarray  # of these words
 
     @property
     def mark(self) -> int:
         return len(self.class_of) - 1
 
+    def counted(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of the count of each word, and whether it is known; 0 where it isn't."""
+        if not len(self.known):
+            return np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        hit = self.known[at] == hashes
+        return np.where(hit, self.log_count[at], 0.0), hit
+
     def numbered(self, hashes: np.ndarray) -> np.ndarray:
         own = (hashes >> np.uint64(_SHIFT)).astype(np.int64) % BUCKETS + len(self.hashes)
         if len(self.hashes):
@@ -58,22 +70,23 @@ class Lexicon:
         return own.astype(np.int32)
 
 
-def lexicon_of(top: list[tuple[int, int]], rest: dict[int, tuple[int, int, int]]) -> Lexicon:
-    """From the most frequent words ``(hash, count)``, and by shared class the ``(words counted, distinct words, words found once)`` of all words that hash to it."""
-    hashes = np.array([h for h, _ in top], np.int64).view(np.uint64)
-    counts = np.array([n for _, n in top], np.float64)
+def lexicon_of(known: np.ndarray, known_counts: np.ndarray, rest: dict[int, tuple[int, int, int]]) -> Lexicon:
+    """From the most frequent words' hashes and counts, falling, and by shared class the ``(words counted, distinct words, words found once)`` of all words that hash to it."""
+    known = known.astype(np.int64).view(np.uint64)
+    hashes, counts = known[:VOCABULARY], known_counts[:VOCABULARY].astype(np.float64)
     shared = (hashes >> np.uint64(_SHIFT)).astype(np.int64) % RESTS
     totals = np.array([rest.get(j, (0, 0, 0)) for j in range(RESTS)], np.float64)
     np.subtract.at(totals[:, 0], shared[:SINGLES], counts[:SINGLES])
     np.subtract.at(totals[:, 1], shared[:SINGLES], 1)
     mass = np.log(np.maximum(1, totals[:, 0] + totals[:, 2]))  # words found once hint at how many there are that were not found
-    k = len(top)
+    k = len(hashes)
     class_of = np.concatenate([np.arange(k), SINGLES + np.arange(BUCKETS) % RESTS, [-1]]).astype(np.int32)
     class_of[SINGLES:k] = SINGLES + shared[SINGLES:]
     share = np.concatenate([np.zeros(min(k, SINGLES)), np.log(counts[SINGLES:]) - mass[shared[SINGLES:]], -mass[np.arange(BUCKETS) % RESTS], [0]])
     unseen = (totals[:, 2].sum() + 1) / (totals[:, 1].sum() + 1)
     order = np.argsort(hashes)
-    return Lexicon(hashes[order], order.astype(np.int32), class_of, share, math.log(min(1.0, unseen)))
+    by_hash = np.argsort(known)
+    return Lexicon(hashes[order], order.astype(np.int32), class_of, share, math.log(min(1.0, unseen)), known[by_hash], np.log(known_counts[by_hash].astype(np.float64)))
 
 
 @dataclass
@@ -184,21 +197,26 @@ def gradients(w: Weights, class_of: np.ndarray, line: np.ndarray) -> tuple[float
     loss = -(np.log(np.maximum(p1[row, first], 1e-30)) + np.log(np.maximum(p2[row, second], 1e-30)))[real].sum()
     p1[row, first] -= 1
     p2[row, second] -= 1
-    weight = (real / max(1, count)).astype(np.float32)[:, None]
-    p1 *= weight
-    p2 *= weight
+    if count == n:
+        p1 *= np.float32(1 / n)
+        p2 *= np.float32(1 / n)
+    else:
+        weight = (real / max(1, count)).astype(np.float32)[:, None]
+        p1 *= weight
+        p2 *= weight
+    ones = np.ones(n, np.float32)  # a product with it adds up faster than a sum along the first axis
     back2 = p2 @ w.out2.T
     dh = (p1 @ w.out1.T + back2) * (1 - h * h)
     one_hot = np.zeros((n, SIDE), np.float32)
     one_hot[row, first] = 1
-    grad = {"out1": h.T @ p1, "bias1": p1.sum(axis=0), "out2": h2.T @ p2, "bias2": p2.sum(axis=0), "digit": one_hot.T @ back2, "bias": dh.sum(axis=0)}
+    grad = {"out1": h.T @ p1, "bias1": ones @ p1, "out2": h2.T @ p2, "bias2": ones @ p2, "digit": one_hot.T @ back2, "bias": ones @ dh}
     dx = np.zeros_like(x)
     scale = np.empty_like(w.scale)
     for k, j in enumerate(OFFSETS):
-        scale[k] = (dh * x[RADIUS + j : RADIUS + j + n]).sum(axis=0)
+        scale[k] = ones @ (dh * x[RADIUS + j : RADIUS + j + n])
         dx[RADIUS + j : RADIUS + j + n] += dh * w.scale[k]
     grad["scale"] = scale
-    order = np.argsort(line, kind="stable")
+    order = np.argsort(line.astype(np.uint16), kind="stable")  # a radix sort
     ordered = line[order]
     begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     values = np.add.reduceat(dx[order], begins, axis=0)
@@ -252,17 +270,20 @@ class LanguageModel:
                 numbers = lexicon.numbered(part.hashes)
                 line, places = laid_out(numbers, part.counts, lexicon.mark)
                 each = log_probabilities(weights, lexicon.class_of, line)[places - RADIUS] + lexicon.log_share[numbers]
+                other = np.flatnonzero(numbers >= len(lexicon.hashes))
+                logs, hit = lexicon.counted(part.hashes[other])
+                each[other] += logs
+                other = other[~hit]
                 each = np.concatenate([[0.0], np.cumsum(each)])
                 sums.append(each[part.bounds[1:]] - each[part.bounds[:-1]])
                 n_tokens.append(part.counts)
-                other = numbers >= len(lexicon.hashes)
-                ends.append(ends[-1][-1] + np.cumsum(other)[part.bounds[1:] - 1] * (part.bounds[1:] > 0) if len(numbers) else np.full(len(part.counts), ends[-1][-1]))
+                ends.append(ends[-1][-1] + np.searchsorted(other, part.bounds[1:]))
                 rare.append(part.hashes[other].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(rare)))
             return pa.StructArray.from_arrays([pa.array(np.concatenate(n_tokens)), pa.array(np.concatenate(sums)), lists], ["n_tokens", "log_prob", "rare"])
 
         table = Scratch(spark, "scores").write(docs.select(*named(columns), F.monotonically_increasing_id().alias(row), score(quoted(text_col)).alias(got)), "first")
-        # the words outside the network's vocabulary, of which none is in more than a word in VOCABULARY, meet their counts
+        # the words beyond those known, of which none is more than one in KNOWN, meet their counts
         seen = table.select(row, F.explode(f"{got}.rare").alias("hash")).join(self.counts, "hash").groupBy(row).agg(F.sum(F.log("n")).alias("logs"), F.count("*").alias("n"))
         rest = F.coalesce("logs", F.lit(0.0)) + F.lit(self.lexicon.log_unseen) * (F.size("rare") - F.coalesce("n", F.lit(0)))
         sides = table.select(row, f"{got}.*").join(seen, row, "left")
@@ -327,11 +348,11 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: int
     small_batches(spark)
     scratch = Scratch(spark, "language-model")
     counts = scratch.write(count_words(docs, quoted(text_col)), "counts")
-    top = [(r.hash, r.n) for r in most_frequent(counts, VOCABULARY).collect()]
+    top = most_frequent(counts, KNOWN).toPandas().sort_values(["n", "hash"], ascending=[False, True])
     shared = F.pmod(F.shiftrightunsigned("hash", _SHIFT), F.lit(RESTS)).cast("int")
     rest = counts.groupBy(shared.alias("j")).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.count(F.when(F.col("n") == 1, 1)).alias("once"))
     rest = {r.j: (r.n, r.k, r.once) for r in rest.collect()}  # a row per shared class
-    lexicon = lexicon_of(top, rest)
+    lexicon = lexicon_of(top["hash"].to_numpy(), top["n"].to_numpy(), rest)
     weights = start_weights(seed, len(lexicon.class_of))
     shards = -(-sum(r[0] for r in rest.values()) // SHARD_WORDS)
     sent_lexicon = spark.sparkContext.broadcast(lexicon)

@@ -55,7 +55,7 @@ def test_words_equal_the_pattern(table, pattern, size):
 
 def test_gradients_and_scores(spark):
     rng = np.random.default_rng(0)
-    lexicon = lm_score.lexicon_of([(int(h), 1000 - i) for i, h in enumerate(rng.integers(-(2**62), 2**62, 900))], {j: (5000, 40, 9) for j in range(lm_score.RESTS)})
+    lexicon = lm_score.lexicon_of(rng.integers(-(2**62), 2**62, 900), np.arange(1000, 100, -1), {j: (5000, 40, 9) for j in range(lm_score.RESTS)})
     numbers = len(lexicon.class_of)
     w = lm_score.Weights(**{k: v.astype(np.float64) for k, v in vars(lm_score.start_weights(1, numbers)).items()})
     line, places = lm_score.laid_out(rng.integers(0, numbers - 1, 40).astype(np.int32), np.array([15, 0, 25]), lexicon.mark)
@@ -117,12 +117,13 @@ def test_unseen_documents_are_at_least_a_nat_better_than_by_counts(spark):
 def test_scores_are_log_probabilities_of_words(spark, monkeypatch):
     """Given its neighbours, the probabilities of all words of the corpus sum up to 1, but for what words not yet seen are left; the score is that of the word."""
     monkeypatch.setattr(lm_score, "VOCABULARY", 800)
+    monkeypatch.setattr(lm_score, "KNOWN", 1000)
     rng = random.Random(5)
     texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(400)) for _ in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = lm_score.fit(docs, rounds=1)
     vocabulary = sorted({w for t in texts for w in t.split()})
-    assert len(vocabulary) > 900
+    assert len(vocabulary) > 1100
     counts = collections.Counter(w for t in texts for w in t.split())
     numbers = model.lexicon.numbered(words.hash_of_words(vocabulary, words.SPACED))
     logs = np.array([model.lexicon.log_share[k] + (math.log(counts[w]) if k >= 800 else 0) for k, w in zip(numbers, vocabulary, strict=True)])
