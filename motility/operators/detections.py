@@ -104,11 +104,18 @@ def label_detections(boxes: DataFrame, pred: DataFrame, truth: DataFrame, keys:
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by group, ties counted half; 1.0 where there is one class only.
 
-    Counts are added up per distinct score first, so the running sum goes over scores and not over rows.
+    Counts are added up per distinct score first. Running sums go over the scores of one of 4096 bins of equal width, and over the bins, so no task meets all scores of a group unless they lie in one bin.
     """
-    counts = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    area = counts.withColumn("area", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2.0))
+    counts = df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
+    ends = counts.groupBy(*by).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    placed = counts.join(ends, list(by)) if by else counts.crossJoin(F.broadcast(ends))  # a row
+    width = F.col("_hi") - F.col("_lo")
+    placed = placed.withColumn("_bin", F.coalesce(F.when(width > 0, F.floor((F.col("_s") - F.col("_lo")) / width * 4096)), F.lit(0)).cast("long")).drop("_lo", "_hi")
+    before = lambda *order: F.coalesce(F.sum("n").over(Window.partitionBy(*by, *order[1:]).orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = placed.groupBy(*by, "_bin").agg(F.sum("n").alias("n"))
+    bins = bins.select(*by, "_bin", before("_bin").alias("_before"))
+    at = placed.withColumn("_within", before("_s", "_bin")).join(bins, [*by, "_bin"])
+    area = at.withColumn("area", F.col("p") * (F.col("_before") + F.col("_within") + F.col("n") / 2.0))
     sums = area.groupBy(*by).agg(F.sum("area").alias("area"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("area") / (F.col("p") * F.col("n")).cast("double")).otherwise(1.0).alias("auc"))
 
