@@ -28,7 +28,7 @@ def _by_rings(points: DataFrame, targets: DataFrame, keys: Sequence[str], group:
     """``best`` over the pairs of points and targets of one volume, where a pair's measure ``far`` is no less than its distance.
 
     Points are held only against the targets in their own and the neighbouring cells of a grid of size ``cell``. What is found within one cell length can't be beaten by a target farther away; the
-    points left are held against a grid four times as wide, and so on, each step written to the shared folder. Without ``cell`` all pairs of a volume are held.
+    points left are held against a grid twice as wide, and so on, each step written to the shared folder. Without ``cell`` all pairs of a volume are held.
     Points of volumes without targets have no row.
     """
     if cell is None:
@@ -38,12 +38,13 @@ def _by_rings(points: DataFrame, targets: DataFrame, keys: Sequence[str], group:
     found = None
     while found is None or not rest.isEmpty():
         at = lambda c, size=cell: F.floor(F.col(c) / F.lit(size))
-        boxed = targets.select("*", *(at(t).alias(f"_g{v}") for v, t in zip(VOXEL, to, strict=True)))
-        around = rest.withColumn("_s", F.explode(steps)).select(*rest.columns, *((at(v) + F.col(f"_s.{s}")).alias(f"_g{v}") for v, s in zip(VOXEL, "abc", strict=True)))
+        # targets, the fewer as a rule, are copied to the cells around theirs
+        boxed = targets.withColumn("_s", F.explode(steps)).select(*targets.columns, *((at(t) + F.col(f"_s.{s}")).alias(f"_g{v}") for v, t, s in zip(VOXEL, to, "abc", strict=True)))
+        around = rest.select("*", *(at(v).alias(f"_g{v}") for v in VOXEL))
         near = stored(best(around.join(boxed, [*keys, *(f"_g{v}" for v in VOXEL)])).where(F.col(far) <= cell * (1 - 1e-9)), "nearest")
         rest = stored(rest.join(near.select(*group), list(group), "left_anti"), "points")
         found = near if found is None else found.unionByName(near)
-        cell *= 4
+        cell *= 2
     return found
 
 
