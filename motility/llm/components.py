@@ -6,17 +6,16 @@ folder after each pair of steps, so nothing is recomputed when an executor is lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motility.llm.common import Scratch, grows
 
 
 def _written(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges as a written table, with their number and a sum of their hashes, counted while they are written."""
-    seen = Observation()
-    table = scratch.write(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
-    return table, (seen.get["n"], seen.get["h"])
+    """The edges as a written table, with their number and a sum of their hashes, read from its files."""
+    table = scratch.write(edges, "edges")
+    return table, tuple(table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def large_star(edges: DataFrame) -> DataFrame:
