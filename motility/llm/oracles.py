@@ -113,5 +113,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op13(levels: int = 6, top_levels: int = 3) -> str:
+    """``levels`` and ``top_levels`` only have to be large enough for the leaves of a source and for the sources where this runs."""
+    told = ", ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"))
+    leaf = lambda text: f"sha256(concat({told}, coalesce(strlen({text}) || ':' || {text}, '-')))"
+    sql = f"""
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS c FROM (SELECT unnest(range(0, 256)) AS b))),
+d AS (
+  SELECT *, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS INT) + 1]), 4294967295), 4294967295) % 5 = 0 AS tampered
+  FROM documents, crc_table),
+h AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN tampered THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {leaf("text")} END AS seen FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, seen) - 1 AS place FROM h),
+s0 AS (SELECT source, place, leaf AS h, count(*) OVER (PARTITION BY source) > 1 AS more FROM leaves)"""
+    sides = "coalesce(string_agg(h, '') OVER (PARTITION BY {g}, place // 16 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (PARTITION BY {g}, place // 16 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"
+    above = "SELECT {g}, place // 16 AS place, CASE WHEN any_value(more) THEN sha256(string_agg(h, '' ORDER BY place)) ELSE any_value(h) END AS h FROM {t} GROUP BY {g}, place // 16"
+    for k in range(levels):
+        sql += f",\nsides{k} AS (SELECT source, place, more, {sides.format(g='source')} FROM s{k}),\ns{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY source) > 1 AS more FROM ({above.format(g='source', t=f's{k}')}))"
+    sql += f",\nt0 AS (SELECT source, 0 AS g, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, h, count(*) OVER () > 1 AS more FROM s{levels})"
+    for k in range(top_levels):
+        sql += f",\ntop{k} AS (SELECT place, more, {sides.format(g='g')} FROM t{k}),\nt{k + 1} AS (SELECT *, count(*) OVER () > 1 AS more FROM ({above.format(g='g', t=f't{k}')}))"
+    joins = "".join(f" JOIN sides{k} ON sides{k}.source IS NOT DISTINCT FROM leaves.source AND sides{k}.place = leaves.place // {16**k}" for k in range(levels))
+    joins += " JOIN t0 ON t0.source IS NOT DISTINCT FROM leaves.source" + "".join(f" JOIN top{k} ON top{k}.place = t0.place // {16**k}" for k in range(top_levels))
+    steps = [f"sides{k}" for k in range(levels)] + [f"top{k}" for k in range(top_levels)]
+    ways = ", ".join(f"{t}.more AS {t}_more, {t}.l AS {t}_l, {t}.r AS {t}_r" for t in steps)
+    for k, t in enumerate(steps):  # one step at a time, so that no expression stands twice
+        before = f"f{k - 1}" if k else f"(SELECT doc_id, leaf, seen AS x, t0.h AS subroot, {ways} FROM leaves{joins})"
+        sql += f",\nf{k} AS (SELECT * REPLACE (CASE WHEN {t}_more THEN sha256({t}_l || x || {t}_r) ELSE x END AS x) FROM {before})"
+    siblings = " || ".join(f"{t}_l || {t}_r" for t in steps)
+    return f"""WITH {sql}
+SELECT doc_id, leaf, subroot, h AS root, sha256({siblings}) AS proof_sha256, x AS folded_root, x = h AS verified FROM f{len(steps) - 1}, t{top_levels}"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_decontaminate": op2(), "op3_quality": op3(), "op4_shard": op4(), "op8_url_rules": op8(), "op10_near_dedup": op10()}
+    return {"op2_decontaminate": op2(), "op3_quality": op3(), "op4_shard": op4(), "op8_url_rules": op8(), "op10_near_dedup": op10(), "op13_manifest": op13()}

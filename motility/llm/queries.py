@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motility.llm import lm_score, oracles, toxicity
+from motility.llm import lm_score, manifest, oracles, toxicity
+from motility.llm.common import ascii_lower
 from motility.llm.decontaminate import find_leaks
 from motility.llm.html_blocks import extract
 from motility.llm.near_dedup import near_duplicates
@@ -79,6 +80,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    sealed = manifest.seal(docs, found={"text": F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))})
+    return sealed.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +95,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     named = (
-        op1_lm_score, op2_decontaminate, op3_quality, op4_shard, op5_quotes, op6_html_blocks, op7_toxicity, op8_url_rules, op9_pack, op10_near_dedup, pipeline,
+        op1_lm_score, op2_decontaminate, op3_quality, op4_shard, op5_quotes, op6_html_blocks, op7_toxicity, op8_url_rules, op9_pack, op10_near_dedup,
+        op13_manifest, pipeline,
     )
     return {f.__name__: f for f in named}
 
