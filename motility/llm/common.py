@@ -43,6 +43,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []
         self.count = 0
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
@@ -52,6 +53,7 @@ class Scratch:
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = path
+        self.tables.append(table)  # while it is held, no other table has its id
         return table
 
     def drop(self, *tables: DataFrame) -> None:

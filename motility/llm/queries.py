@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motility.llm import lm_score, manifest, oracles, toxicity
+from motility.llm import language_id, lm_score, manifest, oracles, toxicity
 from motility.llm.common import ascii_lower
 from motility.llm.decontaminate import find_leaks
 from motility.llm.html_blocks import extract
@@ -80,6 +80,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op12_language(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.fit(docs, vocabulary).identified(docs.select("doc_id", "text"))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -96,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     named = (
         op1_lm_score, op2_decontaminate, op3_quality, op4_shard, op5_quotes, op6_html_blocks, op7_toxicity, op8_url_rules, op9_pack, op10_near_dedup,
-        op13_manifest, pipeline,
+        op12_language, op13_manifest, pipeline,
     )
     return {f.__name__: f for f in named}
 
