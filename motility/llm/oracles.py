@@ -113,6 +113,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op11() -> str:
+    return rf"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+),
+g AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS g, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS s(m) WHERE len(w) >= m) GROUP BY ALL
+),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(g, ' ') AS w FROM g WHERE m > 1 AND f >= 10),
+cut AS (SELECT lang, g, m, f, w, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1 :], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (
+  SELECT cut.lang, cut.g, cut.f AS a, k, gx.f AS l, gy.f AS r, CAST(1000000::HUGEINT * cut.f * cut.f // (gx.f::HUGEINT * gy.f) AS BIGINT) AS score
+  FROM cut JOIN g gx ON gx.lang = cut.lang AND gx.g = x JOIN g gy ON gy.lang = cut.lang AND gy.g = y
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.g ORDER BY score, k) = 1
+),
+t AS (SELECT lang, g, max(f) AS longer FROM (SELECT lang, f, array_to_string(w[i : i + 1], ' ') AS g FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE m = 3)) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.g)) AS rank, s.g AS phrase, a, l, r, n, score
+FROM s JOIN n USING (lang) LEFT JOIN t ON t.lang = s.lang AND t.g = s.g WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
 def op13(levels: int = 6, top_levels: int = 3) -> str:
     """``levels`` and ``top_levels`` only have to be large enough for the leaves of a source and for the sources where this runs."""
     told = ", ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"))
@@ -145,4 +170,4 @@ SELECT doc_id, leaf, subroot, h AS root, sha256({siblings}) AS proof_sha256, x A
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_decontaminate": op2(), "op3_quality": op3(), "op4_shard": op4(), "op8_url_rules": op8(), "op10_near_dedup": op10(), "op13_manifest": op13()}
+    return {"op2_decontaminate": op2(), "op3_quality": op3(), "op4_shard": op4(), "op8_url_rules": op8(), "op10_near_dedup": op10(), "op11_collocations": op11(), "op13_manifest": op13()}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motility.llm import language_id, lm_score, manifest, oracles, toxicity
+from motility.llm.collocations import collocations
 from motility.llm.common import ascii_lower
 from motility.llm.decontaminate import find_leaks
 from motility.llm.html_blocks import extract
@@ -80,6 +81,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_language(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -106,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     named = (
         op1_lm_score, op2_decontaminate, op3_quality, op4_shard, op5_quotes, op6_html_blocks, op7_toxicity, op8_url_rules, op9_pack, op10_near_dedup,
-        op12_language, op13_manifest, pipeline,
+        op11_collocations, op12_language, op13_manifest, pipeline,
     )
     return {f.__name__: f for f in named}
 
