@@ -102,14 +102,15 @@ def dealt(batches: Iterator[pa.RecordBatch], size: int, common: frozenset[bytes]
 def added_up(table: pa.Table, size: int, least: int) -> pa.Table:
     """The windows of one dealer and language with their sums. Those under ``least`` only go on in the sum of their prefix, and that in the sum of its own where all windows with it are under ``least`` together.
 
-    Windows dealt by their last word too (``spread``) have others of their prefix elsewhere, so there the prefix is never cut further.
+    All windows with a prefix one word shorter are here, so that prefix can be judged, but no shorter one. Windows dealt by their last word too (``spread``) have others of their prefix elsewhere, so there
+    none is.
     """
     lines = pa.concat_arrays([_split(x.as_buffer()) for x in table.column("lines").combine_chunks()])
     own = lines.dictionary_encode()
     n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table.column("counts").combine_chunks()])
     rest = total = np.bincount(own.indices.to_numpy(), n, len(own.dictionary)).astype(np.int64)
     got, kept_lines, kept_n = own.dictionary, [], []
-    last = size - 1 if table.column("spread")[0].as_py() else 1
+    last = size - 1 if table.column("spread")[0].as_py() else max(1, size - 2)
     for k in range(size - 1, last - 1, -1):
         keep = total >= least
         out = keep & (rest > 0)

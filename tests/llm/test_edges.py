@@ -2,11 +2,12 @@
 
 import collections
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from motility.llm import lm_score, packing, quality, quotes, sharding, toxicity, url_rules
+from motility.llm import collocations, language_id, lm_score, manifest, packing, quality, quotes, sharding, toxicity, url_rules
 from motility.llm.common import written
 from motility.llm.decontaminate import find_leaks
 from motility.llm.html_blocks import extract
@@ -15,7 +16,7 @@ from motility.llm.near_dedup import drop_near_duplicates, near_duplicates
 DATA = "/root/testdata/sf0.001"
 CLASHES = (
     "n b before local bucket tie place part row got key found toxicity quality leak row_key digest text_ words_ n_ lang_ counted_ ref_chars_ ref_common_ char_ common_ hash h words share lm spans items "
-    "_id _row _text _lang _y _n _b _before _local _bucket _tie _place _found _kept _leak _c _words _quality _toxicity node component comp range shares batch first"
+    "_id _row _text _lang _y _n _b _before _local _bucket _tie _place _found _kept _leak _c _words _quality _toxicity node component comp range shares batch first grp digest seen subroot one kind block run w1 w2 phrase f gid language docs"
 ).split()
 LONG = "the word of a long text and more " * 60_000
 ROWS = [
@@ -43,6 +44,7 @@ OPERATORS = {
     "op4": lambda d: sharding.shard(d),
     "op6": lambda d: extract(d, "text", name="added"),
     "op7": lambda d: toxicity.fit(d, d.sparkSession.read.parquet(f"{DATA}/labels.parquet")).scored(d, name="added"),
+    "op12": lambda d: language_id.fit(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).identified(d, name="added"),
     "op8": lambda d: url_rules.judge_urls(d, d.sparkSession.createDataFrame([("a", "/", "block")], "host string, path string, verdict string"), "text"),
     "op8 by ranges": lambda d: url_rules.judge_urls(d, d.sparkSession.createDataFrame([("a", "/", "block")], "host string, path string, verdict string"), "text", broadcast_rows=0),
 }
@@ -70,6 +72,10 @@ def test_operators_with_rows_of_their_own(docs):
     assert kept.columns == docs.columns and kept.count() == n - 1
     packed = packing.pack(docs, with_ids=False)
     assert packed.where("start = 0").count() == n and packing.pack(docs.limit(0)).count() == 0
+    seal = lambda d: manifest.seal(d, ("doc_id", "text", "seen"), group_col="lang")
+    assert rows_of(seal(docs), ["doc_id", "lang"]) == rows_of(docs, ["doc_id", "lang"]) and seal(docs.limit(0)).count() == 0
+    phrases = collocations.collocations(docs, least=50_000)
+    assert {r.phrase for r in phrases.collect()} == {" ".join((LONG.split() * 2)[i : i + 3]) for i in range(8)} and collocations.collocations(docs.limit(0)).count() == 0
     talk = docs.select("*", F.col("doc_id").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("u").alias("role"))
     assert quotes.reply_threads(talk).count() == n and quotes.reply_threads(talk.limit(0)).count() == 0
 
