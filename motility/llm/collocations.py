@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from motility.llm import words
 from motility.llm.common import Scratch, ascii_lower, grows, small_batches
 
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 23
 #: The most common words of a bounded number of texts. They only decide where windows are added up, never what is counted.
 COMMON, COMMON_TEXTS = 256, 1000
 #: The last words of a language that are ranked before the ranks of all are settled in one place.
@@ -158,7 +158,7 @@ def frequent_phrases(scratch: Scratch, docs: DataFrame, size: int, least: int) -
     """
     spark = docs.sparkSession
     small_batches(spark)
-    dealers = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealers = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = docs.limit(COMMON_TEXTS).select(F.explode(F.split("text", r"[\x20\x09-\x0D.,;:!?]+")).alias("w")).where("w != ''")
     top = first.groupBy(ascii_lower(F.col("w")).alias("w")).count().orderBy(F.desc("count"), "w").limit(COMMON).collect()
     common = frozenset(r["w"].encode() for r in top)
