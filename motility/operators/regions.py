@@ -11,23 +11,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motility.functions.grouped import merged_pieces, principal_axes, voxel_components, voxel_hull_volume
+from motility.functions.graphs import connected
+from motility.functions.grouped import merged_pieces, neighbour_steps, principal_axes, voxel_components, voxel_hull_volume
 from motility.operators.voxels import KEYS, VOXEL
 from motility.sources.tables import spread, stored
 
 
-def label_components(voxels: DataFrame, keys: Sequence[str] = KEYS, connectivity: int = 26) -> DataFrame:
-    """Adds ``component``: the number of the connected region that a voxel is in, from 1 in each volume.
+#: Side of the blocks in which voxels are labelled by one task; a block has its cube of voxels at most.
+TILE = 128
 
-    A volume is the unit of work, so ``keys`` should name capture and frame; volumes run in parallel.
+
+def label_components(voxels: DataFrame, keys: Sequence[str] = KEYS, connectivity: int = 26, tile: int = TILE) -> DataFrame:
+    """Adds ``component``: the number of the connected region that a voxel is in, from 1 in each volume by the first voxel (z, y, x).
+
+    ``keys`` should name capture and frame. A volume is cut into cubes of side ``tile``, each labelled in a task; labels that touch across the faces of cubes are edges, whose connected components join them.
     """
+    keys = list(keys)
     columns = [c for c in voxels.columns if c != "component"]
-    schema = T.StructType([*voxels.select(columns).schema.fields, T.StructField("component", T.LongType())])
+    cube = [f"_t{a}" for a in VOXEL]
+    fields = [*voxels.select(columns).schema.fields, T.StructField("_first", T.LongType())]
+    # one number per place, rising by (z, y, x), for coordinates from -2**20 to 2**20
+    steps = (1 << 42, 1 << 21, 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(component=voxel_components(pdf[list(VOXEL)].to_numpy(np.int64), connectivity))
-
-    return spread(voxels.select(columns), keys).groupBy(*keys).applyInPandas(run, schema)
+        places = pdf[list(VOXEL)].to_numpy(np.int64)
+        number = voxel_components(places, connectivity) - 1
+        code = sum((places[:, k] + (1 << 20)) * step for k, step in enumerate(steps))
+        first = np.full(number.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, number, code)
+        return pdf[columns].assign(_first=first[number])
+
+    cubed = voxels.select(columns).withColumns({t: F.floor(F.col(a) / tile).cast("long") for a, t in zip(VOXEL, cube, strict=True)})
+    local = stored(spread(cubed, [*keys, *cube]).groupBy(*keys, *cube).applyInPandas(run, T.StructType(fields)), "labels")
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    faces = local.where(edge("z") | edge("y") | edge("x"))
+    ahead = F.explode(F.array(*(F.struct(*(F.lit(n).alias(c) for n, c in zip(step, "abc", strict=True))) for step in neighbour_steps(connectivity))))
+    there = faces.withColumn("_s", ahead).select(*keys, *((F.col(a) + F.col(f"_s.{s}")).alias(a) for a, s in zip(VOXEL, "abc", strict=True)), F.col("_first").alias("u"))
+    touch = there.join(faces.select(*keys, *VOXEL, F.col("_first").alias("v")), [*keys, *VOXEL]).where("u != v").select(*keys, "u", "v")
+    roots = connected(touch, keys).withColumnRenamed("node", "_first")
+    regions = local.select(*keys, "_first").distinct().join(roots, [*keys, "_first"], "left").withColumn("_root", F.coalesce("root", "_first"))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_root")).cast("long")  # a row per region
+    return local.join(regions.select(*keys, "_first", number.alias("component")), [*keys, "_first"]).select(*columns, "component")
 
 
 def _sized(voxels: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

@@ -5,18 +5,23 @@ A track table has a row per node: the capture's keys, ``track_id``, frame ``t``,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motility.functions.tracking import link
+from motility.functions.graphs import connected
+from motility.functions.tracking import INITIAL_ERROR, MAX_VOLUME_RATIO, MEASUREMENT_NOISE, MIN_VOLUME_RATIO, MOTION_NOISE, STEP, Linker, reach
+from motility.functions.walks import walked
 from motility.sources.tables import spread, stored
 
 CAPTURE = ("grp", "volume", "capture")
 MAD = 1.4826
+#: Frames, and cells of the grid to each side, whose pairs of detections are connected by one task.
+BLOCK_FRAMES, BLOCK_CELLS = 32, 16
 
 
 def match_nodes(detections: DataFrame, nodes: DataFrame, keys: Sequence[str] = (*CAPTURE, "t"), det_id: str = "det_id", cell: float | None = None) -> DataFrame:
@@ -27,25 +32,119 @@ def match_nodes(detections: DataFrame, nodes: DataFrame, keys: Sequence[str] = (
     return nearest_point(detections, side, keys, det_id, cell, ["n"]).select(*keys, det_id, (-F.col("n")).alias("node_id"), "distance")
 
 
-def link_detections(nodes: DataFrame, keys: Sequence[str] = CAPTURE, cost_none: float = 20.0, properties: Sequence[str] = ("vol", "diameter", "surface")) -> DataFrame:
-    """Links nodes into tracks: ``(keys, track_id, t, node_id)``.
+def _near_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], side: float) -> DataFrame:
+    """Rows of ``a`` (``y, x, z, far``) with those of ``b`` (``_y, _x, _z``) that are within ``far`` of them. Both meet in the cells of a grid: each of ``a`` goes to all cells it reaches."""
+    floor = lambda c: F.floor(c / side).cast("long")
+    span = lambda c: F.explode(F.sequence(floor(F.col(c) - F.col("far")), floor(F.col(c) + F.col("far"))))
+    left = a.withColumn("_cy", span("y")).withColumn("_cx", span("x"))
+    right = b.withColumn("_cy", floor(F.col("_y"))).withColumn("_cx", floor(F.col("_x")))
+    gap = sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in "yxz"), F.lit(0.0))
+    return left.join(right, [*on, "_cy", "_cx"]).where(gap <= F.col("far") * F.col("far")).drop("_cy", "_cx")
+
+
+def _folded(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], cost_none: float) -> DataFrame:
+    """The fold of every ``part``: links ``(keys, part, t, node_id, birth_t, birth_id)``, and claims, which have no ``node_id``.
 
-    Nodes need ``node_id, t, y, x, z, dy, dx, dz`` and the properties, whose ratios gate a link. Frames of a capture are folded in order, so a capture is the unit of work; captures run
-    in parallel, and no time-ordered method can split one.
+    Rows stream through a task by part and frame, so a task holds a frame and the tracks that can still go on, however long a capture is.
     """
-    types = dict(nodes.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "track_id long, t long, node_id long"])
-    columns = ["y", "x", "z", "dy", "dx", "dz", *properties]
+    types = dict(rows.dtypes)
+    heads = [*keys, "part"]
+    schema = ", ".join([*(f"{k} {types[k]}" for k in heads), "t long, node_id long, birth_t long, birth_id long, y double, x double, z double, far double, box double"])
+
+    claimed = ["t", "y", "x", "z", "far", "box"]
+
+    def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        linker, now, left = None, None, None
+        for pdf in itertools.chain(pdfs, [None]):
+            done = pdf is None
+            # the last frame of a batch may go on in the next one
+            pdf = left if done else pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+            if pdf is None or not len(pdf):
+                continue
+            places = pdf[[*heads, "t"]]
+            bounds = [*np.flatnonzero((places != places.shift()).any(axis=1)), len(pdf)]
+            last = len(bounds) - (1 if done else 2)
+            data, ids, frames, names = pdf[list(columns)].to_numpy(float), pdf["node_id"].to_numpy(), pdf["t"].to_numpy(), pdf[heads].to_numpy()
+            found: list[tuple[tuple, np.ndarray]] = []  # rows of t, node, birth, claim, by part
+
+            def add(head: tuple, claims: list[np.ndarray], links: np.ndarray | None = None, found: list = found) -> None:
+                rows = np.full((sum(map(len, claims)) + (0 if links is None else len(links)), 9), np.nan)
+                at = 0
+                for c in claims:
+                    rows[at : at + len(c), [0, 4, 5, 6, 7, 8]] = c
+                    at += len(c)
+                if links is not None:
+                    rows[at:, :4] = links
+                found.append((head, rows))
+
+            for a, b in zip(bounds[:last], bounds[1 : last + 1], strict=True):
+                head = tuple(names[a])
+                if head != now:
+                    if linker:
+                        add(now, linker.skip(2))
+                    linker, now = Linker(cost_none, len(columns)), head
+                birth, claims = linker.feed(int(frames[a]), ids[a:b], data[a:b])
+                add(head, claims, np.column_stack([np.full(b - a, frames[a]), ids[a:b], birth]))
+            if done and linker:
+                add(now, linker.skip(2))
+            left = None if done else pdf.iloc[bounds[last] :]
+            if found:
+                sizes = [len(rows) for _, rows in found]
+                table = np.concatenate([rows for _, rows in found])
+                out = {h: np.repeat(np.array([head[k] for head, _ in found], pdf[h].dtype), sizes) for k, h in enumerate(heads)}
+                out |= {"t": table[:, 0].astype(np.int64)} | {c: pd.array(table[:, k], "Float64").astype("Int64") if k < 4 else table[:, k] for k, c in enumerate(("node_id", "birth_t", "birth_id", *claimed[1:]), 1)}
+                yield pd.DataFrame(out)
+
+    return spread(rows, heads).sortWithinPartitions(*heads, "t", "node_id").mapInPandas(fold, schema)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "node_id"], ignore_index=True)
-        frames = {int(t): g for t, g in pdf.groupby("t")}
-        every = range(min(frames), max(frames) + 1)  # frames without nodes count, too
-        data = [(t, frames[t][columns].to_numpy(float) if t in frames else np.empty((0, len(columns)))) for t in every]
-        numbers = [n for found in link(data, cost_none) for n in found]
-        return pd.DataFrame({**dict(zip(keys, key, strict=True)), "track_id": np.array(numbers) + 1, "t": pdf["t"].to_numpy(), "node_id": pdf["node_id"].to_numpy()})
 
-    return spread(nodes.select(*keys, "t", "node_id", *columns), keys).groupBy(*keys).applyInPandas(run, schema)
+def link_detections(nodes: DataFrame, keys: Sequence[str] = CAPTURE, cost_none: float = 20.0, properties: Sequence[str] = ("vol", "diameter", "surface")) -> DataFrame:
+    """Links nodes into tracks: ``(keys, track_id, t, node_id)``, tracks numbered within a capture by their first frame and node.
+
+    Nodes need ``node_id`` (unique in a capture), ``t, y, x, z, dy, dx, dz`` and the properties, whose ratios gate a link.
+
+    A capture is cut into parts whose tracks can't meet: detections of neighbouring frames that a track at rest could link are joined on a grid, and connected ones are a part, which also ends at two empty
+    frames. Parts are folded frame by frame, each in one task. Where a track then claims a place in which another part has a detection, both parts become one and are folded again, until none does; so the result is
+    that of folding the capture as a whole. Cost grows with the detections and the neighbours they have, not with the length of a capture or the tracks it has had.
+    """
+    keys = list(keys)
+    columns = ["y", "x", "z", "dy", "dx", "dz", *properties]
+    frame = [*keys, "t"]
+    dets = nodes.select(*keys, F.col("t").cast("long").alias("t"), F.col("node_id").cast("long").alias("node_id"), *(F.col(c).cast("double").alias(c) for c in columns))
+    dets = stored(dets.withColumn("box", F.col("dy") * F.col("dx") * F.col("dz")), "detections")
+    # the spread of a new track's place one and two frames on, without a correction
+    steps, cov = [], np.diag(INITIAL_ERROR).astype(float)
+    for _ in range(2):
+        cov = STEP @ cov @ STEP.T + np.diag(MOTION_NOISE)
+        steps.append(float(reach(cov[0, 0] + MEASUREMENT_NOISE, cost_none)))
+    side = max(steps[-1], 1.0)
+    ahead = dets.withColumn("_s", F.explode(F.array(F.lit(1), F.lit(2))))
+    ahead = ahead.select(*keys, (F.col("t") + F.col("_s")).alias("t"), *"yxz", F.col("node_id").alias("u"), F.when(F.col("_s") == 1, steps[0]).otherwise(steps[1]).alias("far"))
+    there = dets.select(*frame, *(F.col(c).alias(f"_{c}") for c in "yxz"), F.col("node_id").alias("v"))
+    block = [F.floor(F.col("t") / BLOCK_FRAMES).alias("_b"), *(F.floor(F.col(c) / (side * BLOCK_CELLS)).alias(f"_b{c}") for c in "yx")]
+    parts = connected(_near_pairs(ahead, there, frame, side).select(*keys, "u", "v", *block), keys, ["_b", "_by", "_bx"])
+    named = dets.join(parts.withColumnRenamed("node", "node_id"), [*keys, "node_id"], "left").withColumn("part", F.coalesce("root", "node_id")).drop("root")
+    named = stored(named, "parts")
+    todo, done = named, None
+    while True:
+        swept = stored(_folded(todo, keys, columns, cost_none), "links")
+        links = swept.where("node_id is not null").select(*keys, "part", "t", "node_id", "birth_t", "birth_id")
+        done = links if done is None else done.unionByName(links)
+        claims = swept.where("node_id is null").select(*keys, "part", "t", *"yxz", "far", F.col("box").alias("own"))
+        others = named.select(*frame, *(F.col(c).alias(f"_{c}") for c in "yxz"), "box", F.col("part").alias("other"))
+        ratio = F.col("box") / F.greatest("own", F.lit(1e-9))
+        met = _near_pairs(claims, others, frame, side).where((F.col("part") != F.col("other")) & (ratio <= MAX_VOLUME_RATIO) & (ratio >= MIN_VOLUME_RATIO))
+        met = stored(met.select(*keys, F.col("part").alias("u"), F.col("other").alias("v")).distinct(), "met")
+        if met.isEmpty():
+            break
+        roots = connected(met, keys).select(*keys, F.col("node").alias("part"), "root")
+        both = stored(roots.unionByName(roots.select(*keys, F.col("root").alias("part"), "root")).distinct(), "roots")  # a part that others join has itself as root
+        named = stored(named.join(both, [*keys, "part"], "left").withColumn("part", F.coalesce("root", "part")).drop("root"), "parts")
+        done = stored(done.join(both, [*keys, "part"], "left_anti"), "done")
+        todo = named.join(both.select(*keys, F.col("root").alias("part")).distinct(), [*keys, "part"], "left_semi")
+    first = done.select(*keys, "birth_t", "birth_id").distinct()
+    numbers = first.withColumn("track_id", F.row_number().over(Window.partitionBy(*keys).orderBy("birth_t", "birth_id")).cast("long"))  # a row per track
+    return done.join(numbers, [*keys, "birth_t", "birth_id"]).select(*keys, "track_id", "t", "node_id")
 
 
 def collisions(tracks: DataFrame, keys: Sequence[str] = CAPTURE) -> DataFrame:
@@ -224,13 +323,52 @@ def resegmented(voxels: DataFrame, nodes: DataFrame, tracks: DataFrame, keys: Se
     return rest.unionByName(split).unionByName(whole.select(rest.columns))
 
 
+def walk_spans(voxels: DataFrame, spans: DataFrame, places: DataFrame, keys: Sequence[str] = ("capture",), label: str = "label", least_share: float = 0.1) -> DataFrame:
+    """The regions of ``spans`` (``event_spans``) split by a walk from the event: ``(keys, t, z, y, x, label, seed)``, where ``seed`` is the track of the part.
+
+    ``places`` has ``track_id, t, label`` of the nodes. The regions of both tracks in the frame of the event are the first references; each frame of the other track's region is split by them, or its
+    pieces are merged back to them, and its parts are the references of the next frame (``walked``); the walk ends at the first frame that can't be split. An event where one of both has no region gives no
+    rows; of two events that would split one region, the earlier one (then the lesser track) does. Events are walked in parallel; a group holds one region for the frames of a span.
+    """
+    keys = list(keys)
+    event = [*keys, "kind", "seen", "track_id"]
+    named = spans.select(*keys, "kind", F.col("t").alias("seen"), "track_id", "other", "frame")
+    at = places.select(*keys, F.col("track_id").alias("who"), F.col("t").alias("frame"), label)
+    heads = named.select(*event, "other").distinct()
+    both = heads.withColumn("who", F.explode(F.array("other", "track_id"))).withColumn("frame", F.col("seen"))
+    wanted = both.withColumn("step", F.lit(0).cast("long")).unionByName(named.withColumn("who", F.col("other")).withColumn("step", F.abs(F.col("frame") - F.col("seen")).cast("long")))
+    regions = wanted.join(at, [*keys, "who", "frame"]).withColumnRenamed("frame", "t")
+    filled = regions.join(voxels.select(*keys, "t", *"zyx", label), [*keys, "t", label]).select(*event, "other", "who", "step", "t", *"zyx", label)
+    types = dict(filled.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in event), f"t {types['t']}, z long, y long, x long, {label} {types[label]}, seed long"])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["step", "who", *"zyx"], ignore_index=True)
+        own, start = (int(pdf[c].iloc[0]) for c in ("other", "track_id")), pdf[pdf["step"] == 0]
+        names = list(dict.fromkeys(own))
+        references = [start.loc[start["who"] == k, list("zyx")].to_numpy(np.int64) for k in names]
+        out = []
+        if len(names) == 2 and all(len(r) for r in references):
+            steps = {int(t): g for t, g in pdf[pdf["step"] > 0].groupby("t")}
+            order = sorted(steps, key=lambda t: steps[t]["step"].iloc[0])
+            for t, part in walked(references, ((t, steps[t][list("zyx")].to_numpy(np.int64)) for t in order), least_share):
+                out.append(steps[t].assign(seed=np.array(names)[part]))
+        columns = [*event, "t", *"zyx", label, "seed"]
+        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+
+    parts = stored(spread(filled, event).groupBy(*event).applyInPandas(run, schema), "walks")
+    one = parts.groupBy(*keys, "t", label).agg(F.min(F.struct("seen", "track_id", "kind")).alias("first"))
+    mine = F.struct("seen", "track_id", "kind") == F.col("first")
+    return parts.join(one, [*keys, "t", label]).where(mine).select(*keys, "t", *"zyx", label, "seed")
+
+
 def three_pass(voxels: DataFrame, keys: Sequence[str] = ("capture",), label: str = "label", cost_none: float = 20.0, min_len: int = 10, min_voxels: int = 110) -> tuple[DataFrame, DataFrame]:
     """Links, splits regions that several tracks claim, links again, cuts and joins the regions of outliers anew, links a last time: ``(track nodes, track measures)``.
 
-    First pass: regions become nodes and are linked. A region where a track ends beside another one (``collisions``) is split among the last places of both. The new regions
+    First pass: regions become nodes and are linked. Regions where a track ends (or begins) beside another one (``collisions``) are split by a walk from that frame on (``walk_spans``). The new regions
     are linked, ``resegmented`` mends those that stand out in their track, and the last links give the measures. Each pass is a few shuffles by capture.
     """
-    from motility.operators.regions import build_nodes, partition_by_seed, region_moments, surface_area
+    from motility.operators.regions import build_nodes, region_moments, surface_area
 
     frame = [*keys, "t"]
 
@@ -243,15 +381,8 @@ def three_pass(voxels: DataFrame, keys: Sequence[str] = ("capture",), label: str
     full = stored(link_detections(first, keys, cost_none).join(first, [*frame, "node_id"]), "tracks")
     events = collisions(full, keys)
     spans = stored(event_spans(events, full, keys), "spans")
-    place = full.select(*keys, "track_id", "t", label, *"zyx")
-    merged = spans.select(*keys, F.col("frame"), F.col("other"), F.col("track_id"), F.col("t").alias("seen"))
-    target = place.select(*keys, F.col("track_id").alias("other"), F.col("t").alias("frame"), label)
-    lost = place.select(*keys, "track_id", F.col("t").alias("seen"), *(F.col(a).alias(f"s{a}") for a in "zyx"))
-    own = place.select(*keys, F.col("track_id").alias("other"), F.col("t").alias("frame"), *(F.col(a).alias(f"s{a}") for a in "zyx"))
-    seeds = merged.join(lost, [*keys, "track_id", "seen"]).select(*keys, "other", "frame", F.col("track_id").alias("seed"), "sz", "sy", "sx")
-    kept = own.join(merged.select(*keys, "other", "frame").distinct(), [*keys, "other", "frame"], "left_semi").withColumn("seed", F.col("other"))
-    seeds = seeds.unionByName(kept.select(seeds.columns)).join(target, [*keys, "other", "frame"]).select(*keys, F.col("frame").alias("t"), label, "seed", "sz", "sy", "sx")
-    split = stored(partition_by_seed(voxels, seeds, frame, label).select(*frame, *"zyx", label, "seed"), "split")
+    place = full.select(*keys, "track_id", "t", label)
+    split = stored(walk_spans(voxels, spans, place, keys, label), "split")
     whole = voxels.join(split.select(*frame, label).distinct(), [*frame, label], "left_anti").select(*frame, *"zyx", label, F.lit(0).cast("long").alias("seed"))
     # a label of its own for each part: the seed stands above the old label
     again = whole.unionByName(split).withColumn(label, F.col("seed") * F.lit(1 << 32) + F.col(label)).drop("seed")

@@ -32,3 +32,12 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``stored`` returned and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
