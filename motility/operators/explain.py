@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +15,6 @@ from motility.operators.behaviors import davies_bouldin
 from motility.operators.detections import roc_auc
 from motility.sources.tables import stored
 
-POINTS = 10_001
-
-
 def cluster_moments(long: DataFrame) -> DataFrame:
     """``(cluster, feature, n, mean, std)`` with the sums ``s1, s2`` from which those of unions follow."""
     sums = long.groupBy("cluster", "feature").agg(F.count("*").alias("n"), F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
@@ -28,32 +26,58 @@ def with_mean_and_std(sums: DataFrame) -> DataFrame:
     return sums.withColumn("mean", F.col("s1") / F.col("n")).withColumn("std", F.sqrt(spread))
 
 
-def overlap_area(m1: Column, s1: Column, m2: Column, s2: Column, below: float = 6.0, above: float = 6.0, points: int = POINTS) -> Column:
-    """The area under the lesser of two normal densities, by the trapezoid rule.
+# The rational approximation of the upper tail of the normal distribution by Hart (1968), to about 1e-15; numerator and denominator from the constant term on.
+TAIL_ABOVE = (220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383, 6.37396220353165, 0.700383064443688, 0.0352624965998911)
+TAIL_BELOW = (440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674, 86.7807322029461, 16.064177579207, 1.75566716318264, 0.0883883476483184)
+#: From here on a continued fraction takes its place.
+TAIL_FROM = 7.07106781186547
+
+
+def normal_cdf(x: Column) -> Column:
+    """The distribution function of the standard normal, as an expression: Spark has no error function."""
+    z = F.abs(x)
+    poly = lambda values: reduce(lambda acc, v: acc * z + v, reversed(values[:-1]), F.lit(values[-1]))
+    far = reduce(lambda acc, k: z + F.lit(float(k)) / acc, (4, 3, 2, 1), z + 0.65)
+    tail = F.exp(-z * z / 2) * F.when(z < TAIL_FROM, poly(TAIL_ABOVE) / poly(TAIL_BELOW)).otherwise(1 / (far * math.sqrt(2 * math.pi)))
+    return F.when(x > 0, 1 - tail).otherwise(tail)
+
 
-    It runs from ``below`` deviations under the lower mean to ``above`` over the higher one. Without deviation the area is 1 for equal means, else 0.
+def overlap_area(m1: Column, s1: Column, m2: Column, s2: Column, below: float = 6.0, above: float = 6.0) -> Column:
+    """The area under the lesser of two normal densities, exactly.
+
+    It runs from ``below`` deviations under the lower mean to ``above`` over the higher one. The densities cross at the roots of a quadratic: between them the wider one is the lesser, outside the narrower; equal
+    deviations cross once. Without deviation the area is 1 for equal means, else 0.
     """
-    lo = F.least(m1 - below * s1, m2 - below * s2)
-    hi = F.greatest(m1 + above * s1, m2 + above * s2)
-    step = (hi - lo) / points
-    pdf = lambda x, m, s: F.exp(-(x - m) * (x - m) / (2 * s * s)) / (s * math.sqrt(2 * math.pi))
-    bound = F.struct(lo.alias("lo"), step.alias("h"), m1.alias("m1"), s1.alias("s1"), m2.alias("m2"), s2.alias("s2"))
+    narrow = F.struct(s1.alias("s"), m1.alias("m")) <= F.struct(s2.alias("s"), m2.alias("m"))
+    lo, hi = F.least(m1 - below * s1, m2 - below * s2), F.greatest(m1 + above * s1, m2 + above * s2)
+    given = F.struct(
+        F.when(narrow, m1).otherwise(m2).alias("m"), F.when(narrow, s1).otherwise(s2).alias("s"), F.when(narrow, m2).otherwise(m1).alias("n"), F.when(narrow, s2).otherwise(s1).alias("w"), lo.alias("lo"), hi.alias("hi"),
+    )
+
+    def crossed(p: Column) -> Column:
+        d = p["n"] - p["m"]  # the narrower one stands at 0
+        a, b, c = (1 / (p["w"] * p["w"]) - 1 / (p["s"] * p["s"])) / 2, -d / (p["w"] * p["w"]), d * d / (2 * p["w"] * p["w"]) + F.ln(p["w"] / p["s"])
+        q = -(b + F.when(b < 0, -1.0).otherwise(1.0) * F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * a * c))) / 2
+        one, two = F.when(a != 0, q / a).otherwise(F.when(d > 0, float("-inf")).otherwise(float("inf"))), F.when(q != 0, c / q).otherwise(F.lit(float("inf")))
+        held = lambda x: F.least(p["hi"], F.greatest(p["lo"], x + p["m"]))
+        return F.struct(*(p[k].alias(k) for k in ("m", "s", "n", "w", "lo", "hi")), held(F.least(one, two)).alias("x"), held(F.greatest(one, two)).alias("y"))
 
     def area(p: Column) -> Column:
-        at = lambda i: p["lo"] + p["h"] * i
-        value = lambda i: F.least(pdf(at(i), p["m1"], p["s1"]), pdf(at(i), p["m2"], p["s2"]))
-        inner = F.aggregate(F.sequence(F.lit(1), F.lit(points - 1)), F.lit(0.0), lambda s, i: s + value(i))
-        return p["h"] * (inner + (value(F.lit(0)) + value(F.lit(points))) / 2)
+        # the signed places whose distribution functions add up to the area
+        terms = F.array(*(F.struct(F.lit(sign).alias("sign"), ((at - p[m]) / p[w]).alias("z")) for sign, at, m, w in (
+            (1.0, p["x"], "m", "s"), (-1.0, p["lo"], "m", "s"), (1.0, p["y"], "n", "w"), (-1.0, p["x"], "n", "w"), (1.0, p["hi"], "m", "s"), (-1.0, p["y"], "m", "s"),
+        )))
+        return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t["sign"] * normal_cdf(t["z"]))
 
-    numeric = F.get(F.transform(F.array(bound), area), F.lit(0))
-    return F.when((s1 > 0) & (s2 > 0), numeric).when(m1 == m2, 1.0).otherwise(0.0)
+    exact = F.get(F.transform(F.transform(F.array(given), crossed), area), F.lit(0))
+    return F.when((s1 > 0) & (s2 > 0), exact).when(m1 == m2, 1.0).otherwise(0.0)
 
 
-def gaussian_overlap(moments: DataFrame, below: float = 6.0, above: float = 6.0, points: int = POINTS) -> DataFrame:
+def gaussian_overlap(moments: DataFrame, below: float = 6.0, above: float = 6.0) -> DataFrame:
     """``(feature, ci, cj, ovl)`` for all pairs of clusters ci < cj."""
     side = lambda n: moments.select("feature", F.col("cluster").alias(f"c{n}"), F.col("mean").alias(f"m{n}"), F.col("std").alias(f"s{n}"))
     both = side("i").join(side("j"), "feature").where("ci < cj")
-    return both.select("feature", "ci", "cj", overlap_area(F.col("mi"), F.col("si"), F.col("mj"), F.col("sj"), below, above, points).alias("ovl"))
+    return both.select("feature", "ci", "cj", overlap_area(F.col("mi"), F.col("si"), F.col("mj"), F.col("sj"), below, above).alias("ovl"))
 
 
 def hierarchy_importance(overlaps: DataFrame, hierarchy: DataFrame) -> DataFrame:
@@ -64,7 +88,7 @@ def hierarchy_importance(overlaps: DataFrame, hierarchy: DataFrame) -> DataFrame
     return one.join(zero, "node").join(both, ["c1", "c0"]).groupBy("node", "feature").agg((1 - F.max("ovl")).alias("importance"))
 
 
-def divisions(moments: DataFrame, clusters: Sequence[int], points: int = 1000) -> DataFrame:
+def divisions(moments: DataFrame, clusters: Sequence[int]) -> DataFrame:
     """``(mask, ovl)``: the median overlap over the features of each two-way split of the clusters.
 
     ``mask`` has the bit of each cluster on side 1; the first cluster is always on side 0, because a split and its complement are one. Moments of a side are
@@ -78,16 +102,16 @@ def divisions(moments: DataFrame, clusters: Sequence[int], points: int = 1000) -
     sums = sides.join(moments, "cluster").groupBy("mask", "side", "feature").agg(*(F.sum(c).alias(c) for c in ("n", "s1", "s2")))
     both = with_mean_and_std(sums)
     side = lambda k: both.where(F.col("side") == k).select("mask", "feature", F.col("mean").alias(f"m{k}"), F.col("std").alias(f"d{k}"))
-    pairs = side(0).join(side(1), ["mask", "feature"]).withColumn("ovl", overlap_area(F.col("m0"), F.col("d0"), F.col("m1"), F.col("d1"), 6.0, 3.0, points))
+    pairs = side(0).join(side(1), ["mask", "feature"]).withColumn("ovl", overlap_area(F.col("m0"), F.col("d0"), F.col("m1"), F.col("d1"), 6.0, 3.0))
     return pairs.groupBy("mask").agg(F.median("ovl").alias("ovl"))
 
 
-def best_division(long: DataFrame, moments: DataFrame, clusters: Sequence[int], points: int = 1000) -> tuple[list[int], list[int]] | None:
+def best_division(long: DataFrame, moments: DataFrame, clusters: Sequence[int]) -> tuple[list[int], list[int]] | None:
     """The split with the least median overlap as ``(side 1, side 0)``, side 1 the one with fewer clusters; None unless its Davies-Bouldin index is below that of the clusters."""
     clusters = sorted(clusters)
     if len(clusters) < 2:
         return None
-    mask = divisions(moments, clusters, points).orderBy(F.round("ovl", 9), "mask").first()["mask"]
+    mask = divisions(moments, clusters).orderBy(F.round("ovl", 9), "mask").first()["mask"]
     one = [c for i, c in enumerate(clusters) if mask >> i & 1]
     rest = [c for c in clusters if c not in one]
     split, whole = split_indices(long, one, clusters)
@@ -103,7 +127,7 @@ def split_indices(long: DataFrame, one: Sequence[int], clusters: Sequence[int])
     return split, davies_bouldin(mine).first()[0]
 
 
-def build_hierarchy(long: DataFrame, clusters: Sequence[int], points: int = 1000) -> DataFrame:
+def build_hierarchy(long: DataFrame, clusters: Sequence[int]) -> DataFrame:
     """``(node, cluster, side)``: nodes from 1; side is 1, 0, or -1 for a cluster that the node leaves out.
 
     The best division is repeated on each side. Where it is refused, each cluster is set against the rest. At most 2K - 1 divisions are tried.
@@ -115,7 +139,7 @@ def build_hierarchy(long: DataFrame, clusters: Sequence[int], points: int = 1000
         here = work.pop(0)
         if len(here) < 2:
             continue
-        found = best_division(long, moments, here, points)
+        found = best_division(long, moments, here)
         if found is not None:
             nodes.append(found)
             work += [sorted(found[0]), sorted(found[1])]
@@ -129,20 +153,119 @@ def build_hierarchy(long: DataFrame, clusters: Sequence[int], points: int = 1000
 LAMBDAS = tuple(10 ** (-3 + 3 * i / 100) for i in range(101))
 
 
-def l1_path(rows: DataFrame, lambdas: Sequence[float] = LAMBDAS, features: str = "features", label: str = "side", max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
-    """L1 logistic models of side 1 against side 0 for each lambda: ``(lambda, auc, nonzero)`` and ``(lambda, feature, weight)``. Features are standardised already."""
+def _quadratic_steps(grams: np.ndarray, grads: np.ndarray, starts: np.ndarray, lambdas: np.ndarray, shared: bool) -> np.ndarray:
+    """The least point of each penalised quadratic model by coordinate descent; the last coordinate is the intercept, which bears no penalty.
+
+    Models go from the greatest lambda down. A ``shared`` model begins where the one before it ended; others begin at their own start. Only features that the gradient or the weights make likely are visited; those left out are checked after.
+    """
+    out, width = starts.copy(), starts.shape[1]
+    for n, k in enumerate(np.argsort(-lambdas)):
+        gram, lam = grams[0 if shared else k], lambdas[k]
+        linear = grads[0 if shared else k] - gram @ starts[k]
+        w = out[np.argsort(-lambdas)[n - 1]].copy() if shared and n else starts[k].copy()
+        slope = gram @ w + linear
+        active = np.flatnonzero((w != 0) | (np.abs(slope) > 0.9 * lam) | (np.arange(width) == width - 1))
+        while True:
+            for _ in range(1000):
+                most = 0.0
+                for j in active:
+                    curve = gram[j, j]
+                    if curve <= 1e-12:
+                        continue
+                    raw = w[j] - slope[j] / curve
+                    new = raw if j == width - 1 else math.copysign(max(0.0, abs(raw) - lam / curve), raw)
+                    if new != w[j]:
+                        most = max(most, abs(new - w[j]) * math.sqrt(curve))
+                        slope += gram[:, j] * (new - w[j])
+                        w[j] = new
+                if most < 1e-9:
+                    break
+            missed = np.setdiff1d(np.flatnonzero(np.abs(slope) > lam * (1 + 1e-9)), active)
+            if not len(missed):
+                break
+            active = np.union1d(active, missed)
+        out[k] = w
+    return out
+
+
+def l1_path(rows: DataFrame, lambdas: Sequence[float] = LAMBDAS, features: str = "features", label: str = "side", max_iter: int = 50, tol: float = 1e-7) -> tuple[DataFrame, DataFrame]:
+    """L1 logistic models of side 1 against side 0 for each lambda: ``(lambda, auc, nonzero)`` and ``(lambda, feature, weight)``. Features are standardised already; the intercept bears no penalty.
+
+    All lambdas are fitted together: a pass over the rows adds up the loss, the gradient and the curvature at the weights of every lambda that has not settled, and the driver solves their small quadratic models, the
+    first one, common to all, along the path. So the number of passes is that of Newton steps, about ten, however many lambdas there are. Without rows of both sides all weights are 0 and each AUC is 1.
+    """
     spark = rows.sparkSession
-    data = rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias("label"), array_to_vector(features).alias("features")).persist()
-    path, weights = [], []
-    for lam in lambdas:
-        model = LogisticRegression(regParam=float(lam), elasticNetParam=1.0, standardization=False, maxIter=max_iter).fit(data)
-        scored = model.transform(data).select("label", F.round(vector_to_array("probability")[1], 12).alias("score"))
-        auc = roc_auc(scored).first()[0]
-        values = model.coefficients.toArray()
-        path.append((float(lam), float(auc), int((abs(values) > 1e-9).sum())))
-        weights += [(float(lam), i, float(w)) for i, w in enumerate(values)]
-    data.unpersist()
-    return spark.createDataFrame(path, "lambda double, auc double, nonzero long"), spark.createDataFrame(weights, "lambda double, feature long, weight double")
+    data = stored(rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias("y"), F.col(features).cast("array<double>").alias("x")), "sides")
+    told = data.agg(F.count("*").alias("n"), F.sum("y").alias("ones"), F.max(F.size("x")).alias("p")).first()
+    lams, n, p = np.array(lambdas, float), told["n"], told["p"] or 0
+    weights = np.zeros((len(lams), p + 1))
+    if n and 0 < told["ones"] < n:
+        weights[:, p] = math.log(told["ones"] / (n - told["ones"]))
+        best, old, waiting = np.full(len(lams), np.inf), weights.copy(), np.arange(len(lams))
+        for step in range(max_iter):
+            loss, grad, gram = _logistic_sums(data, weights[:1] if step == 0 else weights[waiting], p)
+            if step == 0:
+                weights = _quadratic_steps(gram / n, grad / n, weights, lams, True)
+                best[:] = loss[0] / n
+                continue
+            worth = loss / n + lams[waiting] * np.abs(weights[waiting, :p]).sum(axis=1)
+            worse = worth > best[waiting] + 1e-12
+            # a step that went too far is halved; others go on from where they are
+            slope, w = grad / n, weights[waiting]
+            gap = np.where(w[:, :p] != 0, np.abs(slope[:, :p] + lams[waiting, None] * np.sign(w[:, :p])), np.maximum(0, np.abs(slope[:, :p]) - lams[waiting, None]))
+            settled = ~worse & (np.maximum(gap.max(axis=1, initial=0), np.abs(slope[:, p])) < tol)
+            for k, at in enumerate(waiting):
+                if worse[k]:
+                    weights[at] = (weights[at] + old[at]) / 2
+                elif not settled[k]:
+                    old[at], best[at] = weights[at], worth[k]
+                    weights[at] = _quadratic_steps(gram[k : k + 1] / n, slope[k : k + 1], weights[at : at + 1], lams[at : at + 1], False)[0]
+            waiting = waiting[~settled]
+            if not len(waiting):
+                break
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _matrix(batch, p)
+            score = np.round(1 / (1 + np.exp(-np.clip(x @ weights.T, -700, 700))), 12)
+            for k, lam in enumerate(lams):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), lam)), pa.array(y.astype(np.int64)), pa.array(score[:, k])], names=["lambda", "label", "score"])
+
+    auc = roc_auc(stored(data.mapInArrow(scored, "lambda double, label long, score double"), "scores"), by=["lambda"])
+    counts = spark.createDataFrame([(float(lam), int((np.abs(w[:p]) > 1e-9).sum())) for lam, w in zip(lams, weights, strict=True)], "lambda double, nonzero long")
+    path = counts.join(F.broadcast(auc), "lambda", "left").select("lambda", F.coalesce("auc", F.lit(1.0)).alias("auc"), "nonzero")  # a row per lambda
+    return path, spark.createDataFrame([(float(lam), j, float(w[j])) for lam, w in zip(lams, weights, strict=True) for j in range(p)], "lambda double, feature long, weight double")
+
+
+def _matrix(batch: pa.RecordBatch, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features with a column of ones, and the labels."""
+    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+    return np.column_stack([x, np.ones(len(x))]), batch.column(0).to_numpy(zero_copy_only=False)
+
+
+def _logistic_sums(data: DataFrame, weights: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, gradient and curvature of the logistic loss at each row of ``weights``, summed over all rows in tasks first."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(weights), 1 + (p + 1) + (p + 1) ** 2))
+        for batch in batches:
+            x, y = _matrix(batch, p)
+            for k, w in enumerate(weights):
+                z = x @ w
+                chance = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                total[k, 0] += (np.logaddexp(0, z) - y * z).sum()
+                total[k, 1 : p + 2] += x.T @ (chance - y)
+                total[k, p + 2 :] += ((x * (chance * (1 - chance))[:, None]).T @ x).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights))), pa.array(list(total), pa.list_(pa.float64()))], names=["model", "sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = table.column("sums").combine_chunks().flatten().to_numpy().reshape(len(table), -1).sum(axis=0)
+        return pa.Table.from_arrays([table.column("model").slice(0, 1), pa.array([total], pa.list_(pa.float64()))], names=["model", "sums"])
+
+    schema = "model long, sums array<double>"
+    parts = data.mapInArrow(sums, schema).groupBy("model").applyInArrow(added, schema)  # a row per task and model comes in
+    total = np.array([r["sums"] for r in parts.orderBy("model").collect()])
+    return total[:, 0], total[:, 1 : p + 2], total[:, p + 2 :].reshape(-1, p + 1, p + 1)
 
 
 def select_lambda(path: DataFrame, level: float = 0.985) -> DataFrame:

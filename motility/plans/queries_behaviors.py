@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from motility.operators import behaviors as B
@@ -36,7 +38,7 @@ def i3(v):
 
 @query("i4_kmeans")
 def i4(v):
-    rows, _, _ = B.kmeans(B.to_vectors(_z(v).where("grp <= 2"), ["row_id", "grp"]), 5, replicates=3)
+    rows, _, _ = B.kmeans(B.to_vectors(_z(v).where("grp <= 2"), ["row_id", "grp"]), 5, replicates=100)
     return rows.select("row_id", "grp", "cluster")
 
 
@@ -78,7 +80,7 @@ def i7(v):
 @query("w3_choose_behaviors")
 def w3(v):
     """The sweep over the number of behaviours of the discovery groups, and the final clusters."""
-    rows, _, k = B.choose_behaviors(B.to_vectors(_z(v).where("grp <= 2"), ["row_id", "grp"]), range(2, 7), restarts=2)
+    rows, _, k = B.choose_behaviors(B.to_vectors(_z(v).where("grp <= 2"), ["row_id", "grp"]), restarts=100)
     return rows.select("row_id", "grp", "cluster", F.lit(k).cast("long").alias("k"))
 
 
@@ -113,27 +115,42 @@ def i11(v):
     return rounded(X.cluster_moments(v.cells), "mean", "std").select("cluster", "feature", "n", "mean", "std")
 
 
-def _overlap_sql(above: int, points: int) -> str:
-    pdf = lambda m, s: f"exp(-(x - {m}) * (x - {m}) / (2 * {s} * {s})) / ({s} * sqrt(2 * pi()))"
-    return f"""p AS (SELECT a.feature, a.cluster AS ci, b.cluster AS cj, a.mean AS m1, a.std AS s1, b.mean AS m2, b.std AS s2, least(a.mean - 6 * a.std, b.mean - 6 * b.std) AS lo, greatest(a.mean + {above} * a.std, b.mean + {above} * b.std) AS hi FROM m a JOIN m b ON a.feature = b.feature AND a.cluster < b.cluster),
-g AS (SELECT *, (hi - lo) / {points} AS h, unnest(range(0, {points} + 1)) AS i FROM p), y AS (SELECT feature, ci, cj, h, i, m1, s1, m2, s2, lo + h * i AS x FROM g),
-o AS (SELECT feature, ci, cj, sum(h * least({pdf("m1", "s1")}, {pdf("m2", "s2")}) * CASE WHEN i IN (0, {points}) THEN 0.5 ELSE 1 END) AS ovl FROM y GROUP BY ALL)"""
+def _normal_sql(z: str) -> str:
+    """The normal distribution function at ``z``, a column."""
+    poly = lambda values: reduce(lambda acc, v: f"({acc} * abs({z}) + {v!r}::DOUBLE)", reversed(values[:-1]), f"{values[-1]!r}::DOUBLE")
+    far = reduce(lambda acc, k: f"(abs({z}) + {k}::DOUBLE / {acc})", (4, 3, 2, 1), f"(abs({z}) + 0.65::DOUBLE)")
+    tail = f"exp(-{z} * {z} / 2) * CASE WHEN abs({z}) < {X.TAIL_FROM!r}::DOUBLE THEN {poly(X.TAIL_ABOVE)} / {poly(X.TAIL_BELOW)} ELSE 1 / ({far} * sqrt(2 * pi())) END"
+    return f"CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+def _overlap_sql(above: int, pairs: str, ids: str) -> str:
+    """CTEs up to ``o`` (the ``ids`` and ``ovl``) from ``pairs`` of ``m1, s1, m2, s2``: crossings of the densities and areas between them. The densities of two deviations of which none is 0 are given by the views."""
+    area = lambda a, b, m, s: f"({_normal_sql(f'(({b} - {m}) / {s})')}) - ({_normal_sql(f'(({a} - {m}) / {s})')})"
+    return f"""p AS ({pairs}),
+u AS (SELECT {ids}, CASE WHEN (s1, m1) <= (s2, m2) THEN m1 ELSE m2 END AS m, least(s1, s2) AS s, CASE WHEN (s1, m1) <= (s2, m2) THEN m2 ELSE m1 END AS n, greatest(s1, s2) AS w, least(m1 - 6 * s1, m2 - 6 * s2) AS lo, greatest(m1 + {above} * s1, m2 + {above} * s2) AS hi FROM p),
+v AS (SELECT *, (1 / (w * w) - 1 / (s * s)) / 2 AS a, (m - n) / (w * w) AS b, (n - m) * (n - m) / (2 * w * w) + ln(w / s) AS c FROM u),
+x AS (SELECT *, (-b - sqrt(b * b - 4 * a * c)) / (2 * a) + m AS r1, (-b + sqrt(b * b - 4 * a * c)) / (2 * a) + m AS r2 FROM v),
+y AS (SELECT *, least(hi, greatest(lo, least(r1, r2))) AS x, least(hi, greatest(lo, greatest(r1, r2))) AS y FROM x),
+o AS (SELECT {ids}, {area("lo", "x", "m", "s")} + {area("x", "y", "n", "w")} + {area("y", "hi", "m", "s")} AS ovl FROM y)"""
+
+
+PAIRS = "SELECT a.feature, a.cluster AS ci, b.cluster AS cj, a.mean AS m1, a.std AS s1, b.mean AS m2, b.std AS s2 FROM m a JOIN m b ON a.feature = b.feature AND a.cluster < b.cluster"
 
 
-@query("i12_gaussian_overlap", f"WITH {MOMENTS}, {_overlap_sql(6, 2001)} SELECT feature, ci, cj, round(ovl, 6) AS ovl FROM o", "cells")
+@query("i12_gaussian_overlap", f"WITH {MOMENTS}, {_overlap_sql(6, PAIRS, "feature, ci, cj")} SELECT feature, ci, cj, round(ovl, 6) AS ovl FROM o", "cells")
 def i12(v):
-    return rounded(X.gaussian_overlap(X.cluster_moments(v.cells), points=2001), "ovl")
+    return rounded(X.gaussian_overlap(X.cluster_moments(v.cells)), "ovl")
 
 
 @query("i13_hierarchy_importance", f"""
-WITH {MOMENTS}, {_overlap_sql(6, 500)}, b AS (SELECT feature, ci AS c1, cj AS c0, ovl FROM o UNION ALL SELECT feature, cj, ci, ovl FROM o),
+WITH {MOMENTS}, {_overlap_sql(6, PAIRS, "feature, ci, cj")}, b AS (SELECT feature, ci AS c1, cj AS c0, ovl FROM o UNION ALL SELECT feature, cj, ci, ovl FROM o),
 hn AS (SELECT DISTINCT n.cluster AS node, c.cluster, CASE WHEN c.cluster <= n.cluster THEN 1 WHEN c.cluster = 10 AND n.cluster = 1 THEN -1 ELSE 0 END AS side FROM (SELECT DISTINCT cluster FROM cells WHERE cluster < 4) n, (SELECT DISTINCT cluster FROM cells) c)
 SELECT x.node, feature, round(1 - max(ovl), 6) AS importance FROM hn x JOIN hn y ON x.node = y.node AND x.side = 1 AND y.side = 0 JOIN b ON c1 = x.cluster AND c0 = y.cluster GROUP BY x.node, feature""", "cells")
 def i13(v):
     clusters = v.cells.select("cluster").distinct()
     nodes = clusters.where("cluster < 4").withColumnRenamed("cluster", "node")
     hierarchy = nodes.crossJoin(clusters).withColumn("side", F.when(F.col("cluster") <= F.col("node"), 1).when((F.col("cluster") == 10) & (F.col("node") == 1), -1).otherwise(0))
-    return rounded(X.hierarchy_importance(X.gaussian_overlap(X.cluster_moments(v.cells), points=500), hierarchy), "importance")
+    return rounded(X.hierarchy_importance(X.gaussian_overlap(X.cluster_moments(v.cells)), hierarchy), "importance")
 
 
 @query("i14_best_division", """
@@ -141,9 +158,7 @@ WITH cl AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS b, count
 f AS (SELECT cluster, b, feature, count(*) AS n, sum(value) AS s1, sum(value * value) AS s2 FROM cells JOIN cl USING (cluster) GROUP BY ALL),
 k AS (SELECT unnest(range(1, CAST(2 ** (max(nk) - 1) AS BIGINT))) * 2 AS mask FROM cl), sd AS (SELECT mask, feature, CASE WHEN (mask & (1 << b::INT)) > 0 THEN 1 ELSE 0 END AS side, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2 FROM k, f GROUP BY ALL),
 q AS (SELECT mask, feature, side, s1 / n AS mean, sqrt((s2 - s1 * s1 / n) / (n - 1)) AS std FROM sd),
-p AS (SELECT a.mask, a.feature, a.mean AS m1, a.std AS s1, b.mean AS m2, b.std AS s2, least(a.mean - 6 * a.std, b.mean - 6 * b.std) AS lo, greatest(a.mean + 3 * a.std, b.mean + 3 * b.std) AS hi FROM q a JOIN q b ON a.mask = b.mask AND a.feature = b.feature AND a.side = 0 AND b.side = 1),
-g AS (SELECT *, (hi - lo) / 100 AS h, unnest(range(0, 101)) AS i FROM p), y AS (SELECT *, lo + h * i AS x FROM g),
-o AS (SELECT mask, feature, sum(h * least(exp(-(x - m1) * (x - m1) / (2 * s1 * s1)) / (s1 * sqrt(2 * pi())), exp(-(x - m2) * (x - m2) / (2 * s2 * s2)) / (s2 * sqrt(2 * pi()))) * CASE WHEN i IN (0, 100) THEN 0.5 ELSE 1 END) AS ovl FROM y GROUP BY ALL),
+""" + _overlap_sql(3, "SELECT a.mask, a.feature, a.mean AS m1, a.std AS s1, b.mean AS m2, b.std AS s2 FROM q a JOIN q b ON a.mask = b.mask AND a.feature = b.feature AND a.side = 0 AND b.side = 1", "mask, feature") + """,
 best AS (SELECT mask FROM (SELECT mask, round(median(ovl), 9) AS ovl FROM o GROUP BY mask) ORDER BY ovl, mask LIMIT 1),
 z AS (SELECT 'split' AS kind, CASE WHEN (mask & (1 << b::INT)) > 0 THEN 1 ELSE 0 END AS cluster, row_id, feature, value FROM cells JOIN cl USING (cluster), best UNION ALL SELECT 'whole', cluster, row_id, feature, value FROM cells),
 c AS (SELECT kind, cluster, feature, avg(value) AS m FROM z GROUP BY ALL), r AS (SELECT kind, cluster, row_id, sqrt(sum((value - m) * (value - m))) AS d FROM z JOIN c USING (kind, cluster, feature) GROUP BY ALL),
@@ -155,7 +170,7 @@ def i14(v):
     """The best two-way division of all clusters, the side with fewer clusters as side 1, and whether it is accepted."""
     clusters = sorted(r[0] for r in v.cells.select("cluster").distinct().collect())  # a row per cluster
     moments = X.cluster_moments(v.cells)
-    mask = X.divisions(moments, clusters, points=100).orderBy(F.round("ovl", 9), "mask").first()["mask"]
+    mask = X.divisions(moments, clusters).orderBy(F.round("ovl", 9), "mask").first()["mask"]
     one = [c for i, c in enumerate(clusters) if mask >> i & 1]
     split, whole = X.split_indices(v.cells, one, clusters)
     one = one if 2 * len(one) <= len(clusters) else [c for c in clusters if c not in one]
@@ -165,13 +180,13 @@ def i14(v):
 @query("i15_build_hierarchy")
 def i15(v):
     clusters = sorted(r[0] for r in v.cells.select("cluster").distinct().collect())  # a row per cluster
-    return X.build_hierarchy(v.cells, clusters, points=50)
+    return X.build_hierarchy(v.cells, clusters)
 
 
 @query("i16_l1_path")
 def i16(v):
     rows = B.to_vectors(_z(v), ["row_id", "cluster"]).withColumn("side", (F.col("cluster") <= 5).cast("long"))
-    return X.l1_path(rows, X.LAMBDAS[::20], max_iter=50)[0]  # six of the default path; the rest differ in cost only
+    return X.l1_path(rows)[0]
 
 
 @query("i17_select_lambda", '''

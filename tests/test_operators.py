@@ -275,6 +275,63 @@ def test_overlap_of_normals(spark):
     assert got[1, 2] == pytest.approx(1, abs=1e-6) and got[1, 3] == pytest.approx(0, abs=1e-6) and got[1, 4] == 1.0 and got[3, 4] == 0.0
 
 
+def test_overlap_is_the_area_between_the_curves(spark):
+    """The closed form against the trapezoid rule on 10 002 points, cut off on the right where it is asked for."""
+    rng = np.random.default_rng(6)
+    cases = [(*rng.normal(0, 3, 2), *rng.uniform(0.05, 4, 2)) for _ in range(150)] + [(1.0, 1.0, 2.0, 2.0), (1.0, 1.0, 2.0, 3.0), (0.0, 1.0, 2.0, 2.0), (1.0, 0.0, 2.0, 2.0), (0.0, 50.0, 1.0, 1.0), (0.0, 0.1, 1.0, 1.0 + 1e-9), (5.0, 5.0, 0.05, 10.0)]
+    df = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(cases)], "i long, m1 double, m2 double, s1 double, s2 double")
+    for above in (6.0, 3.0):
+        got = df.select("i", explain.overlap_area(F.col("m1"), F.col("s1"), F.col("m2"), F.col("s2"), 6.0, above).alias("a"), explain.normal_cdf(F.col("m1")).alias("f")).orderBy("i").collect()
+        for r, (m1, m2, s1, s2) in zip(got, cases, strict=True):
+            pdf = lambda x, m, s: np.exp(-(((x - m) / s) ** 2) / 2) / (s * math.sqrt(2 * math.pi))
+            x = np.linspace(min(m1 - 6 * s1, m2 - 6 * s2), max(m1 + above * s1, m2 + above * s2), 200_002 if min(s1, s2) < 0.1 else 10_002)
+            assert r.a == pytest.approx(np.trapezoid(np.minimum(pdf(x, m1, s1), pdf(x, m2, s2)), x), abs=1e-6)
+            assert r.f == pytest.approx(math.erfc(-m1 / math.sqrt(2)) / 2, abs=1e-12)
+
+
+def test_runs_together_are_no_worse_than_one_by_one(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([([float(v) for v in rng.normal(rng.integers(0, 6) * 4, 1.0, 5)],) for _ in range(500)], "features array<double>")
+    got = behaviors.kmeans_runs(df, [(k, seed) for k in (2, 3, 6) for seed in range(12)])
+    vectors = df.withColumn("v", array_to_vector("features"))
+    x = np.array([r.features for r in df.collect()])
+    for n, k in enumerate((2, 3, 6)):
+        mine = got[n * 12 : (n + 1) * 12]
+        for centroids, cost in mine:
+            far = ((x[:, None] - centroids) ** 2).sum(axis=2)
+            assert cost == pytest.approx(far.min(axis=1).sum(), rel=1e-9)
+            assert np.allclose([x[far.argmin(axis=1) == c].mean(axis=0) for c in range(k)], centroids, atol=1e-4)
+        theirs = min(KMeans(k=k, seed=s, featuresCol="v", maxIter=50).fit(vectors).summary.trainingCost for s in range(3))
+        assert min(cost for _, cost in mine) <= theirs * (1 + 1e-6)
+    assert behaviors.kmeans_runs(df.limit(0), [(2, 1)])[0][0].size == 0
+
+
+def test_the_whole_path_settles(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 12))
+    x[:, 5] = x[:, 4] + 0.05 * rng.normal(size=400)
+    y = (2 * x[:, 0] - x[:, 4] + 0.3 * rng.normal(size=400) > 0.4).astype(int)
+    rows = spark.createDataFrame([(int(t), [float(v) for v in r]) for t, r in zip(y, x, strict=True)] + [(-1, [9.0] * 12)], "side long, features array<double>")
+    path, weights = explain.l1_path(rows)
+    told = path.orderBy("lambda").collect()
+    assert len(told) == 101 and told[0].nonzero > 3 and told[-1].nonzero == 0 and told[0].auc > 0.95 and told[-1].auc == 0.5
+    table = {lam: np.zeros(12) for lam in explain.LAMBDAS}
+    for r in weights.collect():
+        table[r["lambda"]][r.feature] = r.weight
+    for lam, w in table.items():
+        b = 0.0
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-(x @ w + b)))
+            b -= (p - y).mean() / (p * (1 - p)).mean()
+        grad = x.T @ (p - y) / len(y)
+        assert np.all(np.abs(grad[w == 0]) <= lam + 1e-5) and np.allclose(grad[w != 0], -lam * np.sign(w[w != 0]), atol=1e-5)
+    one = explain.l1_path(rows.where("side = 1"), [0.1])[0].first()
+    assert (one.auc, one.nonzero) == (1.0, 0)
+
+
 def test_number_of_clusters(spark):
     pick = lambda values: behaviors.select_k(spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "k long, value double")).first().k
     assert pick([1.0, 0.8, 0.5, 0.7, 0.6, 0.9]) == 3
@@ -291,7 +348,7 @@ def test_separate_clusters_and_their_hierarchy(spark):
     long = blobs(spark, [0, 100])
     assert behaviors.davies_bouldin(long).first()[0] < 0.1
     four = blobs(spark, [0, 3, 200, 203])
-    sides = {(r.node, r.cluster): r.side for r in explain.build_hierarchy(four, [1, 2, 3, 4], points=200).collect()}
+    sides = {(r.node, r.cluster): r.side for r in explain.build_hierarchy(four, [1, 2, 3, 4]).collect()}
     assert sides[1, 1] == sides[1, 2] != sides[1, 3] == sides[1, 4]
     rows, centroids, cost = behaviors.kmeans(behaviors.to_vectors(long, ["row_id"]), 2, replicates=2)
     assert sorted(r.n for r in rows.groupBy("cluster").agg(F.count("*").alias("n")).collect()) == [40, 40] and centroids.count() == 2 and cost > 0
