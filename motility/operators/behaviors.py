@@ -214,10 +214,10 @@ def sweep_top(df: DataFrame, grid: Iterable[dict], n: int = 5, row_id: str = "ro
     together: dict[tuple, list[dict]] = {}
     for setting in grid:
         together.setdefault(tuple(setting.get("columns") or ()), []).append(setting)
-    scored = []
+    df, scored = stored(df.select(row_id, features), "rows"), []
     for columns, settings in together.items():  # settings with the same columns share their passes over the rows
         chosen = df.withColumn(features, F.array(*(F.col(features)[c] for c in columns))) if columns else df
         for setting, (centroids, _) in zip(settings, kmeans_runs(chosen, [(s["k"], s.get("seed", 1)) for s in settings], features), strict=True):
-            index = davies_bouldin(to_long(assigned(chosen, centroids, features), [row_id, "cluster"], features))
+            index = davies_bouldin(to_long(stored(assigned(chosen, centroids, features), "assigned"), [row_id, "cluster"], features))
             scored.append(index.select(F.lit(setting["k"]).alias("k"), F.lit(setting.get("seed", 1)).alias("seed"), F.lit(str(columns or "all")).alias("columns"), "davies_bouldin"))
     return reduce(DataFrame.unionByName, scored).orderBy("davies_bouldin", "k", "seed", "columns").limit(n)
