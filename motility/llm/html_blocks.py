@@ -1,7 +1,7 @@
 """Main text of HTML pages by two passes over their blocks.
 
 The first pass classifies each block by its length and the densities of its stop words and links; where it stands, inside an article or main element or
-outside, only shifts what is asked of it. Blocks that are too short or too unusual to tell are left open; in the second pass they inherit the label
+outside, only shifts what is asked of it. Where no list of stop words fits a page, the page's own common words take its place, and no block is furniture for lack of them. Blocks that are too short or too unusual to tell are left open; in the second pass they inherit the label
 of the nearest decided neighbours. What is no prose by its element (scripts, menus, footers, buttons) never becomes part of a block, and blocks under a class, id or role
 that names furniture are set aside; they are looked at only where a page has nothing else.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html legend li main menu nav noscript ol option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
-FURNITURE = {"nav", "footer", "aside", "menu", "noscript", "template", "button", "select", "dialog", "svg", "math", "object", "audio", "video", "canvas", "head"}
+FURNITURE = {"nav", "footer", "aside", "menu", "noscript", "template", "button", "select", "dialog", "svg", "annotation", "annotation-xml", "object", "audio", "video", "canvas", "head"}
 FORMS = {"form", "fieldset"}
 MAIN = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -53,6 +54,12 @@ LIMITS_OF_SIBLINGS = {"ul", "ol", "dl", "table", "tbody", "div", "section", "art
 
 STOP_WORDS = frozenset(w for words in COMMON_WORDS.values() for w in words)
 MIN_WORDS, LONG_WORDS, LOW_STOPS, HIGH_STOPS, MAX_LINKS = 10, 25, 0.08, 0.15, 0.5
+#: The share of a page's words that the list of one language must hold for the page to count as in it; sister languages share up to 0.15.
+OWN_STOPS = 0.2
+#: The share of link text under which a long block of an unknown language is prose, and from which a row of links in an article is a menu.
+FEW_LINKS, ALL_LINKS, MENU_LINKS = 0.3, 0.9, 3
+#: Characters of scripts without spaces; two of them count as a word.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]{1,2})")
 
 
 @dataclass
@@ -183,27 +190,49 @@ def _normal(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def stop_density(words: list[str]) -> float:
-    return sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
+def words_of(text: str) -> list[str]:
+    return _UNSPACED.sub(r" \1 ", text).split()
 
 
-def first_pass(blocks: list[Block]) -> list[bool | None]:
-    """Text, furniture or open, of each block."""
-    return [_label(b) for b in blocks]
+def _bare(word: str) -> str:
+    return word.strip(".,;:!?\"'()").lower()
 
 
-def _label(block: Block) -> bool | None:
-    words, links = block.text.split(), block.link_chars / len(block.text)
-    if links > MAX_LINKS and (block.links > 1 or not block.main):
+def stop_density(words: list[str], stops: frozenset[str] = STOP_WORDS) -> float:
+    return sum(_bare(w) in stops for w in words) / len(words)
+
+
+def stops_of(blocks: list[Block]) -> tuple[frozenset[str], bool]:
+    """The stop words of a page, and whether its language has a list.
+
+    It has one if that list holds OWN_STOPS of the words in blocks that could be prose. Otherwise the page teaches its own: short words that stand three times or more, in two blocks at least.
+    """
+    prose = [[_bare(w) for w in words_of(b.text)] for b in blocks if b.link_chars <= FEW_LINKS * len(b.text)]
+    prose = [ws for ws in prose if len(ws) >= MIN_WORDS]
+    total = sum(map(len, prose))
+    if not total or max(sum(w in own for ws in prose for w in ws) for own in map(frozenset, COMMON_WORDS.values())) >= OWN_STOPS * total:
+        return STOP_WORDS, True
+    counts, spread = Counter(w for ws in prose for w in ws), Counter(w for ws in prose for w in set(ws))
+    return STOP_WORDS | {w for w, n in counts.items() if n >= 3 and spread[w] >= 2 and 0 < len(w) <= 4}, False
+
+
+def first_pass(blocks: list[Block], stops: frozenset[str] = STOP_WORDS, known: bool = True) -> list[bool | None]:
+    """Text, furniture or open, of each block. ``known``: the page is in a language with a list, so that a lack of stop words tells something."""
+    return [_label(b, stops, known) for b in blocks]
+
+
+def _label(block: Block, stop_words: frozenset[str], known: bool) -> bool | None:
+    words, links = words_of(block.text), block.link_chars / len(block.text)
+    if links > MAX_LINKS and (not block.main or links >= ALL_LINKS and block.links > MENU_LINKS):
         return False
-    if len(words) < MIN_WORDS or block.heading:
+    if len(words) < MIN_WORDS or block.heading or links > MAX_LINKS:
         return None
-    stops = stop_density(words)
+    stops = stop_density(words, stop_words)
     if block.main:  # prose is expected here
-        return True if stops >= LOW_STOPS else None
-    if stops >= HIGH_STOPS or len(words) >= LONG_WORDS and stops >= LOW_STOPS:
+        return True if stops >= LOW_STOPS or not known else None
+    if stops >= HIGH_STOPS or len(words) >= LONG_WORDS and (stops >= LOW_STOPS or not known and links <= FEW_LINKS):
         return True
-    return None if len(words) < LONG_WORDS or not block.links else False
+    return None if len(words) < LONG_WORDS or not block.links or not known else False
 
 
 def second_pass(labels: list[bool | None], headings: list[bool], default: bool = True) -> list[bool]:
@@ -232,13 +261,14 @@ def text_blocks(blocks: list[Block]) -> list[Block]:
     are judged, each by its own neighbours.
     """
     plain = [b for b in blocks if not b.marked] or blocks
-    size = lambda side: sum(len(b.text.split()) for b in side)
+    size = lambda side: sum(len(words_of(b.text)) for b in side)
+    stops, known = stops_of(plain)
     sides = [b for b in plain if b.main], [b for b in plain if not b.main]
-    prose = [b for b, good in zip(sides[1], first_pass(sides[1]), strict=True) if good]
+    prose = [b for b, good in zip(sides[1], first_pass(sides[1], stops, known), strict=True) if good]
     judged = sides[:1] if sides[0] and size(sides[0]) >= size(prose) else sides
     kept = set()
     for side in judged:
-        good = second_pass(first_pass(side), [b.heading for b in side], default=not sides[0] or side is sides[0])
+        good = second_pass(first_pass(side, stops, known), [b.heading for b in side], default=not sides[0] or side is sides[0])
         kept |= {id(b) for b, g in zip(side, good, strict=True) if g}
     return [b for b in plain if id(b) in kept]
 
