@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from motility.functions.walks import greedy_chain
 from motility.operators.voxels import KEYS, VOXEL
 from motility.sources.tables import spread, stored
 
@@ -90,19 +91,13 @@ def centerline(mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def order_points(points: DataFrame, keys: Sequence[str] = KEYS, start: Sequence[float] = (0, 0, 0)) -> DataFrame:
     """Adds ``pos``: 0, 1 ... along a greedy chain that begins at the point nearest to ``start`` (z, y, x) and goes on to the nearest one left.
 
-    Ties go to the least point. A volume's line is the unit of work.
+    Ties go to the least point. A volume's line is the unit of work; its points are found by a grid (``greedy_chain``), so time follows their number.
     """
     schema = T.StructType([*points.schema.fields, T.StructField("pos", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(VOXEL), ignore_index=True)
-        left, here = pdf[list(VOXEL)].to_numpy(float), np.array(start, float)
-        place, open_points = np.zeros(len(pdf), np.int64), np.ones(len(pdf), bool)
-        for k in range(len(pdf)):
-            far = np.where(open_points, ((left - here) ** 2).sum(axis=1), np.inf)
-            i = int(np.argmin(far))
-            place[i], open_points[i], here = k, False, left[i]
-        return pdf.assign(pos=place)
+        return pdf.assign(pos=greedy_chain(pdf[list(VOXEL)].to_numpy(float), np.array(start, float)))
 
     return spread(points, keys).groupBy(*keys).applyInPandas(run, schema)
 

@@ -1,10 +1,13 @@
 """Linking, components and frame walks that are cut into parts give what plain folds over whole captures give."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 from plain_tracking import link
 
+from motility.functions.walks import greedy_chain
 from motility.operators import regions, tracks
 
 NODES = "grp long, volume long, capture long, t long, node_id long, y double, x double, z double, dy double, dx double, dz double, vol double, diameter double, surface double"
@@ -123,3 +126,28 @@ def test_walk_merges_pieces_back(spark):
 def test_an_event_without_both_regions_is_left_alone(spark):
     rows, *_ = merge_of_two()
     assert walk(spark, [r for r in rows if not (r[1] == 2 and r[5] == 2)]).empty
+
+
+def plain_chain(points, start):
+    place, left, here = np.zeros(len(points), int), np.ones(len(points), bool), start
+    for k in range(len(points)):
+        i = int(np.argmin(np.where(left, ((points - here) ** 2).sum(axis=1), np.inf)))
+        place[i], left[i], here = k, False, points[i]
+    return place
+
+
+def test_chains_by_a_grid():
+    draw = np.random.default_rng(3)
+    sets = [draw.integers(0, 9, (300, 3)), draw.normal(size=(500, 3)), draw.normal(size=(200, 3)) * [1, 0, 0], np.zeros((20, 3)), np.vstack([draw.normal(size=(200, 3)), draw.normal(size=(5, 3)) * 1e4]), draw.integers(0, 2, (3, 3)), np.zeros((0, 3))]
+    for points in sets:
+        points = points[np.lexsort(points.T[::-1])].astype(float)
+        for start in ([0, 0, 0], [-500, 3, 9]):
+            assert greedy_chain(points, np.array(start, float)).tolist() == plain_chain(points, np.array(start, float)).tolist()
+
+
+def test_a_long_chain_takes_seconds():
+    t = np.linspace(0, 300, 100_000)
+    points = np.column_stack([t, 40 * np.sin(t), 40 * np.cos(t)]) + np.random.default_rng(1).normal(0, 0.01, (100_000, 3))
+    began = time.perf_counter()
+    place = greedy_chain(points, points[0])
+    assert sorted(place.tolist()) == list(range(100_000)) and time.perf_counter() - began < 60
