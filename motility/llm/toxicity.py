@@ -224,8 +224,8 @@ class ToxicityModel:
     def scored(self, docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", name: str = "toxicity") -> DataFrame:
         """Adds the struct ``name``: ``score`` of the whole text, the ``threshold`` of its language, ``flagged`` (at or above it).
 
-        A null or empty text is scored as a text without words; a null or new language has the common threshold. Rows and other columns are kept; a
-        column called ``name`` is replaced.
+        A null or empty text is scored as a text without words; a null or new language has the common threshold. Very long texts are scored whole, in spans; every row is scored, repeated ones alike, and a score at
+        the threshold is flagged. An empty table stays empty. Rows and other columns are kept; a column called ``name`` is replaced.
         """
         small_batches(docs.sparkSession)
         sent = docs.sparkSession.sparkContext.broadcast(self)
