@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motility.operators.geometry import nearest_point
 from motility.operators.tracks import CAPTURE
 from motility.sources.captures import apply_calibration
 from motility.sources.tables import stored
@@ -74,16 +75,20 @@ def track_extrema(tracks: DataFrame, keys: Sequence[str] = CAPTURE, distance: st
     )
 
 
-def angle_to_vessel(tracks: DataFrame, line: DataFrame, keys: Sequence[str] = CAPTURE) -> DataFrame:
+def angle_to_vessel(tracks: DataFrame, line: DataFrame, keys: Sequence[str] = CAPTURE, cell: float | None = None) -> DataFrame:
     """Track angle less the angle of the vessel between the line's points nearest to the track's two extreme nodes (along x): ``angle`` by track.
 
     ``line`` has ``pos, y, x``. Angles are those with the x axis, by arc cosine; null where the two points are one.
+    ``cell`` as in ``nearest_point``.
     """
     low = F.struct("x", "t", "node_id")
     ends = tracks.groupBy(*keys, "track_id").agg(F.min_by(F.struct("y", "x"), low).alias("a"), F.max_by(F.struct("y", "x"), low).alias("b"))
-    side = line.select(*keys, F.col("pos").alias("lpos"), F.col("y").alias("ly"), F.col("x").alias("lx"))
-    far = lambda p: (F.col(f"{p}.y") - F.col("ly")) * (F.col(f"{p}.y") - F.col("ly")) + (F.col(f"{p}.x") - F.col("lx")) * (F.col(f"{p}.x") - F.col("lx"))
-    near = ends.join(side, list(keys)).groupBy(*keys, "track_id", "a", "b").agg(*(F.min_by(F.struct(F.col("ly").alias("y"), F.col("lx").alias("x")), F.struct(far(p), "lpos")).alias(f"l{p}") for p in "ab"))
+    spot = lambda p: F.struct(F.lit(p).alias("end"), F.lit(0.0).alias("z"), F.col(f"{p}.y").alias("y"), F.col(f"{p}.x").alias("x"))
+    points = stored(ends.select(*keys, "track_id", F.explode(F.array(spot("a"), spot("b"))).alias("e")).select(*keys, F.struct("track_id", "e.end").alias("id"), "e.z", "e.y", "e.x"), "ends")
+    side = line.select(*keys, F.col("pos").alias("lpos"), F.lit(0.0).alias("z"), "y", "x", F.col("y").alias("ly"), F.col("x").alias("lx"))
+    near = nearest_point(points, side, keys, "id", cell, ["lpos", "ly", "lx"])
+    own = lambda p, y, x: F.max(F.when(F.col("id.end") == p, F.struct(F.col(y).alias("y"), F.col(x).alias("x"))))
+    near = near.groupBy(*keys, F.col("id.track_id").alias("track_id")).agg(*(own(p, "y", "x").alias(p) for p in "ab"), *(own(p, "ly", "lx").alias(f"l{p}") for p in "ab"))
 
     def angle(p: str, q: str):
         dy, dx = F.col(f"{q}.y") - F.col(f"{p}.y"), F.col(f"{q}.x") - F.col(f"{p}.x")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from motility.functions.fields import NONE, lower_envelope, planes_field
 from motility.functions.walks import greedy_chain
 from motility.operators.voxels import KEYS, VOXEL
 from motility.sources.tables import spread, stored
@@ -25,15 +26,29 @@ def _squared(a: Sequence[str], b: Sequence[str]) -> Column:
     return total
 
 
+def cell_of(targets: DataFrame, keys: Sequence[str], to: Sequence[str]) -> float:
+    """A size of grid cells that hold about a target each: from the extent and number of the targets by volume, averaged over the volumes. One row reaches the driver."""
+    box = targets.groupBy(*keys).agg(F.count("*").alias("n"), *((F.max(t) - F.min(t)).cast("double").alias(f"_e{i}") for i, t in enumerate(to)))
+    wide = lambda i: F.col(f"_e{i}") > 0
+    dims, logs = F.lit(0), F.lit(0.0)
+    for i in range(len(to)):
+        dims = dims + wide(i).cast("int")
+        logs = logs + F.when(wide(i), F.log(F.when(wide(i), F.col(f"_e{i}")))).otherwise(0.0)
+    size = box.agg(F.avg(F.when(dims > 0, F.exp((logs - F.log("n")) / dims))).alias("size")).first()["size"]
+    return size if size and math.isfinite(size) else 1.0
+
+
 def _by_rings(points: DataFrame, targets: DataFrame, keys: Sequence[str], group: Sequence[str], to: Sequence[str], best: Callable[[DataFrame], DataFrame], far: str, cell: float | None) -> DataFrame:
     """``best`` over the pairs of points and targets of one volume, where a pair's measure ``far`` is no less than its distance.
 
-    Points are held only against the targets in their own and the neighbouring cells of a grid of size ``cell``. What is found within one cell length can't be beaten by a target farther away; the
-    points left are held against a grid twice as wide, and so on, each step written to the shared folder. Without ``cell`` all pairs of a volume are held.
-    Points of volumes without targets have no row.
+    Points are held only against the targets in their own and the neighbouring cells of a grid of size ``cell`` (``cell_of`` the targets, where none is given). What is found within one cell length
+    can't be beaten by a target farther away; the points left are held against a grid twice as wide, and so on, each step written to the shared folder.
+    Points of volumes without targets, and points and targets that lack a coordinate, have no row.
     """
+    placed = lambda df, axes: df.where(" AND ".join(f"abs({a}) < double('inf')" for a in axes))
+    points, targets = placed(points, VOXEL), placed(targets, to)
     if cell is None:
-        return best(points.join(targets, list(keys)))
+        cell = cell_of(targets, keys, to)
     steps = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((a, b, c), "abc", strict=True))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
     rest = points.join(targets.select(*keys).distinct(), list(keys), "left_semi")
     found = None
@@ -52,7 +67,7 @@ def _by_rings(points: DataFrame, targets: DataFrame, keys: Sequence[str], group:
 def nearest_point(points: DataFrame, targets: DataFrame, keys: Sequence[str] = KEYS, point_id: str = "label", cell: float | None = None, order: Sequence[str] = ()) -> DataFrame:
     """The nearest target of each point of the same volume: ``(keys, point_id, z, y, x, tz, ty, tx, distance)``; of equal ones the least.
 
-    ``cell`` is the grid size that the search begins with; without it all pairs are held. Columns ``order`` of the targets, where given, decide between equal distances and are returned in place of the target's place.
+    ``cell`` is the grid size that the search begins with, by default one that suits the targets. Columns ``order`` of the targets, where given, decide between equal distances and are returned in place of the target's place.
     """
     group = [*keys, point_id, *VOXEL]
     named = targets.select(*keys, *(F.col(v).alias(t) for v, t in zip(VOXEL, TARGET, strict=True)), *order)
@@ -65,12 +80,55 @@ def nearest_point(points: DataFrame, targets: DataFrame, keys: Sequence[str] = K
     return _by_rings(points.select(group), named, keys, group, TARGET, best, "distance", cell)
 
 
-def min_distance(voxels: DataFrame, surface: DataFrame, keys: Sequence[str] = KEYS, label: str = "label", cell: float | None = None) -> DataFrame:
-    """The least distance of a region's voxels to the surface, and the rounded median of the voxels that have it."""
-    near = nearest_point(voxels, surface, keys, label, cell)
-    least = near.groupBy(*keys, label).agg(F.min("distance").alias("least"))
-    ties = near.join(least, [*keys, label]).where("distance = least")
-    return ties.groupBy(*keys, label).agg(F.first("least").alias("distance"), *(F.round(F.median(v)).alias(f"c{v}") for v in VOXEL))
+def distance_field(voxels: DataFrame, surface: DataFrame, keys: Sequence[str] = KEYS, slab: int = 8, unique: bool = False) -> DataFrame:
+    """Adds ``d2``: the exact squared distance of each voxel to the nearest voxel of the surface in its volume.
+
+    Coordinates are whole numbers. Distances are built one axis at a time: tasks take ``slab`` planes of constant x of the surface and settle z and y inside them; their fields are dealt anew by ``slab``
+    planes of constant y, where the distance along x is added and voxels read theirs. A volume is never one group, and no pairs are made. A slab is as large as a few planes of the box around the
+    volume's voxels. Voxels of volumes without a surface, and voxels without a place, have no row; of repeated rows ``unique`` keeps one.
+    """
+    keys = list(keys)
+    whole = lambda df: df.where(" AND ".join(f"{a} IS NOT NULL" for a in VOXEL)).withColumns({a: F.col(a).cast("long") for a in VOXEL})
+    voxels, surface = whole(voxels), whole(surface)
+    box = voxels.groupBy(*keys).agg(F.min("z").alias("_z1"), F.max("z").alias("_z2"), F.min("y").alias("_y1"), F.max("y").alias("_y2"))
+    in_planes = surface.select(*keys, *VOXEL).join(box, keys).withColumn("_p", F.floor(F.col("x") / slab))
+    told = [surface.schema[k] for k in keys]
+    field = T.StructType([*told, *(T.StructField(c, T.LongType()) for c in ("_b", "_x", "_z", "_n")), T.StructField("_d", T.ArrayType(T.LongType()))])
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        x0 = int(first["_p"]) * slab
+        b1, b2 = int(first["_y1"]) // slab, int(first["_y2"]) // slab
+        planes = planes_field(*(pdf[a].to_numpy() for a in "xzy"), (int(first["_z1"]), int(first["_z2"])), (b1 * slab, b2 * slab + slab - 1), (x0, x0 + slab - 1))
+        rows = [(*(first[k] for k in keys), b, x0, int(first["_z1"]), planes.shape[1], planes[:, :, (b - b1) * slab :][:, :, :slab].ravel()) for b in range(b1, b2 + 1)]
+        return pd.DataFrame(rows, columns=field.names)
+
+    fields = in_planes.groupBy(*keys, "_p").applyInPandas(settle, field)
+    out = T.StructType([*voxels.schema.fields, T.StructField("d2", T.LongType())])
+
+    def read(parts: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(parts) or not len(pdf):
+            return pd.DataFrame(columns=out.names).astype({"d2": "int64"})
+        x0 = min(int(parts["_x"].min()), int(pdf["x"].min()))
+        n = max(int(parts["_x"].max()) + slab - 1, int(pdf["x"].max())) - x0 + 1
+        lines = np.full((slab, int(parts["_n"].iloc[0]), n), NONE, np.int64)
+        for x, d in zip(parts["_x"], parts["_d"], strict=True):
+            lines[:, :, x - x0 : x - x0 + slab] = np.asarray(d, np.int64).reshape(slab, -1, slab).transpose(2, 1, 0)
+        lines = lower_envelope(lines)
+        pdf = pdf.drop_duplicates() if unique else pdf
+        at = pdf["y"].to_numpy() % slab, pdf["z"].to_numpy() - int(parts["_z"].iloc[0]), pdf["x"].to_numpy() - x0
+        return pdf.assign(d2=lines[at])
+
+    mine = voxels.withColumn("_b", F.floor(F.col("y") / slab))
+    return fields.groupBy(*keys, "_b").cogroup(mine.groupBy(*keys, "_b")).applyInPandas(lambda a, b: read(a, b.drop(columns="_b")), out)
+
+
+def min_distance(voxels: DataFrame, surface: DataFrame, keys: Sequence[str] = KEYS, label: str = "label") -> DataFrame:
+    """The least distance of a region's voxels to the surface, and the rounded median of the voxels that have it. See ``distance_field``."""
+    field = distance_field(voxels.select(*keys, label, *VOXEL), surface, keys, unique=True)
+    middles = field.groupBy(*keys, label, "d2").agg(*(F.round(F.median(v)).alias(f"c{v}") for v in VOXEL))
+    least = middles.groupBy(*keys, label).agg(F.min(F.struct("d2", "cz", "cy", "cx")).alias("m"))
+    return least.select(*keys, label, F.sqrt(F.col("m.d2").cast("double")).alias("distance"), "m.cz", "m.cy", "m.cx")
 
 
 def centerline(mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -102,12 +160,11 @@ def order_points(points: DataFrame, keys: Sequence[str] = KEYS, start: Sequence[
     return spread(points, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
-def local_direction(points: DataFrame, ordered: DataFrame, keys: Sequence[str] = KEYS, point_id: str = "label", window: int = 5) -> DataFrame:
-    """Adds ``flow``: the angle in the plane from the line's point ``window`` before the nearest one to that ``window`` after, ends clamped."""
+def local_direction(points: DataFrame, ordered: DataFrame, keys: Sequence[str] = KEYS, point_id: str = "label", window: int = 5, cell: float | None = None) -> DataFrame:
+    """Adds ``flow``: the angle in the plane from the line's point ``window`` before the nearest one to that ``window`` after, ends clamped. ``cell`` as in ``nearest_point``."""
     line = ordered.select(*keys, "pos", *(F.col(v).cast("double").alias(f"l{v}") for v in VOXEL))
-    far = _squared(VOXEL, ["lz", "ly", "lx"])
     group = [*keys, point_id, *VOXEL]
-    near = points.select(group).join(line, list(keys)).groupBy(*group).agg(F.min_by("pos", F.struct(far, "pos")).alias("pos"))
+    near = nearest_point(points, ordered, keys, point_id, cell, ["pos"]).drop("distance")
     ends = ordered.groupBy(*keys).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     near = near.join(ends, list(keys)).withColumn("a", F.greatest(F.col("pos") - window, F.col("lo"))).withColumn("b", F.least(F.col("pos") + window, F.col("hi")))
     side = lambda c: line.select(*keys, F.col("pos").alias(c), F.col("ly").alias(f"{c}y"), F.col("lx").alias(f"{c}x"))
@@ -185,7 +242,7 @@ def nearest_normal(points: DataFrame, normals: DataFrame, keys: Sequence[str] =
     """The surface point whose normal line passes nearest: least sum of the distance to the line and from its foot to the surface point.
 
     ``normals`` has ``sid, sz, sy, sx`` and unit vectors ``nz, ny, nx``. Returns ``(keys, point_id, sid, line_distance, foot_distance)``; ties go to the least sid. The sum is no less than the
-    distance to the surface point, so with ``cell`` a grid bounds the search.
+    distance to the surface point, so a grid bounds the search; ``cell`` as in ``nearest_point``.
     """
     group = [*keys, point_id]
 

@@ -33,7 +33,7 @@ n AS (SELECT v.capture, v.t, label, z, y, x, min({FAR}) AS d FROM voxels v JOIN
 m AS (SELECT *, min(d) OVER (PARTITION BY capture, t, label) AS least FROM n)
 SELECT capture, t, label, round(least, 6) AS distance, round(median(z)) AS cz, round(median(y)) AS cy, round(median(x)) AS cx FROM m WHERE d = least GROUP BY capture, t, label, least""", "voxels")
 def e2(v):
-    return G.min_distance(v.voxels, _surface(v), cell=5.0).withColumn("distance", F.round("distance", 6))
+    return G.min_distance(v.voxels, _surface(v)).withColumn("distance", F.round("distance", 6))
 
 
 LINE = """f AS (SELECT DISTINCT capture, t, y, x FROM voxels), a AS (SELECT capture, t, count(*) FILTER (x = 0) >= count(*) FILTER (y = 0) AS ax FROM f GROUP BY ALL),
