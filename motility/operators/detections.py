@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motility.operators.voxels import KEYS, VOXEL
+from motility.sources.tables import in_ranges
 
 SIDES = (("y1", "y2"), ("x1", "x2"), ("z1", "z2"))
 
@@ -104,13 +105,11 @@ def label_detections(boxes: DataFrame, pred: DataFrame, truth: DataFrame, keys:
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by group, ties counted half; 1.0 where there is one class only.
 
-    Counts are added up per distinct score first. Running sums go over the scores of one of 4096 bins of equal width, and over the bins, so no task meets all scores of a group unless they lie in one bin.
+    Counts are added up per distinct score first and written to the shared folder by ranges whose bounds are taken from the scores themselves, so that tasks have like numbers of them however they
+    are distributed. Running sums go over the scores of a range, then over the ranges: no task meets all scores of a group.
     """
     counts = df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    ends = counts.groupBy(*by).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    placed = counts.join(ends, list(by)) if by else counts.crossJoin(F.broadcast(ends))  # a row
-    width = F.col("_hi") - F.col("_lo")
-    placed = placed.withColumn("_bin", F.coalesce(F.when(width > 0, F.floor((F.col("_s") - F.col("_lo")) / width * 4096)), F.lit(0)).cast("long")).drop("_lo", "_hi")
+    placed = in_ranges(counts, [*by, "_s"], "_bin")
     before = lambda *order: F.coalesce(F.sum("n").over(Window.partitionBy(*by, *order[1:]).orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = placed.groupBy(*by, "_bin").agg(F.sum("n").alias("n"))
     bins = bins.select(*by, "_bin", before("_bin").alias("_before"))

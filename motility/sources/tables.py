@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -34,6 +35,15 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def in_ranges(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``: the number of the row's range in the given order, of as many as shuffles have tasks. Bounds come from the rows and hold about equal numbers of them; equal rows share a range.
+
+    The table is stored, since bounds are sampled anew whenever the plan runs.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return stored(df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def forgotten(*tables: DataFrame) -> None:
     """Deletes the files of tables that ``stored`` returned and that nothing reads any more."""
     for table in tables:

@@ -11,6 +11,7 @@ from motility.functions.grouped import hull_volume, voxel_components, voxel_hull
 from motility.functions.tracking import FORBIDDEN, assign, hungarian
 from motility.operators import behaviors, detections, dynamics, explain, geometry, regions, selection, tracks, voxels
 from motility.sources.captures import list_files
+from motility.sources.tables import in_ranges
 
 V = "capture long, t long, z long, y long, x long"
 
@@ -99,6 +100,19 @@ def test_auc(spark):
     assert auc([(0.5, 1), (0.5, 0)]) == 0.5
 
 
+def test_auc_of_any_distribution(spark):
+    """Skewed scores with ties, by group, against all pairs; their ranges hold like numbers of scores."""
+    rng = np.random.default_rng(12)
+    score, label, kind = np.round(rng.lognormal(0, 3, 3000), 2), rng.integers(0, 2, 3000), rng.integers(0, 2, 3000)
+    df = spark.createDataFrame([(float(s), int(y), int(k)) for s, y, k in zip(score, label, kind, strict=True)], "score double, label long, kind long")
+    for r in detections.roc_auc(df, by=["kind"]).collect():
+        p, n = score[(kind == r.kind) & (label == 1)], score[(kind == r.kind) & (label == 0)]
+        assert r.auc == pytest.approx(((p[:, None] > n).mean() + (p[:, None] == n).mean() / 2), abs=1e-12)
+    sizes = [r["count"] for r in in_ranges(df.select("score").distinct(), ["score"], "bin").groupBy("bin").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * sum(sizes) / 4
+    assert detections.roc_auc(df.limit(0)).first().auc == 1.0 and detections.roc_auc(df.limit(0), by=["kind"]).count() == 0
+
+
 def test_straight_track(spark):
     df = spark.createDataFrame([(1, 1, 1, 7, t, t, 0.0, 0.0, float(t)) for t in range(5)], "grp long, volume long, capture long, track_id long, t long, node_id long, z double, y double, x double")
     m = tracks.distance_network(df).first()
@@ -265,8 +279,51 @@ def test_grid_search_finds_the_nearest(spark):
     rng = np.random.default_rng(3)
     make = lambda n, s: spark.createDataFrame([(0, 0, *map(int, rng.integers(0, s, 3)), i) for i in range(n)], V + ", label long")
     p, q = make(80, 60), make(25, 40)
-    plain = sorted(map(tuple, geometry.nearest_point(p, q).collect()))
-    assert sorted(map(tuple, geometry.nearest_point(p, q, cell=7.0).collect())) == plain
+    a, b = ([tuple(r) for r in d.collect()] for d in (p, q))
+    far = lambda u, v: sum((i - j) ** 2 for i, j in zip(u[2:5], v[2:5], strict=True))
+    plain = sorted((0, 0, u[5], *u[2:5], *min((far(u, v), v[2:5]) for v in b)[1]) for u in a)
+    for cell in (None, 7.0):
+        assert sorted(tuple(r)[:9] for r in geometry.nearest_point(p, q, cell=cell).collect()) == plain
+    odd = spark.createDataFrame([(0, 0, None, 1.0, 1.0, 1), (0, 0, float("nan"), 1.0, 1.0, 2), (1, 0, 1.0, 1.0, 1.0, 3)], "capture long, t long, z double, y double, x double, label long")
+    assert geometry.nearest_point(odd, q).count() == geometry.nearest_point(p, q.limit(0)).count() == 0
+
+
+def test_distance_field_is_exact(spark):
+    """All voxels against all of the surface: sparse, far, outside the box, negative, in one plane, over several volumes, slabs of any size."""
+    rng = np.random.default_rng(9)
+    cases = {1: ((0, 30), (0, 30), 4), 2: ((-20, 9), (5, 60), 9), 3: ((0, 12), (200, 230), 1), 4: ((3, 4), (3, 4), 1), 5: ((0, 9), (0, 9), 0)}
+    voxels, surface = [], []
+    for c, (near, far, m) in cases.items():
+        voxels += [(c, 0, *map(int, rng.integers(*near, 3)), int(rng.integers(1, 4))) for _ in range(120)]
+        surface += [(c, 0, *map(int, rng.integers(*far, 3))) for _ in range(m)]
+    voxels.append(voxels[0])
+    v, s = spark.createDataFrame(voxels, V + ", label long"), spark.createDataFrame(surface, V)
+    far = {(r, i): min((a - b) ** 2 + (p - q) ** 2 + (u - w) ** 2 for c, _, b, q, w in surface if c == r[0]) for i, r in enumerate(voxels) if r[0] != 5 for a, p, u in [r[2:5]]}
+    for slab in (1, 8, 50):
+        assert sorted(map(tuple, geometry.distance_field(v, s, slab=slab).collect())) == sorted((*r, d) for (r, _), d in far.items())
+    plain = {}
+    for r, d in {r: d for (r, _), d in far.items()}.items():
+        plain.setdefault((*r[:2], r[5]), {}).setdefault(d, []).append(r[2:5])
+    want = sorted((*k, min(g) ** 0.5, *(float(np.floor(np.median(m) + 0.5)) if np.median(m) >= 0 else -float(np.floor(0.5 - np.median(m))) for m in zip(*g[min(g)], strict=True))) for k, g in plain.items())
+    assert sorted(map(tuple, geometry.min_distance(v, s).collect())) == want
+    assert geometry.distance_field(v, s.limit(0)).count() == geometry.distance_field(v.limit(0), s).count() == 0
+
+
+def test_angle_to_vessel_takes_the_nearest_places(spark):
+    """Ends of tracks against all points of the line; ties go to the least place."""
+    rng = np.random.default_rng(5)
+    line = [(1, 1, 1, p, float(rng.integers(0, 40)), float(2 * p)) for p in range(60)]
+    nodes = [(1, 1, 1, k, t, 10 * k + t, float(rng.integers(0, 40)), float(rng.integers(0, 120))) for k in range(25) for t in range(4)]
+    key = "grp long, volume long, capture long, "
+    got = dynamics.angle_to_vessel(spark.createDataFrame(nodes, key + "track_id long, t long, node_id long, y double, x double"), spark.createDataFrame(line, key + "pos long, y double, x double")).collect()
+    assert len(got) == 25
+    for r in got:
+        mine = sorted((n[7], n[4], n[5], n[6]) for n in nodes if n[3] == r.track_id)
+        ends = [(e[3], e[0]) for e in (mine[0], mine[-1])]
+        near = [min(((e[0] - p[4]) ** 2 + (e[1] - p[5]) ** 2, p[3], p[4:]) for p in line)[2] for e in ends]
+        turn = lambda p, q: np.arccos((q[1] - p[1]) / np.hypot(q[0] - p[0], q[1] - p[1])) if p != q else None
+        want = [turn(*ends), turn(*near)]
+        assert r.angle is None if None in want else r.angle == pytest.approx(want[0] - want[1], abs=1e-9)
 
 
 def test_overlap_of_normals(spark):
