@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("capture", "t")
@@ -42,19 +42,22 @@ def z_tiles(planes: DataFrame, keys: Sequence[str] = KEYS, depth: int = 16) -> D
     """Overlapping depth windows of stride 1 as ``(keys, k, zt, z)`` and the plane's columns.
 
     ``nz`` planes (0 .. nz - 1) of more than ``depth`` give the tiles k = 0 .. nz - depth; as many give one; fewer are placed in depth - nz + 1 ways, and the
-    other places of a tile are empty planes, whose ``z`` and columns are null. Planes keep their arrays: the copies are made after one shuffle by volume.
+    other places of a tile are empty planes, whose ``z`` and columns are null. Planes keep their arrays: the copies are made after one shuffle by volume, and
+    stay in its partitions. A row without ``z`` is no plane; a repeated plane is copied as often as it comes.
     """
     rest = [c for c in planes.columns if c not in (*keys, "z")]
-    sizes = planes.groupBy(*keys).agg((F.max("z") + 1).alias("nz"))
-    each = planes.join(sizes, list(keys))
-    lo, hi = F.greatest(F.lit(0), F.col("z") - depth + 1), F.least(F.col("z"), F.col("nz") - depth)
-    deep = each.where(F.col("nz") >= depth).withColumn("k", F.explode(F.sequence(lo.cast("long"), hi.cast("long")))).withColumn("zt", F.col("z") - F.col("k"))
-    flat = each.where(F.col("nz") < depth).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), (F.lit(depth) - F.col("nz")).cast("long")))).withColumn("zt", F.col("z") + F.col("k"))
-    places = sizes.where(F.col("nz") < depth).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), (F.lit(depth) - F.col("nz")).cast("long")))).withColumn("zt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(depth - 1).cast("long"))))
-    empty = places.where((F.col("zt") < F.col("k")) | (F.col("zt") >= F.col("k") + F.col("nz")))
-    nothing = {c: F.lit(None).cast(dict(planes.dtypes)[c]) for c in ("z", *rest)}
-    columns = [*keys, "k", "zt", "z", *rest]
-    return deep.select(columns).unionByName(flat.select(columns)).unionByName(empty.withColumns(nothing).select(columns))
+    down = Window.partitionBy(*keys).orderBy(F.col("z").desc())
+    each = planes.where(F.col("z").isNotNull()).withColumn("_nz", F.first("z").over(down).cast("long") + 1).withColumn("_first", F.row_number().over(down) == 1)
+    z, nz, zero, full = F.col("z").cast("long"), F.col("_nz"), F.lit(0).cast("long"), F.lit(depth).cast("long")
+    place = lambda k, zt, held: F.struct(k.alias("k"), zt.alias("zt"), F.lit(held).alias("held"))
+    deep = F.transform(F.sequence(F.greatest(zero, z - full + 1), F.least(z, nz - full)), lambda k: place(k, z - k, True))
+    shifts = F.sequence(zero, full - nz)
+    flat = F.transform(shifts, lambda k: place(k, z + k, True))
+    outside = lambda k: F.filter(F.sequence(zero, full - 1), lambda zt: (zt < k) | (zt >= k + nz))
+    empty = F.flatten(F.transform(shifts, lambda k: F.transform(outside(k), lambda zt: place(k, zt, False))))
+    places = F.when(nz >= full, deep).when(F.col("_first"), F.concat(flat, empty)).otherwise(flat)
+    held = lambda c: F.when(F.col("_place.held"), F.col(c)).alias(c)
+    return each.withColumn("_place", F.explode(places)).select(*keys, "_place.k", "_place.zt", *(held(c) for c in ("z", *rest)))
 
 
 def standardize_channels(df: DataFrame, stats: DataFrame, channel: str = "c", value: str = "value") -> DataFrame:

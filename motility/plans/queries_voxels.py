@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motility.functions.names import natural_path_key, parse_capture_path
+from motility.operators import planes as P
 from motility.operators import voxels as V
 from motility.plans.registry import query
 from motility.sources import captures as C
@@ -106,6 +108,32 @@ def b7(v):
     return out.withColumn("score", F.round("score", 6))
 
 
+@query("b3_b7_plane_arrays", """
+WITH n AS (SELECT capture, t, max(z) + 1 AS nz FROM grid GROUP BY ALL),
+dense AS (SELECT *, unnest(range(8)) AS x FROM (SELECT *, unnest(range(8)) AS y FROM (SELECT *, unnest(range(nz)) AS z FROM n))),
+s AS (SELECT d.*, (coalesce(l0, 0) - 0.1) / 0.5 AS s0, (coalesce(l1, 0) + 0.2) / 0.8 AS s1 FROM dense d LEFT JOIN grid USING (capture, t, z, y, x)),
+k AS (SELECT *, unnest(range(CASE WHEN nz >= 16 THEN greatest(0, z - 15) ELSE 0 END, 1 + CASE WHEN nz >= 16 THEN least(z, nz - 16) ELSE 16 - nz END)) AS k FROM s),
+p AS (SELECT *, CASE WHEN nz >= 16 THEN z - k ELSE z + k END AS zt FROM k),
+m AS (SELECT capture, t, z, y, x, round(sum(s0 + 0.02 * zt), 6) + 0.0::DOUBLE AS l0, round(sum(s1 - 0.01 * zt), 6) + 0.0::DOUBLE AS l1, round(sum(0.5 * s0 - 0.25 * s1), 6) + 0.0::DOUBLE AS l2, count(*) AS n_tiles FROM p GROUP BY ALL),
+e AS (SELECT *, greatest(l0, l1, l2) AS top FROM m)
+SELECT capture, t, z, y, x, l0, l1, l2, n_tiles, round(l1 / n_tiles, 9) + 0.0::DOUBLE AS score, round(exp(l0 - top) / (exp(l0 - top) + exp(l1 - top) + exp(l2 - top)), 6) AS p0,
+       CASE WHEN l0 = top THEN 0 WHEN l1 = top THEN 1 ELSE 2 END AS class
+FROM e""", "grid")
+def b3_b7(v):
+    """From voxels to classes by tiles of whole planes: one shuffle."""
+
+    def make_model():
+        weights, drift = np.array([[1, 0], [0, 1], [0.5, -0.25]]), np.array([0.02, -0.01, 0])
+        return lambda tile: weights @ tile + (np.arange(len(tile))[:, None] * drift)[:, :, None]
+
+    tiles = P.tile_planes(P.stack_planes(v.grid, ["l0", "l1"], (8, 8)))
+    merged = P.predict_planes(P.standardize_planes(tiles, [(0.1, 0.5), (-0.2, 0.8)]), make_model)
+    rounded = merged.withColumn("logits", F.transform("logits", lambda a: F.transform(a, lambda x: F.round(x, 6))))
+    named = {f"l{i}": F.get("logits", F.lit(i)) for i in range(3)} | {"score": F.get("score", F.lit(1)), "prob": F.col("prob"), "class": F.col("class")}
+    rows = P.voxel_rows(P.classify_planes(P.mean_planes(rounded)), 8, named, rest=["n_tiles"])
+    return rows.withColumn("score", F.round("score", 9)).withColumn("p0", F.round(F.get("prob", F.lit(0)), 6)).drop("prob")
+
+
 @query("b8_paint_boxes", """
 WITH g AS (SELECT *, unnest(range(CAST(y1 AS BIGINT) // 16, CAST(y2 AS BIGINT) // 16 + 1)) AS cy FROM boxes), h AS (SELECT *, unnest(range(CAST(x1 AS BIGINT) // 16, CAST(x2 AS BIGINT) // 16 + 1)) AS cx FROM g),
 p AS (SELECT v.capture, v.t, v.z, v.y, v.x, product(score) AS paint FROM (SELECT *, y // 16 AS cy, x // 16 AS cx FROM voxels) v JOIN h b ON v.capture = b.capture AND v.t = b.t AND v.cy = b.cy AND v.cx = b.cx
