@@ -22,6 +22,11 @@ def _each(arrays: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(arrays, lambda a: F.transform(a, f))
 
 
+def _settled(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """``column`` as a value that is made once: a list of one, taken apart again. Else a plan may write it into a lambda, which makes it anew for every pixel."""
+    return df.withColumn(column, F.explode(F.array(value)))
+
+
 def stack_planes(voxels: DataFrame, values: Sequence[str], shape: tuple[int, int], keys: Sequence[str] = KEYS, fill: float = 0.0) -> DataFrame:
     """Voxel rows as planes of ``shape`` (ny, nx), a channel per column of ``values``.
 
@@ -34,7 +39,7 @@ def stack_planes(voxels: DataFrame, values: Sequence[str], shape: tuple[int, int
     cell = F.struct(pos.alias("pos"), *(F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)))
     held = voxels.select(*keys, F.col("z").cast("long").alias("z"), cell.alias("_cell")).repartition(*keys).groupBy(*keys, "z").agg(F.array_sort(F.collect_list("_cell")).alias("_all"))
     after = lambda i: F.get("_all", i + 1)["pos"]
-    held = held.withColumn("_cells", F.filter("_all", lambda s, i: after(i).isNull() | (after(i) != s["pos"])))
+    held = _settled(held, "_cells", F.filter("_all", lambda s, i: after(i).isNull() | (after(i) != s["pos"])))
     gap = lambda n: F.array_repeat(F.lit(float(fill)), n)
 
     def channel(name: str) -> Column:
@@ -133,6 +138,7 @@ def mean_planes(merged: DataFrame, column: str = "logits") -> DataFrame:
 
 def classify_planes(merged: DataFrame, column: str = "logits") -> DataFrame:
     """Adds ``prob``, an array of class probabilities a pixel, and ``class``, its class from 0; the first of equal maxima."""
+    merged = _settled(merged, column, F.col(column))
     pixels = F.sequence(F.lit(0), F.size(F.get(column, F.lit(0))) - 1)
     at = lambda i: F.transform(column, lambda a: F.get(a, i))
     first = lambda values: (F.array_position(values, F.array_max(values)) - 1).cast("long")

@@ -1,7 +1,8 @@
 """Domain views over the base tables: the same text for Spark and DuckDB, in exact integer arithmetic.
 
 ``a // b`` is whole division, ``SERIES(a, b)`` a row for each whole number from a to b, ``ELEM(list, i)`` a list's element, counted
-from 0, ``COUNTS(list)`` the list's length.
+from 0, ``COUNTS(list)`` the list's length. A volume holds as much as it can at some 20 000 parts and 600 000 orders; beyond, ``voxels`` and ``boxes`` get
+further captures.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ VIEWS = {
                1 + CAST(n_nationkey % 3 AS DOUBLE) / 2 AS dz, CAST(10 + n_nationkey % 5 AS DOUBLE) AS dt
         FROM nation WHERE n_nationkey < 24""",
     "boxes": """
-        SELECT CAST(o_orderkey AS BIGINT) AS box_id, CAST(o_custkey % 8 AS BIGINT) AS capture, CAST(1 + o_orderkey % 20 AS BIGINT) AS t,
+        SELECT CAST(o_orderkey AS BIGINT) AS box_id, CAST(o_custkey % 8 + 8 * ((o_orderkey - 1) // 600000) AS BIGINT) AS capture, CAST(1 + o_orderkey % 20 AS BIGINT) AS t,
                CAST(o_orderkey * 31 % 200 AS DOUBLE) AS y1, CAST(o_orderkey * 57 % 200 AS DOUBLE) AS x1, CAST(o_orderkey * 7 % 12 AS DOUBLE) AS z1,
                CAST(o_orderkey * 31 % 200 + 5 + o_custkey % 20 AS DOUBLE) AS y2, CAST(o_orderkey * 57 % 200 + 5 + o_orderkey % 20 AS DOUBLE) AS x2,
                CAST(o_orderkey * 7 % 12 + 1 + o_orderkey % 4 AS DOUBLE) AS z2, CAST(o_orderkey * 13 % 1000 AS DOUBLE) / 1000 AS score
@@ -34,7 +35,7 @@ VIEWS = {
     "voxels": """
         SELECT capture, t, z, y, x, min(p) AS label
         FROM (
-          SELECT p % 4 AS capture, 1 + (p // 4) % 5 AS t, p * 7 % 13 + oz AS z, p * 37 % 61 + oy AS y, p * 53 % 67 + ox AS x, p
+          SELECT p % 4 + 4 * ((p - 1) // 20000) AS capture, 1 + (p // 4) % 5 AS t, p * 7 % 13 + oz AS z, p * 37 % 61 + oy AS y, p * 53 % 67 + ox AS x, p
           FROM (SELECT *, SERIES(-3, 3) AS ox FROM (SELECT *, SERIES(-3, 3) AS oy FROM (SELECT CAST(p_partkey AS BIGINT) AS p, CAST(p_size AS BIGINT) AS size, SERIES(-3, 3) AS oz FROM part) AS a) AS b) AS c
           WHERE oz * oz + oy * oy + ox * ox <= (1 + size % 3) * (1 + size % 3)
         ) AS d
