@@ -2,10 +2,13 @@
 
 import math
 import re
+import time
 
+import numpy as np
 import pytest
 
-from motility.operators import dynamics, tracks
+from motility.functions.grouped import merged_pieces, voxel_hull_volume
+from motility.operators import dynamics, regions, tracks
 from motility.plans import QUERIES, fixtures
 
 DATA = "/root/testdata/sf0.001"
@@ -47,3 +50,20 @@ def test_tracks_that_return_or_rest_have_the_ratios_of_sql(spark):
     scale = spark.createDataFrame([(1, 1, 1, 0.5, 2.0)], "grp long, volume long, capture long, dz double, dt double")
     moved = {r.track_id: [told(v) for v in (r.path_over_ends, r.ends_over_path)] for r in dynamics.track_kinematics(df, scale).collect()}
     assert moved == {1: [math.inf, 0.0], 2: ["nan", "nan"], 3: ["nan", "nan"]}
+
+
+def test_many_pieces_are_merged_in_seconds():
+    """A volume of 4000 pieces: each reference is cut into four, which its neighbour meets as well."""
+    counts = {(4 * r + k, s): 10 - 9 * (s != r) for r in range(1000) for k in range(4) for s in (r, (r + 1) % 1000)}
+    began = time.perf_counter()
+    group = merged_pieces(counts, dict.fromkeys(range(4000), 11), dict.fromkeys(range(1000), 44))
+    assert group == {p: p // 4 * 4 for p in range(4000)} and time.perf_counter() - began < 5
+
+
+def test_hulls_take_ends_of_rows_and_not_groups_of_voxels(spark):
+    ball = [(z, y, x) for z in range(-3, 4) for y in range(-3, 4) for x in range(-3, 4) if z * z + y * y + x * x <= 9]
+    rows = [(1, 1, n, z + 5 * n, y - n, x + 7) for n in range(3) for z, y, x in ball] + [(1, 1, 9, 0, 0, 0)]
+    out = regions.solidity(spark.createDataFrame(rows, "capture long, t long, label long, z long, y long, x long"))
+    assert "GroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    hull = voxel_hull_volume(np.array(ball))
+    assert {r.label: (r.volume, r.hull, r.solidity) for r in out.collect()} == {n: (len(ball), hull, len(ball) / hull) for n in range(3)} | {9: (1, 1.0, 1.0)}
