@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from motility.functions.grouped import merged_pieces, voxel_hull_volume
-from motility.operators import dynamics, regions, tracks
+from motility.operators import dynamics, geometry, regions, tracks
 from motility.plans import QUERIES, fixtures
 
 DATA = "/root/testdata/sf0.001"
@@ -67,3 +67,34 @@ def test_hulls_take_ends_of_rows_and_not_groups_of_voxels(spark):
     assert "GroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
     hull = voxel_hull_volume(np.array(ball))
     assert {r.label: (r.volume, r.hull, r.solidity) for r in out.collect()} == {n: (len(ball), hull, len(ball) / hull) for n in range(3)} | {9: (1, 1.0, 1.0)}
+
+
+def test_a_short_line_is_searched_at_once_however_far_the_points(spark):
+    """A grid that grows from ring to ring took some twenty steps, three jobs each; groups of one volume that are dealt to shares have the nearest point of plain search."""
+    line = [(c, t, p, 0.0, float(p % 7), float(p)) for c in (1, 2) for t in (1, 2) for p in range(40)]
+    rows = [(c, t, n, float(z), float(n % 45) / 2, float(n * 5 % 80) / 2) for c in (1, 2, 3) for t in (1, 2) for n in range(60) for z in (n % 3 * 1000000,)]
+    ordered = spark.createDataFrame(line, "capture long, t long, pos long, z double, y double, x double")
+    points = spark.createDataFrame(rows + rows[:5], "capture long, t long, label long, z double, y double, x double")
+    spark.sparkContext.setJobGroup("short line", "")
+    out = geometry.local_direction(points, ordered).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("short line")) < 40
+    at = {(c, t, p): (z, y, x) for c, t, p, z, y, x in line}
+    plain = {}
+    for c, t, n, *place in rows:
+        if c < 3:
+            pos = min(range(40), key=lambda p: (sum((a - b) ** 2 for a, b in zip(place, at[c, t, p])), p))  # noqa: B023
+            (_, ay, ax), (_, by, bx) = at[c, t, max(0, pos - 5)], at[c, t, min(39, pos + 5)]
+            plain[c, t, n] = (pos, math.atan2(by - ay, bx - ax))
+    assert len(out) == len(plain) and {(r.capture, r.t, r.label): (r.pos, r.flow) for r in out} == plain
+
+
+def test_few_targets_are_dealt_with_shares_of_a_volume(spark, monkeypatch):
+    """Volumes of few and of many targets in one call, whose points are dealt to several shares, beside the rings."""
+    p = spark.createDataFrame([(c, 1, n, float(n % 3), float(n * 7 % 50), float(n * 11 % 60)) for c in (1, 2) for n in range(90)], "capture long, t long, label long, z double, y double, x double")
+    q = spark.createDataFrame([(c, 1, float(n % 2), float(n * 3 % 50), float(n * 13 % 60)) for c, m in ((1, 9), (2, 30)) for n in range(m)], "capture long, t long, z double, y double, x double")
+    whole = sorted(map(tuple, geometry.nearest_point(p, q, cell=10.0).collect()))
+    monkeypatch.setattr(geometry, "FEW", 10)
+    monkeypatch.setattr(geometry, "SHARE", 20)
+    monkeypatch.setattr(geometry, "SPAN", 8)
+    assert sorted(map(tuple, geometry.nearest_point(p, q).collect())) == whole and len(whole) == 180
