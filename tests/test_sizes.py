@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from motility.functions.grouped import merged_pieces, voxel_hull_volume
+from motility.functions.tracking import FORBIDDEN, assign, hungarian
 from motility.operators import dynamics, geometry, regions, tracks
 from motility.plans import QUERIES, fixtures
 
@@ -98,3 +99,25 @@ def test_few_targets_are_dealt_with_shares_of_a_volume(spark, monkeypatch):
     monkeypatch.setattr(geometry, "SHARE", 20)
     monkeypatch.setattr(geometry, "SPAN", 8)
     assert sorted(map(tuple, geometry.nearest_point(p, q).collect())) == whole and len(whole) == 180
+
+
+def test_dense_frames_are_assigned_in_seconds():
+    """A thousand tracks and detections that compete took minutes; small ones have the total of the plain form, ties and forbidden pairs included."""
+    draw = np.random.default_rng(3)
+    for k in range(60):
+        n, m = (int(x) for x in draw.integers(1, 9, 2))
+        cost = np.round(draw.uniform(0, 60, (n, m)), -1 if k % 2 else 6)
+        cost[draw.random((n, m)) < 0.3] = FORBIDDEN
+        full = np.full((n + m, n + m), FORBIDDEN)
+        full[:n, :m] = cost
+        full[np.arange(n), m + np.arange(n)] = full[n + np.arange(m), np.arange(m)] = 20.0
+        full[n:, m:] = 0
+        pairs = assign(cost, 20.0)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) and all(cost[p] < FORBIDDEN for p in pairs)
+        assert sum(cost[p] for p in pairs) + 20.0 * (n + m - 2 * len(pairs)) == pytest.approx(full[np.arange(n + m), hungarian(full)].sum())
+    a, b = (draw.uniform(0, 100, (1000, 2)) for _ in range(2))
+    cost = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    cost[cost >= 40] = FORBIDDEN
+    began = time.perf_counter()
+    pairs = assign(cost, 20.0)
+    assert len(pairs) > 700 and time.perf_counter() - began < 5
