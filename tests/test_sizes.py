@@ -101,6 +101,16 @@ def test_few_targets_are_dealt_with_shares_of_a_volume(spark, monkeypatch):
     assert sorted(map(tuple, geometry.nearest_point(p, q).collect())) == whole and len(whole) == 180
 
 
+def test_dense_frames_make_no_pairs_of_detections(spark, monkeypatch):
+    """Edges between parts follow the cells of a grid, not the pairs of detections within reach: 400 to a frame made some hundred thousand."""
+    rows = [(1, t, 400 * t + n, float(n % 20), float(n // 20), 1.0, 2.0, 2.0, 2.0, 5.0) for t in range(3) for n in range(400)]
+    df = spark.createDataFrame(rows, "capture long, t long, node_id long, y double, x double, z double, dy double, dx double, dz double, vol double")
+    seen, plain = [], tracks.connected
+    monkeypatch.setattr(tracks, "connected", lambda edges, *rest: (seen.append(edges.count()), plain(edges, *rest))[1])
+    out = tracks.link_detections(df, ["capture"], properties=["vol"]).collect()
+    assert len(out) == 1200 and len({r.track_id for r in out}) == 400 and seen[0] < 1000
+
+
 def test_dense_frames_are_assigned_in_seconds():
     """A thousand tracks and detections that compete took minutes; small ones have the total of the plain form, ties and forbidden pairs included."""
     draw = np.random.default_rng(3)
