@@ -4,7 +4,8 @@ A document is cut into pieces of 2048 tokens and then the binary digits of the r
 sequence of its own; sequences of one length are numbered in a row, so a batch takes equal lengths.
 
 Tokenizing costs most. A byte-level BPE parts a text before every single space between two other characters, so each such
-chunk has ids of its own; a task asks the tokenizer for chunks it has not met lately, and joins their ids.
+chunk has ids of its own; a task asks the tokenizer for chunks it has not met lately, and joins their ids. Words are parted and
+numbered by Arrow and their ids laid out by NumPy, so Python handles the distinct words of a batch only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,22 @@ END = 1
 #: A text is parted here without any effect on its ids: the space always belongs to what follows it.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Chunks that a task remembers at least, their longest length, and characters that are parted at a time.
-MEMORY, CHUNK, STEP = 1 << 18, 48, 1 << 19
+MEMORY, CHUNK, STEP = 1 << 19, 48, 1 << 21
+
+
+def _plain(word: str) -> bool:
+    """Whether a space before this word is a place to cut, and the word, of those between spaces, is a chunk but for that space."""
+    return bool(word) and not word[0].isspace() and not word[-1].isspace()
+
+
+def _name(chunk: str) -> str:
+    """What a chunk is known by: its word if it is a space and a plain word, else itself behind a space, which no word has."""
+    return chunk[1:] if chunk[0] == " " and _plain(chunk[1:]) and " " not in chunk[1:] else " " + chunk
+
+
+def _chunk(name: str) -> str:
+    """The chunk that is known by this name."""
+    return name[1:] if name[0] == " " else " " + name
 
 
 def parts_at_spaces(spec: dict) -> bool:
@@ -63,40 +80,68 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Adds the ids of these chunks to those known. Chunks that begin with a space go to the tokenizer as one text."""
-        row = [c for c in chunks if c[0] == " " and len(c) <= CHUNK]
+    def _learn(self, names: list[str]) -> None:
+        """Adds the ids of the chunks of these names to those known. Plain chunks that begin with a space go to the tokenizer as one text."""
+        row, rest = [], []
+        for c in names:
+            (row if len(c) < CHUNK and _plain(c) else rest).append(c)
         if row:
-            (ids,) = self._raw(["".join(row)])
-            ends = np.cumsum([len(c.encode()) for c in row])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "right")
-            begin = 0
-            for c, cut in zip(row, cuts.tolist(), strict=True):
-                self.known[c] = ids[begin:cut].tobytes()
-                begin = cut
-        rest = [c for c in chunks if not (c[0] == " " and len(c) <= CHUNK)]
-        self.known.update(zip(rest, (x.tobytes() for x in self._raw(rest)), strict=True))
-
-    def _together(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [_CUT.split(x) if x else [] for x in texts]
-        known, older = self.known, self.older
+            (ids,) = self._raw([" " + " ".join(row)])
+            ends = np.cumsum([len(c.encode()) + 1 for c in row])
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "right").tolist()
+            held = memoryview(ids).cast("B")
+            self.known.update(zip(row, (bytes(held[4 * i : 4 * j]) for i, j in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+        self.known.update(zip(rest, (x.tobytes() for x in self._raw([_chunk(c) for c in rest])), strict=True))
+
+    def _found(self, names: list[str]) -> list[bytes | None]:
+        """The ids of the chunks of these names, of those unknown so far too; None for a name that stands between spaces and isn't plain."""
+        found = list(map(self.known.get, names))
+        lost = [i for i, x in enumerate(found) if x is None]
         new = []
-        for c in set().union(*chunks):
-            if c not in known:
-                if (ids := older.get(c)) is not None:
-                    known[c] = ids
-                else:
-                    new.append(c)
+        for i in lost:
+            c = names[i]
+            if (ids := self.older.get(c)) is not None:
+                self.known[c] = found[i] = ids
+            elif c[:1] == " " or _plain(c):
+                new.append(i)
         if new:
-            self._learn(new)
-        found = [np.frombuffer(b"".join([known[c] for c in p]), np.uint32) for p in chunks]
-        for c in new:
-            if len(c) > CHUNK:
-                del known[c]
-        if len(known) > MEMORY:
-            self.known, self.older = {}, known
+            self._learn([names[i] for i in new])
+            for i in new:
+                found[i] = self.known[names[i]]
+                if len(names[i]) >= CHUNK:
+                    self.known.pop(names[i])
         return found
 
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        """Arrow parts the texts at spaces and numbers the words; Python sees each word of these texts once, and NumPy lays out the ids."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        found = self._found(coded.dictionary.to_pylist())
+        odd = np.fromiter((x is None for x in found), bool, len(found))
+        # a text with white space beside a space is parted by the rule itself; all others have one chunk with no space before it
+        uneven = np.logical_or.reduceat(odd[codes], bounds[:-1]) if len(texts) else np.empty(0, bool)
+        chunks = [(_CUT.split(x) if x else []) if u else [x.partition(" ")[0]] for x, u in zip(texts, uneven.tolist(), strict=True)]
+        names = [[_name(c) for c in p] if u else [" " + c for c in p] for p, u in zip(chunks, uneven.tolist(), strict=True)]
+        distinct = list(set().union(*names))
+        heads = dict(zip(distinct, self._found(distinct), strict=True))
+        empty = len(found)
+        for i in np.flatnonzero(uneven).tolist():
+            codes[bounds[i] : bounds[i + 1]] = empty
+        codes[bounds[:-1]] = empty + 1 + np.arange(len(texts))
+        found += [b"", *(b"".join([heads[c] for c in p]) for p in names)]
+        ids = np.frombuffer(b"".join([x or b"" for x in found]), np.uint32)
+        sizes = np.fromiter((len(x or b"") >> 2 for x in found), np.int64, len(found))
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        laid = ids[np.repeat(begins[codes] - ends + n, n) + np.arange(int(n.sum()))]
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
+        stops = [0, *ends[bounds[1:] - 1].tolist()]
+        return [laid[i:j] for i, j in zip(stops[:-1], stops[1:], strict=True)]
+
     def _long(self, text: str) -> Iterator[np.ndarray]:
         """The ids of a text, a bounded number of characters at a time (but for a longer chunk)."""
         at = 0
