@@ -42,6 +42,13 @@ def test_what_grows_is_never_broadcast(spark, name):
     assert not re.findall(r"Broadcast\w*Join", plan)
 
 
+@pytest.mark.parametrize("name, by_bytes", [("c2_drop_small", 0), ("b12_boundary_shell", 0), ("c12_partition_by_seed", 0), ("d4_mask_iou_by_plane", 2), ("e10_oriented_width", 1), ("b10_temporal_majority", 2)])
+def test_voxels_are_dealt_by_number_and_never_by_bytes(spark, name, by_bytes):
+    """Only rows of planes, regions and captures may go through shuffles whose tasks Spark joins up to a size in bytes: a task would sort ten million voxels."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("ENSURE_REQUIREMENTS", plan)) <= by_bytes
+
+
 def test_tracks_that_return_or_rest_have_the_ratios_of_sql(spark):
     rows = [(1, t, t, 1.0, float(y), 2.0) for t, y in enumerate((0, 3, 0))] + [(2, t, 9 + t, 1.0, 1.0, 1.0) for t in range(2)] + [(3, 0, 20, 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "track_id long, t long, node_id long, z double, y double, x double").selectExpr("*", "1L AS grp", "1L AS volume", "1L AS capture")
