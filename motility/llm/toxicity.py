@@ -10,11 +10,11 @@ the thresholds of the languages are calibrated on all labelled rows, each scored
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,8 @@ FOLDS = 5
 GRID = np.round(np.arange(0.3, 0.9001, 0.02), 2)
 #: Bins in which logits meet for the sigmoid, by unit; beyond the limit they count as the limit.
 BINS, FAR = 64, 50.0
+#: Bytes of a network in one row, and the tasks that send those rows to the driver, one after the other.
+PIECE, SENDERS = 1 << 18, 16
 
 
 def bucket_numbers(part: words.Words) -> np.ndarray:
@@ -216,10 +218,7 @@ class ToxicityModel:
     offset: float
     threshold: float
     by_language: dict[str, float] = field(default_factory=dict)
-
-    def scores(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        for part in words.slices(texts, words.ALNUM, 1 << 19):
-            yield probabilities(logits(self.net, bucket_numbers(part), part.counts), self.slope, self.offset)
+    sent: Broadcast | None = field(default=None, repr=False, compare=False)  # the network, where executors have it already
 
     def scored(self, docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", name: str = "toxicity") -> DataFrame:
         """Adds the struct ``name``: ``score`` of the whole text, the ``threshold`` of its language, ``flagged`` (at or above it).
@@ -228,11 +227,12 @@ class ToxicityModel:
         the threshold is flagged. An empty table stays empty. Rows and other columns are kept; a column called ``name`` is replaced.
         """
         small_batches(docs.sparkSession)
-        sent = docs.sparkSession.sparkContext.broadcast(self)
+        sent, slope, offset = self.sent or docs.sparkSession.sparkContext.broadcast(self.net), self.slope, self.offset
 
         @F.arrow_udf("double")
         def score(texts: pa.Array) -> pa.Array:
-            return pa.array(np.concatenate([np.empty(0), *sent.value.scores(texts)]))
+            found = [probabilities(logits(sent.value, bucket_numbers(p), p.counts), slope, offset) for p in words.slices(texts, words.ALNUM, 1 << 19)]
+            return pa.array(np.concatenate([np.empty(0), *found]))
 
         limits = F.lit(self.threshold)
         if lang_col and self.by_language:
@@ -278,26 +278,37 @@ def fit(
         fold = key[0].as_py()
         found = [table.column(k).to_pylist() for k in ("part", "lang", "y", "pairs")]
         net, tested = fold_of(list(zip(*found, strict=True)), fold)
-        kept = [(None, *r) for r in tested] + ([(pickle.dumps(net), None, None, None)] if fold == 0 else [])
-        kinds = (pa.binary(), pa.string(), pa.int32(), pa.float64())
-        return pa.Table.from_arrays([pa.array([r[k] for r in kept], kind) for k, kind in enumerate(kinds)], names=["net", "lang", "y", "z"])
+        kept = [(None, None, *r) for r in tested]
+        if fold == 0:
+            whole = pickle.dumps(net)
+            kept += [(at, whole[at : at + PIECE], None, None, None) for at in range(0, len(whole), PIECE)]
+        kinds = (pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.float64())
+        return pa.Table.from_arrays([pa.array([r[k] for r in kept], kind) for k, kind in enumerate(kinds)], names=["at", "net", "lang", "y", "z"])
+
+    def within(batches):
+        total = 0
+        for batch in batches:
+            taken = []
+            for n in batch.column(1).to_pylist():
+                taken.append(total + n <= MAX_WORDS)
+                total += n * taken[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(taken, pa.bool_()))], names=["_id"])
 
     part = F.pmod(F.xxhash64(F.col("_id"), F.lit(1)), F.lit(FOLDS))
     kind = docs.schema[id_col].dataType.simpleString()
     got = written(rows.select("_text", "_id", part.alias("part"), "_lang", "_y").mapInArrow(hashed, f"_id {kind}, part long, lang string, y int, n long, pairs binary"), "hashed")
-    total, chosen = 0, []
-    for r in got.select("_id", "n").orderBy(F.xxhash64("_id"), "_id").collect():  # max_labelled rows at most
-        if total + r.n <= MAX_WORDS:
-            total += r.n
-            chosen.append((r[0],))
-    sample = F.broadcast(spark.createDataFrame(chosen, f"_id {kind}"))
+    # ids and numbers of words only, max_labelled rows at most
+    ranked = got.select("_id", "n", F.xxhash64("_id").alias("_h")).repartition(1).sortWithinPartitions("_h", "_id")
+    sample = F.broadcast(written(ranked.mapInArrow(within, f"_id {kind}"), "sample"))
     dealt = got.join(sample, "_id").select("part", "lang", "y", "pairs").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
     # the sample is bounded, and a task trains on all of it but one part
-    nets = written(dealt.groupBy("fold").applyInArrow(trained, "net binary, lang string, y int, z double"), "networks")
-    final = nets.where("net is not null").select("net").first()
-    if final is None:
+    nets = written(dealt.groupBy("fold").applyInArrow(trained, "at long, net binary, lang string, y int, z double"), "networks")
+    # the driver's JVM holds a few pieces at a time: a network in one row is copied there some ten times on its way
+    pieces = {r.at: bytes(r.net) for r in nets.where("net is not null").select("at", "net").repartition(SENDERS, "at").toLocalIterator()}
+    if not pieces:
         return ToxicityModel(new_network(0), 0.0, -2.0, 0.7)
-    net = pickle.loads(final["net"])
+    net = pickle.loads(b"".join(pieces[at] for at in sorted(pieces)))
+    del pieces
     sent = spark.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")
@@ -309,7 +320,9 @@ def fit(
     others = named.select("_id", "_lang", logit("_text").alias("_z")).join(one.join(sample, "_id", "left_anti"), "_id")
     others = others.groupBy("_id").agg(F.min(F.struct("_lang", "_z")).alias("_row"), F.max("_y").alias("_y"))
     logged = nets.where("net is null").select("lang", "y", "z").union(others.select("_row._lang", "_y", "_row._z"))
-    return calibrated(net, written(logged, "logits"))
+    model = calibrated(net, written(logged, "logits"))
+    model.sent = sent
+    return model
 
 
 def fold_of(rows: list[tuple[int, str, int, bytes]], fold: int) -> tuple[Network, list[tuple[str, int, float]]]:

@@ -459,6 +459,26 @@ def test_thresholds_cover_all_labelled_rows(spark, monkeypatch):
             assert model.by_language[lang] == pytest.approx(np.median(toxicity.GRID[f1 >= f1.max() - 1e-9]))
 
 
+def test_the_network_comes_to_the_driver_in_pieces_and_leaves_once(spark, monkeypatch):
+    """In one row of 8 MB it was copied often enough to bring the driver of the pipeline over its limit, and it was broadcast for the calibration and again for the scores."""
+    rng, tables, sent = random.Random(6), {}, []
+    docs = spark.createDataFrame([(i, prose(rng, 10 + i % 7) + (" vile" if i % 3 else ""), "en", int(i % 3 > 0)) for i in range(200)], "doc_id long, text string, lang string, toxic int")
+    keep, broadcast = toxicity.written, spark.sparkContext.broadcast
+    monkeypatch.setattr(toxicity, "written", lambda df, label: tables.setdefault(label, keep(df, label)))
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or broadcast(value))
+    sizes = {r.doc_id: len(r.text.split()) for r in docs.collect()}
+    monkeypatch.setattr(toxicity, "MAX_WORDS", sum(sizes.values()) // 2)  # some rows, not only the last ones, are left out
+    toxicity.fit(docs, docs.select("doc_id", "toxic")).scored(docs).collect()
+    longest = tables["networks"].agg(F.max(F.length("net"))).first()[0]
+    assert longest <= 1 << 18 and len(sent) == 1
+    order, total, chosen = [r[0] for r in tables["hashed"].orderBy(F.xxhash64("_id"), "_id").collect()], 0, set()
+    for i in order:
+        if total + sizes[i] <= toxicity.MAX_WORDS:
+            total += sizes[i]
+            chosen.add(i)
+    assert {r[0] for r in tables["sample"].collect()} == chosen and len(chosen) < len(order)
+
+
 # op8
 
 
