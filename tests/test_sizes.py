@@ -138,3 +138,33 @@ def test_dense_frames_are_assigned_in_seconds():
     began = time.perf_counter()
     pairs = assign(cost, 20.0)
     assert len(pairs) > 700 and time.perf_counter() - began < 5
+
+
+def test_points_meet_targets_in_tasks_dealt_by_number(spark, monkeypatch):
+    """Joined up to a size in bytes, a few tasks took all cells, and each sorted the pairs that its points made."""
+    plans, stored = [], geometry.stored
+    monkeypatch.setattr(geometry, "stored", lambda df, label: (label == "nearest" and plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df, label))[1])
+    for name in ("e1_nearest_point", "e8_nearest_normal"):
+        plans.clear()
+        QUERIES[name](spark, DATA)
+        assert plans and all(len(re.findall("_gz.*REPARTITION_BY_NUM", p)) == 2 and not re.findall("_gz.*ENSURE_REQUIREMENTS", p) for p in plans)
+
+
+def test_distances_are_dealt_by_number_and_only_the_nearest_go_on(spark):
+    plan = QUERIES["e2_min_distance"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"ENSURE_REQUIREMENTS|Broadcast\w*Join", plan)
+    draw = np.random.default_rng(8)
+    rows = [(1, 1, *map(int, draw.integers(0, 30, 3)), None if n % 9 == 0 else n % 5) for n in range(400)]
+    voxels = spark.createDataFrame([*rows, *rows[:20]], "capture long, t long, z long, y long, x long, label long")
+    surface = spark.createDataFrame([(1, 1, 3, 4, 5), (1, 1, 20, 25, 2)], "capture long, t long, z long, y long, x long")
+    whole = [tuple(r) for r in geometry.distance_field(voxels, surface, unique=True).collect()]
+    least = {}
+    for *_, y, _, label, d2 in whole:
+        least[y // 8, label] = min(d2, least.get((y // 8, label), d2))
+    got = geometry.distance_field(voxels, surface, unique=True, nearest_of="label").collect()
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted(map(tuple, got), key=key) == sorted((r for r in whole if r[-1] == least[r[3] // 8, r[5]]), key=key) and len(got) < len(whole) / 4
+
+
+def test_orientations_against_the_vessel_are_never_broadcast(spark):
+    assert not re.findall(r"Broadcast\w*Join", QUERIES["e11_regions_against_flow"](spark, DATA)._jdf.queryExecution().executedPlan().toString())
