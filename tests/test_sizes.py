@@ -168,3 +168,23 @@ def test_distances_are_dealt_by_number_and_only_the_nearest_go_on(spark):
 
 def test_orientations_against_the_vessel_are_never_broadcast(spark):
     assert not re.findall(r"Broadcast\w*Join", QUERIES["e11_regions_against_flow"](spark, DATA)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_volumes_at_a_bound_do_not_stand_out_however_they_are_added(spark):
+    """Hundredths of which one is a fifth of, or five times, the mean of its track: the rounding of the sum flagged about a third of them, other ones in every order."""
+    draw, rows, track = np.random.default_rng(5), [], 0
+    while track < 60:
+        rest = draw.integers(100, 30_000, int(draw.integers(20, 90)))
+        n, five = len(rest) + 1, track % 2
+        rest[0] += -int(rest.sum()) % ((n - 5) if five else (5 * n - 1))
+        own = 5 * int(rest.sum()) // (n - 5) if five else int(rest.sum()) // (5 * n - 1)
+        values = [*rest.tolist(), own]
+        for order in range(4):  # the same track, added in several orders
+            for t, k in enumerate(draw.permutation(n).tolist()):
+                rows.append((4 * track + order, t, int(k == n - 1), values[k] / 100 * 8, 5.0, 5.0))
+        track += 1
+    df = spark.createDataFrame(rows, "track_id long, t long, node_id long, vol double, dx double, dy double").selectExpr("*", "1L AS grp", "1L AS volume", "1L AS capture")
+    at = tracks.track_outliers(df).where("node_id = 1").collect()
+    assert len(at) == 240 and all(r.outlier is None for r in at)
+    far = tracks.track_outliers(df.selectExpr("* EXCEPT (vol)", "vol * IF(node_id = 1, IF(track_id div 4 % 2 = 1, 1.001, 0.999), 1) AS vol")).where("node_id = 1").collect()
+    assert all(r.outlier for r in far)
