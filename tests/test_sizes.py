@@ -3,12 +3,13 @@
 import math
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from motility.functions.grouped import merged_pieces, voxel_hull_volume
-from motility.functions.tracking import FORBIDDEN, assign, hungarian
+from motility.functions.tracking import FORBIDDEN, Linker, assign, assign_near, hungarian
 from motility.operators import dynamics, geometry, regions, tracks
 from motility.plans import QUERIES, fixtures
 
@@ -188,3 +189,55 @@ def test_volumes_at_a_bound_do_not_stand_out_however_they_are_added(spark):
     assert len(at) == 240 and all(r.outlier is None for r in at)
     far = tracks.track_outliers(df.selectExpr("* EXCEPT (vol)", "vol * IF(node_id = 1, IF(track_id div 4 % 2 = 1, 1.001, 0.999), 1) AS vol")).where("node_id = 1").collect()
     assert all(r.outlier for r in far)
+
+
+def test_rows_list_only_what_is_near_and_are_assigned_as_by_the_whole_table():
+    """A row that lists few of its pairs asks for more where the search comes to its bound; ties and rows alone included."""
+    draw = np.random.default_rng(9)
+    for k in range(400):
+        n, m = (int(x) for x in draw.integers(1, 12, 2))
+        cost = np.round(draw.uniform(0, 60, (n, m)), -1 if k % 2 else 6)
+        cost[draw.random((n, m)) < 0.3] = FORBIDDEN
+        full = [sorted(((j, float(c)) for j, c in enumerate(row) if c < 40), key=lambda p: p[1]) for row in cost]
+        have = draw.integers(0, 3, n).tolist()
+
+        def listed(i, more=0, have=have, full=full):
+            have[i] += more
+            return full[i][: have[i]], full[i][have[i]][1] if have[i] < len(full[i]) else math.inf
+
+        edges, bound = (list(x) for x in zip(*(listed(i) for i in range(n)), strict=True))
+        pairs = assign_near(edges, bound, m, 20.0, lambda i, listed=listed: listed(i, 1))
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        total = lambda found, cost=cost, sides=n + m: sum(cost[p] for p in found) + 20.0 * (sides - 2 * len(found))
+        assert total(pairs) == pytest.approx(total(assign(cost, 20.0)))
+
+
+def crowd(seed, n):
+    """Places on a grid, so sums of squared distances tie."""
+    draw = np.random.default_rng(seed)
+    return np.column_stack([draw.integers(0, 256, (n, 2)), draw.integers(0, 16, n), 4 * draw.integers(4, 12, (n, 2)), np.full(n, 4), np.full((n, 3), 50)]).astype(float)
+
+
+def test_a_dense_frame_takes_memory_by_its_detections_and_not_by_their_pairs():
+    """A table of all pairs of 1500 tracks and detections took some 90 MB, and of the 22 500 of 6 GB some 4 GB."""
+    linker = Linker(20.0, 9)
+    linker.feed(0, np.arange(1500), crowd(1, 1500))
+    tracemalloc.start()
+    birth, _ = linker.feed(1, np.arange(1500, 3000), crowd(2, 1500))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (birth[:, 0] == 0).sum() > 1400 and most < 50e6
+
+
+def test_equal_costs_are_decided_alike_in_any_order_and_company():
+    frames = [crowd(k, 150) for k in range(4)]
+    company = [crowd(k + 10, 90) + np.array([9000.0, 0, 0, 0, 0, 0, 0, 0, 0]) for k in range(4)]
+    linked = []
+    for order in (0, 1):
+        linker, draw = Linker(20.0, 9), np.random.default_rng(order)
+        for t, (a, b) in enumerate(zip(frames, company, strict=True)):
+            ids, rows = (np.arange(240), np.concatenate([a, b])) if order else (np.arange(150), a)
+            deal = draw.permutation(len(ids))
+            birth, _ = linker.feed(t, ids[deal] + 1000 * t, rows[deal])
+        linked.append({i: b for i, b in zip(ids[deal].tolist(), map(tuple, birth.tolist()), strict=True) if i < 150})
+    assert linked[0] == linked[1]
