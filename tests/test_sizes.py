@@ -241,3 +241,30 @@ def test_equal_costs_are_decided_alike_in_any_order_and_company():
             birth, _ = linker.feed(t, ids[deal] + 1000 * t, rows[deal])
         linked.append({i: b for i, b in zip(ids[deal].tolist(), map(tuple, birth.tolist()), strict=True) if i < 150})
     assert linked[0] == linked[1]
+
+
+def test_dense_volumes_are_searched_without_pairs(spark, monkeypatch):
+    """Cells of the given size held every target of a dense frame, so all its pairs were made: the pairs measured follow the points."""
+    draw = np.random.default_rng(6)
+    dots = [(1, n, *(draw.integers(0, 320, 3) / 10).tolist()) for n in range(3000)] + [(2, n, float(n % 3), 1.0, float(-n)) for n in range(9)] + [(1, 9999, None, 1.0, 1.0)]
+    cells = [(1, n, *(draw.integers(-20, 340, 3) / 10).tolist()) for n in range(500)] + [(2, 0, 5000.0, -3.0, 0.0), (2, 1, 0.5, 1.0, -0.5), (3, 0, 1.0, 1.0, 1.0), (1, 777, 1.0, math.nan, 1.0)]
+    p = spark.createDataFrame(cells + cells[:5], "capture long, label long, z double, y double, x double")
+    q = spark.createDataFrame(dots, "capture long, n long, z double, y double, x double")
+    plain = {}
+    for c, k, *place in cells[:-2]:
+        plain[c, k] = min((sum((a - b) ** 2 for a, b in zip(place, at, strict=True)), n) for e, n, *at in dots if e == c and None not in at)
+    got = geometry.nearest_in_blocks(p, q, ["capture"], "label", ["n"], 32.0).collect()
+    assert len(got) == len(plain) and {(r.capture, r.label): r.n for r in got} == {k: n for k, (_, n) in plain.items()}
+    assert all(r.distance == pytest.approx(math.sqrt(plain[r.capture, r.label][0])) for r in got)
+    seen, added = [], np.minimum.reduceat
+    monkeypatch.setattr(geometry.np, "minimum", type("Counted", (), {"reduceat": staticmethod(lambda d, at: (seen.append(len(d)), added(d, at))[1]), "__call__": staticmethod(np.minimum)})())
+    places = np.array([r[2:] for r in dots[:3000]])
+    which, least = geometry._nearest_within(np.array([r[2:] for r in cells[:500]]), places, 8.0)
+    assert sum(seen) / 2 < 100 * 500 and (which[least < 64] >= 0).all()
+
+
+def test_detections_meet_nodes_in_blocks_dealt_by_number(spark, monkeypatch):
+    plans, stored = [], geometry.stored
+    monkeypatch.setattr(geometry, "stored", lambda df, label: (label == "nearest" and plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df, label))[1])
+    QUERIES["f1_match_nodes"](spark, DATA)
+    assert plans and all("SortMergeJoin [grp#" not in p.split("CoGroups")[0] and "CoGroupsInArrow" in p and len(re.findall("_gz.*REPARTITION_BY_NUM", p)) == 2 for p in plans)
