@@ -268,3 +268,26 @@ def test_detections_meet_nodes_in_blocks_dealt_by_number(spark, monkeypatch):
     monkeypatch.setattr(geometry, "stored", lambda df, label: (label == "nearest" and plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df, label))[1])
     QUERIES["f1_match_nodes"](spark, DATA)
     assert plans and all("SortMergeJoin [grp#" not in p.split("CoGroups")[0] and "CoGroupsInArrow" in p and len(re.findall("_gz.*REPARTITION_BY_NUM", p)) == 2 for p in plans)
+
+
+def test_faces_are_counted_in_one_aggregate_without_a_join(spark):
+    """Every pass of f11 sorted seven rows a voxel for a join. Repeated voxels count each, and those without a place or label touch nothing."""
+    rows = [(1, 5, 0, 0, 0), (1, 5, 0, 0, 1), (1, 5, 0, 0, 1), (1, 6, 0, 0, 2), (1, 7, None, 0, 0), (1, None, 3, 3, 3), (1, None, 3, 3, 4)]
+    out = regions.surface_area(spark.createDataFrame(rows, "capture long, label long, z long, y long, x long"), ["capture"])
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.label: r.surface for r in out.collect()} == {5: 15, 6: 6, 7: 6, None: 12}
+    assert "Join" not in QUERIES["c8_surface_area"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_lists_of_a_frame_of_regions_are_made_together(monkeypatch):
+    """A thousand tracks in small boxes asked for more one by one, some 660 times a frame."""
+    draw, asked, plain = np.random.default_rng(0), [], Linker._measured
+    monkeypatch.setattr(Linker, "_measured", lambda self, tracks, *rest: (asked.append(len(tracks)), plain(self, tracks, *rest))[1])
+    linker = Linker(20.0, 9)
+    for k in range(3):
+        p = np.arange(1000) * 20 + 4 * k
+        size = 1 + 2.0 * draw.integers(1, 4, 1000)
+        places = np.column_stack([p * 37 % 61, p * 53 % 67, p * 7 % 13]) + draw.uniform(-0.5, 0.5, (1000, 3))
+        asked.clear()
+        birth, _ = linker.feed(k, p, np.column_stack([places, size, size, size, draw.uniform(3, 120, 1000), draw.uniform(2, 7, 1000), draw.uniform(5, 100, 1000)]))
+    assert (birth[:, 0] < 2).sum() > 900 and len(asked) < 450
